@@ -197,9 +197,80 @@ FROM m_request r LEFT JOIN (
 }
 
 
+
+
+INTAKE_CTES = f""",
+m_validated AS (
+  SELECT r.*,
+         CASE WHEN NOT coalesce(regexp_matches(r.phone_num, '^\\p{{Nd}}{{10}}$'), false)
+                THEN 'Invalid Phone Number!'
+              WHEN NOT coalesce(ends_with(r.e_mail, '.com'), false) THEN 'Invalid Email!'
+         END AS reject_reason
+  FROM m_request r),
+m_valid AS (SELECT * EXCLUDE (reject_reason) FROM m_validated WHERE reject_reason IS NULL),
+m_known AS (
+  SELECT {ci('e_mail')} AS k, min(ID) AS customer_id FROM m_customer
+  WHERE e_mail IS NOT NULL GROUP BY {ci('e_mail')}),
+m_first AS (
+  SELECT * FROM (
+    SELECT v.*, {ci('v.e_mail')} AS k,
+           row_number() OVER (PARTITION BY {ci('v.e_mail')} ORDER BY v.request_id) AS rn
+    FROM m_valid v
+    WHERE NOT EXISTS (SELECT 1 FROM m_known m WHERE m.k = {ci('v.e_mail')})) WHERE rn = 1),
+m_new_customer AS (
+  SELECT (SELECT coalesce(max(ID), 0) FROM m_customer)
+           + row_number() OVER (ORDER BY request_id) AS ID,
+         first_name, last_name, e_mail, phone_num, k
+  FROM m_first),
+m_with_customer AS (
+  SELECT v.*, coalesce(m.customer_id, n.ID) AS customer_id
+  FROM m_valid v LEFT JOIN m_known m ON {ci('v.e_mail')} = m.k
+  LEFT JOIN m_new_customer n ON {ci('v.e_mail')} = n.k),
+m_quote AS (
+  SELECT w.*, e.company_id,
+         CASE WHEN w.ticket_type = 'General' THEN e.general_price ELSE e.vip_price END AS price,
+         CASE WHEN e.ID IS NULL THEN 'Unknown event' END AS reject_reason
+  FROM m_with_customer w LEFT JOIN m_event e ON w.event_id = e.ID),
+m_accepted AS (
+  SELECT * EXCLUDE (reject_reason), row_number() OVER (ORDER BY request_id) AS pos
+  FROM m_quote WHERE reject_reason IS NULL),
+m_new_ticket AS (
+  SELECT (SELECT coalesce(max(ID), 0) FROM m_ticket) + pos AS ID, ticket_type AS type,
+         CAST(100 AS INTEGER) AS tickets_available, CAST(1 AS INTEGER) AS tickets_sold,
+         CAST(price AS DECIMAL(10,2)) AS price, event_id,
+         CAST((request_id % 24 + 24) % 24 + 1 AS BIGINT) AS distributer_id
+  FROM m_accepted),
+m_new_purchase AS (
+  SELECT (SELECT coalesce(max(purchase_id), 0) FROM m_purchase) + pos AS purchase_id,
+         customer_id, (SELECT coalesce(max(ID), 0) FROM m_ticket) + pos AS ticket_id,
+         payment_type, requested_at AS purchase_date
+  FROM m_accepted),
+m_new_cust_of AS (
+  SELECT DISTINCT a.company_id, a.customer_id FROM m_accepted a
+  WHERE a.company_id IS NOT NULL AND NOT EXISTS (
+    SELECT 1 FROM m_cust_of c WHERE c.company_id = a.company_id AND c.customer_id = a.customer_id)),
+m_reject AS (
+  SELECT request_id, reject_reason FROM m_validated WHERE reject_reason IS NOT NULL
+  UNION ALL
+  SELECT request_id, reject_reason FROM m_quote WHERE reject_reason IS NOT NULL)
+"""
+
+INTAKE = {
+    "validate_requests": "SELECT * FROM m_validated",
+    "new_customers": "SELECT ID, first_name, last_name, e_mail, phone_num FROM m_new_customer",
+    "quote_tickets": "SELECT * FROM m_quote",
+    "new_cust_of": "SELECT company_id, customer_id FROM m_new_cust_of",
+    "book_tickets": "SELECT * FROM m_new_ticket",
+    "new_purchases": "SELECT * FROM m_new_purchase",
+    "intake_rejects": "SELECT * FROM m_reject",
+}
+
+
 def all_sql() -> dict[str, str]:
     out = {}
     for group in (REPORTS, LISTINGS, LOOKUPS):
         for k, body in group.items():
             out[k] = q(body)
+    for k, body in INTAKE.items():
+        out[k] = PRELUDE + INTAKE_CTES + body
     return out

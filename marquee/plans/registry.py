@@ -69,3 +69,35 @@ def queries() -> dict[str, Query]:
         "match_contacts": _match_contacts,
     })
     return q
+
+
+def _intake(spark, sf_dir):
+    from marquee.operators import intake
+    return intake.purchase_intake(td.purchase_requests(spark, sf_dir), td.load_tables(spark, sf_dir))
+
+
+def _intake_part(attr: str) -> Query:
+    def run(spark, sf_dir):
+        return getattr(_intake(spark, sf_dir), attr)
+    run.__name__ = attr
+    return run
+
+
+INTAKE_QUERIES = {
+    "validate_requests": "validated",
+    "new_customers": "new_customers",
+    "quote_tickets": "quotes",
+    "new_cust_of": "new_cust_of",
+    "book_tickets": "new_tickets",
+    "new_purchases": "new_purchases",
+    "intake_rejects": "rejects",
+}
+
+_base_queries = queries
+
+
+def queries() -> dict[str, Query]:  # noqa: F811
+    q = _base_queries()
+    for name, attr in INTAKE_QUERIES.items():
+        q[name] = _intake_part(attr)
+    return q
