@@ -59,9 +59,10 @@ def ci_eq(col, value: str) -> Column:
 
 
 def clean_money(col) -> Column:
-    """Form money text: drop ``,`` and ``$`` then parse as a float. NULL when
-    the text does not parse (callers route those rows to rejects)."""
-    return F.regexp_replace(_c(col), r"[,$]", "").try_cast("double")
+    """Form money text: drop ``,`` and ``$``, trim, parse as a number
+    (DECIMAL(38,10), so the form's decimal text is kept exactly). NULL when
+    the text does not parse; callers route those rows to rejects."""
+    return F.trim(F.regexp_replace(_c(col), r"[,$]", "")).try_cast("decimal(38,10)")
 
 
 def report_price(ticket_type, general_price, vip_price) -> Column:

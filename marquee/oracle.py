@@ -266,6 +266,158 @@ INTAKE = {
 }
 
 
+def money(x: str) -> str:
+    return f"TRY_CAST(trim(regexp_replace({x}, '[,$]', '', 'g')) AS DECIMAL(38,10))"
+
+
+CHANGE_CTES = f""",
+m_clog AS (
+  SELECT event_id AS seq,
+         CASE WHEN event_type = 'signup' THEN 'insert'
+              WHEN event_type IN ('click', 'view') THEN 'update' ELSE 'delete' END AS op,
+         CAST(user_id AS BIGINT) AS key,
+         CASE WHEN event_type IN ('click', 'view')
+              THEN ['first_name', 'last_name', 'e_mail', 'phone_num'][event_id % 4 + 1] END
+           AS property,
+         CASE WHEN event_type IN ('click', 'view') THEN
+           CASE event_id % 4 WHEN 2 THEN 'u' || CAST(event_id AS VARCHAR) || '@mail.com'
+                             WHEN 3 THEN lpad(CAST(event_id AS VARCHAR), 10, '7')
+                             ELSE 'v' || CAST(event_id AS VARCHAR) END END AS new_value,
+         'New' AS ins_first, CAST(event_id AS VARCHAR) AS ins_last,
+         'n' || CAST(event_id AS VARCHAR) || '@mail.com' AS ins_mail,
+         lpad(CAST(event_id AS VARCHAR), 10, '6') AS ins_phone
+  FROM events WHERE event_type <> 'purchase'),
+m_clog_n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS rn FROM m_clog),
+m_clog_len AS (SELECT key, max(rn) AS n FROM m_clog_n GROUP BY key),
+m_sim AS (
+  SELECT k.key, CAST(0 AS BIGINT) AS rn, c.ID IS NOT NULL AS live,
+         c.first_name, c.last_name, c.e_mail, c.phone_num
+  FROM m_clog_len k LEFT JOIN m_customer c ON c.ID = k.key
+  UNION ALL
+  SELECT s.key, l.rn,
+         CASE WHEN l.op = 'insert' THEN true WHEN l.op = 'delete' THEN false ELSE s.live END,
+         CASE WHEN l.op = 'insert' AND NOT s.live THEN l.ins_first
+              WHEN l.op = 'update' AND s.live AND l.property = 'first_name' THEN l.new_value
+              ELSE s.first_name END,
+         CASE WHEN l.op = 'insert' AND NOT s.live THEN l.ins_last
+              WHEN l.op = 'update' AND s.live AND l.property = 'last_name' THEN l.new_value
+              ELSE s.last_name END,
+         CASE WHEN l.op = 'insert' AND NOT s.live THEN l.ins_mail
+              WHEN l.op = 'update' AND s.live AND l.property = 'e_mail' THEN l.new_value
+              ELSE s.e_mail END,
+         CASE WHEN l.op = 'insert' AND NOT s.live THEN l.ins_phone
+              WHEN l.op = 'update' AND s.live AND l.property = 'phone_num' THEN l.new_value
+              ELSE s.phone_num END
+  FROM m_sim s JOIN m_clog_n l ON l.key = s.key AND l.rn = s.rn + 1),
+m_elog AS (
+  SELECT event_id AS seq, CAST(event_id % (SELECT count(*) FROM part) AS BIGINT) AS key,
+         ['name', 'type', 'general_price', 'vip_price', 'company_id', 'income',
+          'datetime'][event_id % 7 + 1] AS property,
+         value, user_id
+  FROM events WHERE event_type = 'click'),
+m_echeck AS (
+  SELECT seq, key, property, new_value,
+         CASE WHEN property IN ('general_price', 'vip_price')
+                   AND TRY_CAST({money('new_value')} AS DECIMAL(10,2)) IS NULL
+                THEN 'invalid value'
+              WHEN property = 'company_id'
+                   AND TRY_CAST(round({money('new_value')}, 0) AS BIGINT) IS NULL
+                THEN 'invalid value'
+              WHEN property = 'datetime' AND TRY_CAST(trim(new_value) AS TIMESTAMP) IS NULL
+                THEN 'invalid value' END AS reason
+  FROM (
+    SELECT seq, key, property,
+           CASE WHEN property IN ('general_price', 'vip_price') THEN
+                  CASE WHEN seq % 13 = 0 THEN 'n/a'
+                       ELSE '$1,' || CAST(CAST(value AS DECIMAL(10,2)) AS VARCHAR) END
+                WHEN property = 'company_id' THEN CAST(user_id % 100 AS VARCHAR)
+                WHEN property = 'income' THEN CAST(CAST(value AS DECIMAL(10,2)) AS VARCHAR) || ' USD'
+                WHEN property = 'datetime' THEN '2025-06-01 20:00:00'
+                WHEN property = 'type' THEN CASE WHEN seq % 2 = 0 THEN 'Concert' ELSE 'concert' END
+                ELSE 'Show ' || CAST(seq AS VARCHAR) END AS new_value
+    FROM m_elog)),
+m_epiv AS (
+  SELECT key,
+         arg_max(new_value, seq) FILTER (WHERE property = 'name') AS name,
+         arg_max(new_value, seq) FILTER (WHERE property = 'type') AS type,
+         arg_max(new_value, seq) FILTER (WHERE property = 'general_price') AS general_price,
+         arg_max(new_value, seq) FILTER (WHERE property = 'vip_price') AS vip_price,
+         arg_max(new_value, seq) FILTER (WHERE property = 'company_id') AS company_id,
+         arg_max(new_value, seq) FILTER (WHERE property = 'income') AS income,
+         arg_max(new_value, seq) FILTER (WHERE property = 'datetime') AS datetime
+  FROM m_echeck WHERE reason IS NULL GROUP BY key),
+m_pairs AS (
+  SELECT event_id AS seq,
+         CAST(user_id * 7 % (SELECT count(*) FROM supplier) AS VARCHAR) || ','
+           || CAST(user_id AS VARCHAR) || CASE WHEN event_id % 17 = 0 THEN ',9' ELSE '' END
+           AS pair_text
+  FROM events WHERE event_type = 'signup'),
+m_pairs_ok AS (
+  SELECT CAST(split_part(pair_text, ',', 1) AS BIGINT) AS company_id,
+         CAST(split_part(pair_text, ',', 2) AS BIGINT) AS customer_id
+  FROM m_pairs WHERE len(string_split(pair_text, ',')) = 2),
+m_pdel AS (
+  SELECT event_id * 10 + 1 AS purchase_id FROM events WHERE event_type = 'error')
+"""
+
+
+CHANGES = {
+    "apply_customer_changes": """
+SELECT * FROM m_customer WHERE ID NOT IN (SELECT key FROM m_clog)
+UNION ALL
+SELECT s.key AS ID, s.first_name, s.last_name, s.e_mail, s.phone_num
+FROM m_sim s JOIN m_clog_len k ON s.key = k.key AND s.rn = k.n
+WHERE s.live""",
+    "update_event_properties": f"""
+SELECT e.ID, coalesce(p.name, e.name) AS name, coalesce(p.type, e.type) AS type, e.location,
+       coalesce(TRY_CAST(trim(p.datetime) AS TIMESTAMP), e.datetime) AS datetime,
+       coalesce(CAST({money('p.general_price')} AS DECIMAL(10,2)), e.general_price)
+         AS general_price,
+       coalesce(CAST({money('p.vip_price')} AS DECIMAL(10,2)), e.vip_price) AS vip_price,
+       coalesce(p.income, e.income) AS income, e.expense, e.details,
+       coalesce(CAST(round({money('p.company_id')}, 0) AS BIGINT), e.company_id) AS company_id
+FROM m_event e LEFT JOIN m_epiv p ON e.ID = p.key""",
+    "event_update_rejects": "SELECT seq, reason FROM m_echeck WHERE reason IS NOT NULL",
+    "insert_companies": """
+SELECT * FROM m_company
+UNION ALL
+SELECT ID, arg_min(name, seq) AS name, arg_min(location, seq) AS location
+FROM (SELECT event_id AS seq, CAST(user_id AS BIGINT) AS ID,
+             'Co' || CAST(event_id AS VARCHAR) AS name,
+             'Loc' || CAST(event_id % 5 AS VARCHAR) AS location
+      FROM events WHERE event_type = 'signup') i
+WHERE ID NOT IN (SELECT ID FROM m_company)
+GROUP BY ID""",
+    "delete_companies": """
+SELECT * FROM m_company
+WHERE ID NOT IN (SELECT event_id FROM events WHERE event_type = 'error')""",
+    "update_customers": """
+SELECT c.ID,
+       CASE WHEN u.ID IS NULL THEN c.first_name ELSE u.first_name END AS first_name,
+       CASE WHEN u.ID IS NULL THEN c.last_name ELSE u.last_name END AS last_name,
+       CASE WHEN u.ID IS NULL THEN c.e_mail ELSE u.e_mail END AS e_mail,
+       CASE WHEN u.ID IS NULL THEN c.phone_num ELSE u.phone_num END AS phone_num
+FROM m_customer c LEFT JOIN (
+  SELECT CAST(user_id AS BIGINT) AS ID,
+         arg_max('P' || CAST(event_id AS VARCHAR), event_id) AS first_name,
+         arg_max('Q' || CAST(event_id AS VARCHAR), event_id) AS last_name,
+         arg_max('p' || CAST(event_id AS VARCHAR) || '@mail.com', event_id) AS e_mail,
+         arg_max(lpad(CAST(event_id AS VARCHAR), 10, '8'), event_id) AS phone_num
+  FROM events WHERE event_type = 'view' GROUP BY user_id) u ON c.ID = u.ID""",
+    "delete_purchases": """
+SELECT * FROM m_purchase WHERE purchase_id NOT IN (SELECT purchase_id FROM m_pdel)""",
+    "delete_purchase_tickets": """
+SELECT * FROM m_ticket WHERE ID NOT IN (
+  SELECT ticket_id FROM m_purchase
+  WHERE purchase_id IN (SELECT purchase_id FROM m_pdel) AND ticket_id IS NOT NULL)""",
+    "delete_cust_of": """
+SELECT * FROM m_cust_of c WHERE NOT EXISTS (
+  SELECT 1 FROM m_pairs_ok p WHERE p.company_id = c.company_id AND p.customer_id = c.customer_id)""",
+    "delete_cust_of_customers": """
+SELECT * FROM m_customer WHERE ID NOT IN (SELECT customer_id FROM m_pairs_ok)""",
+}
+
+
 def all_sql() -> dict[str, str]:
     out = {}
     for group in (REPORTS, LISTINGS, LOOKUPS):
@@ -273,4 +425,7 @@ def all_sql() -> dict[str, str]:
             out[k] = q(body)
     for k, body in INTAKE.items():
         out[k] = PRELUDE + INTAKE_CTES + body
+    recursive = PRELUDE.replace("WITH\n", "WITH RECURSIVE\n", 1)
+    for k, body in CHANGES.items():
+        out[k] = recursive + CHANGE_CTES + body
     return out

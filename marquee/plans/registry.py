@@ -1,6 +1,7 @@
 """Named queries over a driver scale-factor folder: ``name -> f(spark, sf_dir)``.
 Each builds the ticketing tables from the driver's parquet (lazy plans) and
-runs one operator over them."""
+runs one operator over them; operators with several outputs expose each
+output under its own name."""
 
 from __future__ import annotations
 
@@ -8,7 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.operators import listings, lookups, reports
+from marquee.operators import changes, intake, listings, lookups, reports
+from marquee.schemas import TABLE_SCHEMAS
 from marquee.sources import testdata as td
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,79 +27,100 @@ def _scan(name: str) -> Query:
     return _on_tables(lambda t: listings.scan(t, name))
 
 
-def _customer_by_email(spark, sf_dir):
-    return lookups.customer_by_email(td.purchase_requests(spark, sf_dir), td.customer(spark, sf_dir))
+REPORTS = {
+    "event_type_popularity": reports.event_type_popularity,
+    "top_customer_by_class": reports.top_customer_by_class,
+    "top_customer_price_count": reports.top_customer_price_count,
+    "event_revenue": reports.event_revenue,
+    "event_revenue_names": reports.event_revenue_names,
+    "company_most_events": reports.company_most_events,
+    "company_most_tickets": reports.company_most_tickets,
+    "company_sales_ranking": reports.company_sales_ranking,
+    "customer_loyalty": reports.customer_loyalty,
+    "event_listing": reports.event_listing,
+}
 
+LISTINGS = {
+    "ticket_narrow": listings.ticket_narrow,
+    "cust_of_pairs": listings.cust_of_pairs,
+    "event_cards": listings.event_cards,
+    "event_picker": listings.event_picker,
+    "distributer_picker": listings.distributer_picker,
+}
 
-def _latest_ticket_id(spark, sf_dir):
-    return lookups.latest_ticket_id(td.ticket(spark, sf_dir))
+LOOKUPS: dict[str, Query] = {
+    "customer_by_email": lambda s, d: lookups.customer_by_email(td.purchase_requests(s, d),
+                                                                td.customer(s, d)),
+    "latest_ticket_id": lambda s, d: lookups.latest_ticket_id(td.ticket(s, d)),
+    "customer_profile": lambda s, d: lookups.customer_profile(td.visits(s, d), td.customer(s, d)),
+    "match_contacts": lambda s, d: lookups.match_contacts(td.purchase_requests(s, d),
+                                                          td.customer(s, d)),
+}
 
+INTAKE_OUTPUTS = {
+    "validate_requests": "validated",
+    "new_customers": "new_customers",
+    "quote_tickets": "quotes",
+    "new_cust_of": "new_cust_of",
+    "book_tickets": "new_tickets",
+    "new_purchases": "new_purchases",
+    "intake_rejects": "rejects",
+}
 
-def _customer_profile(spark, sf_dir):
-    return lookups.customer_profile(td.visits(spark, sf_dir), td.customer(spark, sf_dir))
 
+def _intake_output(attr: str) -> Query:
+    def run(spark, sf_dir):
+        res = intake.purchase_intake(td.purchase_requests(spark, sf_dir),
+                                     td.load_tables(spark, sf_dir))
+        return getattr(res, attr)
+    run.__name__ = attr
+    return run
 
-def _match_contacts(spark, sf_dir):
-    return lookups.match_contacts(td.purchase_requests(spark, sf_dir), td.customer(spark, sf_dir))
 
+def _apply_customer_changes(spark, sf_dir):
+    return changes.apply_changes(td.customer(spark, sf_dir), td.customer_changes(spark, sf_dir),
+                                 schema=TABLE_SCHEMAS["customer"])[0]
 
-def queries() -> dict[str, Query]:
-    q: dict[str, Query] = {
-        "event_type_popularity": _on_tables(reports.event_type_popularity),
-        "top_customer_by_class": _on_tables(reports.top_customer_by_class),
-        "top_customer_price_count": _on_tables(reports.top_customer_price_count),
-        "event_revenue": _on_tables(reports.event_revenue),
-        "event_revenue_names": _on_tables(reports.event_revenue_names),
-        "company_most_events": _on_tables(reports.company_most_events),
-        "company_most_tickets": _on_tables(reports.company_most_tickets),
-        "company_sales_ranking": _on_tables(reports.company_sales_ranking),
-        "customer_loyalty": _on_tables(reports.customer_loyalty),
-        "event_listing": _on_tables(reports.event_listing),
-    }
-    for name in ("event_catalog", "company", "distributer", "customer", "ticket", "purchase",
-                 "cust_of"):
-        q[f"scan_{name}"] = _scan(name)
-    q.update({
-        "ticket_narrow": _on_tables(listings.ticket_narrow),
-        "cust_of_pairs": _on_tables(listings.cust_of_pairs),
-        "event_cards": _on_tables(listings.event_cards),
-        "event_picker": _on_tables(listings.event_picker),
-        "distributer_picker": _on_tables(listings.distributer_picker),
-        "customer_by_email": _customer_by_email,
-        "latest_ticket_id": _latest_ticket_id,
-        "customer_profile": _customer_profile,
-        "match_contacts": _match_contacts,
-    })
-    return q
 
+def _event_updates(spark, sf_dir):
+    return changes.update_property(td.event_catalog(spark, sf_dir),
+                                   td.event_property_changes(spark, sf_dir),
+                                   schema=TABLE_SCHEMAS["event_catalog"])
 
-def _intake(spark, sf_dir):
-    from marquee.operators import intake
-    return intake.purchase_intake(td.purchase_requests(spark, sf_dir), td.load_tables(spark, sf_dir))
 
+def _delete_purchases(spark, sf_dir):
+    return changes.delete_purchases(td.purchase(spark, sf_dir), td.ticket(spark, sf_dir),
+                                    td.deleted_purchase_ids(spark, sf_dir))
 
-def _intake_part(attr: str) -> Query:
-    def run(spark, sf_dir):
-        return getattr(_intake(spark, sf_dir), attr)
-    run.__name__ = attr
-    return run
 
+def _delete_cust_of(spark, sf_dir):
+    t = td.load_tables(spark, sf_dir)
+    return changes.delete_cust_of(t.cust_of, t.customer, td.cust_of_delete_texts(spark, sf_dir))
 
-INTAKE_QUERIES = {
-    "validate_requests": "validated",
-    "new_customers": "new_customers",
-    "quote_tickets": "quotes",
-    "new_cust_of": "new_cust_of",
-    "book_tickets": "new_tickets",
-    "new_purchases": "new_purchases",
-    "intake_rejects": "rejects",
-}
 
-_base_queries = queries
+CHANGES: dict[str, Query] = {
+    "apply_customer_changes": _apply_customer_changes,
+    "update_event_properties": lambda s, d: _event_updates(s, d)[0],
+    "event_update_rejects": lambda s, d: _event_updates(s, d)[1],
+    "insert_companies": lambda s, d: changes.insert_rows(td.company(s, d),
+                                                         td.company_inserts(s, d)),
+    "delete_companies": lambda s, d: changes.delete_rows(td.company(s, d),
+                                                         td.deleted_company_ids(s, d)),
+    "update_customers": lambda s, d: changes.update_customers(td.customer(s, d),
+                                                              td.profile_updates(s, d)),
+    "delete_purchases": lambda s, d: _delete_purchases(s, d)[0],
+    "delete_purchase_tickets": lambda s, d: _delete_purchases(s, d)[1],
+    "delete_cust_of": lambda s, d: _delete_cust_of(s, d)[0],
+    "delete_cust_of_customers": lambda s, d: _delete_cust_of(s, d)[1],
+}
 
 
-def queries() -> dict[str, Query]:  # noqa: F811
-    q = _base_queries()
-    for name, attr in INTAKE_QUERIES.items():
-        q[name] = _intake_part(attr)
+def queries() -> dict[str, Query]:
+    q: dict[str, Query] = {k: _on_tables(f) for k, f in REPORTS.items()}
+    for name in TABLE_SCHEMAS:
+        q[f"scan_{name}"] = _scan(name)
+    q.update({k: _on_tables(f) for k, f in LISTINGS.items()})
+    q.update(LOOKUPS)
+    q.update({k: _intake_output(a) for k, a in INTAKE_OUTPUTS.items()})
+    q.update(CHANGES)
     return q

@@ -267,10 +267,10 @@ def event_property_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deleted_company_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Company deletes: error events name ``user_id mod |companies|``."""
+    """Company deletes: error events name company ``event_id`` (most such
+    ids are not live, which makes those deletes no-ops)."""
     ev = _driver_events(spark, sf_dir, "error")
-    n = read_driver(spark, sf_dir, "supplier").agg(F.count(F.lit(1))).scalar()
-    return ev.select((F.col("user_id") % n).cast("bigint").alias("ID"))
+    return ev.select(F.col("event_id").cast("bigint").alias("ID"))
 
 
 def deleted_purchase_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,3 +290,25 @@ def cust_of_delete_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("user_id").cast("string"))
     text = F.when(eid % 17 == 0, F.concat(pair, F.lit(",9"))).otherwise(pair)
     return ev.select(eid.alias("seq"), text.alias("pair_text"))
+
+
+def company_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Company insert forms from signups: key ``user_id`` (live keys make
+    the insert a no-op), name and location from the event."""
+    ev = _driver_events(spark, sf_dir, "signup")
+    eid = F.col("event_id")
+    return ev.select(eid.alias("seq"), F.col("user_id").cast("bigint").alias("ID"),
+                     F.concat(F.lit("Co"), eid.cast("string")).alias("name"),
+                     F.concat(F.lit("Loc"), (eid % 5).cast("string")).alias("location"))
+
+
+def profile_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer dashboard submissions (all four fields) from view events."""
+    ev = _driver_events(spark, sf_dir, "view")
+    eid = F.col("event_id")
+    t = eid.cast("string")
+    return ev.select(eid.alias("seq"), F.col("user_id").cast("bigint").alias("ID"),
+                     F.concat(F.lit("P"), t).alias("first_name"),
+                     F.concat(F.lit("Q"), t).alias("last_name"),
+                     F.concat(F.lit("p"), t, F.lit("@mail.com")).alias("e_mail"),
+                     F.lpad(t, 10, "8").alias("phone_num"))
