@@ -24,12 +24,25 @@ def _events(t: Tables, *cols: str) -> DataFrame:
     return t.event_catalog.select(F.col("ID").alias("event_id"), *cols)
 
 
-def _tickets_per_event(t: Tables) -> DataFrame:
-    """COUNT(T.event_id) per event, computed before any join."""
+def tickets_per_event(t: Tables) -> DataFrame:
+    """COUNT(T.event_id) per event, computed before any join (shared by R1
+    and R7)."""
     return (t.ticket.where(F.col("event_id").isNotNull())
             .groupBy("event_id").agg(F.count("event_id").alias("n_tickets")))
 
 
+def purchase_tickets(t: Tables) -> DataFrame:
+    """Purchase ⋈ TICKET with the ticket columns the reports need (shared
+    by R2, R3 and R9)."""
+    return _purchase_tickets(t, "type", "price", "event_id")
+
+
+def _shared(shared: dict | None, name: str, build):
+    if shared is not None and name in shared:
+        return shared[name]
+    return build()
+
+
 def _customer_names(t: Tables) -> DataFrame:
     return t.customer.select(F.col("ID").alias("CustomerID"),
                              full_name("first_name", "last_name").alias("CustomerName"))
@@ -45,10 +58,11 @@ def _purchase_tickets(t: Tables, *ticket_cols: str) -> DataFrame:
             .join(t.ticket.select(F.col("ID").alias("ticket_id"), *ticket_cols), "ticket_id"))
 
 
-def event_type_popularity(t: Tables) -> DataFrame:
+def event_type_popularity(t: Tables, shared: dict | None = None) -> DataFrame:
     """Ticket rows per event type (types compared case/accent-
     insensitively, label = smallest spelling), most first."""
-    per_event = _tickets_per_event(t).join(_events(t, "type"), "event_id")
+    per_event = (_shared(shared, "tickets_per_event", lambda: tickets_per_event(t))
+                 .join(_events(t, "type"), "event_id"))
     return (per_event.groupBy(ci_key("type").alias("_type_key"))
             .agg(F.min("type").alias("EventType"),
                  F.sum("n_tickets").cast("bigint").alias("TotalTicketsSold"))
@@ -56,10 +70,10 @@ def event_type_popularity(t: Tables) -> DataFrame:
             .orderBy(F.col("TotalTicketsSold").desc_nulls_last(), F.col("EventType").asc_nulls_first()))
 
 
-def top_customer_by_class(t: Tables, k: int = 1) -> DataFrame:
+def top_customer_by_class(t: Tables, k: int = 1, shared: dict | None = None) -> DataFrame:
     """R2: top spender, each purchase valued at its event's VIP price when
     the ticket type is ``vip`` (any case), else the general price."""
-    priced = (_purchase_tickets(t, "type", "event_id")
+    priced = (_shared(shared, "purchase_tickets", lambda: _purchase_tickets(t, "type", "event_id"))
               .join(_events(t, "general_price", "vip_price"), "event_id")
               .select(F.col("customer_id").alias("CustomerID"),
                       report_price("type", "general_price", "vip_price").alias("p")))
@@ -70,10 +84,10 @@ def top_customer_by_class(t: Tables, k: int = 1) -> DataFrame:
             .limit(k))
 
 
-def top_customer_price_count(t: Tables, k: int = 1) -> DataFrame:
+def top_customer_price_count(t: Tables, k: int = 1, shared: dict | None = None) -> DataFrame:
     """Top spender by SUM(ticket price) * COUNT(purchases) per customer
     (the reference's formula, kept as is)."""
-    per_customer = (_purchase_tickets(t, "price")
+    per_customer = (_shared(shared, "purchase_tickets", lambda: _purchase_tickets(t, "price"))
                     .groupBy(F.col("customer_id").alias("CustomerID"))
                     .agg(F.sum("price").alias("s"), F.count("purchase_id").alias("c")))
     return (per_customer.join(_customer_names(t), "CustomerID")
@@ -112,9 +126,9 @@ def company_most_events(t: Tables, k: int = 1) -> DataFrame:
             .limit(k))
 
 
-def company_most_tickets(t: Tables, k: int = 1) -> DataFrame:
+def company_most_tickets(t: Tables, k: int = 1, shared: dict | None = None) -> DataFrame:
     """Company with the most ticket rows over its events."""
-    per_company = (_tickets_per_event(t)
+    per_company = (_shared(shared, "tickets_per_event", lambda: tickets_per_event(t))
                    .join(_events(t, "company_id").where(F.col("company_id").isNotNull()), "event_id")
                    .groupBy(F.col("company_id").alias("CompanyID"))
                    .agg(F.sum("n_tickets").cast("bigint").alias("TotalTicketsSold")))
@@ -136,10 +150,10 @@ def company_sales_ranking(t: Tables) -> DataFrame:
             .orderBy(F.col("TotalRevenue").desc_nulls_last(), F.col("CompanyID").asc()))
 
 
-def customer_loyalty(t: Tables) -> DataFrame:
+def customer_loyalty(t: Tables, shared: dict | None = None) -> DataFrame:
     """Purchases per (customer, company), counted on ids first and
     named last (ids are unique keys, so this equals grouping by names)."""
-    per_event = (_purchase_tickets(t, "event_id")
+    per_event = (_shared(shared, "purchase_tickets", lambda: _purchase_tickets(t, "event_id"))
                  .groupBy("customer_id", "event_id")
                  .agg(F.count("purchase_id").alias("n")))
     per_company = (per_event

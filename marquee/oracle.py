@@ -428,4 +428,7 @@ def all_sql() -> dict[str, str]:
     recursive = PRELUDE.replace("WITH\n", "WITH RECURSIVE\n", 1)
     for k, body in CHANGES.items():
         out[k] = recursive + CHANGE_CTES + body
+    # The streams deliver what their batch counterparts compute.
+    out["purchase_intake_stream"] = out["new_purchases"]
+    out["table_changes_stream"] = out["apply_customer_changes"]
     return out

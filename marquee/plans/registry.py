@@ -124,3 +124,47 @@ def queries() -> dict[str, Query]:
     q.update({k: _intake_output(a) for k, a in INTAKE_OUTPUTS.items()})
     q.update(CHANGES)
     return q
+
+
+# ------------------------------------------------------------------ streams
+
+def _intake_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I8 end to end: the derived requests land as files, the stream books
+    them against a base snapshot; returns the purchases it booked."""
+    from marquee.session import scratch_dir
+    from marquee.sources import snapshots
+    from marquee.streaming import streams
+    work = scratch_dir(spark, "intake-stream")
+    in_dir, root, ckpt = f"{work}/requests", f"{work}/store", f"{work}/checkpoint"
+    td.purchase_requests(spark, sf_dir).write.parquet(in_dir)
+    snapshots.write_snapshot(td.load_tables(spark, sf_dir), root, streams.BASE_VERSION,
+                             publish=False)
+    streams.purchase_intake_stream(spark, in_dir, root, ckpt).awaitTermination()
+    return streams.read_deltas(spark, root, "purchase")
+
+
+def _changes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I9 end to end: the derived Customer edits land as files, the stream
+    folds them into a new Customer version; returns that version."""
+    from marquee.session import scratch_dir
+    from marquee.streaming import streams
+    work = scratch_dir(spark, "changes-stream")
+    in_dir, root, ckpt = f"{work}/changes", f"{work}/store", f"{work}/checkpoint"
+    td.customer_changes(spark, sf_dir).write.parquet(in_dir)
+    streams.init_change_table(td.customer(spark, sf_dir), root, "customer")
+    streams.table_changes_stream(spark, in_dir, root, "customer", ckpt).awaitTermination()
+    return streams.read_change_table(spark, root, "customer")
+
+
+STREAMS: dict[str, Query] = {
+    "purchase_intake_stream": _intake_stream,
+    "table_changes_stream": _changes_stream,
+}
+
+_batch_queries = queries
+
+
+def queries() -> dict[str, Query]:  # noqa: F811
+    q = _batch_queries()
+    q.update(STREAMS)
+    return q

@@ -88,11 +88,22 @@ def _ticket_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (l_orderkey, l_linenumber) -- lineitem has no unique key,
     so every attribute is the group's minimum."""
     li = read_driver(spark, sf_dir, "lineitem")
-    return li.groupBy("l_orderkey", "l_linenumber").agg(
-        F.min("l_returnflag").alias("rf"),
+    f = F.col("l_returnflag")
+    # min(l_returnflag) is 'A' iff an 'A' is present and nothing sorts below
+    # it (likewise 'R'); boolean aggregates keep this a hash aggregation
+    # (a string min would force a sort-based aggregate over all of lineitem).
+    agg = li.groupBy("l_orderkey", "l_linenumber").agg(
+        F.bool_or(f == "A").alias("has_a"), F.bool_or(f < "A").alias("below_a"),
+        F.bool_or(f == "R").alias("has_r"), F.bool_or(f < "R").alias("below_r"),
         F.min("l_extendedprice").alias("px"),
         F.min("l_partkey").alias("pk"),
         F.min("l_suppkey").alias("sk"))
+    min_is = lambda has, below: F.coalesce(F.col(has) & ~F.col(below), F.lit(False))
+    return agg.select(
+        "l_orderkey", "l_linenumber",
+        F.when(min_is("has_r", "below_r"), F.lit("R")).when(min_is("has_a", "below_a"), F.lit("A"))
+        .otherwise(F.lit("other")).alias("rf"),
+        "px", "pk", "sk")
 
 
 def _ticket_cols():
