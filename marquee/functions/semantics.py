@@ -104,9 +104,10 @@ def split_pair(col) -> tuple[Column, Column, Column]:
     exactly two comma-separated integer parts are required."""
     c = _c(col)
     parts = F.split(c, ",")
-    ok = (c.isNotNull() & (F.size(parts) == 2)
-          & F.trim(parts.getItem(0)).rlike(r"^[+-]?\d+$")
-          & F.trim(parts.getItem(1)).rlike(r"^[+-]?\d+$"))
-    first = F.when(ok, F.trim(parts.getItem(0)).try_cast("bigint"))
-    second = F.when(ok, F.trim(parts.getItem(1)).try_cast("bigint"))
+    a = F.trim(F.try_element_at(parts, F.lit(1)))
+    b = F.trim(F.try_element_at(parts, F.lit(2)))
+    ok = F.coalesce(c.isNotNull() & (F.size(parts) == 2)
+                    & a.rlike(r"^[+-]?\d+$") & b.rlike(r"^[+-]?\d+$"), F.lit(False))
+    first = F.when(ok, a.try_cast("bigint"))
+    second = F.when(ok, b.try_cast("bigint"))
     return first, second, ok & first.isNotNull() & second.isNotNull()

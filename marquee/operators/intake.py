@@ -20,8 +20,9 @@ No effect on ``tickets_available`` or ``income``: the reference has none.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,12 @@ class IntakeResult:
     new_tickets: DataFrame
     new_purchases: DataFrame
     rejects: DataFrame
+    cached: list = field(default_factory=list)
+
+    def release(self) -> None:
+        for df in self.cached:
+            df.unpersist()
+        self.cached.clear()
 
 
 def validate_requests(requests: DataFrame) -> DataFrame:
@@ -125,13 +132,26 @@ def book(accepted: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
     return tickets, purchases
 
 
-def purchase_intake(requests: DataFrame, t: Tables) -> IntakeResult:
-    """The whole pipeline over one batch of requests."""
+def purchase_intake(requests: DataFrame, t: Tables, persist: bool = False) -> IntakeResult:
+    """The whole pipeline over one batch of requests.
+
+    With ``persist`` the new customers and the quoted requests are kept
+    (memory, spilling to disk) so that writing all outputs runs the joins
+    once; call ``release()`` afterwards."""
+    cached = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        if not persist:
+            return df
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        cached.append(df)
+        return df
+
     validated = validate_requests(requests)
     valid = _valid(validated)
-    created = new_customers(valid, t.customer)
+    created = keep(new_customers(valid, t.customer))
     with_customer = resolve_customers(valid, t.customer, created)
-    quotes = quote_tickets(with_customer, t.event_catalog)
+    quotes = keep(quote_tickets(with_customer, t.event_catalog))
     accepted = quotes.where(F.col("reject_reason").isNull()).drop("reject_reason")
     tickets, purchases = book(accepted, t)
     rejects = (validated.where(F.col("reject_reason").isNotNull())
@@ -146,6 +166,7 @@ def purchase_intake(requests: DataFrame, t: Tables) -> IntakeResult:
         new_tickets=tickets,
         new_purchases=purchases,
         rejects=rejects,
+        cached=cached,
     )
 
 

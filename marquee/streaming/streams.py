@@ -75,12 +75,16 @@ def run_intake_batch(requests: DataFrame, batch_id: int, root: str) -> None:
     spark = requests.sparkSession
     requests = requests.persist()
     try:
-        res = purchase_intake(requests, intake_state(spark, root, before=batch_id))
+        res = purchase_intake(requests, intake_state(spark, root, before=batch_id), persist=True)
         outputs = {"customer": res.new_customers, "cust_of": res.new_cust_of,
                    "ticket": res.new_tickets, "purchase": res.new_purchases,
                    "rejects": res.rejects}
-        for name, df in outputs.items():
-            df.write.mode("overwrite").parquet(f"{_delta_path(root, name)}/batch_id={batch_id}")
+        try:
+            for name, df in outputs.items():
+                df.write.mode("overwrite").parquet(
+                    f"{_delta_path(root, name)}/batch_id={batch_id}")
+        finally:
+            res.release()
     finally:
         requests.unpersist()
 
