@@ -175,15 +175,42 @@ def update_customers(customer: DataFrame, updates: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ full fold
 
+def _pivot_latest(updates: DataFrame, schema: StructType, key: str, prefix: str) -> DataFrame:
+    """Per key, the last valid text of every property as ``<prefix><prop>``."""
+    props = [f.name for f in schema.fields if f.name != key]
+    latest = _latest_values(updates, schema, key)
+    return latest.select(F.col("_key").alias("key"),
+                         *[F.col(p).alias(f"{prefix}{p}") for p in props])
+
+
+def _overlay(base_cols: dict, prefix: str, schema: StructType, key: str) -> list[Column]:
+    """Row columns with the pivoted updates ``<prefix><prop>`` applied."""
+    out = []
+    for f in schema.fields:
+        col = base_cols[f.name]
+        if f.name != key:
+            new = F.col(f"{prefix}{f.name}")
+            col = F.when(new.isNotNull(), _typed(new, f.dataType)).otherwise(col)
+        out.append(col.cast(f.dataType).alias(f.name))
+    return out
+
+
 def apply_changes(snapshot: DataFrame, log: DataFrame, key: str = "ID",
                   schema: StructType | None = None) -> tuple[DataFrame, DataFrame]:
     """Fold an ordered log of inserts, updates and deletes
     (``seq, op, key, property, new_value, row``) into a snapshot.
 
-    For a key in the log: ``last_del`` = its last delete; the live row at
-    the end is the snapshot row if the key was live and never deleted,
-    otherwise the first insert after ``last_del`` (if any); updates apply
-    when they come after the start of that incarnation.
+    For a key in the log let ``last_del`` be its last delete and
+    ``start_ins`` its first insert after that. At the end the key is
+      * the snapshot row with every valid update applied, if it was live and
+        never deleted (inserts of a live key are no-ops);
+      * otherwise the ``start_ins`` row with the updates after ``start_ins``;
+      * otherwise absent.
+    Everything per key is computed from the log alone (aggregates with
+    partial aggregation), then the snapshot is read once: a left join
+    against that per-key summary (AQE broadcasts the summary when it is
+    small, so the snapshot is not even shuffled), plus a key-column-only
+    anti join for keys the log inserts fresh.
     Returns (snapshot, rejects(seq, reason))."""
     schema = schema or snapshot.schema
     cols = [f.name for f in schema.fields]
@@ -194,31 +221,41 @@ def apply_changes(snapshot: DataFrame, log: DataFrame, key: str = "ID",
                .where(F.col("last_del").isNull() | (F.col("seq") > F.col("last_del")))
                .groupBy("key")
                .agg(F.min_by("row", "seq").alias("ins_row"), F.min("seq").alias("start_ins")))
-    live0 = snapshot.select(F.col(key).alias("key"), F.lit(True).alias("live0"))
-    summary = per_key.join(inserts, "key", "left").join(live0, "key", "left")
-    from_snapshot = summary.where(F.col("last_del").isNull() & F.col("live0").isNotNull())
-    from_insert = summary.where(~(F.col("last_del").isNull() & F.col("live0").isNotNull())
-                                & F.col("start_ins").isNotNull())
-    untouched = snapshot.join(per_key.select(F.col("key").alias(key)), key, "left_anti")
-    snap_base = snapshot.join(from_snapshot.select(F.col("key").alias(key),
-                                                   F.lit(MIN_SEQ).cast("bigint").alias("_start")),
-                              key)
-    ins_base = from_insert.select(
-        *[F.col(f"ins_row.{c}").cast(schema[c].dataType).alias(c) for c in cols if c != key],
-        F.col("key").cast(schema[key].dataType).alias(key),
-        F.col("start_ins").alias("_start"))
-    bases = snap_base.select(*cols, "_start").unionByName(ins_base.select(*cols, "_start"))
     checked = _check_updates(log.where(F.col("op") == "update"), schema, key)
-    valid = (checked.where(F.col("_reject").isNull())
-             .join(bases.select(F.col(key).alias("key"), "_start"), "key")
-             .where(F.col("seq") > F.col("_start")))
-    latest = _latest_values(valid, schema, key)
-    touched = _apply_latest(bases.drop("_start"), latest, schema, key)
+    valid = checked.where(F.col("_reject").isNull())
+    # updates that apply to a never-deleted live row: all of them
+    all_updates = _pivot_latest(valid, schema, key, "_all_")
+    # updates that apply to an incarnation started by an insert
+    after_ins = _pivot_latest(valid.join(inserts.select("key", "start_ins"), "key")
+                              .where(F.col("seq") > F.col("start_ins")), schema, key, "_ins_")
+    summary = (per_key.join(inserts, "key", "left")
+               .join(all_updates, "key", "left")
+               .join(after_ins, "key", "left"))
+    # one pass over the snapshot
+    joined = snapshot.join(summary.withColumnRenamed("key", "_skey"),
+                           snapshot[key] == F.col("_skey"), "left")
+    kept = joined.where(F.col("_skey").isNull() | F.col("last_del").isNull()
+                        | F.col("start_ins").isNotNull())
+    snap_cols = {c: F.col(c) for c in cols}
+    ins_cols = {c: F.col(f"ins_row.{c}") for c in cols}
+    ins_cols[key] = F.col("_skey")
+    as_snapshot = _overlay(snap_cols, "_all_", schema, key)
+    as_insert = _overlay(ins_cols, "_ins_", schema, key)
+    from_snapshot = kept.select(*[
+        F.when(F.col("_skey").isNull(), F.col(c).cast(schema[c].dataType))
+        .when(F.col("last_del").isNull(), a)
+        .otherwise(b).alias(c)
+        for c, a, b in zip(cols, as_snapshot, as_insert)])
+    # keys the snapshot does not hold: only an insert can bring them in
+    fresh = (summary.where(F.col("start_ins").isNotNull())
+             .join(snapshot.select(F.col(key).alias("key")), "key", "left_anti")
+             .withColumnRenamed("key", "_skey"))
+    from_log = fresh.select(*_overlay(ins_cols, "_ins_", schema, key))
     rejects = (checked.where(F.col("_reject").isNotNull())
                .select("seq", F.col("_reject").alias("reason"))
                .unionByName(log.where(~F.col("op").isin("insert", "update", "delete"))
                             .select("seq", F.lit("unknown op").alias("reason"))))
-    return untouched.select(*cols).unionByName(touched.select(*cols)), rejects
+    return from_snapshot.unionByName(from_log), rejects
 
 
 # ------------------------------------------------------------------ cascades

@@ -63,12 +63,15 @@ def _valid(validated: DataFrame) -> DataFrame:
     return validated.where(F.col("reject_reason").isNull()).drop("reject_reason")
 
 
-def new_customers(valid: DataFrame, customer: DataFrame) -> DataFrame:
+def new_customers(valid: DataFrame, customer: DataFrame,
+                  known: DataFrame | None = None) -> DataFrame:
     """One new Customer per normalised e-mail that is not known yet,
     named from its first request; ids continue after ``max(Customer.ID)``
     in order of that first request."""
-    keyed = valid.withColumn("_mail_key", ci_key("e_mail"))
-    unknown = keyed.join(customer_ids_by_email(customer), "_mail_key", "left_anti")
+    keyed = valid if "_mail_key" in valid.columns else \
+        valid.withColumn("_mail_key", ci_key("e_mail"))
+    known = known if known is not None else customer_ids_by_email(customer, keyed)
+    unknown = keyed.join(known, "_mail_key", "left_anti")
     firsts = (unknown.groupBy("_mail_key")
               .agg(F.min_by(F.struct("request_id", "first_name", "last_name", "e_mail",
                                      "phone_num"), "request_id").alias("r"))
@@ -79,13 +82,13 @@ def new_customers(valid: DataFrame, customer: DataFrame) -> DataFrame:
         "first_name", "last_name", "e_mail", "phone_num", "_mail_key", "request_id")
 
 
-def resolve_customers(valid: DataFrame, customer: DataFrame, created: DataFrame) -> DataFrame:
+def resolve_customers(valid: DataFrame, known: DataFrame, created: DataFrame) -> DataFrame:
     """Customer id of every valid request: known e-mail -> existing id,
     otherwise the id created for it in this batch."""
-    ids = customer_ids_by_email(customer).unionByName(
-        created.select("_mail_key", F.col("ID").alias("customer_id")))
-    return valid.withColumn("_mail_key", ci_key("e_mail")).join(ids, "_mail_key", "left") \
-        .drop("_mail_key")
+    keyed = valid if "_mail_key" in valid.columns else \
+        valid.withColumn("_mail_key", ci_key("e_mail"))
+    ids = known.unionByName(created.select("_mail_key", F.col("ID").alias("customer_id")))
+    return keyed.join(ids, "_mail_key", "left").drop("_mail_key")
 
 
 def quote_tickets(valid_with_customer: DataFrame, event_catalog: DataFrame) -> DataFrame:
@@ -148,9 +151,10 @@ def purchase_intake(requests: DataFrame, t: Tables, persist: bool = False) -> In
         return df
 
     validated = validate_requests(requests)
-    valid = _valid(validated)
-    created = keep(new_customers(valid, t.customer))
-    with_customer = resolve_customers(valid, t.customer, created)
+    valid = _valid(validated).withColumn("_mail_key", ci_key("e_mail"))
+    known = customer_ids_by_email(t.customer, valid)
+    created = keep(new_customers(valid, t.customer, known))
+    with_customer = resolve_customers(valid, known, created)
     quotes = keep(quote_tickets(with_customer, t.event_catalog))
     accepted = quotes.where(F.col("reject_reason").isNull()).drop("reject_reason")
     tickets, purchases = book(accepted, t)

@@ -11,19 +11,23 @@ from pyspark.sql import functions as F
 from marquee.functions.semantics import ci_key
 
 
-def customer_ids_by_email(customer: DataFrame) -> DataFrame:
+def customer_ids_by_email(customer: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Unique e-mail key -> customer id. The reference reads the first row
-    of ``WHERE e_mail = ?``; we pin it as the smallest id."""
-    return (customer.where(F.col("e_mail").isNotNull())
-            .groupBy(ci_key("e_mail").alias("_mail_key"))
-            .agg(F.min("ID").alias("customer_id")))
+    of ``WHERE e_mail = ?``; we pin it as the smallest id. With ``keys`` (a
+    frame holding ``_mail_key``) the Customer rows are first cut down to the
+    requested e-mails by a semi join, so only matching rows are shuffled for
+    the aggregation."""
+    c = customer.where(F.col("e_mail").isNotNull()).select(
+        ci_key("e_mail").alias("_mail_key"), "ID")
+    if keys is not None:
+        c = c.join(keys.select("_mail_key"), "_mail_key", "left_semi")
+    return c.groupBy("_mail_key").agg(F.min("ID").alias("customer_id"))
 
 
 def customer_by_email(requests: DataFrame, customer: DataFrame) -> DataFrame:
     """customer id of each request's e-mail (NULL when unknown)."""
-    ids = customer_ids_by_email(customer)
-    return (requests.select("request_id", "e_mail", ci_key("e_mail").alias("_mail_key"))
-            .join(ids, "_mail_key", "left")
+    keyed = requests.select("request_id", "e_mail", ci_key("e_mail").alias("_mail_key"))
+    return (keyed.join(customer_ids_by_email(customer, keyed), "_mail_key", "left")
             .select("request_id", "e_mail", "customer_id"))
 
 
@@ -54,11 +58,13 @@ def customer_profile(ids: DataFrame, customer: DataFrame, id_col: str = "custome
 def match_contacts(requests: DataFrame, customer: DataFrame) -> DataFrame:
     """customer id whose (e-mail, phone) equal the request's pair
     (case/accent-insensitive text equality); NULL when none, smallest id
-    when several."""
+    when several. Customer rows are cut to the requested pairs first."""
+    keyed = requests.select("request_id", "e_mail", "phone_num",
+                            ci_key("e_mail").alias("_mk"), ci_key("phone_num").alias("_pk"))
     ids = (customer.where(F.col("e_mail").isNotNull() & F.col("phone_num").isNotNull())
-           .groupBy(ci_key("e_mail").alias("_mk"), ci_key("phone_num").alias("_pk"))
+           .select(ci_key("e_mail").alias("_mk"), ci_key("phone_num").alias("_pk"), "ID")
+           .join(keyed.select("_mk", "_pk"), ["_mk", "_pk"], "left_semi")
+           .groupBy("_mk", "_pk")
            .agg(F.min("ID").alias("customer_id")))
-    return (requests.select("request_id", "e_mail", "phone_num",
-                            ci_key("e_mail").alias("_mk"), ci_key("phone_num").alias("_pk"))
-            .join(ids, ["_mk", "_pk"], "left")
+    return (keyed.join(ids, ["_mk", "_pk"], "left")
             .select("request_id", "e_mail", "phone_num", "customer_id"))
