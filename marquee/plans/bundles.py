@@ -74,13 +74,17 @@ def admin_bundle(t: Tables, class_spend: bool = False, with_listings: bool = Tru
 
 
 def manager_bundle(t: Tables) -> Bundle:
-    """B2: the manager page."""
-    shared, cached = _shared(t)
+    """B2: the manager page, with the columns the page shows (P6). Each
+    intermediate feeds one report here, so nothing is persisted."""
+    shared, cached = None, []
     return Bundle({
-        "top_revenue_events": reports.event_revenue_names(t),
-        "company_most_event_types": reports.company_most_events(t),
-        "company_sales_ranking": reports.company_sales_ranking(t),
-        "customer_loyalty": reports.customer_loyalty(t, shared=shared),
+        "top_revenue_events": reports.event_revenue_names(t).select("EventName"),
+        "company_most_event_types": reports.company_most_events(t)
+        .select("CompanyName", "EventTypeCount"),
+        "company_sales_ranking": reports.company_sales_ranking(t)
+        .select("CompanyName", "TotalRevenue"),
+        "customer_loyalty": reports.customer_loyalty(t, shared=shared)
+        .select("CustomerName", "CompanyName", "PurchaseCount"),
         "event_type_popularity": reports.event_type_popularity(t, shared=shared),
         "events": reports.event_listing(t),
         "distributers": listings.scan(t, "distributer"),
@@ -88,8 +92,9 @@ def manager_bundle(t: Tables) -> Bundle:
 
 
 def public_bundle(t: Tables) -> Bundle:
-    """The public home page (event cards and the popularity ranking)."""
+    """The public home page -- event cards and the event types in
+    popularity order, shown by name only (P7)."""
     return Bundle({
         "events": listings.event_cards(t),
-        "event_type_popularity": reports.event_type_popularity(t),
+        "event_types_ranked": reports.event_type_popularity(t).select("EventType"),
     })
