@@ -5,7 +5,7 @@ stays inside whole-stage codegen.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values that must equal the reference for equal results.
@@ -30,17 +30,11 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def lenient_decimal(col) -> Column:
-    """``CAST(text AS DECIMAL)`` with the database's lenient rules: use the
-    leading numeric prefix, no prefix gives 0, NULL stays NULL, round half
-    away from zero to an integer, clamp to the DECIMAL(10,0) range.
-    Never raises, also under ANSI mode."""
-    c = _c(col)
-    prefix = F.regexp_extract(c, NUMERIC_PREFIX, 1)
+def _lenient_from_prefix(original: Column, prefix: Column) -> Column:
     as_double = prefix.try_cast("double")
     exact = prefix.try_cast("decimal(38,20)")
     hi = float(DECIMAL10_MAX) + 0.5
-    return (F.when(c.isNull(), F.lit(None))
+    return (F.when(original.isNull(), F.lit(None))
             .when(prefix == "", F.lit(0))
             .when(as_double >= hi, F.lit(DECIMAL10_MAX))
             .when(as_double <= -hi, F.lit(-DECIMAL10_MAX))
@@ -48,6 +42,27 @@ def lenient_decimal(col) -> Column:
             .cast("decimal(10,0)"))
 
 
+def lenient_decimal(col) -> Column:
+    """``CAST(text AS DECIMAL)`` with the database's lenient rules: use the
+    leading numeric prefix, no prefix gives 0, NULL stays NULL, round half
+    away from zero to an integer, clamp to the DECIMAL(10,0) range.
+    Never raises, also under ANSI mode. (Inside one expression the prefix
+    regex is referenced by several branches; on a DataFrame prefer
+    :func:`with_lenient_decimal`, which extracts it once per row.)"""
+    c = _c(col)
+    return _lenient_from_prefix(c, F.regexp_extract(c, NUMERIC_PREFIX, 1))
+
+
+def with_lenient_decimal(df: DataFrame, src: str, out: str) -> DataFrame:
+    """Add ``out`` = :func:`lenient_decimal` of ``src``, extracting the
+    numeric prefix in its own projection so the regex runs once per row
+    (Catalyst does not inline a non-trivial alias used several times)."""
+    tmp = f"_{out}_prefix"
+    return (df.withColumn(tmp, F.regexp_extract(F.col(src), NUMERIC_PREFIX, 1))
+            .withColumn(out, _lenient_from_prefix(F.col(src), F.col(tmp)))
+            .drop(tmp))
+
+
 def ci_key(col) -> Column:
     """Case- and accent-insensitive text key (the database's default
     collation) for equality and GROUP BY."""

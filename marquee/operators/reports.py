@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.functions.semantics import ci_key, full_name, lenient_decimal, report_price
+from marquee.functions.semantics import ci_key, full_name, report_price, with_lenient_decimal
 from marquee.tables import Tables
 
 
@@ -63,9 +63,12 @@ def event_type_popularity(t: Tables, shared: dict | None = None) -> DataFrame:
     insensitively, label = smallest spelling), most first."""
     per_event = (_shared(shared, "tickets_per_event", lambda: tickets_per_event(t))
                  .join(_events(t, "type"), "event_id"))
-    return (per_event.groupBy(ci_key("type").alias("_type_key"))
+    # Sum per exact spelling first (hash aggregation on the text), then fold
+    # the few spellings by the collated key; the string min runs on those.
+    per_spelling = per_event.groupBy("type").agg(F.sum("n_tickets").alias("n"))
+    return (per_spelling.groupBy(ci_key("type").alias("_type_key"))
             .agg(F.min("type").alias("EventType"),
-                 F.sum("n_tickets").cast("bigint").alias("TotalTicketsSold"))
+                 F.sum("n").cast("bigint").alias("TotalTicketsSold"))
             .select("EventType", "TotalTicketsSold")
             .orderBy(F.col("TotalTicketsSold").desc_nulls_last(), F.col("EventType").asc_nulls_first()))
 
@@ -97,19 +100,21 @@ def top_customer_price_count(t: Tables, k: int = 1, shared: dict | None = None)
             .limit(k))
 
 
+def _revenue(t: Tables) -> DataFrame:
+    return with_lenient_decimal(t.event_catalog.select("ID", F.col("name").alias("EventName"),
+                                                       "income"),
+                                "income", "TotalRevenue")
+
+
 def event_revenue(t: Tables) -> DataFrame:
     """Every event with its income read as a number, highest first."""
-    return (t.event_catalog
-            .select("ID", F.col("name").alias("EventName"),
-                    lenient_decimal("income").alias("TotalRevenue"))
+    return (_revenue(t).select("ID", "EventName", "TotalRevenue")
             .orderBy(F.col("TotalRevenue").desc_nulls_last(), F.col("ID").asc()))
 
 
 def event_revenue_names(t: Tables) -> DataFrame:
     """R4 without the ID column (manager pages)."""
-    return (t.event_catalog
-            .select("ID", F.col("name").alias("EventName"),
-                    lenient_decimal("income").alias("TotalRevenue"))
+    return (_revenue(t)
             .orderBy(F.col("TotalRevenue").desc_nulls_last(), F.col("ID").asc())
             .select("EventName", "TotalRevenue"))
 
@@ -141,9 +146,11 @@ def company_most_tickets(t: Tables, k: int = 1, shared: dict | None = None) -> D
 def company_sales_ranking(t: Tables) -> DataFrame:
     """Every company with the sum of its events' numeric income; NULL
     for companies without events, ranked last."""
-    per_company = (t.event_catalog.where(F.col("company_id").isNotNull())
-                   .groupBy(F.col("company_id").alias("CompanyID"))
-                   .agg(F.sum(lenient_decimal("income")).alias("rev")))
+    incomes = with_lenient_decimal(
+        t.event_catalog.where(F.col("company_id").isNotNull()).select("company_id", "income"),
+        "income", "_rev")
+    per_company = (incomes.groupBy(F.col("company_id").alias("CompanyID"))
+                   .agg(F.sum("_rev").alias("rev")))
     return (_company_names(t).join(per_company, "CompanyID", "left")
             .select("CompanyID", "CompanyName",
                     F.col("rev").cast("decimal(38,0)").alias("TotalRevenue"))

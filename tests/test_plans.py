@@ -64,6 +64,7 @@ def test_top1_reports_use_take_ordered(t):
 def test_scans_are_pruned_and_filters_pushed(t):
     text = plan(reports.event_revenue(t))
     assert re.search(r"ReadSchema: struct<ID:bigint,name:string,income:string>", text), text
+    assert text.count("regexp_extract") == 1, text
     text = plan(reports.company_most_events(t))
     assert "PushedFilters: [IsNotNull(company_id)]" in text, text
 
