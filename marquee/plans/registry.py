@@ -115,17 +115,6 @@ CHANGES: dict[str, Query] = {
 }
 
 
-def queries() -> dict[str, Query]:
-    q: dict[str, Query] = {k: _on_tables(f) for k, f in REPORTS.items()}
-    for name in TABLE_SCHEMAS:
-        q[f"scan_{name}"] = _scan(name)
-    q.update({k: _on_tables(f) for k, f in LISTINGS.items()})
-    q.update(LOOKUPS)
-    q.update({k: _intake_output(a) for k, a in INTAKE_OUTPUTS.items()})
-    q.update(CHANGES)
-    return q
-
-
 # ------------------------------------------------------------------ streams
 
 def _intake_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,10 +150,14 @@ STREAMS: dict[str, Query] = {
     "table_changes_stream": _changes_stream,
 }
 
-_batch_queries = queries
-
 
-def queries() -> dict[str, Query]:  # noqa: F811
-    q = _batch_queries()
+def queries() -> dict[str, Query]:
+    q: dict[str, Query] = {k: _on_tables(f) for k, f in REPORTS.items()}
+    for name in TABLE_SCHEMAS:
+        q[f"scan_{name}"] = _scan(name)
+    q.update({k: _on_tables(f) for k, f in LISTINGS.items()})
+    q.update(LOOKUPS)
+    q.update({k: _intake_output(a) for k, a in INTAKE_OUTPUTS.items()})
+    q.update(CHANGES)
     q.update(STREAMS)
     return q
