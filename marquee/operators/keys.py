@@ -39,7 +39,8 @@ def _default_buckets(df: DataFrame) -> int:
 def dense_rank_by(df: DataFrame, order_col: str, rank_col: str = "_pos",
                   n_buckets: int | None = None, rel_error: float = 0.001) -> DataFrame:
     """Add ``rank_col`` = 1-based position of each row in ``order_col``
-    order (the column should be unique; ties get an arbitrary order)."""
+    order. The column should be (nearly) unique so the quantile buckets are
+    balanced; ties are ordered by the remaining columns."""
     n = n_buckets or _default_buckets(df)
     cuts: list = []
     if n > 1:
@@ -57,8 +58,13 @@ def dense_rank_by(df: DataFrame, order_col: str, rank_col: str = "_pos",
         F.coalesce(F.sum("_n").over(Window.orderBy("_bucket")
                                     .rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_offset"))
+    # Remaining columns break ties, so the numbering is a function of the
+    # data alone (a partition recomputed after an executor loss numbers its
+    # rows the same way even if the order key repeats).
+    sortable = [c for c, t in df.dtypes if c != order_col
+                and not t.startswith(("map", "array", "struct", "binary"))]
     ranked = bucketed.withColumn(
-        "_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(key)))
+        "_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(key, *sortable)))
     return (ranked.join(F.broadcast(offsets), "_bucket")
             .withColumn(rank_col, (F.col("_offset") + F.col("_rn")).cast("bigint"))
             .drop("_bucket", "_offset", "_rn"))
