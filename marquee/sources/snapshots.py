@@ -1,10 +1,12 @@
 """Table storage: versioned parquet snapshots and an RDBMS reader.
 
 A snapshot is one folder per table under ``<root>/v=<version>/``. Writers
-always create a new version folder and then move the ``_CURRENT`` pointer,
-so no job ever overwrites a path another job is reading; readers pin a
-version. Tables are read with their declared schemas (never inferred).
-Each table is written sorted within files by its key, so the parquet min/max
+always create a new version folder and then publish it by adding a marker
+``<root>/_versions/version=<version>``; the current version is the greatest
+published marker (versions are zero-padded so text order is version order).
+Nothing is ever overwritten in place -- not the data, not the pointer -- so
+no job rewrites a path another job is reading; readers pin a version.
+Tables are read with their declared schemas (never inferred). Each table is written sorted within files by its key, so the parquet min/max
 statistics let key-range filters skip row groups.
 """
 
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from marquee.schemas import TABLE_KEYS, TABLE_SCHEMAS
 from marquee.tables import Tables
 
-POINTER = "_CURRENT"
+VERSIONS = "_versions"
 
 
 def table_path(root: str, version: str, name: str) -> str:
@@ -45,14 +47,23 @@ def write_snapshot(t: Tables, root: str, version: str, publish: bool = True) ->
     return version
 
 
+def version_name(n: int) -> str:
+    """Zero-padded version text: text order equals numeric order."""
+    return f"{n:012d}"
+
+
 def publish_version(spark: SparkSession, root: str, version: str) -> None:
-    spark.createDataFrame([(version,)], "version string").coalesce(1) \
-        .write.mode("overwrite").text(f"{root.rstrip('/')}/{POINTER}")
+    """Make ``version`` visible: an append-only marker, idempotent on replay."""
+    spark.createDataFrame([(version,)], "published string").coalesce(1) \
+        .write.mode("overwrite").parquet(f"{root.rstrip('/')}/{VERSIONS}/version={version}")
 
 
 def current_version(spark: SparkSession, root: str) -> str:
-    rows = spark.read.text(f"{root.rstrip('/')}/{POINTER}").take(1)
-    if not rows:
+    """Greatest published version (one aggregate value reaches the driver)."""
+    rows = (spark.read.schema("published string, version string")
+            .parquet(f"{root.rstrip('/')}/{VERSIONS}")
+            .agg(F.max("version")).collect())
+    if not rows or rows[0][0] is None:
         raise FileNotFoundError(f"no published snapshot under {root}")
     return rows[0][0]
 

@@ -9,9 +9,8 @@ micro-batch runs the batch operator through ``foreachBatch``:
   overwrite, so a replayed batch (after a failure before the commit)
   rewrites exactly its own slice with identical rows -- exactly-once output;
 * changes: the batch folds into a new version of the table
-  (``<table>/v=b<id>``); the ``_CURRENT`` pointer moves only after the
-  version is complete, and a batch whose version is already published is
-  skipped on replay.
+  (``<table>/v=<id + 1>``), published only once complete; a batch whose
+  version (or a later one) is already published is skipped on replay.
 
 Progress lives in the checkpoint folder, which must be on shared storage
 (``spark.checkpoint.dir`` by default).
@@ -30,7 +29,7 @@ from marquee.schemas import PURCHASE_REQUEST, TABLE_SCHEMAS, change_schema
 from marquee.sources import snapshots
 from marquee.tables import Tables
 
-BASE_VERSION = "base"
+BASE_VERSION = snapshots.version_name(0)
 INTAKE_DELTAS = ("customer", "cust_of", "ticket", "purchase")
 REJECT_SCHEMA = StructType([StructField("request_id", PURCHASE_REQUEST["request_id"].dataType),
                             StructField("reject_reason", PURCHASE_REQUEST["e_mail"].dataType)])
@@ -113,9 +112,9 @@ def run_change_batch(changes: DataFrame, batch_id: int, root: str, name: str,
                      key: str = "ID") -> None:
     spark = changes.sparkSession
     troot = _table_root(root, name)
-    version = f"b{batch_id:012d}"
+    version = snapshots.version_name(batch_id + 1)
     current = snapshots.current_version(spark, troot)
-    if current == version:
+    if current >= version:
         return  # replay of a batch whose version is already published
     snap = spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{troot}/v={current}")
     changes = changes.persist()

@@ -43,7 +43,7 @@ def test_intake_stream_in_ordered_batches_equals_batch(spark):
     snapshots.write_snapshot(t, root, streams.BASE_VERSION, publish=False)
     q = streams.purchase_intake_stream(spark, f"{in_dir}/*", root, ckpt, max_files_per_trigger=1)
     q.awaitTermination()
-    batch = intake.purchase_intake(requests, snapshots.read_snapshot(spark, root, "base"))
+    batch = intake.purchase_intake(requests, snapshots.read_snapshot(spark, root, streams.BASE_VERSION))
     assert same(streams.read_deltas(spark, root, "purchase"), batch.new_purchases)
     assert same(streams.read_deltas(spark, root, "customer"), batch.new_customers)
     assert same(streams.read_deltas(spark, root, "ticket"), batch.new_tickets)
