@@ -404,6 +404,29 @@ FROM m_customer c LEFT JOIN (
          arg_max('p' || CAST(event_id AS VARCHAR) || '@mail.com', event_id) AS e_mail,
          arg_max(lpad(CAST(event_id AS VARCHAR), 10, '8'), event_id) AS phone_num
   FROM events WHERE event_type = 'view' GROUP BY user_id) u ON c.ID = u.ID""",
+    "update_distributer_properties": """
+SELECT d.ID, coalesce(u.name, d.name) AS name, coalesce(u.location, d.location) AS location
+FROM m_distributer d LEFT JOIN (
+  SELECT user_id % 25 AS ID,
+         arg_max('D' || CAST(event_id AS VARCHAR), event_id) FILTER (WHERE event_id % 2 = 0)
+           AS name,
+         arg_max('D' || CAST(event_id AS VARCHAR), event_id) FILTER (WHERE event_id % 2 = 1)
+           AS location
+  FROM events WHERE event_type = 'view' GROUP BY user_id % 25) u ON d.ID = u.ID""",
+    "rename_distributers": """
+SELECT coalesce(g.new_id, d.ID) AS ID, d.name, d.location
+FROM m_distributer d LEFT JOIN (
+  SELECT f.old_id, f.new_id FROM (
+    SELECT user_id % 25 AS old_id, arg_min(25 + event_id % 40, event_id) AS new_id
+    FROM events WHERE event_type = 'error' GROUP BY user_id % 25) f
+  WHERE f.old_id IN (SELECT ID FROM m_distributer)
+    AND f.new_id NOT IN (SELECT ID FROM m_distributer)
+    AND f.new_id NOT IN (
+      SELECT new_id FROM (
+        SELECT user_id % 25 AS old_id, arg_min(25 + event_id % 40, event_id) AS new_id
+        FROM events WHERE event_type = 'error' GROUP BY user_id % 25) x
+      WHERE x.old_id IN (SELECT ID FROM m_distributer)
+      GROUP BY new_id HAVING count(*) > 1)) g ON d.ID = g.old_id""",
     "delete_purchases": """
 SELECT * FROM m_purchase WHERE purchase_id NOT IN (SELECT purchase_id FROM m_pdel)""",
     "delete_purchase_tickets": """

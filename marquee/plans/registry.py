@@ -108,6 +108,10 @@ CHANGES: dict[str, Query] = {
                                                          td.deleted_company_ids(s, d)),
     "update_customers": lambda s, d: changes.update_customers(td.customer(s, d),
                                                               td.profile_updates(s, d)),
+    "update_distributer_properties": lambda s, d: changes.update_property(
+        td.distributer(s, d), td.distributer_edits(s, d), schema=TABLE_SCHEMAS["distributer"])[0],
+    "rename_distributers": lambda s, d: changes.rename_keys(
+        td.distributer(s, d), td.distributer_renames(s, d))[0],
     "delete_purchases": lambda s, d: _delete_purchases(s, d)[0],
     "delete_purchase_tickets": lambda s, d: _delete_purchases(s, d)[1],
     "delete_cust_of": lambda s, d: _delete_cust_of(s, d)[0],

@@ -323,3 +323,24 @@ def profile_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.concat(F.lit("Q"), t).alias("last_name"),
                      F.concat(F.lit("p"), t, F.lit("@mail.com")).alias("e_mail"),
                      F.lpad(t, 10, "8").alias("phone_num"))
+
+
+def distributer_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distributer name/location edits from view events, keyed by
+    ``user_id mod 25``."""
+    ev = _driver_events(spark, sf_dir, "view")
+    eid = F.col("event_id")
+    return ev.select(eid.alias("seq"), F.lit("update").alias("op"),
+                     (F.col("user_id") % 25).cast("bigint").alias("key"),
+                     F.when(eid % 2 == 0, F.lit("name")).otherwise(F.lit("location"))
+                     .alias("property"),
+                     F.concat(F.lit("D"), eid.cast("string")).alias("new_value"))
+
+
+def distributer_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distributer id changes from error events: ``user_id mod 25`` becomes
+    ``25 + event_id mod 40`` (form text; several may target one id)."""
+    ev = _driver_events(spark, sf_dir, "error")
+    return ev.select(F.col("event_id").alias("seq"),
+                     (F.col("user_id") % 25).cast("bigint").alias("key"),
+                     (F.lit(25) + F.col("event_id") % 40).cast("string").alias("new_value"))
