@@ -43,8 +43,13 @@ def workload(spark, sf_dir: str, root: str, timings: dict | None) -> None:
         if timings is not None:
             timings[name] = round(time.perf_counter() - t0, 3)
 
-    timed("load_snapshot",
-          lambda: snapshots.write_snapshot(td.load_tables(spark, sf_dir), root, "0"))
+    def load():
+        tables = td.load_tables(spark, sf_dir, persist=True)
+        try:
+            snapshots.write_snapshot(tables, root, "0")
+        finally:
+            tables.release()
+    timed("load_snapshot", load)
     t = snapshots.read_snapshot(spark, root)
     requests = td.purchase_requests(spark, sf_dir)
     for name, fn in [

@@ -130,8 +130,11 @@ def _intake_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = scratch_dir(spark, "intake-stream")
     in_dir, root, ckpt = f"{work}/requests", f"{work}/store", f"{work}/checkpoint"
     td.purchase_requests(spark, sf_dir).write.parquet(in_dir)
-    snapshots.write_snapshot(td.load_tables(spark, sf_dir), root, streams.BASE_VERSION,
-                             publish=False)
+    tables = td.load_tables(spark, sf_dir, persist=True)
+    try:
+        snapshots.write_snapshot(tables, root, streams.BASE_VERSION, publish=False)
+    finally:
+        tables.release()
     streams.purchase_intake_stream(spark, in_dir, root, ckpt).awaitTermination()
     return streams.read_deltas(spark, root, "purchase")
 

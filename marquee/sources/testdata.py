@@ -119,15 +119,16 @@ def _ticket_cols():
     ]
 
 
-def ticket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ticket_lines(spark, sf_dir).select(*_ticket_cols())
+def ticket(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    lines = lines if lines is not None else _ticket_lines(spark, sf_dir)
+    return lines.select(*_ticket_cols())
 
 
-def purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+def purchase(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     # TICKET joined to orders on ID div 10 = o_orderkey; since ID is
     # l_orderkey*10 + l_linenumber with l_linenumber in 1..7 this is the
     # l_orderkey equi-join, which keeps the lineitem grouping's partitioning.
-    lines = _ticket_lines(spark, sf_dir)
+    lines = lines if lines is not None else _ticket_lines(spark, sf_dir)
     o = read_driver(spark, sf_dir, "orders")
     tid = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("bigint")
     joined = lines.join(o, F.col("l_orderkey") == o.o_orderkey)
@@ -153,10 +154,18 @@ def cust_of(spark: SparkSession, sf_dir: str, tickets: DataFrame | None = None,
             .distinct())
 
 
-def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
+def load_tables(spark: SparkSession, sf_dir: str, persist: bool = False) -> Tables:
+    """The seven tables over one sf folder. TICKET, Purchase and cust_of all
+    derive from one lineitem grouping; with ``persist`` that grouping is
+    kept (memory, spilling to disk) so writing every table computes it once;
+    ``Tables.release()`` drops it."""
+    lines = _ticket_lines(spark, sf_dir)
+    if persist:
+        from pyspark import StorageLevel
+        lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
     ev = event_catalog(spark, sf_dir)
-    tk = ticket(spark, sf_dir)
-    pu = purchase(spark, sf_dir)
+    tk = ticket(spark, sf_dir, lines)
+    pu = purchase(spark, sf_dir, lines)
     return Tables(
         event_catalog=ev,
         company=company(spark, sf_dir),
@@ -165,6 +174,7 @@ def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
         ticket=tk,
         purchase=pu,
         cust_of=cust_of(spark, sf_dir, tk, pu, ev),
+        cached=(lines,) if persist else (),
     )
 
 
