@@ -1,9 +1,9 @@
 """Dense key assignment (``max(ID) + 1, + 2, ...`` in a given order) without
 a single-partition global window.
 
-1. Cut the order key into ``n`` ranges at approximate quantiles (an
-   ``approxQuantile`` pass; only the ``n - 1`` cut points reach the driver,
-   just as a range partitioner's sample does).
+1. Cut the order key into ``n`` ranges at approximate quantiles (one
+   ``percentile_approx`` aggregate, partial per task; only the ``n - 1`` cut
+   points reach the driver, just as a range partitioner's sample does).
 2. Bucket every row with a balanced CASE tree over the cut points (a pure,
    codegen'd function of the key, so every re-evaluation or retried task
    gives the same bucket).
@@ -45,11 +45,8 @@ def dense_rank_by(df: DataFrame, order_col: str, rank_col: str = "_pos",
     cuts: list = []
     if n > 1:
         probs = [i / n for i in range(1, n)]
-        cuts = sorted(set(v for v in df.approxQuantile(order_col, probs, rel_error)
-                          if v is not None))
-        dtype = dict(df.dtypes)[order_col]
-        if dtype in ("bigint", "int", "smallint", "tinyint"):
-            cuts = sorted(set(int(v) for v in cuts))
+        row = df.agg(F.percentile_approx(order_col, probs, int(1 / rel_error))).first()
+        cuts = sorted(set(v for v in (row[0] or []) if v is not None))
     key = F.col(order_col)
     bucketed = df.withColumn("_bucket", _bucket_expr(key, cuts) if cuts else F.lit(0))
     counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
