@@ -12,6 +12,7 @@ statistics let key-range filters skip row groups.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,16 +36,25 @@ def write_table(df: DataFrame, root: str, version: str, name: str,
     return path
 
 
-def write_snapshot(t: Tables, root: str, version: str, publish: bool = True) -> str:
-    """Write all seven tables as version ``version`` and (optionally) make it
-    the current one."""
+def write_snapshot(t: Tables, root: str, version: str, publish: bool = True,
+                   reuse: dict[str, str] | None = None) -> dict[str, str]:
+    """Write the tables of ``t`` as version ``version`` and (optionally)
+    publish it. Tables named in ``reuse`` (name -> existing folder) are not
+    rewritten: the version's manifest points at the existing folder, so a
+    change to one table never copies the other six."""
+    reuse = reuse or {}
+    paths = {}
     for name in t.names():
+        if name in reuse:
+            paths[name] = reuse[name]
+            continue
         schema = TABLE_SCHEMAS[name]
-        write_table(t.get(name).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]),
-                    root, version, name)
+        paths[name] = write_table(
+            t.get(name).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]),
+            root, version, name)
     if publish:
-        publish_version(t.customer.sparkSession, root, version)
-    return version
+        publish_version(t.customer.sparkSession, root, version, paths)
+    return paths
 
 
 def version_name(n: int) -> str:
@@ -52,35 +62,61 @@ def version_name(n: int) -> str:
     return f"{n:012d}"
 
 
-def publish_version(spark: SparkSession, root: str, version: str) -> None:
-    """Make ``version`` visible: an append-only marker, idempotent on replay."""
-    spark.createDataFrame([(version,)], "published string").coalesce(1) \
+MANIFEST_SCHEMA = "table string, path string, version string"
+
+
+def publish_version(spark: SparkSession, root: str, version: str,
+                    paths: dict[str, str] | None = None) -> None:
+    """Make ``version`` visible by writing its manifest (table -> folder), an
+    append-only marker under ``_versions``; rewriting it on replay is
+    idempotent."""
+    rows = [(k, v) for k, v in (paths or {}).items()] or [(None, None)]
+    spark.createDataFrame(rows, "table string, path string").coalesce(1) \
         .write.mode("overwrite").parquet(f"{root.rstrip('/')}/{VERSIONS}/version={version}")
 
 
 def current_version(spark: SparkSession, root: str) -> str:
     """Greatest published version (one aggregate value reaches the driver)."""
-    rows = (spark.read.schema("published string, version string")
-            .parquet(f"{root.rstrip('/')}/{VERSIONS}")
-            .agg(F.max("version")).collect())
+    try:
+        rows = (spark.read.schema(MANIFEST_SCHEMA)
+                .parquet(f"{root.rstrip('/')}/{VERSIONS}")
+                .agg(F.max("version")).collect())
+    except AnalysisException as e:  # nothing published yet
+        raise FileNotFoundError(f"no published snapshot under {root}") from e
     if not rows or rows[0][0] is None:
         raise FileNotFoundError(f"no published snapshot under {root}")
     return rows[0][0]
 
 
+def manifest(spark: SparkSession, root: str, version: str) -> dict[str, str]:
+    """Folder of every table in a version (seven small rows); versions
+    written without a manifest use the default layout."""
+    paths = {name: table_path(root, version, name) for name in TABLE_SCHEMAS}
+    try:
+        rows = (spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root.rstrip('/')}/{VERSIONS}")
+                .where(F.col("version") == version).where(F.col("table").isNotNull())
+                .select("table", "path").collect())
+    except AnalysisException:
+        rows = []
+    paths.update({r.table: r.path for r in rows})
+    return paths
+
+
 def read_table(spark: SparkSession, root: str, version: str, name: str) -> DataFrame:
     return spark.read.schema(TABLE_SCHEMAS[name]).parquet(table_path(root, version, name))
 
 
 def read_snapshot(spark: SparkSession, root: str, version: str | None = None) -> Tables:
     v = version or current_version(spark, root)
-    return Tables(**{name: read_table(spark, root, v, name) for name in TABLE_SCHEMAS})
+    paths = manifest(spark, root, v)
+    return Tables(**{name: spark.read.schema(TABLE_SCHEMAS[name]).parquet(paths[name])
+                     for name in TABLE_SCHEMAS})
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, name: str, *,
               partition_column: str | None = None, lower_bound: int | None = None,
               upper_bound: int | None = None, num_partitions: int | None = None,
-              properties: dict | None = None) -> DataFrame:
+              properties: dict | None = None, raw: bool = False) -> DataFrame:
     """One of the seven tables straight from the source database, read
     in parallel ranges of a numeric key when bounds are given. Connection
     options (user, password, driver) come from the caller."""
@@ -91,6 +127,42 @@ def read_jdbc(spark: SparkSession, url: str, table: str, name: str, *,
         reader = (reader.option("partitionColumn", partition_column)
                   .option("lowerBound", str(lower_bound)).option("upperBound", str(upper_bound))
                   .option("numPartitions", str(num_partitions)))
-    schema = TABLE_SCHEMAS[name]
     df = reader.load()
+    if raw:
+        return df
+    schema = TABLE_SCHEMAS[name]
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+# Table names in the source database (the reference's spelling).
+SOURCE_TABLES = {
+    "event_catalog": "events",
+    "company": "Company",
+    "distributer": "Distributer",
+    "customer": "Customer",
+    "ticket": "TICKET",
+    "purchase": "Purchase",
+    "cust_of": "cust_of",
+}
+
+
+def read_jdbc_tables(spark: SparkSession, url: str, properties: dict | None = None,
+                     num_partitions: int = 1, source_tables: dict | None = None) -> Tables:
+    """All seven tables from the source database. Tables with a numeric key
+    are read in ``num_partitions`` parallel key ranges; the range bounds
+    come from one ``min``/``max`` query per table (two numbers reach the
+    driver)."""
+    names = source_tables or SOURCE_TABLES
+    frames = {}
+    for name, table in names.items():
+        key = TABLE_KEYS[name][0]
+        lo = hi = None
+        if num_partitions > 1:
+            bounds = read_jdbc(spark, url, f"(SELECT MIN({key}) AS lo, MAX({key}) AS hi FROM {table}) b",
+                               name, properties=properties, raw=True).first()
+            lo, hi = bounds[0], bounds[1]
+        frames[name] = read_jdbc(
+            spark, url, table, name,
+            partition_column=key if lo is not None else None, lower_bound=lo, upper_bound=hi,
+            num_partitions=num_partitions if lo is not None else None, properties=properties)
+    return Tables(**frames)
