@@ -26,7 +26,6 @@ KEY_CHANGE_ERROR = "key change"
 UNKNOWN_PROPERTY_ERROR = "unknown property"
 BAD_VALUE_ERROR = "invalid value"
 BAD_PAIR_ERROR = "invalid pair"
-MIN_SEQ = -(2 ** 63)
 
 
 def _keys(key) -> list[str]:

@@ -103,7 +103,7 @@ def manifest(spark: SparkSession, root: str, version: str) -> dict[str, str]:
 
 
 def read_table(spark: SparkSession, root: str, version: str, name: str) -> DataFrame:
-    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(table_path(root, version, name))
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(manifest(spark, root, version)[name])
 
 
 def read_snapshot(spark: SparkSession, root: str, version: str | None = None) -> Tables:

@@ -255,11 +255,7 @@ def customer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         eid.alias("seq"), op.alias("op"), F.col("user_id").cast("bigint").alias("key"),
         F.when(is_upd, prop).alias("property"),
         F.when(is_upd, new_value).alias("new_value"),
-        F.when(op == "insert", row).cast(_struct_of(CUSTOMER)).alias("row"))
-
-
-def _struct_of(schema):
-    return schema.simpleString()
+        F.when(op == "insert", row).cast(CUSTOMER.simpleString()).alias("row"))
 
 
 def event_property_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
