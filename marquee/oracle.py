@@ -357,7 +357,23 @@ m_pairs_ok AS (
          CAST(split_part(pair_text, ',', 2) AS BIGINT) AS customer_id
   FROM m_pairs WHERE len(string_split(pair_text, ',')) = 2),
 m_pdel AS (
-  SELECT event_id * 10 + 1 AS purchase_id FROM events WHERE event_type = 'error')
+  SELECT event_id * 10 + 1 AS purchase_id FROM events WHERE event_type = 'error'),
+m_tedit AS (
+  SELECT seq, key, property,
+         CASE property
+           WHEN 'type' THEN CASE WHEN seq % 2 = 0 THEN 'VIP' ELSE 'General' END
+           WHEN 'tickets_available' THEN '1,' || lpad(CAST(seq % 1000 AS VARCHAR), 3, '0')
+           WHEN 'tickets_sold' THEN CASE WHEN seq % 11 = 0 THEN 'many'
+                                         ELSE CAST(seq % 90 AS VARCHAR) END
+           WHEN 'price' THEN '$' || CAST(CAST(value AS DECIMAL(10,2)) AS VARCHAR)
+           WHEN 'event_id' THEN CAST((SELECT count(*) FROM part) + user_id * 13 AS VARCHAR)
+           ELSE CAST(user_id % 24 + 1 AS VARCHAR) || '.0' END AS v
+  FROM (
+    SELECT event_id AS seq, CAST(event_id * 10 + 1 AS BIGINT) AS key,
+           ['type', 'tickets_available', 'tickets_sold', 'price', 'event_id',
+            'distributer_id'][event_id % 6 + 1] AS property,
+           value, user_id
+    FROM events WHERE event_type = 'purchase'))
 """
 
 
@@ -427,6 +443,50 @@ FROM m_distributer d LEFT JOIN (
         FROM events WHERE event_type = 'error' GROUP BY user_id % 25) x
       WHERE x.old_id IN (SELECT ID FROM m_distributer)
       GROUP BY new_id HAVING count(*) > 1)) g ON d.ID = g.old_id""",
+    "update_ticket_properties": f"""
+SELECT t.ID, coalesce(u.type, t.type) AS type,
+       coalesce(CAST(round({money('u.tickets_available')}, 0) AS INTEGER), t.tickets_available)
+         AS tickets_available,
+       coalesce(CAST(round({money('u.tickets_sold')}, 0) AS INTEGER), t.tickets_sold)
+         AS tickets_sold,
+       coalesce(CAST({money('u.price')} AS DECIMAL(10,2)), t.price) AS price,
+       coalesce(CAST(round({money('u.event_id')}, 0) AS BIGINT), t.event_id) AS event_id,
+       coalesce(CAST(round({money('u.distributer_id')}, 0) AS BIGINT), t.distributer_id)
+         AS distributer_id
+FROM m_ticket t LEFT JOIN (
+  SELECT key,
+         arg_max(v, seq) FILTER (WHERE property = 'type') AS type,
+         arg_max(v, seq) FILTER (WHERE property = 'tickets_available') AS tickets_available,
+         arg_max(v, seq) FILTER (WHERE property = 'tickets_sold') AS tickets_sold,
+         arg_max(v, seq) FILTER (WHERE property = 'price') AS price,
+         arg_max(v, seq) FILTER (WHERE property = 'event_id') AS event_id,
+         arg_max(v, seq) FILTER (WHERE property = 'distributer_id') AS distributer_id
+  FROM m_tedit
+  WHERE property = 'type'
+     OR (property = 'price' AND TRY_CAST({money('v')} AS DECIMAL(10,2)) IS NOT NULL)
+     OR (property IN ('tickets_available', 'tickets_sold')
+         AND TRY_CAST(round({money('v')}, 0) AS INTEGER) IS NOT NULL)
+     OR (property IN ('event_id', 'distributer_id')
+         AND TRY_CAST(round({money('v')}, 0) AS BIGINT) IS NOT NULL)
+  GROUP BY key) u ON t.ID = u.key""",
+    "rekey_events": f"""
+SELECT coalesce(g.new_id, e.ID) AS ID, e.name, e.type, e.location, e.datetime,
+       e.general_price, e.vip_price, e.income, e.expense, e.details, e.company_id
+FROM m_event e LEFT JOIN (
+  SELECT m.old_id, m.new_id FROM (
+  SELECT key AS old_id, arg_max(CAST(round({money('v')}, 0) AS BIGINT), seq) AS new_id
+  FROM m_tedit
+  WHERE property = 'event_id' AND TRY_CAST(round({money('v')}, 0) AS BIGINT) IS NOT NULL
+  GROUP BY key) m
+  WHERE m.old_id IN (SELECT ID FROM m_event)
+    AND m.new_id NOT IN (SELECT ID FROM m_event)
+    AND m.new_id NOT IN (
+      SELECT x.new_id FROM (
+  SELECT key AS old_id, arg_max(CAST(round({money('v')}, 0) AS BIGINT), seq) AS new_id
+  FROM m_tedit
+  WHERE property = 'event_id' AND TRY_CAST(round({money('v')}, 0) AS BIGINT) IS NOT NULL
+  GROUP BY key) x WHERE x.old_id IN (SELECT ID FROM m_event)
+      GROUP BY x.new_id HAVING count(*) > 1)) g ON e.ID = g.old_id""",
     "delete_purchases": """
 SELECT * FROM m_purchase WHERE purchase_id NOT IN (SELECT purchase_id FROM m_pdel)""",
     "delete_purchase_tickets": """

@@ -112,6 +112,10 @@ CHANGES: dict[str, Query] = {
         td.distributer(s, d), td.distributer_edits(s, d), schema=TABLE_SCHEMAS["distributer"])[0],
     "rename_distributers": lambda s, d: changes.rename_keys(
         td.distributer(s, d), td.distributer_renames(s, d))[0],
+    "update_ticket_properties": lambda s, d: changes.update_property(
+        td.ticket(s, d), td.ticket_edits(s, d), schema=TABLE_SCHEMAS["ticket"])[0],
+    "rekey_events": lambda s, d: changes.rekey_parents(td.event_catalog(s, d),
+                                                       td.ticket_edits(s, d)),
     "delete_purchases": lambda s, d: _delete_purchases(s, d)[0],
     "delete_purchase_tickets": lambda s, d: _delete_purchases(s, d)[1],
     "delete_cust_of": lambda s, d: _delete_cust_of(s, d)[0],

@@ -350,3 +350,29 @@ def distributer_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.col("event_id").alias("seq"),
                      (F.col("user_id") % 25).cast("bigint").alias("key"),
                      (F.lit(25) + F.col("event_id") % 40).cast("string").alias("new_value"))
+
+
+def ticket_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TICKET edits from purchase events, keyed by ticket ``event_id*10 + 1``
+    (line 1 of order ``event_id``; absent tickets are no-ops). Numbers arrive
+    as form text: thousands separators, ``$``, float text like ``3.0``, and
+    some words that do not parse. New event ids lie past the catalog
+    (``|events| + user_id*13``), so the literal re-keying of M11 moves the
+    events whose id equals an edited ticket's id."""
+    ev = _driver_events(spark, sf_dir, "purchase")
+    n_events = read_driver(spark, sf_dir, "part").agg(F.count(F.lit(1))).scalar()
+    eid = F.col("event_id")
+    props = ("type", "tickets_available", "tickets_sold", "price", "event_id", "distributer_id")
+    prop = F.element_at(F.array(*[F.lit(p) for p in props]), (eid % len(props) + 1).cast("int"))
+    value = (F.when(prop == "type", F.when(eid % 2 == 0, F.lit("VIP")).otherwise(F.lit("General")))
+             .when(prop == "tickets_available", F.concat(F.lit("1,"), F.lpad((eid % 1000)
+                                                                             .cast("string"), 3, "0")))
+             .when(prop == "tickets_sold", F.when(eid % 11 == 0, F.lit("many"))
+                   .otherwise((eid % 90).cast("string")))
+             .when(prop == "price", F.concat(F.lit("$"), F.col("value").cast("decimal(10,2)")
+                                             .cast("string")))
+             .when(prop == "event_id", (n_events + F.col("user_id") * 13).cast("string"))
+             .otherwise(F.concat((F.col("user_id") % 24 + 1).cast("string"), F.lit(".0"))))
+    return ev.select(eid.alias("seq"), F.lit("update").alias("op"),
+                     (eid * 10 + 1).cast("bigint").alias("key"), prop.alias("property"),
+                     value.alias("new_value"))
