@@ -7,8 +7,10 @@ Steps (each timed):
                  that snapshot, fully executed through the ``noop`` sink
                  (nothing is collected to the driver);
   admin_bundle   the admin page set with its shared persisted joins.
-A tiny sf0.001 pass first warms the JVM (not counted).
-Prints one JSON line.
+A tiny sf0.001 pass first warms the JVM (not counted). The workload then
+runs ``BENCH_REPEAT`` times (default 2, each into a fresh folder) and every
+step reports its best time; ``value`` is the sum of those. Prints one JSON
+line.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from marquee.schemas import TABLE_SCHEMAS  # noqa: E402
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 WARMUP_DIR = "/root/testdata/sf0.001"
+REPEAT = max(1, int(os.environ.get("BENCH_REPEAT", "2")))
 
 
 def run(df) -> None:
@@ -101,13 +104,19 @@ def main() -> None:
                           extra={"spark.driver.memory": os.environ.get("BENCH_MEM", "16g")})
     if os.path.isdir(WARMUP_DIR) and os.path.abspath(SF_DIR) != os.path.abspath(WARMUP_DIR):
         workload(spark, WARMUP_DIR, scratch_dir(spark, "bench-warmup"), None)
-    timings: dict = {}
-    t0 = time.perf_counter()
-    workload(spark, SF_DIR, scratch_dir(spark, "bench"), timings)
-    wall = round(time.perf_counter() - t0, 3)
+    best: dict = {}
+    walls = []
+    for _ in range(REPEAT):
+        timings: dict = {}
+        t0 = time.perf_counter()
+        workload(spark, SF_DIR, scratch_dir(spark, "bench"), timings)
+        walls.append(round(time.perf_counter() - t0, 3))
+        for k, v in timings.items():
+            best[k] = min(v, best.get(k, v))
     sf = os.path.basename(os.path.normpath(SF_DIR)).replace("sf", "")
-    print(json.dumps({"metric": "total_wall_sec", "value": wall, "unit": "sec",
-                      "queries": timings, "sf": sf, "cpus": CPUS}))
+    print(json.dumps({"metric": "sum_of_best_step_sec", "value": round(sum(best.values()), 3),
+                      "unit": "sec", "queries": best, "sf": sf, "cpus": CPUS,
+                      "repeat": REPEAT, "wall_per_repeat": walls}))
     spark.stop()
 
 
