@@ -64,10 +64,10 @@ def _valid(validated: DataFrame) -> DataFrame:
 
 
 def new_customers(valid: DataFrame, customer: DataFrame,
-                  known: DataFrame | None = None) -> DataFrame:
+                  known: DataFrame | None = None, id_base=None) -> DataFrame:
     """One new Customer per normalised e-mail that is not known yet,
     named from its first request; ids continue after ``max(Customer.ID)``
-    in order of that first request."""
+    (or a given ``id_base``) in order of that first request."""
     keyed = valid if "_mail_key" in valid.columns else \
         valid.withColumn("_mail_key", ci_key("e_mail"))
     known = known if known is not None else customer_ids_by_email(customer, keyed)
@@ -77,8 +77,9 @@ def new_customers(valid: DataFrame, customer: DataFrame,
                                      "phone_num"), "request_id").alias("r"))
               .select("_mail_key", "r.*"))
     ranked = dense_rank_by(firsts, "request_id")
+    base = id_base if id_base is not None else next_ids_base(customer, "ID")
     return ranked.select(
-        (next_ids_base(customer, "ID") + F.col("_pos")).alias("ID"),
+        (base + F.col("_pos")).alias("ID"),
         "first_name", "last_name", "e_mail", "phone_num", "_mail_key", "request_id")
 
 
@@ -110,12 +111,19 @@ def new_cust_of(accepted: DataFrame, cust_of: DataFrame) -> DataFrame:
                                  ["company_id", "customer_id"], "left_anti")
 
 
-def book(accepted: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
+def book(accepted: DataFrame, t: Tables, id_bases: dict | None = None) \
+        -> tuple[DataFrame, DataFrame]:
     """I5 + I6: one TICKET and one Purchase per accepted request; both ids
-    are dense in request order after the tables' current maxima."""
+    are dense in request order after the tables' current maxima (or the
+    given ``id_bases``)."""
+    bases = id_bases or {}
     ranked = dense_rank_by(accepted, "request_id")
-    ticket_id = next_ids_base(t.ticket, "ID") + F.col("_pos")
-    purchase_id = next_ids_base(t.purchase, "purchase_id") + F.col("_pos")
+    ticket_base = bases.get("ticket")
+    purchase_base = bases.get("purchase")
+    ticket_id = (ticket_base if ticket_base is not None else next_ids_base(t.ticket, "ID")) \
+        + F.col("_pos")
+    purchase_id = (purchase_base if purchase_base is not None
+                   else next_ids_base(t.purchase, "purchase_id")) + F.col("_pos")
     booked = ranked.select("*", ticket_id.alias("_ticket_id"), purchase_id.alias("_purchase_id"))
     tickets = booked.select(
         F.col("_ticket_id").alias("ID"),
@@ -135,12 +143,18 @@ def book(accepted: DataFrame, t: Tables) -> tuple[DataFrame, DataFrame]:
     return tickets, purchases
 
 
-def purchase_intake(requests: DataFrame, t: Tables, persist: bool = False) -> IntakeResult:
+def purchase_intake(requests: DataFrame, t: Tables, persist: bool = False,
+                    id_bases: dict | None = None) -> IntakeResult:
     """The whole pipeline over one batch of requests.
 
     With ``persist`` the new customers and the quoted requests are kept
     (memory, spilling to disk) so that writing all outputs runs the joins
-    once; call ``release()`` afterwards."""
+    once; call ``release()`` afterwards. ``id_bases`` (``customer``,
+    ``ticket``, ``purchase`` -> Column or int) replaces the ``max(ID)``
+    scans of the three tables, e.g. with a stream's running high-water
+    marks."""
+    id_bases = {k: (F.lit(v).cast("bigint") if isinstance(v, int) else v)
+                for k, v in (id_bases or {}).items()}
     cached = []
 
     def keep(df: DataFrame) -> DataFrame:
@@ -153,11 +167,11 @@ def purchase_intake(requests: DataFrame, t: Tables, persist: bool = False) -> In
     validated = validate_requests(requests)
     valid = _valid(validated).withColumn("_mail_key", ci_key("e_mail"))
     known = customer_ids_by_email(t.customer, valid)
-    created = keep(new_customers(valid, t.customer, known))
+    created = keep(new_customers(valid, t.customer, known, id_bases.get("customer")))
     with_customer = resolve_customers(valid, known, created)
     quotes = keep(quote_tickets(with_customer, t.event_catalog))
     accepted = quotes.where(F.col("reject_reason").isNull()).drop("reject_reason")
-    tickets, purchases = book(accepted, t)
+    tickets, purchases = book(accepted, t, id_bases)
     rejects = (validated.where(F.col("reject_reason").isNotNull())
                .select("request_id", "reject_reason")
                .unionByName(quotes.where(F.col("reject_reason").isNotNull())

@@ -7,7 +7,9 @@ micro-batch runs the batch operator through ``foreachBatch``:
 * intake: state = base snapshot + the delta slices of earlier batches; the
   batch's new rows are written to ``delta/<table>/batch_id=<id>`` with
   overwrite, so a replayed batch (after a failure before the commit)
-  rewrites exactly its own slice with identical rows -- exactly-once output;
+  rewrites exactly its own slice with identical rows -- exactly-once output.
+  New ids continue from high-water marks kept in ``delta/counters`` (one
+  tiny slice per batch), never from a scan of the big tables;
 * changes: the batch folds into a new version of the table
   (``<table>/v=<id + 1>``), published only once complete; a batch whose
   version (or a later one) is already published is skipped on replay.
@@ -18,10 +20,12 @@ Progress lives in the checkpoint folder, which must be on shared storage
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from marquee.operators.changes import apply_changes
 from marquee.operators.intake import purchase_intake
@@ -43,13 +47,43 @@ def _with_batch(schema: StructType) -> StructType:
     return StructType(list(schema.fields) + [StructField("batch_id", IntegerType(), True)])
 
 
+COUNTERS = "counters"
+ID_KEYS = {"customer": "ID", "ticket": "ID", "purchase": "purchase_id"}
+COUNTER_SCHEMA = StructType([StructField("table", StringType(), True),
+                             StructField("max_id", LongType(), True),
+                             StructField("batch_id", IntegerType(), True)])
+
+
+def _counters(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, largest id) per table: three tiny global aggregates."""
+    parts = [tables[name].agg(F.max(key).cast("bigint").alias("max_id"))
+             .select(F.lit(name).alias("table"), "max_id")
+             for name, key in ID_KEYS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _ensure_delta_dirs(spark: SparkSession, root: str) -> None:
-    """Create an empty slice per delta table so reads never miss the folder."""
+    """Create an empty slice per delta table so reads never miss the folder,
+    and the id high-water marks of the base snapshot (computed once; later
+    batches only add their own maxima)."""
     for name in INTAKE_DELTAS:
         spark.createDataFrame([], TABLE_SCHEMAS[name]).write.mode("ignore") \
             .parquet(f"{_delta_path(root, name)}/batch_id=-1")
     spark.createDataFrame([], REJECT_SCHEMA).write.mode("ignore") \
         .parquet(f"{_delta_path(root, 'rejects')}/batch_id=-1")
+    base = snapshots.read_snapshot(spark, root, BASE_VERSION)
+    _counters({n: base.get(n) for n in ID_KEYS}).write.mode("ignore") \
+        .parquet(f"{_delta_path(root, COUNTERS)}/batch_id=-1")
+
+
+def id_bases(spark: SparkSession, root: str, before: int) -> dict:
+    """Largest ids before batch ``before`` from the counters slices only --
+    no scan of the tables themselves."""
+    c = (spark.read.schema(COUNTER_SCHEMA).parquet(_delta_path(root, COUNTERS))
+         .where(F.col("batch_id") < before))
+    return {name: F.coalesce(c.where(F.col("table") == name).agg(F.max("max_id")).scalar(),
+                             F.lit(0)).cast("bigint")
+            for name in ID_KEYS}
 
 
 def read_deltas(spark: SparkSession, root: str, name: str, before: int | None = None) -> DataFrame:
@@ -74,7 +108,8 @@ def run_intake_batch(requests: DataFrame, batch_id: int, root: str) -> None:
     spark = requests.sparkSession
     requests = requests.persist()
     try:
-        res = purchase_intake(requests, intake_state(spark, root, before=batch_id), persist=True)
+        res = purchase_intake(requests, intake_state(spark, root, before=batch_id), persist=True,
+                              id_bases=id_bases(spark, root, batch_id))
         outputs = {"customer": res.new_customers, "cust_of": res.new_cust_of,
                    "ticket": res.new_tickets, "purchase": res.new_purchases,
                    "rejects": res.rejects}
@@ -84,6 +119,12 @@ def run_intake_batch(requests: DataFrame, batch_id: int, root: str) -> None:
                     f"{_delta_path(root, name)}/batch_id={batch_id}")
         finally:
             res.release()
+        # this batch's high-water marks, from its own (small) slices
+        written = {name: spark.read.schema(TABLE_SCHEMAS[name])
+                   .parquet(f"{_delta_path(root, name)}/batch_id={batch_id}")
+                   for name in ID_KEYS}
+        _counters(written).write.mode("overwrite") \
+            .parquet(f"{_delta_path(root, COUNTERS)}/batch_id={batch_id}")
     finally:
         requests.unpersist()
 
