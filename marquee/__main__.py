@@ -16,6 +16,9 @@
   apply-changes  --root R --table T --changes P [--key ID]
                  fold a change log (parquet, change_schema of T) into the
                  next published snapshot version; rejects under R/rejects
+  compact        --root R --table T
+                 rewrite a table's folders (base + appended intake rows) as
+                 one folder in the next version
 """
 
 from __future__ import annotations
@@ -70,7 +73,7 @@ def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="marquee", description=__doc__,
                                  formatter_class=argparse.RawDescriptionHelpFormatter)
     ap.add_argument("command", choices=["load-testdata", "load-jdbc", "report", "bundle", "intake",
-                                        "apply-changes"])
+                                        "apply-changes", "compact"])
     ap.add_argument("--root")
     ap.add_argument("--version")
     ap.add_argument("--sf-dir")
@@ -112,20 +115,26 @@ def main(argv: list[str] | None = None) -> int:
         base = a.version or snapshots.current_version(spark, a.root)
         t = snapshots.read_snapshot(spark, a.root, base)
         reqs = spark.read.schema(PURCHASE_REQUEST).parquet(a.requests)
-        res = intake.purchase_intake(reqs, t, persist=True)
+        bases = {k: v for k, v in snapshots.max_ids(spark, a.root, base).items()
+                 if v is not None and k in snapshots.NUMBERED_TABLES}
+        res = intake.purchase_intake(reqs, t, persist=True, id_bases=bases)
         try:
             for name in ("new_customers", "new_cust_of", "new_tickets", "new_purchases", "rejects"):
                 getattr(res, name).write.mode("errorifexists").parquet(f"{a.out}/{name}")
-            # the next version reads the deltas just written, not the lineage
-            written = {n: spark.read.schema(TABLE_SCHEMAS[n]).parquet(f"{a.out}/{d}")
-                       for n, d in (("customer", "new_customers"), ("cust_of", "new_cust_of"),
-                                    ("ticket", "new_tickets"), ("purchase", "new_purchases"))}
-            after = t
-            for n, df in written.items():
-                after = after.with_table(n, t.get(n).unionByName(df))
-            _write_new_version(spark, a.root, after, set(written), base)
         finally:
             res.release()
+        # the next version lists one more folder per grown table (new rows
+        # only, read back from what was just written); nothing is copied
+        grown = {"customer": "new_customers", "cust_of": "new_cust_of",
+                 "ticket": "new_tickets", "purchase": "new_purchases"}
+        new_rows = t
+        for n, d in grown.items():
+            new_rows = new_rows.with_table(
+                n, spark.read.schema(TABLE_SCHEMAS[n]).parquet(f"{a.out}/{d}"))
+        old = snapshots.manifest(spark, a.root, base)
+        snapshots.write_snapshot(new_rows, a.root, _next_version(spark, a.root),
+                                 reuse={n: p for n, p in old.items() if n not in grown},
+                                 append={n: old[n] for n in grown})
     elif a.command == "apply-changes":
         base = a.version or snapshots.current_version(spark, a.root)
         t = snapshots.read_snapshot(spark, a.root, base)
@@ -133,6 +142,10 @@ def main(argv: list[str] | None = None) -> int:
         out, rejects = changes.apply_changes(t.get(a.table), log, a.key, TABLE_SCHEMAS[a.table])
         version = _write_new_version(spark, a.root, t.with_table(a.table, out), {a.table}, base)
         rejects.write.mode("errorifexists").parquet(f"{a.root}/rejects/v={version}")
+    elif a.command == "compact":
+        base = a.version or snapshots.current_version(spark, a.root)
+        t = snapshots.read_snapshot(spark, a.root, base)
+        _write_new_version(spark, a.root, t, {a.table}, base)
     spark.stop()
     return 0
 

@@ -1,9 +1,11 @@
 """Table storage: versioned parquet snapshots and an RDBMS reader.
 
-A snapshot is one folder per table under ``<root>/v=<version>/``. Writers
-always create a new version folder and then publish it by adding a marker
-``<root>/_versions/version=<version>``; the current version is the greatest
-published marker (versions are zero-padded so text order is version order).
+A snapshot version lists, per table, one or more parquet folders (a manifest
+under ``<root>/_versions/version=<version>``, with each folder's largest
+key). A new version writes only what changed -- a rewritten table, or one
+more folder of appended rows -- and lists the untouched folders again. The
+current version is the greatest published one (versions are zero-padded so
+text order is version order).
 Nothing is ever overwritten in place -- not the data, not the pointer -- so
 no job rewrites a path another job is reading; readers pin a version.
 Tables are read with their declared schemas (never inferred). Each table is written sorted within files by its key, so the parquet min/max
@@ -20,6 +22,9 @@ from marquee.schemas import TABLE_KEYS, TABLE_SCHEMAS
 from marquee.tables import Tables
 
 VERSIONS = "_versions"
+# Tables whose new rows get generated ids: their folders' largest keys are
+# recorded in the manifest so numbering never scans the table.
+NUMBERED_TABLES = ("customer", "ticket", "purchase")
 
 
 def table_path(root: str, version: str, name: str) -> str:
@@ -36,24 +41,43 @@ def write_table(df: DataFrame, root: str, version: str, name: str,
     return path
 
 
+def _as_list(paths) -> list[str]:
+    return [paths] if isinstance(paths, str) else list(paths)
+
+
+def max_key(spark: SparkSession, path: str, name: str):
+    """Largest key in one table folder (reads the key column only)."""
+    key = TABLE_KEYS[name][0]
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(path).agg(F.max(key)).first()[0]
+
+
 def write_snapshot(t: Tables, root: str, version: str, publish: bool = True,
-                   reuse: dict[str, str] | None = None) -> dict[str, str]:
+                   reuse: dict | None = None, append: dict | None = None) -> dict[str, list[str]]:
     """Write the tables of ``t`` as version ``version`` and (optionally)
-    publish it. Tables named in ``reuse`` (name -> existing folder) are not
-    rewritten: the version's manifest points at the existing folder, so a
-    change to one table never copies the other six."""
-    reuse = reuse or {}
-    paths = {}
+    publish it. Tables named in ``reuse`` (name -> existing folders) are not
+    rewritten: the manifest points at the existing folders. Tables named in
+    ``append`` (name -> existing folders) are written as one more folder
+    holding only the rows of ``t`` (new rows), added to the existing ones --
+    so growing a table never copies what it already holds."""
+    spark = t.customer.sparkSession
+    reuse, append = reuse or {}, append or {}
+    paths: dict[str, list[str]] = {}
+    new_folders: dict[str, str] = {}
     for name in t.names():
         if name in reuse:
-            paths[name] = reuse[name]
+            paths[name] = _as_list(reuse[name])
             continue
         schema = TABLE_SCHEMAS[name]
-        paths[name] = write_table(
+        folder = write_table(
             t.get(name).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]),
             root, version, name)
+        new_folders[name] = folder
+        paths[name] = _as_list(append.get(name, [])) + [folder]
     if publish:
-        publish_version(t.customer.sparkSession, root, version, paths)
+        known = manifest_rows(spark, root) if (reuse or append) else {}
+        publish_version(spark, root, version, paths,
+                        {f: max_key(spark, f, n) for n, f in new_folders.items()
+                         if n in NUMBERED_TABLES} | known)
     return paths
 
 
@@ -62,16 +86,18 @@ def version_name(n: int) -> str:
     return f"{n:012d}"
 
 
-MANIFEST_SCHEMA = "table string, path string, version string"
+MANIFEST_SCHEMA = "table string, path string, max_id bigint, version string"
 
 
 def publish_version(spark: SparkSession, root: str, version: str,
-                    paths: dict[str, str] | None = None) -> None:
-    """Make ``version`` visible by writing its manifest (table -> folder), an
-    append-only marker under ``_versions``; rewriting it on replay is
-    idempotent."""
-    rows = [(k, v) for k, v in (paths or {}).items()] or [(None, None)]
-    spark.createDataFrame(rows, "table string, path string").coalesce(1) \
+                    paths: dict | None = None, max_ids: dict | None = None) -> None:
+    """Make ``version`` visible by writing its manifest (table -> folders,
+    with each folder's largest key), an append-only marker under
+    ``_versions``; rewriting it on replay is idempotent."""
+    max_ids = max_ids or {}
+    rows = [(name, p, max_ids.get(p)) for name, ps in (paths or {}).items()
+            for p in _as_list(ps)] or [(None, None, None)]
+    spark.createDataFrame(rows, "table string, path string, max_id bigint").coalesce(1) \
         .write.mode("overwrite").parquet(f"{root.rstrip('/')}/{VERSIONS}/version={version}")
 
 
@@ -88,28 +114,54 @@ def current_version(spark: SparkSession, root: str) -> str:
     return rows[0][0]
 
 
-def manifest(spark: SparkSession, root: str, version: str) -> dict[str, str]:
-    """Folder of every table in a version (seven small rows); versions
+def _manifest_df(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root.rstrip('/')}/{VERSIONS}")
+
+
+def manifest_rows(spark: SparkSession, root: str) -> dict:
+    """Largest key of every folder any version lists (folder -> max id)."""
+    try:
+        rows = _manifest_df(spark, root).where(F.col("max_id").isNotNull()) \
+            .select("path", "max_id").distinct().collect()
+    except AnalysisException:
+        return {}
+    return {r.path: r.max_id for r in rows}
+
+
+def manifest(spark: SparkSession, root: str, version: str) -> dict[str, list[str]]:
+    """Folders of every table in a version (a few small rows); versions
     written without a manifest use the default layout."""
-    paths = {name: table_path(root, version, name) for name in TABLE_SCHEMAS}
+    paths = {name: [table_path(root, version, name)] for name in TABLE_SCHEMAS}
     try:
-        rows = (spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root.rstrip('/')}/{VERSIONS}")
+        rows = (_manifest_df(spark, root)
                 .where(F.col("version") == version).where(F.col("table").isNotNull())
                 .select("table", "path").collect())
     except AnalysisException:
         rows = []
-    paths.update({r.table: r.path for r in rows})
+    listed: dict[str, list[str]] = {}
+    for r in rows:
+        listed.setdefault(r.table, []).append(r.path)
+    paths.update({k: sorted(v) for k, v in listed.items()})
     return paths
 
 
+def max_ids(spark: SparkSession, root: str, version: str) -> dict:
+    """Largest key per table of a version, from the manifest only (no scan
+    of the tables): ``{table: int | None}``."""
+    rows = (_manifest_df(spark, root).where(F.col("version") == version)
+            .where(F.col("table").isNotNull())
+            .groupBy("table").agg(F.max("max_id").alias("m")).collect())
+    return {r.table: r.m for r in rows}
+
+
 def read_table(spark: SparkSession, root: str, version: str, name: str) -> DataFrame:
-    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(manifest(spark, root, version)[name])
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(*manifest(spark, root, version)[name])
 
 
 def read_snapshot(spark: SparkSession, root: str, version: str | None = None) -> Tables:
     v = version or current_version(spark, root)
     paths = manifest(spark, root, v)
-    return Tables(**{name: spark.read.schema(TABLE_SCHEMAS[name]).parquet(paths[name])
+    return Tables(**{name: spark.read.schema(TABLE_SCHEMAS[name]).parquet(*paths[name])
                      for name in TABLE_SCHEMAS})
 
 

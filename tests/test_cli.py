@@ -31,8 +31,12 @@ def test_cli_round_trip(spark):
         main(["intake", "--root", root, "--requests", f"{work}/requests", "--out", f"{work}/in1"])
         assert snapshots.current_version(spark, root) == "000000000001"
         m1 = snapshots.manifest(spark, root, "000000000001")
-        assert m1["company"].endswith("v=000000000000/company")      # reused
-        assert m1["purchase"].endswith("v=000000000001/purchase")    # rewritten
+        assert m1["company"] == [f"{root}/v=000000000000/company"]            # reused
+        assert m1["purchase"] == [f"{root}/v=000000000000/purchase",
+                                  f"{root}/v=000000000001/purchase"]          # appended
+        ids = snapshots.max_ids(spark, root, "000000000001")
+        assert ids["purchase"] == spark.read.parquet(*m1["purchase"]).agg(
+            {"purchase_id": "max"}).first()[0]
         n_new = spark.read.parquet(f"{work}/in1/new_purchases").count()
         t0 = snapshots.read_snapshot(spark, root, "000000000000")
         t1 = snapshots.read_snapshot(spark, root)
@@ -42,6 +46,15 @@ def test_cli_round_trip(spark):
               f"{work}/changes"])
         m2 = snapshots.manifest(spark, root, snapshots.current_version(spark, root))
         assert m2["purchase"] == m1["purchase"]
-        assert m2["customer"].endswith("v=000000000002/customer")
+        assert m2["customer"] == [f"{root}/v=000000000002/customer"]
+        # a second intake batch continues the numbering from the manifest
+        main(["intake", "--root", root, "--requests", f"{work}/requests", "--out", f"{work}/in2"])
+        p2 = spark.read.parquet(f"{work}/in2/new_purchases")
+        assert p2.agg({"purchase_id": "min"}).first()[0] == ids["purchase"] + 1
+        main(["compact", "--root", root, "--table", "purchase"])
+        m4 = snapshots.manifest(spark, root, snapshots.current_version(spark, root))
+        assert len(m4["purchase"]) == 1
+        t4 = snapshots.read_snapshot(spark, root)
+        assert t4.purchase.count() == t0.purchase.count() + n_new + p2.count()
     finally:
         spark.stop = stop
