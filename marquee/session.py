@@ -26,12 +26,32 @@ DEFAULT_CONF = {
 }
 
 
+# Starting point for a large cluster (~1000 executors, tables in the 10-100 TB
+# range). Scan splits of 256 MB; AQE starts from many shuffle partitions and
+# coalesces them towards 256 MB; a partition counts as skewed above 1 GB and
+# 5x the median and is then split; broadcasts stay below 64 MB of measured
+# (runtime) size.
+CLUSTER_CONF = {
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(64 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+}
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "marquee", extra: dict | None = None) -> SparkSession:
+                  app_name: str = "marquee", extra: dict | None = None,
+                  cluster: bool = False) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if cluster:
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
