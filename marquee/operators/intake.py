@@ -147,9 +147,9 @@ def purchase_intake(requests: DataFrame, t: Tables, persist: bool = False,
                     id_bases: dict | None = None) -> IntakeResult:
     """The whole pipeline over one batch of requests.
 
-    With ``persist`` the new customers and the quoted requests are kept
-    (memory, spilling to disk) so that writing all outputs runs the joins
-    once; call ``release()`` afterwards. ``id_bases`` (``customer``,
+    With ``persist`` the validated requests, the new customers and the
+    quoted requests are kept (memory, spilling to disk) so that writing all
+    outputs runs the joins once; call ``release()`` afterwards. ``id_bases`` (``customer``,
     ``ticket``, ``purchase`` -> Column or int) replaces the ``max(ID)``
     scans of the three tables, e.g. with a stream's running high-water
     marks."""
@@ -164,7 +164,9 @@ def purchase_intake(requests: DataFrame, t: Tables, persist: bool = False,
         cached.append(df)
         return df
 
-    validated = validate_requests(requests)
+    # the request batch feeds about ten branches (keys, dedup, resolution,
+    # quotes, rank buckets): keep it once instead of re-deriving it
+    validated = keep(validate_requests(requests))
     valid = _valid(validated).withColumn("_mail_key", ci_key("e_mail"))
     known = customer_ids_by_email(t.customer, valid)
     created = keep(new_customers(valid, t.customer, known, id_bases.get("customer")))
