@@ -97,3 +97,92 @@ def test_dense_rank_is_the_sorted_position(spark, keys, n_buckets):
     df = spark.createDataFrame([(k,) for k in keys], "k bigint")
     got = {r.k: r._pos for r in dense_rank_by(df, "k", n_buckets=n_buckets).collect()}
     assert got == {k: i + 1 for i, k in enumerate(sorted(keys))}
+
+
+# ---------------------------------------------------------------- intake model
+
+import datetime as _dt  # noqa: E402
+
+from marquee.operators import intake as _intake  # noqa: E402
+from marquee.tables import Tables  # noqa: E402
+
+_T0 = _dt.datetime(2024, 5, 1)
+_EVENTS = {1: (10, Decimal("10.00"), Decimal("25.00")), 2: (None, Decimal("5.00"), Decimal("9.00")),
+           3: (20, Decimal("7.50"), Decimal("8.00"))}
+_CUSTOMERS = [(3, "Al", "A", "a@x.com", "5550000003"), (7, "Ed", "E", "e@x.com", "5550000007")]
+
+
+def model_intake(requests):
+    """The reference's form handler, one request after another."""
+    customers = [list(c) for c in _CUSTOMERS]
+    cust_of = {(10, 3)}
+    max_t, max_p = 40, 70
+    out = {"customers": [], "tickets": [], "purchases": [], "cust_of": set(), "rejects": {}}
+    for rid, first, mail, phone, event, ttype in sorted(requests):
+        if not (len(phone) == 10 and phone.isdigit()):
+            out["rejects"][rid] = "Invalid Phone Number!"
+            continue
+        if not mail.endswith(".com"):
+            out["rejects"][rid] = "Invalid Email!"
+            continue
+        same = [c[0] for c in customers if c[3].lower() == mail.lower()]
+        if same:
+            cid = min(same)
+        else:
+            cid = max(c[0] for c in customers) + 1
+            customers.append([cid, first, "L", mail, phone])
+            out["customers"].append((cid, first, mail))
+        if event not in _EVENTS:
+            out["rejects"][rid] = "Unknown event"
+            continue
+        company, general, vip = _EVENTS[event]
+        if company is not None and (company, cid) not in cust_of:
+            cust_of.add((company, cid))
+            out["cust_of"].add((company, cid))
+        price = general if ttype == "General" else vip
+        max_t += 1
+        max_p += 1
+        out["tickets"].append((max_t, ttype, price, event, rid % 24 + 1))
+        out["purchases"].append((max_p, cid, max_t))
+    return out
+
+
+_req = st.tuples(st.sampled_from(["Ann", "Bo", "Cy"]),
+                 st.sampled_from(["a@x.com", "A@X.com", "b@x.com", "B@x.com", "c@x.org",
+                                  "d@x.com", "e@X.COM"]),
+                 st.sampled_from(["5551234567", "123", "5550000000", "555000000a"]),
+                 st.sampled_from([1, 2, 3, 99]),
+                 st.sampled_from(["General", "VIP", "general", "Select Ticket Type"]))
+
+
+@settings(max_examples=8, deadline=None,
+          suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
+@given(st.lists(_req, max_size=25), st.randoms(use_true_random=False))
+def test_intake_matches_sequential_model(spark, raw, rnd):
+    ids = rnd.sample(range(1, 10_000), len(raw))
+    requests = [(rid,) + r for rid, r in zip(ids, raw)]
+    t0 = _dt.datetime(2024, 1, 1)
+    events = spark.createDataFrame(
+        [(k, f"e{k}", "T", "L", t0, g, v, None, None, None, c) for k, (c, g, v) in _EVENTS.items()],
+        S.EVENT_CATALOG)
+    t = Tables(
+        event_catalog=events,
+        company=spark.createDataFrame([(10, "C10", "X"), (20, "C20", "Y")], S.COMPANY),
+        distributer=spark.createDataFrame([], S.DISTRIBUTER),
+        customer=spark.createDataFrame(_CUSTOMERS, S.CUSTOMER),
+        ticket=spark.createDataFrame([(40, "vip", 100, 1, Decimal("1.00"), 1, 1)], S.TICKET),
+        purchase=spark.createDataFrame([(70, 3, 40, "Cash", t0)], S.PURCHASE),
+        cust_of=spark.createDataFrame([(10, 3)], S.CUST_OF))
+    req_df = spark.createDataFrame(
+        [(rid, _T0, first, "L", mail, phone, event, ttype, "Cash")
+         for rid, first, mail, phone, event, ttype in requests], S.PURCHASE_REQUEST)
+    res = _intake.purchase_intake(req_df, t)
+    want = model_intake(requests)
+    assert sorted((r.ID, r.first_name, r.e_mail) for r in res.new_customers.collect()) == \
+        sorted(want["customers"])
+    assert sorted((r.ID, r.type, r.price, r.event_id, r.distributer_id)
+                  for r in res.new_tickets.collect()) == want["tickets"]
+    assert sorted((r.purchase_id, r.customer_id, r.ticket_id)
+                  for r in res.new_purchases.collect()) == want["purchases"]
+    assert {(r.company_id, r.customer_id) for r in res.new_cust_of.collect()} == want["cust_of"]
+    assert {r.request_id: r.reject_reason for r in res.rejects.collect()} == want["rejects"]
