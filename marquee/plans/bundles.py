@@ -52,8 +52,8 @@ def _shared(t: Tables, need_purchases: bool = True) -> tuple[dict, list]:
 
 
 def admin_bundle(t: Tables, class_spend: bool = False, with_listings: bool = True) -> Bundle:
-    """B1: the admin pages. ``class_spend`` picks R2 (the /eventType page)
-    instead of R3 (the seven manage pages) as "most spending customer"."""
+    """B1: the admin pages. ``class_spend`` picks R2 (the admin landing
+    page) instead of R3 (the seven manage pages) as "most spending customer"."""
     shared, cached = _shared(t)
     out = {
         "most_spending_customer": (reports.top_customer_by_class(t, shared=shared) if class_spend
