@@ -9,10 +9,10 @@
                  one report (R1-R9, E1) or listing, written as parquet
   bundle         --root R --page admin|admin-class|manager|public --out O
                  a page's report set, one parquet table per report
-  intake         --root R --requests P --out O
-                 a batch of purchase requests (parquet, PURCHASE_REQUEST
-                 shape): new rows and rejects under O, and the tables with
-                 the new rows as the next published snapshot version
+  intake         --root R --requests P --out O [--format parquet|json|csv]
+                 a batch of purchase requests (PURCHASE_REQUEST shape; json =
+                 one form post per line): new rows and rejects under O, and
+                 the tables with the new rows as the next published version
   apply-changes  --root R --table T --changes P [--key ID]
                  fold a change log (parquet, change_schema of T) into the
                  next published snapshot version; rejects under R/rejects
@@ -84,6 +84,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--page")
     ap.add_argument("--out")
     ap.add_argument("--requests")
+    ap.add_argument("--format", default="parquet", help="request/change file format")
     ap.add_argument("--table")
     ap.add_argument("--changes")
     ap.add_argument("--key", default="ID")
@@ -114,7 +115,10 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "intake":
         base = a.version or snapshots.current_version(spark, a.root)
         t = snapshots.read_snapshot(spark, a.root, base)
-        reqs = spark.read.schema(PURCHASE_REQUEST).parquet(a.requests)
+        reader = spark.read.schema(PURCHASE_REQUEST).format(a.format)
+        if a.format == "csv":
+            reader = reader.option("header", "true")
+        reqs = reader.load(a.requests)
         bases = {k: v for k, v in snapshots.max_ids(spark, a.root, base).items()
                  if v is not None and k in snapshots.NUMBERED_TABLES}
         res = intake.purchase_intake(reqs, t, persist=True, id_bases=bases)
@@ -138,7 +142,8 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "apply-changes":
         base = a.version or snapshots.current_version(spark, a.root)
         t = snapshots.read_snapshot(spark, a.root, base)
-        log = spark.read.schema(change_schema(TABLE_SCHEMAS[a.table])).parquet(a.changes)
+        log = spark.read.schema(change_schema(TABLE_SCHEMAS[a.table])).format(a.format) \
+            .load(a.changes)
         out, rejects = changes.apply_changes(t.get(a.table), log, a.key, TABLE_SCHEMAS[a.table])
         version = _write_new_version(spark, a.root, t.with_table(a.table, out), {a.table}, base)
         rejects.write.mode("errorifexists").parquet(f"{a.root}/rejects/v={version}")

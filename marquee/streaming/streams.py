@@ -129,16 +129,26 @@ def run_intake_batch(requests: DataFrame, batch_id: int, root: str) -> None:
         requests.unpersist()
 
 
+def _reader(spark: SparkSession, schema: StructType, fmt: str, max_files_per_trigger):
+    """File stream with the declared schema (never inferred); ``fmt`` is any
+    file source -- parquet, json (one form post per line) or csv with a
+    header."""
+    reader = spark.readStream.schema(schema).format(fmt)
+    if fmt == "csv":
+        reader = reader.option("header", "true")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader
+
+
 def purchase_intake_stream(spark: SparkSession, in_dir: str, root: str, checkpoint: str,
                            max_files_per_trigger: int | None = None,
-                           available_now: bool = True) -> StreamingQuery:
-    """I8: purchase requests (parquet files shaped like ``PURCHASE_REQUEST``)
-    -> delta slices under ``root`` (whose ``v=base`` snapshot must exist)."""
+                           available_now: bool = True, fmt: str = "parquet") -> StreamingQuery:
+    """I8: purchase requests (files shaped like ``PURCHASE_REQUEST``) ->
+    delta slices under ``root`` (whose base snapshot must exist)."""
     _ensure_delta_dirs(spark, root)
-    reader = spark.readStream.schema(PURCHASE_REQUEST)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    writer = (reader.parquet(in_dir).writeStream
+    reader = _reader(spark, PURCHASE_REQUEST, fmt, max_files_per_trigger)
+    writer = (reader.load(in_dir).writeStream
               .foreachBatch(lambda df, bid: run_intake_batch(df, bid, root))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer
@@ -185,13 +195,12 @@ def read_change_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def table_changes_stream(spark: SparkSession, in_dir: str, root: str, name: str,
                          checkpoint: str, key: str = "ID",
                          max_files_per_trigger: int | None = None,
-                         available_now: bool = True) -> StreamingQuery:
+                         available_now: bool = True, fmt: str = "parquet") -> StreamingQuery:
     """Change rows (``change_schema`` of the table) -> new versions of
-    the table under ``root/<name>`` (initialised by :func:`init_change_table`)."""
-    reader = spark.readStream.schema(change_schema(TABLE_SCHEMAS[name]))
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    writer = (reader.parquet(in_dir).writeStream
+    the table under ``root/<name>`` (initialised by :func:`init_change_table`).
+    Change rows carry a nested ``row`` struct, so use parquet or json."""
+    reader = _reader(spark, change_schema(TABLE_SCHEMAS[name]), fmt, max_files_per_trigger)
+    writer = (reader.load(in_dir).writeStream
               .foreachBatch(lambda df, bid: run_change_batch(df, bid, root, name, key))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer

@@ -74,3 +74,17 @@ def test_changes_stream_equals_batch_fold_and_skips_replay(spark):
     last_id = max(p["batchId"] for p in q.recentProgress)
     streams.run_change_batch(log.where(F.col("seq") > cut), last_id, root, "customer")
     assert same(streams.read_change_table(spark, root, "customer"), folded)
+
+
+def test_intake_stream_reads_json_form_posts(spark):
+    work = _work(spark)
+    in_dir, root, ckpt = f"{work}/in", f"{work}/store", f"{work}/ckpt"
+    requests = td.purchase_requests(spark, "/root/testdata/sf0.001")
+    # form posts as JSON lines, time stamps with microseconds
+    requests.write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(in_dir)
+    t = td.load_tables(spark, "/root/testdata/sf0.001")
+    snapshots.write_snapshot(t, root, streams.BASE_VERSION, publish=False)
+    streams.purchase_intake_stream(spark, in_dir, root, ckpt, fmt="json").awaitTermination()
+    batch = intake.purchase_intake(requests, snapshots.read_snapshot(spark, root,
+                                                                     streams.BASE_VERSION))
+    assert same(streams.read_deltas(spark, root, "purchase"), batch.new_purchases)
