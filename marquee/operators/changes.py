@@ -45,7 +45,10 @@ def insert_rows(snapshot: DataFrame, rows: DataFrame, key="ID", seq_col: str | N
                   .agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(seq_col)).alias("_r"))
                   .select("_r.*"))
     else:
-        firsts = rows.select(*cols).dropDuplicates(ks)
+        # no order given: keep the smallest row per key, a deterministic pick
+        # (unlike dropDuplicates, which keeps whichever row a task sees first)
+        firsts = (rows.groupBy(*ks).agg(F.min(F.struct(*[F.col(c) for c in cols])).alias("_r"))
+                  .select("_r.*"))
     fresh = firsts.join(snapshot.select(*ks), ks, "left_anti")
     return snapshot.unionByName(fresh.select(*cols))
 

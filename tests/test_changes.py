@@ -142,3 +142,9 @@ def test_rekey_parents_m11(spark, distributers):
                                     "seq bigint, op string, key bigint, property string, new_value string")
     out = ch.rekey_parents(distributers, changes)
     assert rows(out) == [(1, "a", "x"), (3, "c", "z"), (40, "b", "y")]
+
+
+def test_insert_without_order_keeps_smallest_row(spark, distributers):
+    new = spark.createDataFrame([(4, "z", "w"), (4, "d", "w"), (5, "e", "v")], S.DISTRIBUTER)
+    out = ch.insert_rows(distributers, new, seq_col=None)
+    assert rows(out)[-2:] == [(4, "d", "w"), (5, "e", "v")]
