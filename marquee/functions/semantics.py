@@ -21,7 +21,32 @@ UNKNOWN_EVENT_ERROR = "Unknown event"
 GENERAL_TICKET = "General"
 VIP_CLASS = "vip"
 EMAIL_SUFFIX = ".com"
-PHONE_PATTERN = r"^\p{Nd}{10}$"
+
+
+def _digit_ranges() -> str:
+    """Regex ranges of the characters Python's ``str.isdigit`` accepts beyond
+    decimal digits (numeric type Digit: superscripts, circled digits, ...),
+    derived from the Unicode database rather than listed by hand."""
+    import sys
+    cps = [c for c in range(sys.maxunicode + 1) if chr(c).isdigit() and not chr(c).isdecimal()]
+    ranges, start, prev = [], None, None
+    for c in cps:
+        if start is None:
+            start = prev = c
+        elif c == prev + 1:
+            prev = c
+        else:
+            ranges.append((start, prev))
+            start = prev = c
+    if start is not None:
+        ranges.append((start, prev))
+    return "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}"
+                   for a, b in ranges)
+
+
+# The form's phone rule: ten characters that are all digits in the sense of
+# Python's str.isdigit (decimal digits of any script plus numeric-type Digit).
+PHONE_PATTERN = "^[\\p{Nd}" + _digit_ranges() + "]{10}$"
 # Collation used for text equality and text grouping keys.
 CI_COLLATION = "UNICODE_CI_AI"
 

@@ -9,6 +9,8 @@ names carry an ``m_`` prefix because the driver already has views named
 
 from __future__ import annotations
 
+from marquee.functions.semantics import PHONE_PATTERN  # noqa: E402  (fixed value)
+
 # Fixed values shared with marquee.functions.semantics (same meaning).
 NUMERIC_PREFIX = r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)"
 
@@ -202,7 +204,7 @@ FROM m_request r LEFT JOIN (
 INTAKE_CTES = f""",
 m_validated AS (
   SELECT r.*,
-         CASE WHEN NOT coalesce(regexp_matches(r.phone_num, '^\\p{{Nd}}{{10}}$'), false)
+         CASE WHEN NOT coalesce(regexp_matches(r.phone_num, '{PHONE_PATTERN}'), false)
                 THEN 'Invalid Phone Number!'
               WHEN NOT coalesce(ends_with(r.e_mail, '.com'), false) THEN 'Invalid Email!'
          END AS reject_reason

@@ -65,11 +65,17 @@ def test_form_rules_c5_c6(spark):
             ("5551234567", "a@b.COM", S.EMAIL_ERROR),
             ("123", "a@b.org", S.PHONE_ERROR),
             ("٥٥٥١٢٣٤٥٦٧", "a@b.com", None),     # Unicode decimal digits pass, as isdigit()
+            ("555123456²", "a@b.com", None),      # so do superscripts (numeric type Digit)
+            ("555123456½", "a@b.com", S.PHONE_ERROR),  # a fraction is not a digit
             (None, "a@b.com", S.PHONE_ERROR),
             ("5551234567", None, S.EMAIL_ERROR)]
     df = spark.createDataFrame([(p, e) for p, e, _ in rows], "p string, e string")
     got = [r.reason for r in df.select(S.reject_reason("p", "e").alias("reason")).collect()]
     assert got == [r[2] for r in rows]
+    # the same answers as the reference's own test on these strings
+    for p, _, want in rows:
+        if p is not None and want != S.EMAIL_ERROR:
+            assert (want is None) == (len(p) == 10 and p.isdigit()), p
 
 
 def test_full_name_null_t5(spark):
