@@ -1,5 +1,7 @@
-"""Every registered query against its independent DuckDB text at sf0.01
-(column names, types, row count, order-insensitive values)."""
+"""Every registered query against its independent DuckDB text (column
+names, types, row count, order-insensitive values) at sf0.01 -- the
+driver's gate -- and at sf0.001, where small-data edge cases show up
+(empty batches, no moves, single buckets)."""
 
 import os
 
@@ -8,25 +10,27 @@ import pytest
 import __spark_entry__ as entry_mod
 from harness import compare, duck
 
-SF = "/root/testdata/sf0.01"
+SFS = ["/root/testdata/sf0.01", "/root/testdata/sf0.001"]
 QUERIES = entry_mod.queries()
 SQL = entry_mod.oracle_sql()
 
-pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data missing")
+pytestmark = pytest.mark.skipif(not os.path.isdir(SFS[0]), reason="driver test data missing")
 
 
 @pytest.fixture(scope="module")
-def con():
-    c = duck(SF)
-    yield c
-    c.close()
+def cons():
+    out = {sf: duck(sf) for sf in SFS}
+    yield out
+    for c in out.values():
+        c.close()
 
 
 def test_every_query_has_an_oracle():
     assert sorted(QUERIES) == sorted(SQL)
 
 
+@pytest.mark.parametrize("sf", SFS, ids=["sf0.01", "sf0.001"])
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query_matches_oracle(spark, con, name):
-    ok, msg = compare(QUERIES[name](spark, SF), con, SQL[name])
-    assert ok, f"{name}: {msg}"
+def test_query_matches_oracle(spark, cons, name, sf):
+    ok, msg = compare(QUERIES[name](spark, sf), cons[sf], SQL[name])
+    assert ok, f"{name} @ {sf}: {msg}"
