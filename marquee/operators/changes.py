@@ -212,7 +212,10 @@ def apply_changes(snapshot: DataFrame, log: DataFrame, key: str = "ID",
     partial aggregation), then the snapshot is read once: a left join
     against that per-key summary (AQE broadcasts the summary when it is
     small, so the snapshot is not even shuffled), plus a key-column-only
-    anti join for keys the log inserts fresh.
+    anti join for keys the log inserts fresh. The per-key aggregates each
+    read the log (a chain of small aggregations instead of a per-key
+    window), so pass a stored or persisted log; the change stream persists
+    its micro-batch.
     Returns (snapshot, rejects(seq, reason))."""
     schema = schema or snapshot.schema
     cols = [f.name for f in schema.fields]
