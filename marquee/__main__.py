@@ -16,6 +16,10 @@
   apply-changes  --root R --table T --changes P [--key ID]
                  fold a change log (parquet, change_schema of T) into the
                  next published snapshot version; rejects under R/rejects
+  lookup         --root R --name customer_by_email|match_contacts|customer_profile
+                 --requests P --out O [--format parquet|json|csv]
+                 lookups for a file of requests (request_id, e_mail,
+                 phone_num) or visits (visit_id, customer_id)
   compact        --root R --table T
                  rewrite a table's folders (base + appended intake rows) as
                  one folder in the next version
@@ -26,7 +30,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from marquee.operators import changes, intake, listings, reports
+from marquee.operators import changes, intake, listings, lookups, reports
 from marquee.plans import bundles
 from marquee.schemas import PURCHASE_REQUEST, TABLE_SCHEMAS, change_schema
 from marquee.session import build_session
@@ -73,7 +77,7 @@ def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="marquee", description=__doc__,
                                  formatter_class=argparse.RawDescriptionHelpFormatter)
     ap.add_argument("command", choices=["load-testdata", "load-jdbc", "report", "bundle", "intake",
-                                        "apply-changes", "compact"])
+                                        "apply-changes", "compact", "lookup"])
     ap.add_argument("--root")
     ap.add_argument("--version")
     ap.add_argument("--sf-dir")
@@ -147,6 +151,21 @@ def main(argv: list[str] | None = None) -> int:
         out, rejects = changes.apply_changes(t.get(a.table), log, a.key, TABLE_SCHEMAS[a.table])
         version = _write_new_version(spark, a.root, t.with_table(a.table, out), {a.table}, base)
         rejects.write.mode("errorifexists").parquet(f"{a.root}/rejects/v={version}")
+    elif a.command == "lookup":
+        t = snapshots.read_snapshot(spark, a.root, a.version)
+        reader = spark.read.format(a.format)
+        if a.format == "csv":
+            reader = reader.option("header", "true").option("inferSchema", "false")
+        given = reader.load(a.requests)
+        if a.name == "customer_profile":
+            out = lookups.customer_profile(
+                given.select("visit_id", given["customer_id"].cast("bigint")), t.customer)
+        else:
+            fn = {"customer_by_email": lookups.customer_by_email,
+                  "match_contacts": lookups.match_contacts}[a.name]
+            out = fn(given.withColumn("request_id", given["request_id"].cast("bigint")),
+                     t.customer)
+        out.write.mode("errorifexists").parquet(a.out)
     elif a.command == "compact":
         base = a.version or snapshots.current_version(spark, a.root)
         t = snapshots.read_snapshot(spark, a.root, base)

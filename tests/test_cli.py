@@ -26,6 +26,10 @@ def test_cli_round_trip(spark):
         main(["report", "--root", root, "--name", "customer_loyalty", "--out", f"{work}/r9"])
         assert spark.read.parquet(f"{work}/r9").count() > 0
         main(["bundle", "--root", root, "--page", "public", "--out", f"{work}/public"])
+        td.visits(spark, SF).write.json(f"{work}/visits")
+        main(["lookup", "--root", root, "--name", "customer_profile", "--requests",
+              f"{work}/visits", "--format", "json", "--out", f"{work}/profiles"])
+        assert spark.read.parquet(f"{work}/profiles").count() == td.visits(spark, SF).count()
         assert os.path.isdir(f"{work}/public/event_types_ranked")
         td.purchase_requests(spark, SF).write.parquet(f"{work}/requests")
         main(["intake", "--root", root, "--requests", f"{work}/requests", "--out", f"{work}/in1"])
