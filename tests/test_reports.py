@@ -127,3 +127,12 @@ def test_properties_on_driver_data(spark):
             .join(t.company.selectExpr("ID AS company_id"), "company_id").count())
     assert r9_total == full
     assert reports.company_sales_ranking(t).count() == t.company.count()
+
+
+def test_customer_profile_blanks_f5(spark, small):
+    from marquee.operators import lookups
+    ids = spark.createDataFrame([(1, 1), (2, 42), (3, None)], "visit_id int, customer_id bigint")
+    got = {r.visit_id: (r.first_name, r.last_name, r.e_mail, r.phone_num)
+           for r in lookups.customer_profile(ids, small.customer).collect()}
+    assert got[1] == ("Ann", "Lee", "a@x.com", "5550000001")
+    assert got[2] == ("", "", "", "") and got[3] == ("", "", "", "")
