@@ -20,7 +20,9 @@ def customer_ids_by_email(customer: DataFrame, keys: DataFrame | None = None) ->
     c = customer.where(F.col("e_mail").isNotNull()).select(
         ci_key("e_mail").alias("_mail_key"), "ID")
     if keys is not None:
-        c = c.join(keys.select("_mail_key"), "_mail_key", "left_semi")
+        # distinct keys: a hot e-mail collapses map-side, and the build side
+        # of the semi join stays one row per key
+        c = c.join(keys.select("_mail_key").distinct(), "_mail_key", "left_semi")
     return c.groupBy("_mail_key").agg(F.min("ID").alias("customer_id"))
 
 
@@ -63,7 +65,7 @@ def match_contacts(requests: DataFrame, customer: DataFrame) -> DataFrame:
                             ci_key("e_mail").alias("_mk"), ci_key("phone_num").alias("_pk"))
     ids = (customer.where(F.col("e_mail").isNotNull() & F.col("phone_num").isNotNull())
            .select(ci_key("e_mail").alias("_mk"), ci_key("phone_num").alias("_pk"), "ID")
-           .join(keyed.select("_mk", "_pk"), ["_mk", "_pk"], "left_semi")
+           .join(keyed.select("_mk", "_pk").distinct(), ["_mk", "_pk"], "left_semi")
            .groupBy("_mk", "_pk")
            .agg(F.min("ID").alias("customer_id")))
     return (keyed.join(ids, ["_mk", "_pk"], "left")
