@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.semantics import UNKNOWN_EVENT_ERROR, ci_key, reject_reason, sale_price
-from marquee.operators.keys import dense_rank_by, next_ids_base
+from marquee.operators.keys import cut_points, dense_rank_by, next_ids_base
 from marquee.operators.lookups import customer_ids_by_email, quote_events
 from marquee.tables import Tables
 
@@ -64,7 +64,8 @@ def _valid(validated: DataFrame) -> DataFrame:
 
 
 def new_customers(valid: DataFrame, customer: DataFrame,
-                  known: DataFrame | None = None, id_base=None) -> DataFrame:
+                  known: DataFrame | None = None, id_base=None,
+                  cuts: list | None = None) -> DataFrame:
     """One new Customer per normalised e-mail that is not known yet,
     named from its first request; ids continue after ``max(Customer.ID)``
     (or a given ``id_base``) in order of that first request."""
@@ -76,7 +77,7 @@ def new_customers(valid: DataFrame, customer: DataFrame,
               .agg(F.min_by(F.struct("request_id", "first_name", "last_name", "e_mail",
                                      "phone_num"), "request_id").alias("r"))
               .select("_mail_key", "r.*"))
-    ranked = dense_rank_by(firsts, "request_id")
+    ranked = dense_rank_by(firsts, "request_id", cuts=cuts)
     base = id_base if id_base is not None else next_ids_base(customer, "ID")
     return ranked.select(
         (base + F.col("_pos")).alias("ID"),
@@ -111,13 +112,13 @@ def new_cust_of(accepted: DataFrame, cust_of: DataFrame) -> DataFrame:
                                  ["company_id", "customer_id"], "left_anti")
 
 
-def book(accepted: DataFrame, t: Tables, id_bases: dict | None = None) \
-        -> tuple[DataFrame, DataFrame]:
+def book(accepted: DataFrame, t: Tables, id_bases: dict | None = None,
+         cuts: list | None = None) -> tuple[DataFrame, DataFrame]:
     """I5 + I6: one TICKET and one Purchase per accepted request; both ids
     are dense in request order after the tables' current maxima (or the
     given ``id_bases``)."""
     bases = id_bases or {}
-    ranked = dense_rank_by(accepted, "request_id")
+    ranked = dense_rank_by(accepted, "request_id", cuts=cuts)
     ticket_base = bases.get("ticket")
     purchase_base = bases.get("purchase")
     ticket_id = (ticket_base if ticket_base is not None else next_ids_base(t.ticket, "ID")) \
@@ -169,11 +170,13 @@ def purchase_intake(requests: DataFrame, t: Tables, persist: bool = False,
     validated = keep(validate_requests(requests))
     valid = _valid(validated).withColumn("_mail_key", ci_key("e_mail"))
     known = customer_ids_by_email(t.customer, valid)
-    created = keep(new_customers(valid, t.customer, known, id_bases.get("customer")))
+    # one quantile pass over the batch's request ids serves both numberings
+    cuts = cut_points(valid, "request_id")
+    created = keep(new_customers(valid, t.customer, known, id_bases.get("customer"), cuts))
     with_customer = resolve_customers(valid, known, created)
     quotes = keep(quote_tickets(with_customer, t.event_catalog))
     accepted = quotes.where(F.col("reject_reason").isNull()).drop("reject_reason")
-    tickets, purchases = book(accepted, t, id_bases)
+    tickets, purchases = book(accepted, t, id_bases, cuts)
     rejects = (validated.where(F.col("reject_reason").isNotNull())
                .select("request_id", "reject_reason")
                .unionByName(quotes.where(F.col("reject_reason").isNotNull())

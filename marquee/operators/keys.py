@@ -36,17 +36,29 @@ def _default_buckets(df: DataFrame) -> int:
         return 8
 
 
+def cut_points(df: DataFrame, order_col: str, n_buckets: int | None = None,
+               rel_error: float = 0.001) -> list:
+    """``n - 1`` approximate quantiles of ``order_col`` (one aggregate pass;
+    only these values reach the driver)."""
+    n = n_buckets or _default_buckets(df)
+    if n <= 1:
+        return []
+    probs = [i / n for i in range(1, n)]
+    row = df.agg(F.percentile_approx(order_col, probs, int(1 / rel_error))).first()
+    return sorted(set(v for v in (row[0] or []) if v is not None))
+
+
 def dense_rank_by(df: DataFrame, order_col: str, rank_col: str = "_pos",
-                  n_buckets: int | None = None, rel_error: float = 0.001) -> DataFrame:
+                  n_buckets: int | None = None, rel_error: float = 0.001,
+                  cuts: list | None = None) -> DataFrame:
     """Add ``rank_col`` = 1-based position of each row in ``order_col``
     order. The column should be (nearly) unique so the quantile buckets are
-    balanced; ties are ordered by the remaining columns."""
-    n = n_buckets or _default_buckets(df)
-    cuts: list = []
-    if n > 1:
-        probs = [i / n for i in range(1, n)]
-        row = df.agg(F.percentile_approx(order_col, probs, int(1 / rel_error))).first()
-        cuts = sorted(set(v for v in (row[0] or []) if v is not None))
+    balanced; ties are ordered by the remaining columns. ``cuts`` may come
+    from a superset of the rows (e.g. all requests of a batch when ranking
+    the accepted ones): any sorted cut points give the same ranks, they only
+    steer the bucket balance."""
+    if cuts is None:
+        cuts = cut_points(df, order_col, n_buckets, rel_error)
     key = F.col(order_col)
     bucketed = df.withColumn("_bucket", _bucket_expr(key, cuts) if cuts else F.lit(0))
     counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
