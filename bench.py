@@ -91,8 +91,7 @@ def workload(spark, sf_dir: str, root: str, timings: dict | None) -> None:
     def do_bundle():
         b = bundles.admin_bundle(t, class_spend=False, with_listings=False)
         try:
-            for df in b.reports.values():
-                run(df)
+            b.run(lambda name, df: run(df), parallelism=4)
         finally:
             b.release()
     timed("admin_bundle", do_bundle)

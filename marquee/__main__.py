@@ -115,7 +115,7 @@ def main(argv: list[str] | None = None) -> int:
                 "admin-class": lambda: bundles.admin_bundle(t, class_spend=True),
                 "manager": lambda: bundles.manager_bundle(t),
                 "public": lambda: bundles.public_bundle(t)}[a.page]
-        make().write(a.out)
+        make().write(a.out, parallelism=4)
     elif a.command == "intake":
         base = a.version or snapshots.current_version(spark, a.root)
         t = snapshots.read_snapshot(spark, a.root, base)

@@ -29,14 +29,28 @@ class Bundle:
             df.unpersist()
         self.cached = []
 
-    def write(self, root: str, mode: str = "errorifexists") -> dict[str, str]:
+    def run(self, sink, parallelism: int = 1) -> None:
+        """Call ``sink(name, df)`` for every report. The reports are
+        independent jobs: with ``parallelism`` > 1 they are submitted from a
+        thread pool so the cluster runs them side by side, after the shared
+        intermediates have been filled once (so no two jobs compute them)."""
+        if parallelism <= 1:
+            for name, df in self.reports.items():
+                sink(name, df)
+            return
+        for df in self.cached:
+            df.count()
+        from concurrent.futures import ThreadPoolExecutor
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            for f in [pool.submit(sink, n, df) for n, df in self.reports.items()]:
+                f.result()
+
+    def write(self, root: str, mode: str = "errorifexists",
+              parallelism: int = 1) -> dict[str, str]:
         """Write each report as its own parquet table, then release."""
-        out = {}
+        out = {name: f"{root.rstrip('/')}/{name}" for name in self.reports}
         try:
-            for name, df in self.reports.items():
-                path = f"{root.rstrip('/')}/{name}"
-                df.write.mode(mode).parquet(path)
-                out[name] = path
+            self.run(lambda name, df: df.write.mode(mode).parquet(out[name]), parallelism)
         finally:
             self.release()
         return out

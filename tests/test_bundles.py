@@ -33,13 +33,17 @@ def test_admin_bundle_matches_operators(spark):
 def test_manager_and_public_bundles_write_tables(spark):
     t = td.load_tables(spark, SF)
     root = tempfile.mkdtemp(prefix="bundle-", dir=spark.conf.get("spark.checkpoint.dir"))
-    paths = bundles.manager_bundle(t).write(os.path.join(root, "manager"))
+    paths = bundles.manager_bundle(t).write(os.path.join(root, "manager"), parallelism=3)
     assert set(paths) == {"top_revenue_events", "company_most_event_types",
                           "company_sales_ranking", "customer_loyalty", "event_type_popularity",
                           "events", "distributers"}
     loyalty = spark.read.parquet(paths["customer_loyalty"])
     assert loyalty.columns == ["CustomerName", "CompanyName", "PurchaseCount"]
     assert loyalty.count() == reports.customer_loyalty(t).count()
+    admin = bundles.admin_bundle(t)
+    admin_paths = admin.write(os.path.join(root, "admin"), parallelism=4)
+    assert admin.cached == []
+    assert spark.read.parquet(admin_paths["customer_loyalty"]).count() == loyalty.count()
     pub = bundles.public_bundle(t)
     ranked = [r.EventType for r in pub.reports["event_types_ranked"].collect()]
     assert ranked == [r.EventType for r in reports.event_type_popularity(t).collect()]
