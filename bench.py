@@ -49,7 +49,7 @@ def workload(spark, sf_dir: str, root: str, timings: dict | None) -> None:
     def load():
         tables = td.load_tables(spark, sf_dir, persist=True)
         try:
-            snapshots.write_snapshot(tables, root, "0")
+            snapshots.write_snapshot(tables, root, "0", parallelism=4)
         finally:
             tables.release()
     timed("load_snapshot", load)

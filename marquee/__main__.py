@@ -99,13 +99,15 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "load-testdata":
         t = td.load_tables(spark, a.sf_dir, persist=True)
         try:
-            snapshots.write_snapshot(t, a.root, a.version or _next_version(spark, a.root))
+            snapshots.write_snapshot(t, a.root, a.version or _next_version(spark, a.root),
+                                     parallelism=4)
         finally:
             t.release()
     elif a.command == "load-jdbc":
         props = dict(p.split("=", 1) for p in a.prop)
         t = snapshots.read_jdbc_tables(spark, a.url, props, a.partitions)
-        snapshots.write_snapshot(t, a.root, a.version or _next_version(spark, a.root))
+        snapshots.write_snapshot(t, a.root, a.version or _next_version(spark, a.root),
+                                 parallelism=4)
     elif a.command == "report":
         t = snapshots.read_snapshot(spark, a.root, a.version)
         REPORTS[a.name](t).write.mode("errorifexists").parquet(a.out)

@@ -52,26 +52,37 @@ def max_key(spark: SparkSession, path: str, name: str):
 
 
 def write_snapshot(t: Tables, root: str, version: str, publish: bool = True,
-                   reuse: dict | None = None, append: dict | None = None) -> dict[str, list[str]]:
+                   reuse: dict | None = None, append: dict | None = None,
+                   parallelism: int = 1) -> dict[str, list[str]]:
     """Write the tables of ``t`` as version ``version`` and (optionally)
     publish it. Tables named in ``reuse`` (name -> existing folders) are not
     rewritten: the manifest points at the existing folders. Tables named in
     ``append`` (name -> existing folders) are written as one more folder
     holding only the rows of ``t`` (new rows), added to the existing ones --
-    so growing a table never copies what it already holds."""
+    so growing a table never copies what it already holds. With
+    ``parallelism`` > 1 the independent table writes are submitted from a
+    thread pool (after any shared persisted input of ``t`` is filled once)."""
     spark = t.customer.sparkSession
     reuse, append = reuse or {}, append or {}
-    paths: dict[str, list[str]] = {}
-    new_folders: dict[str, str] = {}
-    for name in t.names():
-        if name in reuse:
-            paths[name] = _as_list(reuse[name])
-            continue
+    paths: dict[str, list[str]] = {name: _as_list(reuse[name]) for name in t.names()
+                                   if name in reuse}
+    todo = [name for name in t.names() if name not in reuse]
+
+    def write_one(name: str) -> str:
         schema = TABLE_SCHEMAS[name]
-        folder = write_table(
+        return write_table(
             t.get(name).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]),
             root, version, name)
-        new_folders[name] = folder
+
+    if parallelism > 1:
+        for df in t.cached:
+            df.count()
+        from concurrent.futures import ThreadPoolExecutor
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            new_folders = dict(zip(todo, pool.map(write_one, todo)))
+    else:
+        new_folders = {name: write_one(name) for name in todo}
+    for name, folder in new_folders.items():
         paths[name] = _as_list(append.get(name, [])) + [folder]
     if publish:
         known = manifest_rows(spark, root) if (reuse or append) else {}
