@@ -62,3 +62,19 @@ def test_cli_round_trip(spark):
         assert t4.purchase.count() == t0.purchase.count() + n_new + p2.count()
     finally:
         spark.stop = stop
+
+
+def test_read_table_follows_manifest(spark):
+    import tempfile
+    work = tempfile.mkdtemp(prefix="snap-", dir=spark.conf.get("spark.checkpoint.dir"))
+    t = td.load_tables(spark, SF)
+    snapshots.write_snapshot(t, work, snapshots.version_name(0))
+    more = t.with_table("purchase", t.purchase.limit(3))
+    snapshots.write_snapshot(more, work, snapshots.version_name(1),
+                             reuse={n: snapshots.manifest(spark, work, "000000000000")[n]
+                                    for n in t.names() if n != "purchase"},
+                             append={"purchase": snapshots.manifest(spark, work,
+                                                                    "000000000000")["purchase"]})
+    n0 = snapshots.read_table(spark, work, "000000000000", "purchase").count()
+    assert snapshots.read_table(spark, work, "000000000001", "purchase").count() == n0 + 3
+    assert snapshots.current_version(spark, work) == "000000000001"

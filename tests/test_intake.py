@@ -100,3 +100,15 @@ def test_dense_rank_with_hot_values(spark):
     ranked = dense_rank_by(df, "k", n_buckets=8)
     pos = sorted(r._pos for r in ranked.collect())
     assert pos == list(range(1, 3001))
+
+
+def test_assign_ids_continue_after_existing_max(spark):
+    from marquee.operators.keys import assign_ids
+    existing = spark.createDataFrame([(5,), (9,)], "ID bigint")
+    new = spark.createDataFrame([(30, "c"), (10, "a"), (20, "b")], "request_id bigint, v string")
+    got = sorted((r.request_id, r.ID) for r in
+                 assign_ids(new, "request_id", existing, "ID", "ID", n_buckets=2).collect())
+    assert got == [(10, 10), (20, 11), (30, 12)]
+    empty = spark.createDataFrame([], "ID bigint")
+    got = sorted(r.ID for r in assign_ids(new, "request_id", empty, "ID", "ID").collect())
+    assert got == [1, 2, 3]
