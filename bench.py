@@ -98,9 +98,15 @@ def workload(spark, sf_dir: str, root: str, timings: dict | None) -> None:
 
 
 def main() -> None:
+    extra = {"spark.driver.memory": os.environ.get("BENCH_MEM", "16g")}
+    if os.environ.get("BENCH_EVENTLOG"):
+        # stage/task times for tools/stage_times.py, written to a scratch folder
+        import tempfile
+        log_dir = tempfile.mkdtemp(prefix="bench-events-", dir=os.environ.get("TMPDIR", "/tmp"))
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir})
+        print(f"event log: {log_dir}", file=sys.stderr)
     spark = build_session(master=f"local[{CPUS}]", shuffle_partitions=CPUS,
-                          app_name="marquee-bench",
-                          extra={"spark.driver.memory": os.environ.get("BENCH_MEM", "16g")})
+                          app_name="marquee-bench", extra=extra)
     if os.path.isdir(WARMUP_DIR) and os.path.abspath(SF_DIR) != os.path.abspath(WARMUP_DIR):
         workload(spark, WARMUP_DIR, scratch_dir(spark, "bench-warmup"), None)
     best: dict = {}
