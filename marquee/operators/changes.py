@@ -23,6 +23,7 @@ from pyspark.sql.types import (DecimalType, IntegerType, LongType, StringType, S
 from marquee.functions.semantics import clean_money, split_pair
 
 KEY_CHANGE_ERROR = "key change"
+KEY_CONFLICT_ERROR = "key change conflict"
 UNKNOWN_PROPERTY_ERROR = "unknown property"
 BAD_VALUE_ERROR = "invalid value"
 BAD_PAIR_ERROR = "invalid pair"
@@ -197,8 +198,8 @@ def _overlay(base_cols: dict, prefix: str, schema: StructType, key: str) -> list
     return out
 
 
-def apply_changes(snapshot: DataFrame, log: DataFrame, key: str = "ID",
-                  schema: StructType | None = None) -> tuple[DataFrame, DataFrame]:
+def _fold(snapshot: DataFrame, log: DataFrame, key: str = "ID",
+          schema: StructType | None = None) -> tuple[DataFrame, DataFrame]:
     """Fold an ordered log of inserts, updates and deletes
     (``seq, op, key, property, new_value, row``) into a snapshot.
 
@@ -263,6 +264,52 @@ def apply_changes(snapshot: DataFrame, log: DataFrame, key: str = "ID",
     return from_snapshot.unionByName(from_log), rejects
 
 
+def apply_changes(snapshot: DataFrame, log: DataFrame, key: str = "ID",
+                  schema: StructType | None = None) -> tuple[DataFrame, DataFrame]:
+    """Fold an ordered change log (``seq, op, key, property, new_value,
+    row``) into a snapshot: inserts, updates and deletes as in
+    :func:`_fold`, plus key changes (``update`` of the key property).
+
+    A key change ``k -> k'`` at ``seq r`` is exact to apply after the rest
+    of the batch when nothing after ``r`` touches ``k``, nothing in the
+    batch touches ``k'``, ``k`` is renamed once and is no other rename's
+    target. Those are applied at the end (a rename onto a live key fails
+    like a duplicate-key error); the others -- chains, renames followed by
+    more edits of the same key -- are rejected as ``key change conflict``
+    so that the batch can be split at them.
+    Returns (snapshot, rejects(seq, reason))."""
+    schema = schema or snapshot.schema
+    log = log.where(F.col("key").isNotNull())
+    is_rename = (F.col("op") == "update") & (F.col("property") == key)
+    folded, rejects = _fold(snapshot, log.where(~is_rename), key, schema)
+    renames = log.where(is_rename).select(
+        "seq", "key", "new_value",
+        _typed(F.col("new_value"), schema[key].dataType).alias("_new"))
+    # every reference to a key: each row's own key, and each rename's target
+    refs = (log.select(F.col("key").alias("_k"), "seq")
+            .unionByName(renames.where(F.col("_new").isNotNull())
+                         .select(F.col("_new").cast(log.schema["key"].dataType).alias("_k"), "seq")))
+    per_key = refs.groupBy("_k").agg(F.max("seq").alias("_last"), F.count(F.lit(1)).alias("_refs"))
+    per_source = renames.groupBy(F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("_renames"))
+    targets = renames.where(F.col("_new").isNotNull()).select(
+        F.col("_new").cast(log.schema["key"].dataType).alias("_k"), F.lit(True).alias("_is_target"))
+    src = per_key.join(per_source, "_k", "left").join(targets.distinct(), "_k", "left")
+    checked = (renames
+               .join(src.select(F.col("_k").alias("key"), "_last", "_renames", "_is_target"),
+                     "key", "left")
+               .join(per_key.select(F.col("_k").alias("_tk"), F.col("_refs").alias("_t_refs")),
+                     F.col("_new").cast(log.schema["key"].dataType) == F.col("_tk"), "left"))
+    exact = (F.col("_new").isNotNull() & (F.col("_last") == F.col("seq"))
+             & (F.col("_renames") == 1) & F.col("_is_target").isNull()
+             & (F.col("_t_refs") == 1))
+    good = checked.where(exact).select("seq", "key", "new_value")
+    conflict = checked.where(~exact).select(
+        "seq", F.when(F.col("_new").isNull(), F.lit(BAD_VALUE_ERROR))
+        .otherwise(F.lit(KEY_CONFLICT_ERROR)).alias("reason"))
+    out, rename_rejects = rename_keys(folded, good, key)
+    return out, rejects.unionByName(conflict).unionByName(rename_rejects)
+
+
 # ------------------------------------------------------------------ cascades
 
 def delete_purchases(purchase: DataFrame, ticket: DataFrame, purchase_ids: DataFrame) \

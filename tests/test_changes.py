@@ -56,8 +56,28 @@ def test_fold_rules(spark, distributers):
     ])
     out, rejects = ch.apply_changes(distributers, log)
     assert rows(out) == [(1, "A1", "x"), (2, "B3", "yy"), (9, "n9", "L9")]
+    # seq 11 renames key 1, but key 1 is touched again afterwards: not exact
     assert sorted((r.seq, r.reason) for r in rejects.collect()) == [
-        (11, ch.KEY_CHANGE_ERROR), (12, ch.UNKNOWN_PROPERTY_ERROR), (13, "unknown op")]
+        (11, ch.KEY_CONFLICT_ERROR), (12, ch.UNKNOWN_PROPERTY_ERROR), (13, "unknown op")]
+
+
+def test_fold_with_key_changes(spark, distributers):
+    log = log_df(spark, [
+        (1, "update", 1, "name", "A1", None),
+        (2, "update", 1, "ID", "7", None),                  # moves the edited row 1 to 7
+        (3, "update", 2, "ID", "3", None),                  # 3 is live: duplicate key, no-op
+        (4, "insert", 8, None, None, (8, "h", "w")),
+        (5, "update", 8, "ID", "9", None),                  # insert then move
+        (6, "update", 4, "ID", "5", None),                  # 4 does not exist: no-op
+        (7, "insert", 10, None, None, (10, "t", "u")),
+        (8, "update", 10, "ID", "11", None),                # chain 10 -> 11 -> 12: rejected
+        (9, "update", 11, "ID", "12", None),
+    ])
+    out, rejects = ch.apply_changes(distributers, log)
+    assert rows(out) == [(2, "b", "y"), (3, "c", "z"), (7, "A1", "x"), (9, "h", "w"),
+                         (10, "t", "u")]
+    assert sorted((r.seq, r.reason) for r in rejects.collect()) == [
+        (3, ch.KEY_CHANGE_ERROR), (8, ch.KEY_CONFLICT_ERROR), (9, ch.KEY_CONFLICT_ERROR)]
 
 
 def test_fold_in_two_batches_equals_one(spark):
