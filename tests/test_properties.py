@@ -13,7 +13,7 @@ from marquee.operators.keys import dense_rank_by
 
 PREFIX = re.compile(r"^[ \t\n\r\f\v]*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)", re.ASCII)
 LIMIT = Decimal(9999999999)
-SETTINGS = settings(max_examples=15, deadline=None,
+SETTINGS = settings(max_examples=10, deadline=None,
                     suppress_health_check=[HealthCheck.function_scoped_fixture,
                                            HealthCheck.too_slow])
 
@@ -155,7 +155,7 @@ _req = st.tuples(st.sampled_from(["Ann", "Bo", "Cy"]),
                  st.sampled_from(["General", "VIP", "general", "Select Ticket Type"]))
 
 
-@settings(max_examples=8, deadline=None,
+@settings(max_examples=6, deadline=None,
           suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
 @given(st.lists(_req, max_size=25), st.randoms(use_true_random=False))
 def test_intake_matches_sequential_model(spark, raw, rnd):
@@ -216,7 +216,9 @@ entries_with_renames = st.tuples(
     st.sampled_from(["name", "location"]), st.sampled_from(["a", "b", "c"]), st.integers(0, 7))
 
 
-@SETTINGS
+@settings(max_examples=6, deadline=None,
+          suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow,
+                                 HealthCheck.filter_too_much])
 @given(st.sets(st.integers(0, 6)), st.lists(entries_with_renames, max_size=12))
 def test_fold_with_key_changes_is_exact_when_accepted(spark, live, raw_log):
     snapshot = {k: {"name": f"n{k}", "location": f"l{k}"} for k in live}
