@@ -302,12 +302,26 @@ def apply_changes(snapshot: DataFrame, log: DataFrame, key: str = "ID",
     exact = (F.col("_new").isNotNull() & (F.col("_last") == F.col("seq"))
              & (F.col("_renames") == 1) & F.col("_is_target").isNull()
              & (F.col("_t_refs") == 1))
-    good = checked.where(exact).select("seq", "key", "new_value")
+    key_type = schema[key].dataType
+    good = checked.where(exact).select("seq", F.col("key").alias("_old"),
+                                       F.col("_new").cast(key_type).alias("_new"))
     conflict = checked.where(~exact).select(
         "seq", F.when(F.col("_new").isNull(), F.lit(BAD_VALUE_ERROR))
         .otherwise(F.lit(KEY_CONFLICT_ERROR)).alias("reason"))
-    out, rename_rejects = rename_keys(folded, good, key)
-    return out, rejects.unionByName(conflict).unionByName(rename_rejects)
+    # the batch never touches an exact rename's new key, so it is live at the
+    # end iff the snapshot holds it (a key-column check, not a pass over the
+    # fold); such renames fail like a duplicate-key error
+    snap_keys = snapshot.select(F.col(key).cast(key_type).alias("_new"))
+    clash = good.join(snap_keys, "_new", "left_semi")
+    moves = good.join(snap_keys, "_new", "left_anti")
+    # one left join of the fold with the (small) moves: a row whose key is
+    # renamed takes the new key; an old key that is not live has no row
+    moved = (folded.join(moves.select(F.col("_old").cast(key_type).alias("_old"), "_new"),
+                         folded[key] == F.col("_old"), "left")
+             .withColumn(key, F.coalesce(F.col("_new"), F.col(key)).cast(key_type))
+             .select(*folded.columns))
+    return moved, (rejects.unionByName(conflict)
+                   .unionByName(clash.select("seq", F.lit(KEY_CHANGE_ERROR).alias("reason"))))
 
 
 # ------------------------------------------------------------------ cascades
