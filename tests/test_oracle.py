@@ -7,12 +7,13 @@ import os
 
 import pytest
 
-import __spark_entry__ as entry_mod
+from marquee import oracle
+from marquee.plans import registry
 from harness import compare, duck
 
 SFS = ["/root/testdata/sf0.01", "/root/testdata/sf0.001"]
-QUERIES = entry_mod.queries()
-SQL = entry_mod.oracle_sql()
+QUERIES = registry.queries()
+SQL = oracle.all_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SFS[0]), reason="driver test data missing")
 
