@@ -7,23 +7,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import langid, simhash, token_counts
+from marquee.llm import decontamination, langid, licenses, mixing, quality, revisits, secrets, simhash, token_counts, toxicity
 from marquee.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _on_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"))
+def _on(operator: Callable[..., DataFrame], *names: str) -> Query:
+    return lambda spark, sf_dir: operator(*[table(spark, sf_dir, n) for n in names])
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
     return {
-        "op2_language_id": _on_documents(langid.identify),
-        "op5_token_counts": _on_documents(token_counts.count_tokens),
-        "op9_simhash": _on_documents(simhash.report),
+        "op1_license_scan": _on(licenses.scan, "documents"),
+        "op2_language_id": _on(langid.identify, "documents"),
+        "op3_warc_revisits": _on(revisits.report, "pages"),
+        "op4_secret_scan": _on(secrets.report, "documents"),
+        "op5_token_counts": _on(token_counts.count_tokens, "documents"),
+        "op6_toxicity": _on(toxicity.score, "documents", "labels"),
+        "op7_decontamination": _on(decontamination.report, "documents", "benchmark"),
+        "op8_quality_rules": _on(quality.judged, "documents"),
+        "op9_simhash": _on(simhash.report, "documents"),
+        "op10_mixing": _on(mixing.report, "documents", "labels"),
+        "pipeline": _pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc_revisits": revisits.ORACLE}
