@@ -27,6 +27,23 @@ class Lexer:
     def __init__(self):
         self.number: dict[str, int] = {}
         self.hashes, self.kinds, self.capital, self.ends = [], [], [], []
+        self._arrays, self._room, self._filled = None, None, 0
+
+    def _grow(self) -> None:
+        """Bring the arrays up to the lists; room doubles, so this costs little per new word."""
+        n = len(self.hashes)
+        lists = (self.hashes, self.kinds, self.capital, self.ends)
+        kinds = (np.uint64, np.int8, bool, bool)
+        if self._room is None or len(self._room[0]) < n:
+            old = self._room
+            self._room = [np.zeros(max(1024, 2 * n), dtype=k) for k in kinds]
+            if old:
+                for new, a in zip(self._room, old, strict=True):
+                    new[:self._filled] = a[:self._filled]
+        for a, values in zip(self._room, lists, strict=True):
+            a[self._filled:n] = values[self._filled:n]
+        self._filled = n
+        self._arrays = [a[:n] for a in self._room]
 
     def _add(self, raw: str) -> None:
         import xxhash
@@ -51,13 +68,14 @@ class Lexer:
             return [], empty, empty, empty.astype(bool), empty.astype(bool)
         at = list(map(self.number.get, raw))
         if None in at:
-            for w in set(raw) - self.number.keys():
-                self._add(w)
+            for w in set(raw):
+                if w not in self.number:
+                    self._add(w)
             at = list(map(self.number.__getitem__, raw))
-        hashes = np.array([self.hashes[i] for i in at], dtype=np.uint64)
-        kinds = np.array([self.kinds[i] for i in at], dtype=np.int8)
-        capital = np.array([self.capital[i] for i in at], dtype=bool)
-        ends = np.array([self.ends[i] for i in at], dtype=bool)
+        if self._arrays is None or len(self._arrays[0]) < len(self.hashes):
+            self._grow()
+        place = np.array(at, dtype=np.int64)
+        hashes, kinds, capital, ends = (a[place] for a in self._arrays)
         first = np.concatenate(([True], ends[:-1]))
         keep = hashes != 0
         if not keep.all():
