@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.common import let, stored
-from marquee.llm.quality import CAPITALS, SPACES, SYMBOLS, removed, words
+from marquee.llm.quality import CAPITALS, SYMBOLS, occurrences
 
 FIT_ROWS = 3000
 #: Learned words (and 5-letter word beginnings) per domain.
@@ -53,40 +53,45 @@ def _bin(x: Column, step: float) -> Column:
     return F.least(F.greatest(F.floor(F.coalesce(x, F.lit(0.0)) / step), F.lit(0)), F.lit(BINS - 1)).cast("int")
 
 
+def tokens(text: Column) -> Column:
+    """Lower-case words of a text, cut at white space and sentence punctuation."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D.,;:!?]+"), "")
+
+
 def style_and_words(text: Column, lists: list[list[str]]) -> Column:
-    """Struct of ``n`` (words) and ``bins``: one bin number per style ratio,
+    """Struct of ``n`` (tokens) and ``bins``: one bin number per style ratio,
     then per list how many of its words (``=word``) or beginnings occur."""
     text = F.coalesce(text, F.lit(""))
+    whole = [[e[1:] for e in entries if e[0] == "="] for entries in lists]
+    begin = [[e for e in entries if e[0] != "="] for entries in lists]
+
+    def among(d: Column, groups: list[list[str]]) -> Column:
+        known = sorted({e for g in groups for e in g})
+        return F.array_intersect(d, F.array(*map(F.lit, known))) if known else F.array().cast("array<string>")
 
     def of(w: Column) -> Column:
         n = F.greatest(F.size(w), F.lit(1))
-        chars = F.greatest(F.length(text) - removed(text, SPACES), F.lit(1))
+        chars = F.greatest(F.length(text) - n, F.lit(1))
 
         def counted(d: Column) -> Column:
-            style = [_bin(F.log2(n), 1.0), _bin(chars / n, 0.5), _bin(removed(text, SYMBOLS) / n, 0.1),
-                     _bin(removed(text, CAPITALS) / chars, 0.05), _bin(F.size(d) / n, 0.05),
-                     _bin(removed(text, "\n") / n, 0.01)]
-            hits = []
-            starts = F.transform(d, lambda x: F.left(x, F.lit(5)))
-            for entries in lists:
-                whole = [e[1:] for e in entries if e[0] == "="]
-                begin = [e for e in entries if e[0] != "="]
-                n_hits = F.lit(0)
-                if whole:
-                    n_hits = n_hits + F.size(F.array_intersect(d, F.array(*map(F.lit, whole))))
-                if begin:
-                    n_hits = n_hits + F.size(F.array_intersect(starts, F.array(*map(F.lit, begin))))
-                hits.append(F.least(n_hits, F.lit(BINS - 1)).cast("int"))
-            return F.struct(F.size(w).cast("bigint").alias("n"), F.array(*style, *hits).alias("bins"))
+            style = [_bin(F.log2(n), 1.0), _bin(chars / n, 0.5), _bin(occurrences(text, SYMBOLS) / n, 0.1),
+                     _bin(occurrences(text, CAPITALS) / chars, 0.05), _bin(F.size(d) / n, 0.05),
+                     _bin(occurrences(text, "\n") / n, 0.01)]
+            hits = let(among(d, whole), lambda x: let(among(F.transform(d, lambda v: F.left(v, F.lit(5))), begin), lambda y: F.array(*[
+                F.least(F.size(among(x, [g])) + F.size(among(y, [b])), F.lit(BINS - 1)).cast("int") for g, b in zip(whole, begin, strict=True)])))
+            bins = F.concat(F.array(*style), hits) if lists else F.array(*style)
+            return F.struct(F.size(w).cast("bigint").alias("n"), bins.alias("bins"))
 
-        return let(F.array_distinct(_bare(w)), counted)
+        return let(F.array_distinct(w), counted)
 
-    return let(words(text), of)
+    return let(tokens(text), of)
 
 
-def _bare(w: Column) -> Column:
-    """Lower-case words without the punctuation at their end."""
-    return F.transform(w, lambda x: F.rtrim(F.lower(x), F.lit(".,;:!?")))
+def _doubles(values: list) -> Column:
+    """A constant (nested) array of doubles."""
+    def text(v: list | float) -> str:
+        return f"array({', '.join(map(text, v))})" if isinstance(v, list) else f"{v!r}D"
+    return F.expr(text(values))
 
 
 @dataclass
@@ -104,7 +109,7 @@ class Classifier:
             for d in range(len(self.domains)):
                 total = F.lit(self.priors[d])
                 for f, table in enumerate(self.tables):
-                    total = total + F.get(F.array(*map(F.lit, table[d])), F.get(s["bins"], F.lit(f)))
+                    total = total + F.get(_doubles(table[d]), F.get(s["bins"], F.lit(f)))
                 scores.append(total)
             return let(F.array(*scores), lambda x: let(
                 F.transform(x, lambda v: F.exp(v - F.array_max(x))), lambda e: F.struct(
@@ -137,7 +142,7 @@ def learn(docs: DataFrame, labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Cla
 def domain_words(sample: DataFrame, domains: list[str], sizes: dict[str, int], most: int = DOMAIN_WORDS) -> list[list[str]]:
     """Per domain the words and beginnings that occur in far more of its
     documents than of the others'."""
-    bare = F.array_distinct(_bare(words(F.col("text"))))
+    bare = F.array_distinct(tokens(F.col("text")))
     keys = F.array_distinct(F.concat(F.transform(bare, lambda x: F.concat(F.lit("="), x)),
                                      F.transform(F.filter(bare, lambda x: F.length(x) > 5), lambda x: F.left(x, F.lit(5)))))
     per = sample.select("domain", F.explode(keys).alias("key")).groupBy("key").agg(
@@ -163,14 +168,14 @@ class Plan:
     steps: list[list[float]] = field(default_factory=list)
     reached: list[float] = field(default_factory=list)
 
-    def rate(self, p: Column, at_guess: bool = False) -> Column:
-        """A document's rate: its start, 1, taken through all projected steps
-        (``at_guess``: the point ahead of it where the next gradient is taken)."""
-        if not self.steps:
-            return F.lit(1.0)
-        history = F.array(*[F.array(*map(F.lit, v)) for v in self.steps])
+    def rate(self, p: Column) -> Column:
+        """A document's rate: its start, 1, taken through all projected steps."""
+        return self.state(p)["r"]
+
+    def state(self, p: Column) -> Column:
+        """The rate ``r`` and the guess ``y`` ahead of it where the next gradient is taken."""
         start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
-        return F.aggregate(history, start, lambda s, v: self._step(p, s, v))["y" if at_guess else "r"]
+        return F.aggregate(_doubles(self.steps), start, lambda s, v: self._step(p, s, v)) if self.steps else start
 
     def _step(self, p: Column, s: Column, v: Column) -> Column:
         """One projected step: ``v`` holds the weighted residual per domain and
@@ -180,13 +185,14 @@ class Plan:
             r.alias("r"), (r + F.element_at(v, -1) * (r - s["r"])).alias("y")))
 
 
-def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], fit_rows: int = FIT_ROWS,
-        iterations: int = ITERATIONS) -> Plan | None:
-    classifier = learn(docs, labelled, fit_rows)
-    if classifier is None:
-        return None
-    cells = stored(docs.select(classifier.posterior(F.col("text")).alias("s")).select("s.n", "s.p")
-                   .groupBy("p").agg(F.sum("n").alias("n")), "posterior-cells")
+def scores(docs: DataFrame, classifier: Classifier, columns: list[str]) -> DataFrame:
+    """``columns`` with the token count ``n`` and the posterior ``p``."""
+    return docs.select(*columns, classifier.posterior(F.col("text")).alias("s")).select(*columns, "s.n", "s.p")
+
+
+def fit(classifier: Classifier, scored: DataFrame, targets: dict[str, float], iterations: int = ITERATIONS) -> Plan:
+    """Rates for the documents whose ``n`` and ``p`` are given."""
+    cells = stored(scored.groupBy("p").agg(F.sum("n").alias("n")), "posterior-cells")
     k = len(classifier.domains)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     moments = cells.agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col("p")[i] * F.col("p")[j]) for i, j in pairs]).first()
@@ -201,8 +207,8 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], fit_row
     wanted = np.array(plan.targets)
     pace = 1.0
     for _ in range(iterations):  # accelerated: the gradient is taken a little ahead of the rates
-        ends = cells.select("n", "p", plan.rate(F.col("p")).alias("r"), plan.rate(F.col("p"), True).alias("y"))
-        sums = ends.agg(*[F.sum(F.col("n") * F.col(x) * F.col("p")[i]) for x in ("r", "y") for i in range(k)]).first()
+        ends = cells.select("n", "p", plan.state(F.col("p")).alias("s"))
+        sums = ends.agg(*[F.sum(F.col("n") * F.col(f"s.{x}") * F.col("p")[i]) for x in "ry" for i in range(k)]).first()
         plan.reached = [v / total for v in sums[:k]]
         if max(abs(a - b) for a, b in zip(plan.reached, plan.targets, strict=True)) < TOLERANCE:
             break
@@ -218,29 +224,34 @@ def _named(name: str, taken: list[str]) -> str:
     return name
 
 
-def rated(docs: DataFrame, plan: Plan | None, columns: list[str]) -> DataFrame:
-    """``columns`` of ``docs`` with its token count, rate and number of copies
-    (the rate's whole part, and one more with the probability of the rest, drawn
-    by a hash of the id)."""
-    kept = F.struct(*[F.col(c) for c in columns]).alias("row")
-    n_name, r_name, c_name = (_named(n, columns) for n in ("n_tokens", "rate", "copies"))
-    if plan is None:
-        s = F.struct(F.size(words(F.col("text"))).cast("bigint").alias("n"), F.array().cast("array<double>").alias("p"))
-        rate = F.lit(1.0)
-    else:
-        s, rate = plan.classifier.posterior(F.col("text")), plan.rate(F.col("s.p"))
-    draw = F.pmod(F.xxhash64(F.col("row.doc_id"), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
-    rows = docs.select(kept, s.alias("s")).select("row", "s.n", F.round(rate, 6).alias("r"))
-    copies = (F.floor("r") + (draw < F.col("r") - F.floor("r")).cast("bigint")).cast("bigint")
-    return rows.select("row.*", F.col("n").alias(n_name), F.col("r").alias(r_name), copies.alias(c_name))
+def _copies(rate: Column, doc_id: Column) -> Column:
+    """The rate's whole part, and one more with the probability of the rest."""
+    draw = F.pmod(F.xxhash64(doc_id, F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
+    return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("bigint")).cast("bigint")
 
 
 def report(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """Per document: tokens, rate and copies."""
-    return rated(docs, fit(docs, label_domains(labels), targets), ["doc_id"])
+    """Per document: tokens, rate and copies (drawn by a hash of the id)."""
+    classifier = learn(docs, label_domains(labels))
+    if classifier is None:
+        out = docs.select("doc_id", F.size(tokens(F.col("text"))).cast("bigint").alias("n_tokens"), F.lit(1.0).alias("rate"))
+    else:
+        scored = stored(scores(docs, classifier, ["doc_id"]), "mix-scores")
+        plan = fit(classifier, scored, targets)
+        out = scored.select("doc_id", F.col("n").alias("n_tokens"), F.round(plan.rate(F.col("p")), 6).alias("rate"))
+    return out.select("*", _copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """The documents with at least one copy, each with its rate and copies."""
-    out = rated(docs, fit(docs, label_domains(labels), targets), docs.columns)
-    return out.where(F.col(out.columns[-1]) > 0)
+    classifier = learn(docs, label_domains(labels))
+    r_name, c_name = _named("rate", docs.columns), _named("copies", docs.columns)
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    if classifier is None:
+        rows = docs.select(row, F.lit(1.0).alias("r"))
+    else:
+        plan = fit(classifier, scores(docs, classifier, []), targets)
+        rows = docs.select(row, classifier.posterior(F.col("text")).alias("s")).select(
+            "row", F.round(plan.rate(F.col("s.p")), 6).alias("r"))
+    out = rows.select("row.*", F.col("r").alias(r_name), _copies(F.col("r"), F.col("row.doc_id")).alias(c_name))
+    return out.where(F.col(c_name) > 0)

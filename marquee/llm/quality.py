@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from marquee.llm.common import let, stored
 
 SPACES = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SYMBOLS = "[#*$%&|<>]"
+CAPITALS = "[A-Z]"
 WIDTH = 6.0
 LEAST_ROWS = 100
 SKETCH_K = 400
@@ -39,9 +39,8 @@ def words(text: Column) -> Column:
     return F.when(F.length(bare) > 0, F.split(bare, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
 
 
-def removed(text: Column, chars: str) -> Column:
-    """How many characters of ``text`` are among ``chars``."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def occurrences(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("bigint")
 
 
 def repeat_words(w: Column) -> Column:
@@ -90,11 +89,11 @@ def measures(text: Column) -> Column:
         lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
         return let(let(lines, of_lines), lambda ln: F.struct(
             F.size(w).cast("bigint").alias("n_words"),
-            (F.length(text) - removed(text, SPACES)).cast("bigint").alias("word_chars"),
-            removed(text, SYMBOLS).cast("bigint").alias("n_symbols"),
+            F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
+            occurrences(text, SYMBOLS).alias("n_symbols"),
             ln["dup"].cast("bigint").alias("n_dup_lines"),
             repeat_words(w).cast("bigint").alias("n_repeat_words"),
-            removed(text, CAPITALS).cast("bigint").alias("n_capitals"),
+            occurrences(text, CAPITALS).alias("n_capitals"),
             ln["lines"].cast("bigint").alias("n_lines")))
 
     return let(words(text), of_words)
