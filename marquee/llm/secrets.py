@@ -44,9 +44,10 @@ ALPHABET = 68  # symbols of a candidate
 SAMPLE, LONGEST, FEWEST = 400, 200, 20
 #: Significance of the merge test.
 MERGE_ALPHA = 0.05
-#: Share of labelled credentials that may fall short of the margin, and the
-#: least margin in nats per character.
-MISSED, LEAST_MARGIN = 0.02, 0.35
+#: The margin, in nats per character, stands a ``SLACK`` share of the way from
+#: the gain that all but ``MISSED`` of the held-back credentials reach towards the
+#: gain that a ``USUAL`` share of ordinary tokens stays under, never below the least.
+MISSED, USUAL, SLACK, LEAST_MARGIN = 0.02, 0.95, 0.25, 0.35
 REDACTED = "[SECRET]"
 
 
@@ -220,8 +221,9 @@ def build(drawn: dict[int, list[str]]) -> Model:
     fitted = {k: [v for i, v in enumerate(vs) if i % 4] for k, vs in labelled.items()}
     held = [v for vs in labelled.values() for v in vs[::4]]
     model = Model([Grammar(vs) for vs in fitted.values()], Grammar(ordinary))
-    gains = sorted(model.gain(v) for v in held)
-    model.margin = max(LEAST_MARGIN, gains[int(MISSED * len(gains))])
+    gains, usual = sorted(map(model.gain, held)), sorted(map(model.gain, ordinary))
+    low, high = gains[int(MISSED * len(gains))], usual[int(USUAL * (len(usual) - 1))]
+    model.margin = max(LEAST_MARGIN, low - SLACK * max(0.0, low - high))
     return model
 
 

@@ -1,0 +1,103 @@
+"""Language id, toxicity and secrets: held-out accuracy, grammar paths, hard rows."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+from marquee.llm import langid, secrets, toxicity
+from marquee.llm.common import train_fold
+from pyspark.sql import functions as F
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(got) > 100 and np.mean([r.lang_pred == r.lang for r in got]) > 0.97
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_language_hard_rows(make_docs, hard_rows):
+    docs = make_docs(hard_rows, extra=True)
+    got = {(r.doc_id, r.lang_pred, r.score == 0) for r in langid.identify(docs).collect()}
+    assert {(1, "und", True), (2, "und", True), (3, "und", True), (7, "und", True)} <= got
+    kept = langid.recognised(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {4, 5, 6, 8, None}
+    assert langid.identify(make_docs([])).count() == 0 and langid.recognised(make_docs([])).count() == 0
+    unlabelled = make_docs([(1, "words", None, "s")])
+    assert [tuple(r)[2:] for r in langid.identify(unlabelled).collect()] == [("und", 0.0)]
+
+
+def test_fold_never_reads_a_held_out_label(make_docs):
+    ids = make_docs([(i, "x") for i in range(100)]).select("doc_id", train_fold(F.col("doc_id")).alias("t")).collect()
+    import zlib
+    assert all(r.t == (zlib.crc32(str(r.doc_id).encode()) % 5 != 0) for r in ids)
+
+
+def test_toxicity_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score(docs, labels).join(labels, "doc_id").where("held_out AND toxic IS NOT NULL").collect()
+    hits = sum(r.predicted and r.toxic for r in got)
+    assert hits / sum(r.toxic for r in got) > 0.8 and hits / max(1, sum(r.predicted for r in got)) > 0.9
+
+
+def test_toxic_grammar_marks():
+    m = toxicity.Model({"=idiot": 3.0})
+    at = {k: i for i, k in enumerate(toxicity.FEATURES)}
+    of = lambda s: m.totals(s)
+    assert of("an idiot.")[at["plain"]] == 3 and of("you are an idiot.")[at["aimed"]] == 3
+    assert of("he is not an idiot.")[at["negated"]] == 3 and of("she said that this idiot left.")[at["reported"]] == 3
+    assert of("not now. an idiot.")[at["plain"]] == 3  # a clause's end ends a negation's reach
+    assert of("I will tell you what to kill")[at["threat"]] == 1 and of("kill time")[at["threat"]] == 0
+    assert of(None) == of("") == [0.0] * len(toxicity.FEATURES)
+
+
+def test_toxicity_hard_rows(spark, make_docs, hard_rows):
+    labels = spark.createDataFrame([(5, 1), (6, 0), (5, 0), (None, 1), (4, None)], "doc_id bigint, toxic int")
+    got = toxicity.score(make_docs(hard_rows, extra=True), labels).collect()
+    assert len(got) == len(hard_rows) and all(0 <= r.score <= 1 for r in got)
+    none = toxicity.score(make_docs(hard_rows), labels.limit(0)).collect()
+    assert all(r.score == 0 and r.predicted == 0 for r in none)
+
+
+def slow_base(text):
+    out = []
+    assign = r"""((?:p|P)(?:a|A)(?:s|S)(?:s|S)(?:(?:w|W)(?:o|O)(?:r|R)(?:d|D)|(?:w|W)(?:d|D))|(?:s|S)(?:e|E)(?:c|C)(?:r|R)(?:e|E)(?:t|T)|(?:t|T)(?:o|O)(?:k|K)(?:e|E)(?:n|N)|(?:a|A)(?:p|P)(?:i|I)_?(?:k|K)(?:e|E)(?:y|Y))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    out += [(m.start(), 0, m.end()) for m in re.finditer(assign, text) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def test_secret_base_spans():
+    rnd = random.Random(2)
+    parts = ["password", "PassWd", "api_key", "apikey", "ſecret", "secret", "token", "=", ":", " ", "\"", "'", "abcdef0123456789",
+             "AKIA", "AKIAABCDEFGHIJKLMN", "short", "ABCDEFabcdefGH12", "é", "\n", "toKen"]
+    for _ in range(3000):
+        s = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14)))
+        assert [x[:3] for x in secrets.base_spans(s)] == slow_base(s), s
+
+
+def test_secret_grammar_finds_unlabelled_values(make_docs):
+    rnd, rows = random.Random(4), []
+    hexes = lambda n: "".join(rnd.choice("0123456789ABCDEF") for _ in range(n))
+    word = lambda: "".join(rnd.choice(("electro", "ation", "ally", "counter", "revol", "tion", "inter", "ment")) for _ in range(5))
+    for i in range(200):
+        rows.append((i, f"some words token = T{hexes(31)} and then {word()} of {word()}"))
+    rows.append((900, f"a key T{hexes(31)} without its name"))
+    rows.append((901, "an interdisciplinaryapproach of unquestionablelength"))
+    got = {r.doc_id: r for r in secrets.report(make_docs(rows)).collect()}
+    assert got[900].spans == "format:6:38" and got[901].spans == "" and got[0].n_assign == 1
+    kept = {r.doc_id: r for r in secrets.redact(make_docs(rows, extra=True)).collect()}
+    assert len(kept) == len(rows) and kept[900].text == "a key [SECRET] without its name" and kept[900].n_chars == len(kept[900].text)
+    assert kept[901].text == rows[-1][1]
+
+
+def test_secret_hard_rows(make_docs, hard_rows):
+    got = secrets.report(make_docs(hard_rows, extra=True)).collect()
+    assert len(got) == len(hard_rows) and {r.base_sha256 for r in got} == {hashlib.sha256(b"").hexdigest()}
+    docs = make_docs(hard_rows, extra=True)
+    assert sorted(map(str, secrets.redact(docs).collect())) == sorted(map(str, docs.collect()))
+    assert secrets.report(make_docs([])).count() == 0 and secrets.redact(make_docs([])).count() == 0
