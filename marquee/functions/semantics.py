@@ -46,7 +46,7 @@ def _digit_ranges() -> str:
 
 # The form's phone rule: ten characters that are all digits in the sense of
 # Python's str.isdigit (decimal digits of any script plus numeric-type Digit).
-PHONE_PATTERN = "^[\\p{Nd}" + _digit_ranges() + "]{10}$"
+PHONE_PATTERN = "^[\\p{Nd}" + _digit_ranges() + "]{10}\\z"
 # Collation used for text equality and text grouping keys.
 CI_COLLATION = "UNICODE_CI_AI"
 

@@ -15,18 +15,22 @@ no per-key window and no collect.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (DecimalType, IntegerType, LongType, StringType, StructType,
                                TimestampNTZType)
 
 from marquee.functions.semantics import clean_money, split_pair
+from marquee.session import scratch_dir
 
 KEY_CHANGE_ERROR = "key change"
 KEY_CONFLICT_ERROR = "key change conflict"
 UNKNOWN_PROPERTY_ERROR = "unknown property"
 BAD_VALUE_ERROR = "invalid value"
 BAD_PAIR_ERROR = "invalid pair"
+NO_KEY_ERROR = "missing key"
 
 
 def _keys(key) -> list[str]:
@@ -138,28 +142,81 @@ def update_property(snapshot: DataFrame, changes: DataFrame, key: str = "ID",
 
 def rename_keys(snapshot: DataFrame, renames: DataFrame, key: str = "ID") \
         -> tuple[DataFrame, DataFrame]:
-    """Key changes (``SET ID = <new> WHERE ID = <old>``) of one batch: the
-    first rename of a key applies; a rename onto a live key, or two renames
-    onto one new key, fail like a duplicate-key error."""
+    """Key changes (``SET ID = <new> WHERE ID = <old>``), with the result of
+    applying them one by one by ``seq``: a rename of an absent key is a no-op,
+    a rename onto a live key fails like a duplicate-key error, chains and
+    retries after a failure take effect.
+
+    Works in rounds over the keys that the batch names. A rename is out when
+    its old key is empty and no earlier open rename leads to it, or its new key
+    is taken and no earlier open rename leads away from it; one that holds the
+    smallest open ``seq`` of both its keys is then applied. Renames of separate
+    keys share a round, so rounds follow the longest chain of applied renames.
+    Returns (snapshot, rejects(seq, reason))."""
     dtype = dict((f.name, f.dataType) for f in snapshot.schema.fields)[key]
-    typed = renames.select("seq", F.col("key").alias("_old"),
-                           _typed(F.col("new_value"), dtype).alias("_new"))
-    firsts = (typed.where(F.col("_new").isNotNull()).groupBy("_old")
-              .agg(F.min_by("_new", "seq").alias("_new"), F.min("seq").alias("seq")))
-    live = firsts.join(snapshot.select(F.col(key).alias("_old")), "_old", "left_semi")
-    clash_live = live.join(snapshot.select(F.col(key).alias("_new")), "_new", "left_semi")
-    dup_target = live.groupBy("_new").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    good = (live.join(clash_live.select("_old"), "_old", "left_anti")
-            .join(dup_target.select("_new"), "_new", "left_anti"))
-    out = (snapshot.join(good.select(F.col("_old").alias(key), "_new"), key, "left")
+    typed = _stored(renames.select("seq", F.col("key").alias("old"),
+                                   _typed(F.col("new_value"), dtype).alias("new")))
+    valid = typed.where("old IS NOT NULL AND new IS NOT NULL AND old <> new")
+    named = valid.select(F.col("old").alias("k")).union(valid.select("new")).distinct()
+    # k -> the snapshot key of the row that stands there now, or null
+    state = _stored(named.join(snapshot.select(F.col(key).alias("k"), F.col(key).alias("row")), "k", "left"))
+    opened, applied = valid, []
+    while not opened.isEmpty():
+        seen = opened.select(F.col("old").alias("k"), "seq", F.col("seq").alias("out")) \
+            .unionByName(opened.select(F.col("new").alias("k"), "seq", F.col("seq").alias("into")),
+                         allowMissingColumns=True)
+        first = seen.groupBy("k").agg(F.min("seq").alias("any"), F.min("out").alias("out"),
+                                      F.min("into").alias("into"))
+        keys = _stored(state.join(first, "k"))
+        met = opened.join(keys.select(F.col("k").alias("old"), F.col("row").alias("o_row"),
+                                      F.col("into").alias("o_into"), F.col("any").alias("o_any")), "old") \
+            .join(keys.select(F.col("k").alias("new"), F.col("row").alias("n_row"),
+                              F.col("out").alias("n_out"), F.col("any").alias("n_any")), "new")
+        ruled_out = (F.col("o_row").isNull() & ~F.coalesce(F.col("o_into") < F.col("seq"), F.lit(False))) \
+            | (F.col("n_row").isNotNull() & ~F.coalesce(F.col("n_out") < F.col("seq"), F.lit(False)))
+        ready = ~ruled_out & (F.col("o_any") == F.col("seq")) & (F.col("n_any") == F.col("seq"))
+        judged = _stored(met.select("seq", "old", "new", "o_row", ruled_out.alias("out"), ready.alias("go")))
+        go = judged.where("go")
+        applied.append(go.select("seq", "old", "new"))
+        moved = go.select(F.col("old").alias("k"), F.lit(None).cast(dtype).alias("now")) \
+            .union(go.select("new", "o_row")).withColumn("hit", F.lit(True))
+        state = _stored(state.join(moved, "k", "left").select(
+            "k", F.when(F.col("hit"), F.col("now")).otherwise(F.col("row")).alias("row")))
+        opened = judged.where("NOT go AND NOT out").select("seq", "old", "new")
+    moves = state.where("row IS NOT NULL AND row <> k").select(F.col("row").alias(key), F.col("k").alias("_new"))
+    out = (snapshot.join(moves, key, "left")
            .withColumn(key, F.coalesce(F.col("_new"), F.col(key)).cast(dtype))
            .select(*snapshot.columns))
-    rejects = (typed.where(F.col("_new").isNull()).select("seq")
-               .unionByName(clash_live.select("seq"))
-               .unionByName(live.join(dup_target.select("_new"), "_new", "left_semi")
-                            .select("seq"))
-               .select("seq", F.lit(KEY_CHANGE_ERROR).alias("reason")))
-    return out, rejects
+    return out, _rename_rejects(snapshot, typed, valid, applied, key)
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back (cuts the lineage between rounds)."""
+    path = scratch_dir(df.sparkSession, "renames")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _rename_rejects(snapshot: DataFrame, typed: DataFrame, valid: DataFrame, applied: list[DataFrame],
+                    key: str) -> DataFrame:
+    """Renames without a key or a readable new value, and those that were not
+    applied although a row stood at their old key just before them."""
+    bad = typed.where("old IS NULL OR new IS NULL").select(
+        "seq", F.when(F.col("old").isNull(), F.lit(NO_KEY_ERROR)).otherwise(F.lit(KEY_CHANGE_ERROR)).alias("reason"))
+    if not applied:
+        return bad
+    done = reduce(DataFrame.union, applied)
+    left = valid.join(done.select("seq"), "seq", "left_anti")
+    turns = (done.select("old", "seq", F.lit(False).alias("live"))
+             .union(done.select("new", "seq", F.lit(True))))
+    # the last applied rename that touched the old key before this one
+    last = (left.select("seq", "old").join(turns.withColumnRenamed("seq", "at"), "old")
+            .where(F.col("at") < F.col("seq")).groupBy("seq").agg(F.max_by("live", "at").alias("live")))
+    first = snapshot.select(F.col(key).alias("old"), F.lit(True).alias("initially"))
+    clash = (left.join(last, "seq", "left").join(first, "old", "left")
+             .where(F.coalesce("live", "initially", F.lit(False)))
+             .select("seq", F.lit(KEY_CHANGE_ERROR).alias("reason")))
+    return bad.unionByName(clash)
 
 
 # ------------------------------------------------------------------ M3
@@ -220,6 +277,7 @@ def _fold(snapshot: DataFrame, log: DataFrame, key: str = "ID",
     Returns (snapshot, rejects(seq, reason))."""
     schema = schema or snapshot.schema
     cols = [f.name for f in schema.fields]
+    keyless = log.where(F.col("key").isNull()).select("seq", F.lit(NO_KEY_ERROR).alias("reason"))
     log = log.where(F.col("key").isNotNull())
     per_key = log.groupBy("key").agg(
         F.max(F.when(F.col("op") == "delete", F.col("seq"))).alias("last_del"))
@@ -260,7 +318,8 @@ def _fold(snapshot: DataFrame, log: DataFrame, key: str = "ID",
     rejects = (checked.where(F.col("_reject").isNotNull())
                .select("seq", F.col("_reject").alias("reason"))
                .unionByName(log.where(~F.col("op").isin("insert", "update", "delete"))
-                            .select("seq", F.lit("unknown op").alias("reason"))))
+                            .select("seq", F.lit("unknown op").alias("reason")))
+               .unionByName(keyless))
     return from_snapshot.unionByName(from_log), rejects
 
 
@@ -279,9 +338,9 @@ def apply_changes(snapshot: DataFrame, log: DataFrame, key: str = "ID",
     so that the batch can be split at them.
     Returns (snapshot, rejects(seq, reason))."""
     schema = schema or snapshot.schema
-    log = log.where(F.col("key").isNotNull())
-    is_rename = (F.col("op") == "update") & (F.col("property") == key)
+    is_rename = (F.col("key").isNotNull() & F.col("op").eqNullSafe("update") & F.col("property").eqNullSafe(key))
     folded, rejects = _fold(snapshot, log.where(~is_rename), key, schema)
+    log = log.where(F.col("key").isNotNull())
     renames = log.where(is_rename).select(
         "seq", "key", "new_value",
         _typed(F.col("new_value"), schema[key].dataType).alias("_new"))
@@ -359,13 +418,8 @@ def rekey_parents(parent: DataFrame, ticket_changes: DataFrame, property_name: s
     """M11 (opt-in, literal): after a ticket's ``event_id`` (or
     ``distributer_id``) changes, the reference runs
     ``UPDATE <parent> SET ID = <new> WHERE ID = <ticket id>`` -- keyed by the
-    ticket's own id. The last such change per ticket id wins."""
+    ticket's own id, one by one in the order of the changes."""
+    new = F.round(clean_money("new_value"), 0).cast("bigint")
     moves = (ticket_changes.where(F.col("property") == property_name)
-             .select("seq", "key", F.round(clean_money("new_value"), 0).cast("bigint")
-                     .alias("_new"))
-             .where(F.col("_new").isNotNull())
-             .groupBy(F.col("key").alias("ID")).agg(F.max_by("_new", "seq").alias("_new")))
-    renamed, _ = rename_keys(parent, moves.select(F.lit(0).cast("bigint").alias("seq"),
-                                                  F.col("ID").alias("key"),
-                                                  F.col("_new").cast("string").alias("new_value")))
-    return renamed
+             .select("seq", "key", new.cast("string").alias("new_value")).where("new_value IS NOT NULL"))
+    return rename_keys(parent, moves)[0]

@@ -9,7 +9,10 @@ names carry an ``m_`` prefix because the driver already has views named
 
 from __future__ import annotations
 
-from marquee.functions.semantics import PHONE_PATTERN  # noqa: E402  (fixed value)
+import sys
+
+# The form's phone rule, stated here on its own: ten characters, each a digit.
+PHONE_PATTERN = "^[" + "".join(f"\\x{{{c:X}}}" for c in range(sys.maxunicode + 1) if chr(c).isdigit()) + "]{10}$"
 
 # Fixed values shared with marquee.functions.semantics (same meaning).
 NUMERIC_PREFIX = r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)"
@@ -32,6 +35,28 @@ def name(first: str, last: str) -> str:
     return f"({first} || ' ' || {last})"
 
 
+def _one_by_one(table: str, columns: list[str], renames: str) -> str:
+    """Key changes applied one by one in the order of ``seq``: the state is the
+    list of (key now, key at the start) of the rows whose key may change."""
+    rest = ", ".join(f"t.{c}" for c in columns)
+    return f"""
+SELECT coalesce(m.k, t.ID) AS ID, {rest} FROM {table} t LEFT JOIN (
+  WITH RECURSIVE r AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM ({renames})),
+  start AS (SELECT coalesce(list({{'k': ID, 'was': ID}}), []) AS live FROM {table}
+            WHERE ID IN (SELECT old_id FROM r UNION SELECT new_id FROM r)),
+  s AS (
+    SELECT CAST(0 AS BIGINT) AS n, live FROM start
+    UNION ALL
+    SELECT r.n, CASE WHEN len(list_filter(s.live, lambda x: x.k = r.old_id)) > 0
+                      AND r.new_id IS NOT NULL
+                      AND len(list_filter(s.live, lambda x: x.k = r.new_id)) = 0
+      THEN list_transform(s.live, lambda x: CASE WHEN x.k = r.old_id THEN {{'k': r.new_id, 'was': x.was}} ELSE x END)
+      ELSE s.live END
+    FROM s JOIN r ON r.n = s.n + 1)
+  SELECT u.x.k AS k, u.x.was AS was FROM (SELECT unnest(live) AS x FROM s WHERE n = (SELECT max(n) FROM s)) u
+) m ON m.was = t.ID"""
+
+
 PRELUDE = f"""
 WITH
 m_company AS (
@@ -431,20 +456,9 @@ FROM m_distributer d LEFT JOIN (
          arg_max('D' || CAST(event_id AS VARCHAR), event_id) FILTER (WHERE event_id % 2 = 1)
            AS location
   FROM events WHERE event_type = 'view' GROUP BY user_id % 25) u ON d.ID = u.ID""",
-    "rename_distributers": """
-SELECT coalesce(g.new_id, d.ID) AS ID, d.name, d.location
-FROM m_distributer d LEFT JOIN (
-  SELECT f.old_id, f.new_id FROM (
-    SELECT user_id % 25 AS old_id, arg_min(25 + event_id % 40, event_id) AS new_id
-    FROM events WHERE event_type = 'error' GROUP BY user_id % 25) f
-  WHERE f.old_id IN (SELECT ID FROM m_distributer)
-    AND f.new_id NOT IN (SELECT ID FROM m_distributer)
-    AND f.new_id NOT IN (
-      SELECT new_id FROM (
-        SELECT user_id % 25 AS old_id, arg_min(25 + event_id % 40, event_id) AS new_id
-        FROM events WHERE event_type = 'error' GROUP BY user_id % 25) x
-      WHERE x.old_id IN (SELECT ID FROM m_distributer)
-      GROUP BY new_id HAVING count(*) > 1)) g ON d.ID = g.old_id""",
+    "rename_distributers": _one_by_one("m_distributer", ["name", "location"], """
+    SELECT event_id AS seq, user_id % 25 AS old_id, 25 + event_id % 40 AS new_id
+    FROM events WHERE event_type = 'error'"""),
     "update_ticket_properties": f"""
 SELECT t.ID, coalesce(u.type, t.type) AS type,
        coalesce(CAST(round({money('u.tickets_available')}, 0) AS INTEGER), t.tickets_available)
@@ -471,24 +485,10 @@ FROM m_ticket t LEFT JOIN (
      OR (property IN ('event_id', 'distributer_id')
          AND TRY_CAST(round({money('v')}, 0) AS BIGINT) IS NOT NULL)
   GROUP BY key) u ON t.ID = u.key""",
-    "rekey_events": f"""
-SELECT coalesce(g.new_id, e.ID) AS ID, e.name, e.type, e.location, e.datetime,
-       e.general_price, e.vip_price, e.income, e.expense, e.details, e.company_id
-FROM m_event e LEFT JOIN (
-  SELECT m.old_id, m.new_id FROM (
-  SELECT key AS old_id, arg_max(CAST(round({money('v')}, 0) AS BIGINT), seq) AS new_id
-  FROM m_tedit
-  WHERE property = 'event_id' AND TRY_CAST(round({money('v')}, 0) AS BIGINT) IS NOT NULL
-  GROUP BY key) m
-  WHERE m.old_id IN (SELECT ID FROM m_event)
-    AND m.new_id NOT IN (SELECT ID FROM m_event)
-    AND m.new_id NOT IN (
-      SELECT x.new_id FROM (
-  SELECT key AS old_id, arg_max(CAST(round({money('v')}, 0) AS BIGINT), seq) AS new_id
-  FROM m_tedit
-  WHERE property = 'event_id' AND TRY_CAST(round({money('v')}, 0) AS BIGINT) IS NOT NULL
-  GROUP BY key) x WHERE x.old_id IN (SELECT ID FROM m_event)
-      GROUP BY x.new_id HAVING count(*) > 1)) g ON e.ID = g.old_id""",
+    "rekey_events": _one_by_one("m_event", ["name", "type", "location", "datetime", "general_price", "vip_price",
+                                            "income", "expense", "details", "company_id"], f"""
+    SELECT seq, key AS old_id, TRY_CAST(round({money('v')}, 0) AS BIGINT) AS new_id
+    FROM m_tedit WHERE property = 'event_id'"""),
     "delete_purchases": """
 SELECT * FROM m_purchase WHERE purchase_id NOT IN (SELECT purchase_id FROM m_pdel)""",
     "delete_purchase_tickets": """

@@ -122,6 +122,45 @@ def test_rename_keys(spark, distributers):
     assert [r.seq for r in rejects.collect()] == [2]
 
 
+def test_renames_equal_one_by_one(spark):
+    """Chains, retries after a failure, two renames onto one key, swaps, NULLs."""
+    import random
+    rnd = random.Random(6)
+    for case in range(12):
+        keys = list(range(rnd.randint(1, 6)))
+        log = [(i, rnd.choice([*range(9), None] if case % 3 == 0 else range(9)), rnd.choice(["x", None, *map(str, range(9))]))
+               for i in range(rnd.randint(0, 14))]
+        live, expected_rejects = {k: k for k in keys}, []
+        for seq, old, new in log:
+            target = int(new) if new and new.isdigit() else None
+            if old is None or target is None:
+                expected_rejects.append(seq)
+            elif old in live and target != old:
+                if target in live:
+                    expected_rejects.append(seq)
+                else:
+                    live[target] = live.pop(old)
+        snap = spark.createDataFrame([(k, f"n{k}", "l") for k in keys], S.DISTRIBUTER)
+        out, rejects = ch.rename_keys(snap, spark.createDataFrame(log, "seq bigint, key bigint, new_value string"))
+        assert {r[0]: r[1] for r in out.collect()} == {k: f"n{was}" for k, was in live.items()}, log
+        assert sorted(r.seq for r in rejects.collect()) == expected_rejects, log
+
+
+def test_first_rekey_of_a_parent_wins(spark, distributers):
+    kind = "seq bigint, op string, key bigint, property string, new_value string"
+    out = ch.rekey_parents(distributers, spark.createDataFrame(
+        [(1, "update", 2, "event_id", "50"), (2, "update", 2, "event_id", "60")], kind))
+    assert rows(out) == [(1, "a", "x"), (3, "c", "z"), (50, "b", "y")]
+
+
+def test_log_rows_without_a_key_are_rejected(spark, distributers):
+    kind = S.change_schema(S.DISTRIBUTER) if hasattr(S, "change_schema") else None
+    log = spark.createDataFrame([(1, "update", None, "name", "q", None), (2, "delete", None, None, None, None)], kind)
+    out, rejects = ch.apply_changes(distributers, log, schema=S.DISTRIBUTER)
+    assert rows(out) == rows(distributers)
+    assert sorted(map(tuple, rejects.collect())) == [(1, "missing key"), (2, "missing key")]
+
+
 def test_update_customers_m3(spark):
     cust = spark.createDataFrame([(1, "A", "B", "a@x.com", "1"), (2, "C", "D", "c@x.com", "2")],
                                  S.CUSTOMER)
