@@ -30,7 +30,7 @@ from marquee.llm.common import text_pass
 #: The pre-tokenizer's published pattern (a fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Largest number of remembered strings per table; a full one is emptied.
-MEMORY = 400_000
+MEMORY = 800_000
 TOKEN_LIMIT = 1024
 
 _COUNTERS: dict[str, PrefixCounter] = {}
