@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (DecimalType, IntegerType, LongType, StringType, StructType,
                                TimestampNTZType)
@@ -26,7 +26,6 @@ from marquee.functions.semantics import clean_money, split_pair
 from marquee.session import scratch_dir
 
 KEY_CHANGE_ERROR = "key change"
-KEY_CONFLICT_ERROR = "key change conflict"
 UNKNOWN_PROPERTY_ERROR = "unknown property"
 BAD_VALUE_ERROR = "invalid value"
 BAD_PAIR_ERROR = "invalid pair"
@@ -147,47 +146,76 @@ def rename_keys(snapshot: DataFrame, renames: DataFrame, key: str = "ID") \
     a rename onto a live key fails like a duplicate-key error, chains and
     retries after a failure take effect.
 
-    Works in rounds over the keys that the batch names. A rename is out when
-    its old key is empty and no earlier open rename leads to it, or its new key
-    is taken and no earlier open rename leads away from it; one that holds the
-    smallest open ``seq`` of both its keys is then applied. Renames of separate
-    keys share a round, so rounds follow the longest chain of applied renames.
-    Returns (snapshot, rejects(seq, reason))."""
+    Works in rounds over the keys that the batch names (see :func:`_judged`).
+    Renames of separate keys share a round, so rounds follow the longest chain
+    of applied renames. Returns (snapshot, rejects(seq, reason))."""
     dtype = dict((f.name, f.dataType) for f in snapshot.schema.fields)[key]
-    typed = _stored(renames.select("seq", F.col("key").alias("old"),
-                                   _typed(F.col("new_value"), dtype).alias("new")))
-    valid = typed.where("old IS NOT NULL AND new IS NOT NULL AND old <> new")
-    named = valid.select(F.col("old").alias("k")).union(valid.select("new")).distinct()
+    typed = _typed_renames(renames, dtype)
+    valid = typed.where(VALID_RENAME)
     # k -> the snapshot key of the row that stands there now, or null
-    state = _stored(named.join(snapshot.select(F.col(key).alias("k"), F.col(key).alias("row")), "k", "left"))
+    state = _stored(_named(valid).join(snapshot.select(F.col(key).alias("k"), F.col(key).alias("row")), "k", "left"))
+    start = state.where("row IS NOT NULL").select("k")
     opened, applied = valid, []
     while not opened.isEmpty():
-        seen = opened.select(F.col("old").alias("k"), "seq", F.col("seq").alias("out")) \
-            .unionByName(opened.select(F.col("new").alias("k"), "seq", F.col("seq").alias("into")),
-                         allowMissingColumns=True)
-        first = seen.groupBy("k").agg(F.min("seq").alias("any"), F.min("out").alias("out"),
-                                      F.min("into").alias("into"))
-        keys = _stored(state.join(first, "k"))
-        met = opened.join(keys.select(F.col("k").alias("old"), F.col("row").alias("o_row"),
-                                      F.col("into").alias("o_into"), F.col("any").alias("o_any")), "old") \
-            .join(keys.select(F.col("k").alias("new"), F.col("row").alias("n_row"),
-                              F.col("out").alias("n_out"), F.col("any").alias("n_any")), "new")
-        ruled_out = (F.col("o_row").isNull() & ~F.coalesce(F.col("o_into") < F.col("seq"), F.lit(False))) \
-            | (F.col("n_row").isNotNull() & ~F.coalesce(F.col("n_out") < F.col("seq"), F.lit(False)))
-        ready = ~ruled_out & (F.col("o_any") == F.col("seq")) & (F.col("n_any") == F.col("seq"))
-        judged = _stored(met.select("seq", "old", "new", "o_row", ruled_out.alias("out"), ready.alias("go")))
+        keys = (state.join(_open_seqs(opened), "k")
+                .select("k", F.col("row").isNotNull().alias("live"), "any", "out", "into",
+                        F.lit(None).cast("bigint").alias("ins"), F.lit(None).cast("bigint").alias("del")))
+        judged = _stored(_judged(opened, _stored(keys)))
         go = judged.where("go")
         applied.append(go.select("seq", "old", "new"))
         moved = go.select(F.col("old").alias("k"), F.lit(None).cast(dtype).alias("now")) \
-            .union(go.select("new", "o_row")).withColumn("hit", F.lit(True))
+            .union(go.join(state, go["old"] == state["k"]).select("new", "row")).withColumn("hit", F.lit(True))
         state = _stored(state.join(moved, "k", "left").select(
             "k", F.when(F.col("hit"), F.col("now")).otherwise(F.col("row")).alias("row")))
-        opened = judged.where("NOT go AND NOT out").select("seq", "old", "new")
+        opened = judged.where("NOT go AND NOT gone").select("seq", "old", "new")
     moves = state.where("row IS NOT NULL AND row <> k").select(F.col("row").alias(key), F.col("k").alias("_new"))
     out = (snapshot.join(moves, key, "left")
            .withColumn(key, F.coalesce(F.col("_new"), F.col(key)).cast(dtype))
            .select(*snapshot.columns))
-    return out, _rename_rejects(snapshot, typed, valid, applied, key)
+    bad = typed.where("old IS NULL OR new IS NULL").select(
+        "seq", F.when(F.col("old").isNull(), F.lit(NO_KEY_ERROR)).otherwise(F.lit(KEY_CHANGE_ERROR)).alias("reason"))
+    return out, bad.unionByName(_duplicate_keys(valid, applied, start))
+
+
+VALID_RENAME = "old IS NOT NULL AND new IS NOT NULL AND old <> new"
+
+
+def _typed_renames(renames: DataFrame, dtype) -> DataFrame:
+    return _stored(renames.select("seq", F.col("key").cast(dtype).alias("old"),
+                                  _typed(F.col("new_value"), dtype).alias("new")))
+
+
+def _named(valid: DataFrame) -> DataFrame:
+    """Every key that a rename leads from or to, once."""
+    return valid.select(F.col("old").alias("k")).union(valid.select("new")).distinct()
+
+
+def _open_seqs(opened: DataFrame) -> DataFrame:
+    """Per key the smallest ``seq`` of the open renames that touch it, lead
+    away from it and lead to it."""
+    return (opened.select(F.col("old").alias("k"), "seq", F.col("seq").alias("out"))
+            .unionByName(opened.select(F.col("new").alias("k"), "seq", F.col("seq").alias("into")),
+                         allowMissingColumns=True)
+            .groupBy("k").agg(F.min("seq").alias("any"), F.min("out").alias("out"), F.min("into").alias("into")))
+
+
+def _judged(opened: DataFrame, keys: DataFrame) -> DataFrame:
+    """Open renames with ``gone`` (it can no longer take effect: its old key
+    is empty and no earlier rename or insert fills it, or its new key is taken
+    and no earlier rename or delete frees it) and ``go`` (it takes effect now:
+    not gone and the earliest open rename of both its keys). ``keys`` holds
+    per key whether it is ``live`` before ``any``, its open renames' smallest
+    seqs and those of its waiting inserts and deletes."""
+    old = keys.select(*[F.col(c).alias("old" if c == "k" else f"o_{c}") for c in keys.columns])
+    new = keys.select(*[F.col(c).alias("new" if c == "k" else f"n_{c}") for c in keys.columns])
+
+    def earlier(c: str) -> Column:
+        return F.coalesce(F.col(c) < F.col("seq"), F.lit(False))
+
+    gone = (~F.col("o_live") & ~earlier("o_into") & ~earlier("o_ins")) \
+        | (F.col("n_live") & ~earlier("n_out") & ~earlier("n_del"))
+    go = ~gone & (F.col("o_any") == F.col("seq")) & (F.col("n_any") == F.col("seq"))
+    return opened.join(old, "old").join(new, "new").select("seq", "old", "new", gone.alias("gone"), go.alias("go"))
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -197,26 +225,40 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _rename_rejects(snapshot: DataFrame, typed: DataFrame, valid: DataFrame, applied: list[DataFrame],
-                    key: str) -> DataFrame:
-    """Renames without a key or a readable new value, and those that were not
-    applied although a row stood at their old key just before them."""
-    bad = typed.where("old IS NULL OR new IS NULL").select(
-        "seq", F.when(F.col("old").isNull(), F.lit(NO_KEY_ERROR)).otherwise(F.lit(KEY_CHANGE_ERROR)).alias("reason"))
+SEQ_RANGES = 64
+
+
+def _duplicate_keys(valid: DataFrame, applied: list[DataFrame], start: DataFrame,
+                    edits: DataFrame | None = None) -> DataFrame:
+    """Renames that were not applied although a row stood at their old key
+    just before them. An as-of search for the last mark (applied rename,
+    insert, delete) of the old key; a key's history is cut into
+    ``SEQ_RANGES`` ranges of ``seq`` so that no task gets a hot key's whole
+    history, and only one value a range is carried on to the next."""
     if not applied:
-        return bad
+        return valid.select("seq", F.lit(KEY_CHANGE_ERROR).alias("reason")).limit(0)
     done = reduce(DataFrame.union, applied)
-    left = valid.join(done.select("seq"), "seq", "left_anti")
-    turns = (done.select("old", "seq", F.lit(False).alias("live"))
-             .union(done.select("new", "seq", F.lit(True))))
-    # the last applied rename that touched the old key before this one
-    last = (left.select("seq", "old").join(turns.withColumnRenamed("seq", "at"), "old")
-            .where(F.col("at") < F.col("seq")).groupBy("seq").agg(F.max_by("live", "at").alias("live")))
-    first = snapshot.select(F.col(key).alias("old"), F.lit(True).alias("initially"))
-    clash = (left.join(last, "seq", "left").join(first, "old", "left")
-             .where(F.coalesce("live", "initially", F.lit(False)))
-             .select("seq", F.lit(KEY_CHANGE_ERROR).alias("reason")))
-    return bad.unionByName(clash)
+    asked = valid.join(done.select("seq"), "seq", "left_anti") \
+        .select(F.col("old").alias("k"), "seq", F.lit(None).cast("boolean").alias("mark"), F.lit(True).alias("asked"))
+    marks = done.select(F.col("old").alias("k"), "seq", F.lit(False).alias("mark")) \
+        .union(done.select("new", "seq", F.lit(True)))
+    if edits is not None:
+        marks = marks.union(edits.where("op IN ('insert', 'delete')")
+                            .select("key", "seq", (F.col("op") == "insert")))
+    rows = _stored(marks.withColumn("asked", F.lit(False)).unionByName(asked))
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    width = 1 if low is None else (high - low) // SEQ_RANGES + 1
+    rows = rows.withColumn("range", F.floor((F.col("seq") - F.lit(low or 0)) / F.lit(width)))
+    ends = rows.groupBy("k", "range").agg(
+        F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("seq"))).alias("end"))
+    carried = ends.select("k", "range", F.last("end", True).over(
+        Window.partitionBy("k").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    last = rows.withColumn("last", F.last("mark", True).over(
+        Window.partitionBy("k", "range").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)))
+    return (last.where("asked").join(carried, ["k", "range"])
+            .join(start.select("k", F.lit(True).alias("initially")), "k", "left")
+            .where(F.coalesce("last", "carried", "initially", F.lit(False)))
+            .select("seq", F.lit(KEY_CHANGE_ERROR).alias("reason")))
 
 
 # ------------------------------------------------------------------ M3
@@ -267,34 +309,31 @@ def _fold(snapshot: DataFrame, log: DataFrame, key: str = "ID",
       * otherwise the ``start_ins`` row with the updates after ``start_ins``;
       * otherwise absent.
     Everything per key is computed from the log alone (aggregates with
-    partial aggregation), then the snapshot is read once: a left join
-    against that per-key summary (AQE broadcasts the summary when it is
-    small, so the snapshot is not even shuffled), plus a key-column-only
-    anti join for keys the log inserts fresh. The per-key aggregates each
-    read the log (a chain of small aggregations instead of a per-key
-    window), so pass a stored or persisted log; the change stream persists
-    its micro-batch.
+    partial aggregation; joins of the log salted, so a hot key's history is
+    spread over tasks) and written to the shared folder. The snapshot is then
+    read once: the planner sees the summary's real size, so a small one is
+    broadcast before the snapshot would be shuffled; keys the log inserts
+    fresh come in by a key-column-only anti join.
     Returns (snapshot, rejects(seq, reason))."""
     schema = schema or snapshot.schema
     cols = [f.name for f in schema.fields]
-    keyless = log.where(F.col("key").isNull()).select("seq", F.lit(NO_KEY_ERROR).alias("reason"))
+    rejects = _statement_errors(log, schema, key)
     log = log.where(F.col("key").isNotNull())
     per_key = log.groupBy("key").agg(
         F.max(F.when(F.col("op") == "delete", F.col("seq"))).alias("last_del"))
-    inserts = (log.where(F.col("op") == "insert").join(per_key, "key")
+    inserts = (_met(log.where(F.col("op") == "insert"), per_key)
                .where(F.col("last_del").isNull() | (F.col("seq") > F.col("last_del")))
                .groupBy("key")
                .agg(F.min_by("row", "seq").alias("ins_row"), F.min("seq").alias("start_ins")))
-    checked = _check_updates(log.where(F.col("op") == "update"), schema, key)
-    valid = checked.where(F.col("_reject").isNull())
+    valid = _check_updates(log.where(F.col("op") == "update"), schema, key).where(F.col("_reject").isNull())
     # updates that apply to a never-deleted live row: all of them
     all_updates = _pivot_latest(valid, schema, key, "_all_")
     # updates that apply to an incarnation started by an insert
-    after_ins = _pivot_latest(valid.join(inserts.select("key", "start_ins"), "key")
+    after_ins = _pivot_latest(_met(valid, inserts.select("key", "start_ins"))
                               .where(F.col("seq") > F.col("start_ins")), schema, key, "_ins_")
-    summary = (per_key.join(inserts, "key", "left")
-               .join(all_updates, "key", "left")
-               .join(after_ins, "key", "left"))
+    summary = _stored(per_key.join(inserts, "key", "left")
+                      .join(all_updates, "key", "left")
+                      .join(after_ins, "key", "left"))
     # one pass over the snapshot
     joined = snapshot.join(summary.withColumnRenamed("key", "_skey"),
                            snapshot[key] == F.col("_skey"), "left")
@@ -315,72 +354,84 @@ def _fold(snapshot: DataFrame, log: DataFrame, key: str = "ID",
              .join(snapshot.select(F.col(key).alias("key")), "key", "left_anti")
              .withColumnRenamed("key", "_skey"))
     from_log = fresh.select(*_overlay(ins_cols, "_ins_", schema, key))
-    rejects = (checked.where(F.col("_reject").isNotNull())
-               .select("seq", F.col("_reject").alias("reason"))
-               .unionByName(log.where(~F.col("op").isin("insert", "update", "delete"))
-                            .select("seq", F.lit("unknown op").alias("reason")))
-               .unionByName(keyless))
     return from_snapshot.unionByName(from_log), rejects
 
 
+SALTS = 16
+
+
+def _met(log: DataFrame, per_key: DataFrame) -> DataFrame:
+    """``log`` joined with one row per key, on the key and a salt: a hot key's
+    rows are spread over ``SALTS`` tasks, and the aggregation that follows is
+    partial before its own exchange."""
+    salted = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return log.withColumn("_salt", F.pmod(F.hash("seq"), F.lit(SALTS))).join(salted, ["key", "_salt"]).drop("_salt")
+
+
+def _statement_errors(log: DataFrame, schema: StructType, key: str) -> DataFrame:
+    """Log rows that fail whatever the table holds."""
+    keyed = log.where(F.col("key").isNotNull())
+    return (_check_updates(keyed.where(F.col("op") == "update"), schema, key)
+            .where(F.col("_reject").isNotNull()).select("seq", F.col("_reject").alias("reason"))
+            .unionByName(keyed.where(F.col("op").isNull() | ~F.col("op").isin("insert", "update", "delete"))
+                         .select("seq", F.lit("unknown op").alias("reason")))
+            .unionByName(log.where(F.col("key").isNull()).select("seq", F.lit(NO_KEY_ERROR).alias("reason"))))
+
+
 def apply_changes(snapshot: DataFrame, log: DataFrame, key: str = "ID",
                   schema: StructType | None = None) -> tuple[DataFrame, DataFrame]:
     """Fold an ordered change log (``seq, op, key, property, new_value,
     row``) into a snapshot: inserts, updates and deletes as in
     :func:`_fold`, plus key changes (``update`` of the key property).
 
-    A key change ``k -> k'`` at ``seq r`` is exact to apply after the rest
-    of the batch when nothing after ``r`` touches ``k``, nothing in the
-    batch touches ``k'``, ``k`` is renamed once and is no other rename's
-    target. Those are applied at the end (a rename onto a live key fails
-    like a duplicate-key error); the others -- chains, renames followed by
-    more edits of the same key -- are rejected as ``key change conflict``
-    so that the batch can be split at them.
+    With key changes in the log, the keys they lead from or to are folded in
+    rounds, the rest at once. A round folds each such key's edits up to its
+    earliest open key change, then applies or drops the key changes that can
+    be judged (:func:`_judged`); only these keys' rows and edits are written
+    between rounds. The result is that of applying the log one by one.
     Returns (snapshot, rejects(seq, reason))."""
     schema = schema or snapshot.schema
+    dtype = schema[key].dataType
     is_rename = (F.col("key").isNotNull() & F.col("op").eqNullSafe("update") & F.col("property").eqNullSafe(key))
-    folded, rejects = _fold(snapshot, log.where(~is_rename), key, schema)
-    log = log.where(F.col("key").isNotNull())
-    renames = log.where(is_rename).select(
-        "seq", "key", "new_value",
-        _typed(F.col("new_value"), schema[key].dataType).alias("_new"))
-    # every reference to a key: each row's own key, and each rename's target
-    refs = (log.select(F.col("key").alias("_k"), "seq")
-            .unionByName(renames.where(F.col("_new").isNotNull())
-                         .select(F.col("_new").cast(log.schema["key"].dataType).alias("_k"), "seq")))
-    per_key = refs.groupBy("_k").agg(F.max("seq").alias("_last"), F.count(F.lit(1)).alias("_refs"))
-    per_source = renames.groupBy(F.col("key").alias("_k")).agg(F.count(F.lit(1)).alias("_renames"))
-    targets = renames.where(F.col("_new").isNotNull()).select(
-        F.col("_new").cast(log.schema["key"].dataType).alias("_k"), F.lit(True).alias("_is_target"))
-    src = per_key.join(per_source, "_k", "left").join(targets.distinct(), "_k", "left")
-    checked = (renames
-               .join(src.select(F.col("_k").alias("key"), "_last", "_renames", "_is_target"),
-                     "key", "left")
-               .join(per_key.select(F.col("_k").alias("_tk"), F.col("_refs").alias("_t_refs")),
-                     F.col("_new").cast(log.schema["key"].dataType) == F.col("_tk"), "left"))
-    exact = (F.col("_new").isNotNull() & (F.col("_last") == F.col("seq"))
-             & (F.col("_renames") == 1) & F.col("_is_target").isNull()
-             & (F.col("_t_refs") == 1))
-    key_type = schema[key].dataType
-    good = checked.where(exact).select("seq", F.col("key").alias("_old"),
-                                       F.col("_new").cast(key_type).alias("_new"))
-    conflict = checked.where(~exact).select(
-        "seq", F.when(F.col("_new").isNull(), F.lit(BAD_VALUE_ERROR))
-        .otherwise(F.lit(KEY_CONFLICT_ERROR)).alias("reason"))
-    # the batch never touches an exact rename's new key, so it is live at the
-    # end iff the snapshot holds it (a key-column check, not a pass over the
-    # fold); such renames fail like a duplicate-key error
-    snap_keys = snapshot.select(F.col(key).cast(key_type).alias("_new"))
-    clash = good.join(snap_keys, "_new", "left_semi")
-    moves = good.join(snap_keys, "_new", "left_anti")
-    # one left join of the fold with the (small) moves: a row whose key is
-    # renamed takes the new key; an old key that is not live has no row
-    moved = (folded.join(moves.select(F.col("_old").cast(key_type).alias("_old"), "_new"),
-                         folded[key] == F.col("_old"), "left")
-             .withColumn(key, F.coalesce(F.col("_new"), F.col(key)).cast(key_type))
-             .select(*folded.columns))
-    return moved, (rejects.unionByName(conflict)
-                   .unionByName(clash.select("seq", F.lit(KEY_CHANGE_ERROR).alias("reason"))))
+    renames = log.where(is_rename)
+    if renames.isEmpty():
+        return _fold(snapshot, log, key, schema)
+    typed = _typed_renames(renames, dtype)
+    valid = typed.where(VALID_RENAME)
+    linked = _stored(_named(valid))
+    on_key = F.col("key").cast(dtype) == F.col("k")
+    edits = log.where(~is_rename)
+    folded, _ = _fold(snapshot, edits.join(linked, on_key, "left_anti"), key, schema)
+    linked_edits = _stored(edits.join(linked, on_key, "left_semi"))
+    state = _stored(snapshot.join(linked, snapshot[key] == linked["k"], "left_semi"))
+    start = state.select(F.col(key).alias("k"))
+    opened, waiting, applied = valid, linked_edits, []
+    while not opened.isEmpty():
+        first = _stored(_open_seqs(opened))
+        timed = waiting.join(first.select("k", "any"), on_key, "left")
+        due = timed.where("any IS NULL OR seq < any").select(*waiting.columns)
+        later = _stored(timed.where("seq > any").select(*waiting.columns))
+        state = _stored(_fold(state, due, key, schema)[0])
+        waits = later.groupBy(F.col("key").cast(dtype).alias("k")).agg(
+            F.min(F.when(F.col("op") == "insert", F.col("seq"))).alias("ins"),
+            F.min(F.when(F.col("op") == "delete", F.col("seq"))).alias("del"))
+        keys = (first.join(waits, "k", "left")
+                .join(state.select(F.col(key).alias("k"), F.lit(True).alias("live")), "k", "left")
+                .withColumn("live", F.coalesce("live", F.lit(False))))
+        judged = _stored(_judged(opened, _stored(keys)))
+        go = judged.where("go")
+        applied.append(go.select("seq", "old", "new"))
+        moves = go.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
+        state = _stored(state.join(moves, state[key] == moves["_old"], "left")
+                        .withColumn(key, F.coalesce("_new", key)).select(*state.columns))
+        waiting = later
+        opened = judged.where("NOT go AND NOT gone").select("seq", "old", "new")
+    state, _ = _fold(state, waiting, key, schema)
+    out = folded.join(linked, folded[key] == linked["k"], "left_anti").unionByName(state)
+    rejects = (_statement_errors(edits, schema, key)
+               .unionByName(typed.where("new IS NULL").select("seq", F.lit(BAD_VALUE_ERROR).alias("reason")))
+               .unionByName(_duplicate_keys(valid, applied, start, linked_edits)))
+    return out, rejects
 
 
 # ------------------------------------------------------------------ cascades
