@@ -95,6 +95,9 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--master")
     a = ap.parse_args(argv)
     spark = build_session(master=a.master)
+    if a.version and a.command in ("intake", "apply-changes", "compact") \
+            and a.version != snapshots.current_version(spark, a.root):
+        ap.error(f"{a.command} writes on top of the current version, {a.version} is not it")
 
     if a.command == "load-testdata":
         t = td.load_tables(spark, a.sf_dir, persist=True)

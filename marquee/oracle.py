@@ -36,25 +36,38 @@ def name(first: str, last: str) -> str:
 
 
 def _one_by_one(table: str, columns: list[str], renames: str) -> str:
-    """Key changes applied one by one in the order of ``seq``: the state is the
-    list of (key now, key at the start) of the rows whose key may change."""
+    """Key changes applied one by one in the order of ``seq``."""
     rest = ", ".join(f"t.{c}" for c in columns)
     return f"""
 SELECT coalesce(m.k, t.ID) AS ID, {rest} FROM {table} t LEFT JOIN (
-  WITH RECURSIVE r AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM ({renames})),
+  {_rename_steps(table, renames)}
+  SELECT u.x.k AS k, u.x.was AS was FROM (SELECT unnest(live) AS x FROM s WHERE n = (SELECT max(n) FROM s)) u
+) m ON m.was = t.ID"""
+
+
+def _one_by_one_rejects(table: str, renames: str) -> str:
+    return f"""
+SELECT bad AS seq, 'key change' AS reason FROM (
+  {_rename_steps(table, renames)} SELECT bad FROM s WHERE bad IS NOT NULL) b"""
+
+
+def _rename_steps(table: str, renames: str) -> str:
+    """The state after every change: the list of (key now, key at the start)
+    of the rows whose key may change, and the change if it failed."""
+    return f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM ({renames})),
   start AS (SELECT coalesce(list({{'k': ID, 'was': ID}}), []) AS live FROM {table}
             WHERE ID IN (SELECT old_id FROM r UNION SELECT new_id FROM r)),
   s AS (
-    SELECT CAST(0 AS BIGINT) AS n, live FROM start
+    SELECT CAST(0 AS BIGINT) AS n, live, CAST(NULL AS BIGINT) AS bad FROM start
     UNION ALL
     SELECT r.n, CASE WHEN len(list_filter(s.live, lambda x: x.k = r.old_id)) > 0
                       AND r.new_id IS NOT NULL
                       AND len(list_filter(s.live, lambda x: x.k = r.new_id)) = 0
       THEN list_transform(s.live, lambda x: CASE WHEN x.k = r.old_id THEN {{'k': r.new_id, 'was': x.was}} ELSE x END)
-      ELSE s.live END
-    FROM s JOIN r ON r.n = s.n + 1)
-  SELECT u.x.k AS k, u.x.was AS was FROM (SELECT unnest(live) AS x FROM s WHERE n = (SELECT max(n) FROM s)) u
-) m ON m.was = t.ID"""
+      ELSE s.live END,
+      CASE WHEN len(list_filter(s.live, lambda x: x.k = r.old_id)) > 0 AND r.new_id <> r.old_id
+                AND len(list_filter(s.live, lambda x: x.k = r.new_id)) > 0 THEN CAST(r.seq AS BIGINT) END
+    FROM s JOIN r ON r.n = s.n + 1)"""
 
 
 PRELUDE = f"""
@@ -297,29 +310,14 @@ def money(x: str) -> str:
     return f"TRY_CAST(trim(regexp_replace({x}, '[,$]', '', 'g')) AS DECIMAL(38,10))"
 
 
-CHANGE_CTES = f""",
-m_clog AS (
-  SELECT event_id AS seq,
-         CASE WHEN event_type = 'signup' THEN 'insert'
-              WHEN event_type IN ('click', 'view') THEN 'update' ELSE 'delete' END AS op,
-         CAST(user_id AS BIGINT) AS key,
-         CASE WHEN event_type IN ('click', 'view')
-              THEN ['first_name', 'last_name', 'e_mail', 'phone_num'][event_id % 4 + 1] END
-           AS property,
-         CASE WHEN event_type IN ('click', 'view') THEN
-           CASE event_id % 4 WHEN 2 THEN 'u' || CAST(event_id AS VARCHAR) || '@mail.com'
-                             WHEN 3 THEN lpad(CAST(event_id AS VARCHAR), 10, '7')
-                             ELSE 'v' || CAST(event_id AS VARCHAR) END END AS new_value,
-         'New' AS ins_first, CAST(event_id AS VARCHAR) AS ins_last,
-         'n' || CAST(event_id AS VARCHAR) || '@mail.com' AS ins_mail,
-         lpad(CAST(event_id AS VARCHAR), 10, '6') AS ins_phone
-  FROM events WHERE event_type <> 'purchase'),
-m_clog_n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS rn FROM m_clog),
-m_clog_len AS (SELECT key, max(rn) AS n FROM m_clog_n GROUP BY key),
-m_sim AS (
+def _per_key(log: str) -> str:
+    """A log applied edit by edit to each key on its own (no key changes)."""
+    return f"""{log}_n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS rn FROM {log}),
+{log}_len AS (SELECT key, max(rn) AS n FROM {log}_n GROUP BY key),
+{log}_sim AS (
   SELECT k.key, CAST(0 AS BIGINT) AS rn, c.ID IS NOT NULL AS live,
          c.first_name, c.last_name, c.e_mail, c.phone_num
-  FROM m_clog_len k LEFT JOIN m_customer c ON c.ID = k.key
+  FROM {log}_len k LEFT JOIN m_customer c ON c.ID = k.key
   UNION ALL
   SELECT s.key, l.rn,
          CASE WHEN l.op = 'insert' THEN true WHEN l.op = 'delete' THEN false ELSE s.live END,
@@ -335,7 +333,27 @@ m_sim AS (
          CASE WHEN l.op = 'insert' AND NOT s.live THEN l.ins_phone
               WHEN l.op = 'update' AND s.live AND l.property = 'phone_num' THEN l.new_value
               ELSE s.phone_num END
-  FROM m_sim s JOIN m_clog_n l ON l.key = s.key AND l.rn = s.rn + 1),
+  FROM {log}_sim s JOIN {log}_n l ON l.key = s.key AND l.rn = s.rn + 1),"""
+
+
+CHANGE_CTES = f""",
+m_clog AS (
+  SELECT event_id AS seq,
+         CASE WHEN event_type = 'signup' THEN 'insert'
+              WHEN event_type IN ('click', 'view') THEN 'update' ELSE 'delete' END AS op,
+         CAST(user_id AS BIGINT) AS key,
+         CASE WHEN event_type IN ('click', 'view')
+              THEN ['first_name', 'last_name', 'e_mail', 'phone_num'][event_id % 4 + 1] END
+           AS property,
+         CASE WHEN event_type IN ('click', 'view') THEN
+           CASE event_id % 4 WHEN 2 THEN 'u' || CAST(event_id AS VARCHAR) || '@mail.com'
+                             WHEN 3 THEN lpad(CAST(event_id AS VARCHAR), 10, '7')
+                             ELSE 'v' || CAST(event_id AS VARCHAR) END END AS new_value,
+         'New' AS ins_first, CAST(event_id AS VARCHAR) AS ins_last,
+         'n' || CAST(event_id AS VARCHAR) || '@mail.com' AS ins_mail,
+         lpad(CAST(event_id AS VARCHAR), 10, '6') AS ins_phone
+  FROM events WHERE event_type <> 'purchase'),
+{_per_key('m_clog')}
 m_elog AS (
   SELECT event_id AS seq, CAST(event_id % (SELECT count(*) FROM part) AS BIGINT) AS key,
          ['name', 'type', 'general_price', 'vip_price', 'company_id', 'income',
@@ -403,13 +421,84 @@ m_tedit AS (
     FROM events WHERE event_type = 'purchase'))
 """
 
+# Customer edits with key changes: keys that a key change names are simulated
+# together, edit by edit in the order of seq, the others each on its own.
+KEY_CHANGE_CTES = f""",
+m_klog AS (
+  SELECT seq, CASE WHEN op = 'delete' AND seq % 40 = 0 THEN 'update' ELSE op END AS op,
+         CASE WHEN op = 'insert' AND seq % 90 = 0 THEN NULL
+              WHEN (op = 'delete' AND seq % 80 = 40) OR (op = 'update' AND seq % 30 = 7)
+                THEN 900000000 + key // 3 ELSE key END AS key,
+         CASE WHEN op = 'delete' AND seq % 40 = 0 THEN 'ID' ELSE property END AS property,
+         CASE WHEN op = 'delete' AND seq % 40 = 0 THEN
+           CASE WHEN seq % 600 = 0 THEN 'none' WHEN seq % 80 = 40 THEN CAST(key AS VARCHAR)
+                WHEN seq % 240 = 0 THEN CAST(key + 1 AS VARCHAR)
+                ELSE CAST(900000000 + key // 3 AS VARCHAR) END ELSE new_value END AS new_value,
+         ins_first, ins_last, ins_mail, ins_phone
+  FROM m_clog),
+m_linked AS (
+  SELECT key AS k FROM m_klog WHERE property = 'ID' AND TRY_CAST(new_value AS BIGINT) IS NOT NULL
+  UNION
+  SELECT TRY_CAST(new_value AS BIGINT) FROM m_klog
+  WHERE property = 'ID' AND TRY_CAST(new_value AS BIGINT) IS NOT NULL),
+m_apart AS (SELECT * FROM m_klog WHERE key IS NOT NULL AND key NOT IN (SELECT k FROM m_linked)),
+{_per_key('m_apart')}
+m_steps AS (
+  SELECT *, CASE WHEN property = 'ID' THEN TRY_CAST(new_value AS BIGINT) END AS new_id,
+         row_number() OVER (ORDER BY seq) AS n
+  FROM m_klog WHERE key IN (SELECT k FROM m_linked)),
+m_begin AS (
+  SELECT coalesce(list({{'k': ID, 'f': first_name, 'l': last_name, 'm': e_mail, 'p': phone_num}}), []) AS live
+  FROM m_customer WHERE ID IN (SELECT k FROM m_linked)),
+m_state AS (
+  SELECT CAST(0 AS BIGINT) AS n, live, CAST(NULL AS BIGINT) AS bad FROM m_begin
+  UNION ALL
+  SELECT r.n,
+         CASE WHEN r.op = 'insert' AND len(list_filter(s.live, lambda x: x.k = r.key)) = 0
+                THEN list_append(s.live, {{'k': r.key, 'f': r.ins_first, 'l': r.ins_last, 'm': r.ins_mail, 'p': r.ins_phone}})
+              WHEN r.op = 'delete' THEN list_filter(s.live, lambda x: x.k <> r.key)
+              WHEN r.op = 'update' AND r.property = 'ID' THEN
+                CASE WHEN r.new_id IS NOT NULL AND len(list_filter(s.live, lambda x: x.k = r.new_id)) = 0
+                  THEN list_transform(s.live, lambda x: {{'k': CASE WHEN x.k = r.key THEN r.new_id ELSE x.k END,
+                                                        'f': x.f, 'l': x.l, 'm': x.m, 'p': x.p}})
+                  ELSE s.live END
+              WHEN r.op = 'update' THEN list_transform(s.live, lambda x: {{'k': x.k,
+                'f': CASE WHEN x.k = r.key AND r.property = 'first_name' THEN r.new_value ELSE x.f END,
+                'l': CASE WHEN x.k = r.key AND r.property = 'last_name' THEN r.new_value ELSE x.l END,
+                'm': CASE WHEN x.k = r.key AND r.property = 'e_mail' THEN r.new_value ELSE x.m END,
+                'p': CASE WHEN x.k = r.key AND r.property = 'phone_num' THEN r.new_value ELSE x.p END}})
+              ELSE s.live END,
+         CASE WHEN r.new_id <> r.key AND len(list_filter(s.live, lambda x: x.k = r.key)) > 0
+                   AND len(list_filter(s.live, lambda x: x.k = r.new_id)) > 0 THEN CAST(r.seq AS BIGINT) END
+  FROM m_state s JOIN m_steps r ON r.n = s.n + 1)
+"""
+
+KEY_CHANGES = {
+    "apply_customer_key_changes": """
+SELECT * FROM m_customer
+WHERE ID NOT IN (SELECT key FROM m_apart) AND ID NOT IN (SELECT k FROM m_linked)
+UNION ALL
+SELECT s.key AS ID, s.first_name, s.last_name, s.e_mail, s.phone_num
+FROM m_apart_sim s JOIN m_apart_len k ON s.key = k.key AND s.rn = k.n
+WHERE s.live
+UNION ALL
+SELECT u.x.k, u.x.f, u.x.l, u.x.m, u.x.p
+FROM (SELECT unnest(live) AS x FROM m_state WHERE n = (SELECT max(n) FROM m_state)) u""",
+    "customer_change_rejects": """
+SELECT seq, 'missing key' AS reason FROM m_klog WHERE key IS NULL
+UNION ALL
+SELECT seq, 'invalid value' FROM m_klog WHERE property = 'ID' AND TRY_CAST(new_value AS BIGINT) IS NULL
+UNION ALL
+SELECT bad, 'key change' FROM m_state WHERE bad IS NOT NULL""",
+}
+
 
 CHANGES = {
     "apply_customer_changes": """
 SELECT * FROM m_customer WHERE ID NOT IN (SELECT key FROM m_clog)
 UNION ALL
 SELECT s.key AS ID, s.first_name, s.last_name, s.e_mail, s.phone_num
-FROM m_sim s JOIN m_clog_len k ON s.key = k.key AND s.rn = k.n
+FROM m_clog_sim s JOIN m_clog_len k ON s.key = k.key AND s.rn = k.n
 WHERE s.live""",
     "update_event_properties": f"""
 SELECT e.ID, coalesce(p.name, e.name) AS name, coalesce(p.type, e.type) AS type, e.location,
@@ -459,6 +548,23 @@ FROM m_distributer d LEFT JOIN (
     "rename_distributers": _one_by_one("m_distributer", ["name", "location"], """
     SELECT event_id AS seq, user_id % 25 AS old_id, 25 + event_id % 40 AS new_id
     FROM events WHERE event_type = 'error'"""),
+    "rename_rejects": _one_by_one_rejects("m_distributer", """
+    SELECT event_id AS seq, user_id % 25 AS old_id, 25 + event_id % 40 AS new_id
+    FROM events WHERE event_type = 'error'"""),
+    "update_company_properties": """
+SELECT d.ID, coalesce(u.name, d.name) AS name, coalesce(u.location, d.location) AS location
+FROM m_company d LEFT JOIN (
+  SELECT user_id AS ID,
+         arg_max('K' || CAST(event_id AS VARCHAR), event_id) FILTER (WHERE event_id % 2 = 0) AS name,
+         arg_max('K' || CAST(event_id AS VARCHAR), event_id) FILTER (WHERE event_id % 2 = 1) AS location
+  FROM events WHERE event_type = 'click' GROUP BY user_id) u ON d.ID = u.ID""",
+    "ticket_edit_rejects": f"""
+SELECT seq, 'invalid value' AS reason FROM m_tedit
+WHERE (property = 'price' AND TRY_CAST({money('v')} AS DECIMAL(10,2)) IS NULL)
+   OR (property IN ('tickets_available', 'tickets_sold') AND TRY_CAST(round({money('v')}, 0) AS INTEGER) IS NULL)
+   OR (property IN ('event_id', 'distributer_id') AND TRY_CAST(round({money('v')}, 0) AS BIGINT) IS NULL)""",
+    "cust_of_delete_rejects": """
+SELECT seq, pair_text, 'invalid pair' AS reason FROM m_pairs WHERE len(string_split(pair_text, ',')) <> 2""",
     "update_ticket_properties": f"""
 SELECT t.ID, coalesce(u.type, t.type) AS type,
        coalesce(CAST(round({money('u.tickets_available')}, 0) AS INTEGER), t.tickets_available)
@@ -503,9 +609,57 @@ SELECT * FROM m_customer WHERE ID NOT IN (SELECT customer_id FROM m_pairs_ok)"""
 }
 
 
+TABLE_COLUMNS = {
+    "event_catalog": ("m_event", "ID name type location datetime general_price vip_price income expense details "
+                      "company_id"),
+    "company": ("m_company", "ID name location"),
+    "distributer": ("m_distributer", "ID name location"),
+    "customer": ("m_customer", "ID first_name last_name e_mail phone_num"),
+    "ticket": ("m_ticket", "ID type tickets_available tickets_sold price event_id distributer_id"),
+    "purchase": ("m_purchase", "purchase_id customer_id ticket_id payment_type purchase_date"),
+    "cust_of": ("m_cust_of", "company_id customer_id"),
+}
+LISTED = {name: (f"SELECT * FROM {table}", columns) for name, (table, columns) in TABLE_COLUMNS.items()}
+
+
+def _page(parts: dict[str, tuple[str, str]]) -> str:
+    """A page's reports as (report, line) rows: the columns' texts joined."""
+    def line(columns: str) -> str:
+        return "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in columns.split()) + ")"
+    return "\nUNION ALL\n".join(f"SELECT '{name}' AS report, {line(columns)} AS line FROM ({body})"
+                                for name, (body, columns) in parts.items())
+
+
+BUNDLES = {
+    "admin_bundle": _page({
+        "most_spending_customer": (REPORTS["top_customer_price_count"], "CustomerID CustomerName TotalSpent"),
+        "top_revenue_events": (REPORTS["event_revenue"], "ID EventName TotalRevenue"),
+        "company_most_event_types": (REPORTS["company_most_events"], "CompanyID CompanyName EventTypeCount"),
+        "company_most_customers": (REPORTS["company_most_tickets"], "CompanyID CompanyName TotalTicketsSold"),
+        "company_sales_ranking": (REPORTS["company_sales_ranking"], "CompanyID CompanyName TotalRevenue"),
+        "customer_loyalty": (REPORTS["customer_loyalty"], "CustomerID CustomerName CompanyID CompanyName PurchaseCount"),
+        "event_type_popularity": (REPORTS["event_type_popularity"], "EventType TotalTicketsSold"),
+    } | LISTED),
+    "manager_bundle": _page({
+        "top_revenue_events": (REPORTS["event_revenue_names"], "EventName TotalRevenue"),
+        "company_most_event_types": (REPORTS["company_most_events"], "CompanyName EventTypeCount"),
+        "company_sales_ranking": (REPORTS["company_sales_ranking"], "CompanyName TotalRevenue"),
+        "customer_loyalty": (REPORTS["customer_loyalty"], "CustomerName CompanyName PurchaseCount"),
+        "event_type_popularity": (REPORTS["event_type_popularity"], "EventType TotalTicketsSold"),
+        "events": (REPORTS["event_listing"], "ID name type location datetime general_price vip_price income expense "
+                   "details company_name"),
+        "distributers": LISTED["distributer"],
+    }),
+    "public_bundle": _page({
+        "events": (LISTINGS["event_cards"], "name location type datetime general_price vip_price details"),
+        "event_types_ranked": (REPORTS["event_type_popularity"], "EventType TotalTicketsSold"),
+    }),
+}
+
+
 def all_sql() -> dict[str, str]:
     out = {}
-    for group in (REPORTS, LISTINGS, LOOKUPS):
+    for group in (REPORTS, LISTINGS, LOOKUPS, BUNDLES):
         for k, body in group.items():
             out[k] = q(body)
     for k, body in INTAKE.items():
@@ -513,6 +667,8 @@ def all_sql() -> dict[str, str]:
     recursive = PRELUDE.replace("WITH\n", "WITH RECURSIVE\n", 1)
     for k, body in CHANGES.items():
         out[k] = recursive + CHANGE_CTES + body
+    for k, body in KEY_CHANGES.items():
+        out[k] = recursive + CHANGE_CTES + KEY_CHANGE_CTES + body
     # The streams deliver what their batch counterparts compute.
     out["purchase_intake_stream"] = out["new_purchases"]
     out["table_changes_stream"] = out["apply_customer_changes"]

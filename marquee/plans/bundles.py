@@ -88,11 +88,13 @@ def admin_bundle(t: Tables, class_spend: bool = False, with_listings: bool = Tru
 
 
 def manager_bundle(t: Tables) -> Bundle:
-    """B2: the manager page, with the columns the page shows (P6). Each
-    intermediate feeds one report here, so nothing is persisted."""
+    """B2: the manager page, with the columns the page shows (P6) and, where
+    rows have an order, the column that carries it (a table in several files
+    keeps no order of its own). Each intermediate feeds one report here, so
+    nothing is persisted."""
     shared, cached = None, []
     return Bundle({
-        "top_revenue_events": reports.event_revenue_names(t).select("EventName"),
+        "top_revenue_events": reports.event_revenue_names(t),
         "company_most_event_types": reports.company_most_events(t)
         .select("CompanyName", "EventTypeCount"),
         "company_sales_ranking": reports.company_sales_ranking(t)
@@ -107,8 +109,8 @@ def manager_bundle(t: Tables) -> Bundle:
 
 def public_bundle(t: Tables) -> Bundle:
     """The public home page -- event cards and the event types in
-    popularity order, shown by name only (P7)."""
+    popularity order (P7), with the count that carries the order."""
     return Bundle({
         "events": listings.event_cards(t),
-        "event_types_ranked": reports.event_type_popularity(t).select("EventType"),
+        "event_types_ranked": reports.event_type_popularity(t),
     })

@@ -6,10 +6,13 @@ output under its own name."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marquee.operators import changes, intake, listings, lookups, reports
+from marquee.plans import bundles
 from marquee.schemas import TABLE_SCHEMAS
 from marquee.sources import testdata as td
 
@@ -58,7 +61,6 @@ LOOKUPS: dict[str, Query] = {
 }
 
 INTAKE_OUTPUTS = {
-    "validate_requests": "validated",
     "new_customers": "new_customers",
     "quote_tickets": "quotes",
     "new_cust_of": "new_cust_of",
@@ -82,6 +84,16 @@ def _apply_customer_changes(spark, sf_dir):
                                  schema=TABLE_SCHEMAS["customer"])[0]
 
 
+def _customer_key_changes(spark, sf_dir):
+    return changes.apply_changes(td.customer(spark, sf_dir), td.customer_key_changes(spark, sf_dir),
+                                 schema=TABLE_SCHEMAS["customer"])
+
+
+def _ticket_updates(spark, sf_dir):
+    return changes.update_property(td.ticket(spark, sf_dir), td.ticket_edits(spark, sf_dir),
+                                   schema=TABLE_SCHEMAS["ticket"])
+
+
 def _event_updates(spark, sf_dir):
     return changes.update_property(td.event_catalog(spark, sf_dir),
                                    td.event_property_changes(spark, sf_dir),
@@ -100,6 +112,8 @@ def _delete_cust_of(spark, sf_dir):
 
 CHANGES: dict[str, Query] = {
     "apply_customer_changes": _apply_customer_changes,
+    "apply_customer_key_changes": lambda s, d: _customer_key_changes(s, d)[0],
+    "customer_change_rejects": lambda s, d: _customer_key_changes(s, d)[1],
     "update_event_properties": lambda s, d: _event_updates(s, d)[0],
     "event_update_rejects": lambda s, d: _event_updates(s, d)[1],
     "insert_companies": lambda s, d: changes.insert_rows(td.company(s, d),
@@ -112,14 +126,45 @@ CHANGES: dict[str, Query] = {
         td.distributer(s, d), td.distributer_edits(s, d), schema=TABLE_SCHEMAS["distributer"])[0],
     "rename_distributers": lambda s, d: changes.rename_keys(
         td.distributer(s, d), td.distributer_renames(s, d))[0],
-    "update_ticket_properties": lambda s, d: changes.update_property(
-        td.ticket(s, d), td.ticket_edits(s, d), schema=TABLE_SCHEMAS["ticket"])[0],
+    "rename_rejects": lambda s, d: changes.rename_keys(
+        td.distributer(s, d), td.distributer_renames(s, d))[1],
+    "update_company_properties": lambda s, d: changes.update_property(
+        td.company(s, d), td.company_edits(s, d), schema=TABLE_SCHEMAS["company"])[0],
+    "update_ticket_properties": lambda s, d: _ticket_updates(s, d)[0],
+    "ticket_edit_rejects": lambda s, d: _ticket_updates(s, d)[1],
     "rekey_events": lambda s, d: changes.rekey_parents(td.event_catalog(s, d),
                                                        td.ticket_edits(s, d)),
     "delete_purchases": lambda s, d: _delete_purchases(s, d)[0],
     "delete_purchase_tickets": lambda s, d: _delete_purchases(s, d)[1],
     "delete_cust_of": lambda s, d: _delete_cust_of(s, d)[0],
     "delete_cust_of_customers": lambda s, d: _delete_cust_of(s, d)[1],
+    "cust_of_delete_rejects": lambda s, d: _delete_cust_of(s, d)[2],
+}
+
+
+# ------------------------------------------------------------------ bundles
+
+def _bundle(make) -> Query:
+    """A page's reports, written as its tables and read back as lines of text
+    tagged with the report's name."""
+    def run(spark, sf_dir):
+        from marquee.session import scratch_dir
+        page = make(td.load_tables(spark, sf_dir))
+        schemas = {name: df.schema for name, df in page.reports.items()}
+        paths = page.write(scratch_dir(spark, "bundle"), parallelism=4)
+        tables = {name: spark.read.schema(schemas[name]).parquet(path) for name, path in paths.items()}
+        return reduce(DataFrame.union, [
+            df.select(F.lit(name).alias("report"),
+                      F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in df.columns])
+                      .alias("line"))
+            for name, df in tables.items()])
+    return run
+
+
+BUNDLES: dict[str, Query] = {
+    "admin_bundle": _bundle(bundles.admin_bundle),
+    "manager_bundle": _bundle(bundles.manager_bundle),
+    "public_bundle": _bundle(bundles.public_bundle),
 }
 
 
@@ -168,7 +213,9 @@ def queries() -> dict[str, Query]:
         q[f"scan_{name}"] = _scan(name)
     q.update({k: _on_tables(f) for k, f in LISTINGS.items()})
     q.update(LOOKUPS)
+    q["validate_requests"] = lambda s, d: intake.validate_requests(td.purchase_requests(s, d))
     q.update({k: _intake_output(a) for k, a in INTAKE_OUTPUTS.items()})
     q.update(CHANGES)
+    q.update(BUNDLES)
     q.update(STREAMS)
     return q

@@ -101,15 +101,17 @@ MANIFEST_SCHEMA = "table string, path string, max_id bigint, version string"
 
 
 def publish_version(spark: SparkSession, root: str, version: str,
-                    paths: dict | None = None, max_ids: dict | None = None) -> None:
+                    paths: dict | None = None, max_ids: dict | None = None, replay: bool = False) -> None:
     """Make ``version`` visible by writing its manifest (table -> folders,
     with each folder's largest key), an append-only marker under
-    ``_versions``; rewriting it on replay is idempotent."""
+    ``_versions``. A version that another job has taken is an error; only a
+    stream's own replay of a batch rewrites it."""
     max_ids = max_ids or {}
     rows = [(name, p, max_ids.get(p)) for name, ps in (paths or {}).items()
             for p in _as_list(ps)] or [(None, None, None)]
     spark.createDataFrame(rows, "table string, path string, max_id bigint").coalesce(1) \
-        .write.mode("overwrite").parquet(f"{root.rstrip('/')}/{VERSIONS}/version={version}")
+        .write.mode("overwrite" if replay else "errorifexists") \
+        .parquet(f"{root.rstrip('/')}/{VERSIONS}/version={version}")
 
 
 def current_version(spark: SparkSession, root: str) -> str:
@@ -118,13 +120,20 @@ def current_version(spark: SparkSession, root: str) -> str:
         rows = (spark.read.schema(MANIFEST_SCHEMA)
                 .parquet(f"{root.rstrip('/')}/{VERSIONS}")
                 .agg(F.max("version")).collect())
-    except AnalysisException as e:  # nothing published yet
+    except AnalysisException as e:
+        if not _none_published(e):
+            raise
         raise FileNotFoundError(f"no published snapshot under {root}") from e
     if not rows or rows[0][0] is None:
         raise FileNotFoundError(f"no published snapshot under {root}")
     return rows[0][0]
 
 
+def _none_published(e: AnalysisException) -> bool:
+    """Whether the error says that the root has no versions folder."""
+    return e.getCondition() == "PATH_NOT_FOUND"
+
+
 def _manifest_df(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root.rstrip('/')}/{VERSIONS}")
 
@@ -134,21 +143,28 @@ def manifest_rows(spark: SparkSession, root: str) -> dict:
     try:
         rows = _manifest_df(spark, root).where(F.col("max_id").isNotNull()) \
             .select("path", "max_id").distinct().collect()
-    except AnalysisException:
+    except AnalysisException as e:
+        if not _none_published(e):
+            raise
         return {}
     return {r.path: r.max_id for r in rows}
 
 
 def manifest(spark: SparkSession, root: str, version: str) -> dict[str, list[str]]:
-    """Folders of every table in a version (a few small rows); versions
-    written without a manifest use the default layout."""
+    """Folders of every table in a version (a few small rows). A root
+    without any published version has the default layout; a version that is
+    not among the published ones is an error."""
     paths = {name: [table_path(root, version, name)] for name in TABLE_SCHEMAS}
     try:
         rows = (_manifest_df(spark, root)
-                .where(F.col("version") == version).where(F.col("table").isNotNull())
-                .select("table", "path").collect())
-    except AnalysisException:
+                .where(F.col("version") == version).select("table", "path").collect())
+        if not rows:
+            raise FileNotFoundError(f"version {version} is not published under {root}")
+    except AnalysisException as e:
+        if not _none_published(e):
+            raise
         rows = []
+    rows = [r for r in rows if r.table is not None]
     listed: dict[str, list[str]] = {}
     for r in rows:
         listed.setdefault(r.table, []).append(r.path)

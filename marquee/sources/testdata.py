@@ -258,6 +258,35 @@ def customer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(op == "insert", row).cast(CUSTOMER.simpleString()).alias("row"))
 
 
+def customer_key_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Customer edits with key changes among them: every 40th event that
+    deletes moves the row instead, to a key that three users share, to the
+    next user's or back; some edits name the shared key; some inserts have no
+    key, some targets are no number."""
+    seq, key, op = F.col("seq"), F.col("key"), F.col("op")
+    shared = (F.lit(900000000) + F.floor(key / 3)).cast("bigint")
+    moves = (op == "delete") & (seq % 40 == 0)
+    target = (F.when(seq % 600 == 0, F.lit("none"))
+              .when(seq % 80 == 40, key.cast("string"))
+              .when(seq % 240 == 0, (key + 1).cast("string"))
+              .otherwise(shared.cast("string")))
+    return customer_changes(spark, sf_dir).select(
+        "seq", F.when(moves, F.lit("update")).otherwise(op).alias("op"),
+        F.when((op == "insert") & (seq % 90 == 0), F.lit(None).cast("bigint"))
+        .when((moves & (seq % 80 == 40)) | ((op == "update") & (seq % 30 == 7)), shared).otherwise(key).alias("key"),
+        F.when(moves, F.lit("ID")).otherwise(F.col("property")).alias("property"),
+        F.when(moves, target).otherwise(F.col("new_value")).alias("new_value"), "row")
+
+
+def company_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Company name and location edits from click events, keyed by ``user_id``."""
+    ev = _driver_events(spark, sf_dir, "click")
+    eid = F.col("event_id")
+    return ev.select(eid.alias("seq"), F.lit("update").alias("op"), F.col("user_id").cast("bigint").alias("key"),
+                     F.when(eid % 2 == 0, F.lit("name")).otherwise(F.lit("location")).alias("property"),
+                     F.concat(F.lit("K"), eid.cast("string")).alias("new_value"))
+
+
 def event_property_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event edits from click events: one property per edit, keyed by
     ``event_id mod |events|``; money edits arrive as form text with ``$`` and

@@ -87,11 +87,14 @@ def id_bases(spark: SparkSession, root: str, before: int) -> dict:
 
 
 def read_deltas(spark: SparkSession, root: str, name: str, before: int | None = None) -> DataFrame:
+    """New rows of the completed batches: those whose counters, written last,
+    exist; a batch under way or cut off shows in no table."""
     schema = REJECT_SCHEMA if name == "rejects" else TABLE_SCHEMAS[name]
+    complete = spark.read.schema(COUNTER_SCHEMA).parquet(_delta_path(root, COUNTERS)).select("batch_id").distinct()
     df = spark.read.schema(_with_batch(schema)).parquet(_delta_path(root, name))
     if before is not None:
         df = df.where(F.col("batch_id") < before)
-    return df.drop("batch_id")
+    return df.join(complete, "batch_id", "left_semi").drop("batch_id")
 
 
 def intake_state(spark: SparkSession, root: str, before: int | None = None) -> Tables:
@@ -173,7 +176,7 @@ def run_change_batch(changes: DataFrame, batch_id: int, root: str, name: str,
         out, rejects = apply_changes(snap, changes, key, TABLE_SCHEMAS[name])
         out.sortWithinPartitions(key).write.mode("overwrite").parquet(f"{troot}/v={version}")
         rejects.write.mode("overwrite").parquet(f"{troot}/rejects/batch_id={batch_id}")
-        snapshots.publish_version(spark, troot, version)
+        snapshots.publish_version(spark, troot, version, replay=True)
     finally:
         changes.unpersist()
 
