@@ -17,11 +17,13 @@ with too few labelled values of a kind nothing is inferred from that kind.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,9 +66,13 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Long tokens that no base span touches."""
+    """Long tokens that no base span (sorted by start) touches."""
     found = [(m.start(), m.end(), m[0]) for m in CANDIDATE.finditer(text)]
-    return [c for c in found if all(b[2] <= c[0] or b[0] >= c[1] for b in base)] if base else found
+    if not base:
+        return found
+    starts = [b[0] for b in base]
+    ends = list(accumulate((b[2] for b in base), max, initial=0))  # greatest end of the first i spans
+    return [c for c in found if ends[bisect.bisect_left(starts, c[1])] <= c[0]]
 
 
 class Grammar:
