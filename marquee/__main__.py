@@ -16,6 +16,12 @@
   apply-changes  --root R --table T --changes P [--key ID]
                  fold a change log (parquet, change_schema of T) into the
                  next published snapshot version; rejects under R/rejects
+  delete-purchases --root R --requests P [--format parquet|json|csv]
+                 purchases by purchase_id, each with its ticket, into the next
+                 version
+  delete-cust-of --root R --requests P [--format parquet|json|csv]
+                 (seq, pair_text "company,customer"): the links and their
+                 customers; malformed texts under R/rejects
   lookup         --root R --name customer_by_email|match_contacts|customer_profile
                  --requests P --out O [--format parquet|json|csv]
                  lookups for a file of requests (request_id, e_mail,
@@ -77,12 +83,13 @@ def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="marquee", description=__doc__,
                                  formatter_class=argparse.RawDescriptionHelpFormatter)
     ap.add_argument("command", choices=["load-testdata", "load-jdbc", "report", "bundle", "intake",
-                                        "apply-changes", "compact", "lookup"])
+                                        "apply-changes", "compact", "lookup", "delete-purchases",
+                                        "delete-cust-of"])
     ap.add_argument("--root")
     ap.add_argument("--version")
     ap.add_argument("--sf-dir")
     ap.add_argument("--url")
-    ap.add_argument("--partitions", type=int, default=1)
+    ap.add_argument("--partitions", type=int, default=32)
     ap.add_argument("--prop", action="append", default=[])
     ap.add_argument("--name")
     ap.add_argument("--page")
@@ -95,7 +102,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--master")
     a = ap.parse_args(argv)
     spark = build_session(master=a.master)
-    if a.version and a.command in ("intake", "apply-changes", "compact") \
+    if a.version and a.command in ("intake", "apply-changes", "compact", "delete-purchases", "delete-cust-of") \
             and a.version != snapshots.current_version(spark, a.root):
         ap.error(f"{a.command} writes on top of the current version, {a.version} is not it")
 
@@ -110,7 +117,7 @@ def main(argv: list[str] | None = None) -> int:
         props = dict(p.split("=", 1) for p in a.prop)
         t = snapshots.read_jdbc_tables(spark, a.url, props, a.partitions)
         snapshots.write_snapshot(t, a.root, a.version or _next_version(spark, a.root),
-                                 parallelism=4)
+                                 parallelism=4, check_keys=True)
     elif a.command == "report":
         t = snapshots.read_snapshot(spark, a.root, a.version)
         REPORTS[a.name](t).write.mode("errorifexists").parquet(a.out)
@@ -156,6 +163,25 @@ def main(argv: list[str] | None = None) -> int:
         out, rejects = changes.apply_changes(t.get(a.table), log, a.key, TABLE_SCHEMAS[a.table])
         version = _write_new_version(spark, a.root, t.with_table(a.table, out), {a.table}, base)
         rejects.write.mode("errorifexists").parquet(f"{a.root}/rejects/v={version}")
+    elif a.command in ("delete-purchases", "delete-cust-of"):
+        base = a.version or snapshots.current_version(spark, a.root)
+        t = snapshots.read_snapshot(spark, a.root, base)
+        pairs = a.command == "delete-cust-of"
+        reader = spark.read.format(a.format).schema("seq bigint, pair_text string" if pairs else "purchase_id bigint")
+        if a.format == "csv":
+            reader = reader.option("header", "true")
+        given, rejects = reader.load(a.requests), None
+        if pairs:
+            links, customers, rejects = changes.delete_cust_of(t.cust_of, t.customer, given)
+            cut = {"cust_of": links, "customer": customers}
+        else:
+            purchases, tickets = changes.delete_purchases(t.purchase, t.ticket, given)
+            cut = {"purchase": purchases, "ticket": tickets}
+        for name, df in cut.items():
+            t = t.with_table(name, df)
+        version = _write_new_version(spark, a.root, t, set(cut), base)
+        if rejects is not None:
+            rejects.write.mode("errorifexists").parquet(f"{a.root}/rejects/v={version}")
     elif a.command == "lookup":
         t = snapshots.read_snapshot(spark, a.root, a.version)
         reader = spark.read.format(a.format)

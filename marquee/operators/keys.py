@@ -1,12 +1,13 @@
 """Dense key assignment (``max(ID) + 1, + 2, ...`` in a given order) without
 a single-partition global window.
 
-1. Cut the order key into ``n`` ranges at approximate quantiles (one
-   ``percentile_approx`` aggregate, partial per task; only the ``n - 1`` cut
-   points reach the driver, just as a range partitioner's sample does).
-2. Bucket every row with a balanced CASE tree over the cut points (a pure,
-   codegen'd function of the key, so every re-evaluation or retried task
-   gives the same bucket).
+1. Cut the order key into ``n`` ranges at approximate quantiles, ``n`` following
+   the row count (one count, and one ``percentile_approx`` aggregate ten times
+   finer than the ranges, partial per task; only the ``n - 1`` cut points reach
+   the driver, just as a range partitioner's sample does).
+2. Bucket every row by binary search in one literal array of the cut points (a
+   pure function of the key, so every re-evaluation or retried task gives the
+   same bucket).
 3. Count rows per bucket (at most ``n`` rows), turn the counts into running
    offsets, and number rows inside each bucket with ``row_number``.
 4. Broadcast the offsets (bounded by ``n``) back: id = base + offset + rank.
@@ -17,40 +18,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows a bucket should hold, and the most buckets (the broadcast offsets and
+#: the literal array have one entry per bucket).
+BUCKET_ROWS = 100_000
+MOST_BUCKETS = 8_192
+
 
 def _bucket_expr(key: Column, cuts: list) -> Column:
-    """Index of the range of ``key`` among sorted ``cuts`` (0..len(cuts)),
-    as a balanced binary CASE tree of depth log2(len(cuts))."""
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key <= F.lit(cuts[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
-    return build(0, len(cuts))
-
-
-def _default_buckets(df: DataFrame) -> int:
-    try:
-        return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    except Exception:
-        return 8
-
-
-def cut_points(df: DataFrame, order_col: str, n_buckets: int | None = None,
-               rel_error: float = 0.001) -> list:
-    """``n - 1`` approximate quantiles of ``order_col`` (one aggregate pass;
-    only these values reach the driver)."""
-    n = n_buckets or _default_buckets(df)
+    """How many of the sorted ``cuts`` are below ``key``: binary search in one
+    literal array, about log2(len(cuts)) steps. NULL keys come first."""
+    widths = [1 << i for i in reversed(range(len(cuts).bit_length()))]
+    at = F.array(*map(F.lit, cuts))
+
+    def step(found: Column, width: Column) -> Column:
+        # past the last cut the comparison is NULL
+        return found + F.when(F.get(at, found + width - 1) < key, width).otherwise(0)
+
+    return F.aggregate(F.array(*map(F.lit, widths)), F.lit(0), step)
+
+
+def cut_points(df: DataFrame, order_col: str, n_buckets: int | None = None) -> list:
+    """``n - 1`` approximate quantiles of ``order_col`` (only these values
+    reach the driver); without ``n_buckets``, ``n`` follows the row count."""
+    n = n_buckets or min(MOST_BUCKETS, -(-df.count() // BUCKET_ROWS))
     if n <= 1:
         return []
     probs = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(order_col, probs, int(1 / rel_error))).first()
+    row = df.agg(F.percentile_approx(order_col, probs, max(10_000, 10 * n))).first()
     return sorted(set(v for v in (row[0] or []) if v is not None))
 
 
 def dense_rank_by(df: DataFrame, order_col: str, rank_col: str = "_pos",
-                  n_buckets: int | None = None, rel_error: float = 0.001,
-                  cuts: list | None = None) -> DataFrame:
+                  n_buckets: int | None = None, cuts: list | None = None) -> DataFrame:
     """Add ``rank_col`` = 1-based position of each row in ``order_col``
     order. The column should be (nearly) unique so the quantile buckets are
     balanced; ties are ordered by the remaining columns. ``cuts`` may come
@@ -58,7 +57,7 @@ def dense_rank_by(df: DataFrame, order_col: str, rank_col: str = "_pos",
     the accepted ones): any sorted cut points give the same ranks, they only
     steer the bucket balance."""
     if cuts is None:
-        cuts = cut_points(df, order_col, n_buckets, rel_error)
+        cuts = cut_points(df, order_col, n_buckets)
     key = F.col(order_col)
     bucketed = df.withColumn("_bucket", _bucket_expr(key, cuts) if cuts else F.lit(0))
     counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))

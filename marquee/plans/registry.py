@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.operators import changes, intake, listings, lookups, reports
+from marquee.operators.keys import cut_points
 from marquee.plans import bundles
 from marquee.schemas import TABLE_SCHEMAS
 from marquee.sources import testdata as td
@@ -170,34 +171,55 @@ BUNDLES: dict[str, Query] = {
 
 # ------------------------------------------------------------------ streams
 
+def _arrivals(df: DataFrame, order_col: str, parts: int = 3) -> list[DataFrame]:
+    """Consecutive parts of ``df`` in ``order_col`` order, about equally large
+    (NULLs come with the first)."""
+    at, cuts = F.col(order_col), cut_points(df, order_col, parts)
+    out = []
+    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
+        after = F.lit(True) if lo is None else at > lo
+        upto = F.lit(True) if hi is None else (at <= hi) | at.isNull()
+        out.append(df.where(after & upto))
+    return out
+
+
 def _intake_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I8 end to end: the derived requests land as files, the stream books
-    them against a base snapshot; returns the purchases it booked."""
+    """I8 end to end: the derived requests land as files in three arrivals,
+    the stream, restarted on its checkpoint each time, books them against a
+    base snapshot; the last micro-batch is replayed, as after a crash before
+    its commit. Returns the purchases booked."""
     from marquee.session import scratch_dir
     from marquee.sources import snapshots
     from marquee.streaming import streams
     work = scratch_dir(spark, "intake-stream")
     in_dir, root, ckpt = f"{work}/requests", f"{work}/store", f"{work}/checkpoint"
-    td.purchase_requests(spark, sf_dir).write.parquet(in_dir)
     tables = td.load_tables(spark, sf_dir, persist=True)
     try:
         snapshots.write_snapshot(tables, root, streams.BASE_VERSION, publish=False)
     finally:
         tables.release()
-    streams.purchase_intake_stream(spark, in_dir, root, ckpt).awaitTermination()
+    arrivals = _arrivals(td.purchase_requests(spark, sf_dir), "request_id")
+    for part in arrivals:
+        part.write.mode("append").parquet(in_dir)
+        streams.purchase_intake_stream(spark, in_dir, root, ckpt).awaitTermination()
+    streams.run_intake_batch(arrivals[-1], len(arrivals) - 1, root)
     return streams.read_deltas(spark, root, "purchase")
 
 
 def _changes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I9 end to end: the derived Customer edits land as files, the stream
-    folds them into a new Customer version; returns that version."""
+    """I9 end to end: the derived Customer edits land as files in three
+    arrivals, the stream folds each into a new Customer version; the last
+    micro-batch is replayed. Returns the final version."""
     from marquee.session import scratch_dir
     from marquee.streaming import streams
     work = scratch_dir(spark, "changes-stream")
     in_dir, root, ckpt = f"{work}/changes", f"{work}/store", f"{work}/checkpoint"
-    td.customer_changes(spark, sf_dir).write.parquet(in_dir)
     streams.init_change_table(td.customer(spark, sf_dir), root, "customer")
-    streams.table_changes_stream(spark, in_dir, root, "customer", ckpt).awaitTermination()
+    arrivals = _arrivals(td.customer_changes(spark, sf_dir), "seq")
+    for part in arrivals:
+        part.write.mode("append").parquet(in_dir)
+        streams.table_changes_stream(spark, in_dir, root, "customer", ckpt).awaitTermination()
+    streams.run_change_batch(arrivals[-1], len(arrivals) - 1, root, "customer")
     return streams.read_change_table(spark, root, "customer")
 
 

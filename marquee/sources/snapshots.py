@@ -18,6 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.plans.checks import duplicate_keys
 from marquee.schemas import TABLE_KEYS, TABLE_SCHEMAS
 from marquee.tables import Tables
 
@@ -53,7 +54,7 @@ def max_key(spark: SparkSession, path: str, name: str):
 
 def write_snapshot(t: Tables, root: str, version: str, publish: bool = True,
                    reuse: dict | None = None, append: dict | None = None,
-                   parallelism: int = 1) -> dict[str, list[str]]:
+                   parallelism: int = 1, check_keys: bool = False) -> dict[str, list[str]]:
     """Write the tables of ``t`` as version ``version`` and (optionally)
     publish it. Tables named in ``reuse`` (name -> existing folders) are not
     rewritten: the manifest points at the existing folders. Tables named in
@@ -61,7 +62,9 @@ def write_snapshot(t: Tables, root: str, version: str, publish: bool = True,
     holding only the rows of ``t`` (new rows), added to the existing ones --
     so growing a table never copies what it already holds. With
     ``parallelism`` > 1 the independent table writes are submitted from a
-    thread pool (after any shared persisted input of ``t`` is filled once)."""
+    thread pool (after any shared persisted input of ``t`` is filled once).
+    With ``check_keys`` a table with a repeated key is an error and nothing
+    is published (the id-first reports and the folds rely on unique keys)."""
     spark = t.customer.sparkSession
     reuse, append = reuse or {}, append or {}
     paths: dict[str, list[str]] = {name: _as_list(reuse[name]) for name in t.names()
@@ -84,11 +87,18 @@ def write_snapshot(t: Tables, root: str, version: str, publish: bool = True,
         new_folders = {name: write_one(name) for name in todo}
     for name, folder in new_folders.items():
         paths[name] = _as_list(append.get(name, [])) + [folder]
+    if check_keys:
+        written = Tables(**{name: spark.read.schema(TABLE_SCHEMAS[name]).parquet(*paths[name])
+                            for name in t.names()})
+        repeated = duplicate_keys(written).select("table").distinct().collect()
+        if repeated:
+            raise ValueError(f"repeated keys in {sorted(r.table for r in repeated)}; "
+                             f"version {version} is not published")
     if publish:
-        known = manifest_rows(spark, root) if (reuse or append) else {}
+        known = folder_max_ids(spark, root) if (reuse or append) else {}
         publish_version(spark, root, version, paths,
-                        {f: max_key(spark, f, n) for n, f in new_folders.items()
-                         if n in NUMBERED_TABLES} | known)
+                        {f: known[f] if f in known else max_key(spark, f, n)
+                         for n in NUMBERED_TABLES for f in paths[n]})
     return paths
 
 
@@ -130,23 +140,31 @@ def current_version(spark: SparkSession, root: str) -> str:
 
 
 def _none_published(e: AnalysisException) -> bool:
-    """Whether the error says that the root has no versions folder."""
+    """Whether the error says that the versions folder, or the asked version's, is absent."""
     return e.getCondition() == "PATH_NOT_FOUND"
 
 
-def _manifest_df(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root.rstrip('/')}/{VERSIONS}")
+def any_published(spark: SparkSession, root: str) -> bool:
+    try:
+        current_version(spark, root)
+    except FileNotFoundError:
+        return False
+    return True
+
+
+def _manifest_df(spark: SparkSession, root: str, version: str) -> DataFrame:
+    """One version's manifest, from its own folder alone."""
+    return spark.read.schema("table string, path string, max_id bigint") \
+        .parquet(f"{root.rstrip('/')}/{VERSIONS}/version={version}")
 
 
-def manifest_rows(spark: SparkSession, root: str) -> dict:
-    """Largest key of every folder any version lists (folder -> max id)."""
+def folder_max_ids(spark: SparkSession, root: str) -> dict:
+    """Largest key of every folder the current version lists (folder -> max id)."""
     try:
-        rows = _manifest_df(spark, root).where(F.col("max_id").isNotNull()) \
-            .select("path", "max_id").distinct().collect()
-    except AnalysisException as e:
-        if not _none_published(e):
-            raise
+        version = current_version(spark, root)
+    except FileNotFoundError:
         return {}
+    rows = _manifest_df(spark, root, version).where(F.col("max_id").isNotNull()).collect()
     return {r.path: r.max_id for r in rows}
 
 
@@ -156,14 +174,14 @@ def manifest(spark: SparkSession, root: str, version: str) -> dict[str, list[str
     not among the published ones is an error."""
     paths = {name: [table_path(root, version, name)] for name in TABLE_SCHEMAS}
     try:
-        rows = (_manifest_df(spark, root)
-                .where(F.col("version") == version).select("table", "path").collect())
-        if not rows:
-            raise FileNotFoundError(f"version {version} is not published under {root}")
+        rows = _manifest_df(spark, root, version).select("table", "path").collect()
+        missing = not rows
     except AnalysisException as e:
         if not _none_published(e):
             raise
-        rows = []
+        rows, missing = [], any_published(spark, root)
+    if missing:
+        raise FileNotFoundError(f"version {version} is not published under {root}")
     rows = [r for r in rows if r.table is not None]
     listed: dict[str, list[str]] = {}
     for r in rows:
@@ -175,8 +193,7 @@ def manifest(spark: SparkSession, root: str, version: str) -> dict[str, list[str
 def max_ids(spark: SparkSession, root: str, version: str) -> dict:
     """Largest key per table of a version, from the manifest only (no scan
     of the tables): ``{table: int | None}``."""
-    rows = (_manifest_df(spark, root).where(F.col("version") == version)
-            .where(F.col("table").isNotNull())
+    rows = (_manifest_df(spark, root, version).where(F.col("table").isNotNull())
             .groupBy("table").agg(F.max("max_id").alias("m")).collect())
     return {r.table: r.m for r in rows}
 
@@ -226,7 +243,7 @@ SOURCE_TABLES = {
 
 
 def read_jdbc_tables(spark: SparkSession, url: str, properties: dict | None = None,
-                     num_partitions: int = 1, source_tables: dict | None = None) -> Tables:
+                     num_partitions: int = 32, source_tables: dict | None = None) -> Tables:
     """All seven tables from the source database. Tables with a numeric key
     are read in ``num_partitions`` parallel key ranges; the range bounds
     come from one ``min``/``max`` query per table (two numbers reach the

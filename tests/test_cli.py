@@ -60,6 +60,23 @@ def test_cli_round_trip(spark):
         assert len(m4["purchase"]) == 1
         t4 = snapshots.read_snapshot(spark, root)
         assert t4.purchase.count() == t0.purchase.count() + n_new + p2.count()
+        # cascades: purchases with their tickets, links with their customers
+        doomed = t4.purchase.orderBy("purchase_id").limit(5).collect()
+        spark.createDataFrame([(r.purchase_id,) for r in doomed] + [(-7,)], "purchase_id bigint") \
+            .write.parquet(f"{work}/gone")
+        main(["delete-purchases", "--root", root, "--requests", f"{work}/gone"])
+        t5 = snapshots.read_snapshot(spark, root)
+        assert t5.purchase.count() == t4.purchase.count() - 5
+        assert t5.ticket.count() == t4.ticket.count() - len({r.ticket_id for r in doomed})
+        link = t5.cust_of.orderBy("company_id", "customer_id").first()
+        spark.createDataFrame([(1, f"{link.company_id},{link.customer_id}"), (2, "no pair")],
+                              "seq bigint, pair_text string").write.json(f"{work}/pairs")
+        main(["delete-cust-of", "--root", root, "--requests", f"{work}/pairs", "--format", "json"])
+        t6 = snapshots.read_snapshot(spark, root)
+        assert t6.cust_of.count() == t5.cust_of.count() - 1
+        assert t6.customer.count() == t5.customer.count() - 1
+        rejects = spark.read.parquet(f"{root}/rejects/v={snapshots.current_version(spark, root)}")
+        assert [r.seq for r in rejects.collect()] == [2]
     finally:
         spark.stop = stop
 

@@ -112,3 +112,29 @@ def test_assign_ids_continue_after_existing_max(spark):
     empty = spark.createDataFrame([], "ID bigint")
     got = sorted(r.ID for r in assign_ids(new, "request_id", empty, "ID", "ID").collect())
     assert got == [1, 2, 3]
+
+
+def test_buckets_of_a_large_numbering_are_balanced(spark):
+    """Thousands of ranges: dense ranks, no range far above its share."""
+    from pyspark.sql import functions as F
+
+    from marquee.operators.keys import _bucket_expr, cut_points
+    n, buckets = 400_000, 2_000
+    df = spark.range(n).select((F.col("id") * 7919 % n * 3).alias("k"))
+    cuts = cut_points(df, "k", buckets)
+    sizes = df.groupBy(_bucket_expr(F.col("k"), cuts).alias("b")).count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] < 2 * n / buckets and sizes[1] > 0.9 * buckets
+    ranked = dense_rank_by(df, "k", cuts=cuts)
+    assert ranked.where(F.col("_pos") != F.col("k") / 3 + 1).count() == 0 and ranked.count() == n
+
+
+def test_bucket_count_follows_the_rows(spark):
+    from marquee.operators.keys import BUCKET_ROWS, cut_points
+    assert cut_points(spark.range(100), "id") == []
+    assert len(cut_points(spark.range(3 * BUCKET_ROWS), "id")) == 2
+
+
+def test_null_order_keys_are_numbered_first(spark):
+    df = spark.createDataFrame([(None, "b"), (5, "x"), (None, "a"), (1, "y"), (3, "z")], "k int, v string")
+    got = {r.v: r._pos for r in dense_rank_by(df, "k", n_buckets=3).collect()}
+    assert got == {"a": 1, "b": 2, "y": 3, "z": 4, "x": 5}
