@@ -57,6 +57,25 @@ def insert_rows(snapshot: DataFrame, rows: DataFrame, key="ID", seq_col: str | N
     return snapshot.unionByName(fresh.select(*cols))
 
 
+def insert_forms(snapshot: DataFrame, forms: DataFrame, schema: StructType, key="ID") \
+        -> tuple[DataFrame, DataFrame]:
+    """M1 as the form posts it: every column of ``schema`` arrives as text,
+    with ``seq``. A missing key or a text that does not convert is a statement
+    error: no effect, and a row (seq, reason) of the rejects. The others are
+    inserted as by :func:`insert_rows`. Returns (table, rejects)."""
+    ks = _keys(key)
+    typed = {f.name: _typed(F.col(f.name), f.dataType).cast(f.dataType) for f in schema.fields}
+    missing, bad = F.lit(False), F.lit(False)
+    for f in schema.fields:
+        if f.name in ks:
+            missing = missing | F.col(f.name).isNull()
+        bad = bad | (F.col(f.name).isNotNull() & typed[f.name].isNull())
+    checked = forms.withColumn("_reject", F.when(missing, F.lit(NO_KEY_ERROR)).when(bad, F.lit(BAD_VALUE_ERROR)))
+    rows = checked.where(F.col("_reject").isNull()).select("seq", *[c.alias(n) for n, c in typed.items()])
+    return (insert_rows(snapshot.select(*typed), rows, key),
+            checked.where(F.col("_reject").isNotNull()).select("seq", F.col("_reject").alias("reason")))
+
+
 def delete_rows(snapshot: DataFrame, keys: DataFrame, key="ID") -> DataFrame:
     """M8: remove rows whose key is listed (absent keys are no-ops)."""
     ks = _keys(key)

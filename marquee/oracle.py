@@ -310,6 +310,19 @@ def money(x: str) -> str:
     return f"TRY_CAST(trim(regexp_replace({x}, '[,$]', '', 'g')) AS DECIMAL(38,10))"
 
 
+# Ticket insert forms from signups, read as the form's statement would read them.
+TICKET_FORMS = """
+SELECT seq, key_text, TRY_CAST(key_text AS BIGINT) AS ID, CASE WHEN seq % 2 = 0 THEN 'VIP' ELSE 'General' END AS type,
+       CAST(1000 + seq % 1000 AS INTEGER) AS tickets_available,
+       CAST(CASE WHEN seq % 11 <> 0 THEN seq % 90 END AS INTEGER) AS tickets_sold,
+       CAST(seq % 500 + 0.25 AS DECIMAL(10,2)) AS price, CAST(seq % 1000 AS BIGINT) AS event_id,
+       CAST(user_id % 24 + 1 AS BIGINT) AS distributer_id
+FROM (SELECT event_id AS seq, user_id,
+             CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN 'none'
+                  ELSE CAST(user_id * 10 + 1 AS VARCHAR) END AS key_text
+      FROM events WHERE event_type = 'signup')"""
+
+
 def _per_key(log: str) -> str:
     """A log applied edit by edit to each key on its own (no key changes)."""
     return f"""{log}_n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS rn FROM {log}),
@@ -520,6 +533,22 @@ FROM (SELECT event_id AS seq, CAST(user_id AS BIGINT) AS ID,
       FROM events WHERE event_type = 'signup') i
 WHERE ID NOT IN (SELECT ID FROM m_company)
 GROUP BY ID""",
+    "insert_tickets": f"""
+SELECT ID, type, tickets_available, tickets_sold, price, event_id, distributer_id FROM m_ticket
+UNION ALL
+SELECT ID, arg_min(type, seq), arg_min(tickets_available, seq), arg_min(tickets_sold, seq), arg_min(price, seq),
+       arg_min(event_id, seq), arg_min(distributer_id, seq)
+FROM ({TICKET_FORMS}) WHERE key_text IS NOT NULL AND ID IS NOT NULL AND tickets_sold IS NOT NULL
+  AND ID NOT IN (SELECT ID FROM m_ticket)
+GROUP BY ID""",
+    "insert_ticket_rejects": f"""
+SELECT seq, CASE WHEN key_text IS NULL THEN 'missing key' ELSE 'invalid value' END AS reason
+FROM ({TICKET_FORMS}) WHERE key_text IS NULL OR ID IS NULL OR tickets_sold IS NULL""",
+    "insert_company_links": """
+SELECT company_id, customer_id FROM m_cust_of
+UNION
+SELECT CAST(user_id * 7 % (SELECT count(*) FROM supplier) AS BIGINT), CAST(user_id AS BIGINT)
+FROM events WHERE event_type = 'click'""",
     "delete_companies": """
 SELECT * FROM m_company
 WHERE ID NOT IN (SELECT event_id FROM events WHERE event_type = 'error')""",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from marquee.operators import changes, intake, listings, lookups, reports
 from marquee.operators.keys import cut_points
 from marquee.plans import bundles
-from marquee.schemas import TABLE_SCHEMAS
+from marquee.schemas import TABLE_KEYS, TABLE_SCHEMAS
 from marquee.sources import testdata as td
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,10 @@ def _ticket_updates(spark, sf_dir):
                                    schema=TABLE_SCHEMAS["ticket"])
 
 
+def _ticket_forms(spark, sf_dir):
+    return changes.insert_forms(td.ticket(spark, sf_dir), td.ticket_forms(spark, sf_dir), TABLE_SCHEMAS["ticket"])
+
+
 def _event_updates(spark, sf_dir):
     return changes.update_property(td.event_catalog(spark, sf_dir),
                                    td.event_property_changes(spark, sf_dir),
@@ -119,6 +123,10 @@ CHANGES: dict[str, Query] = {
     "event_update_rejects": lambda s, d: _event_updates(s, d)[1],
     "insert_companies": lambda s, d: changes.insert_rows(td.company(s, d),
                                                          td.company_inserts(s, d)),
+    "insert_tickets": lambda s, d: _ticket_forms(s, d)[0],
+    "insert_ticket_rejects": lambda s, d: _ticket_forms(s, d)[1],
+    "insert_company_links": lambda s, d: changes.insert_rows(
+        td.cust_of(s, d), td.link_inserts(s, d), TABLE_KEYS["cust_of"]),
     "delete_companies": lambda s, d: changes.delete_rows(td.company(s, d),
                                                          td.deleted_company_ids(s, d)),
     "update_customers": lambda s, d: changes.update_customers(td.customer(s, d),

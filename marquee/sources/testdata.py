@@ -348,6 +348,31 @@ def company_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.concat(F.lit("Loc"), (eid % 5).cast("string")).alias("location"))
 
 
+def ticket_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TICKET insert forms, all text, from signups: key ``user_id*10 + 1``
+    (live and repeated keys are no-ops), some keys empty or not a number, some
+    counts that do not parse."""
+    ev = _driver_events(spark, sf_dir, "signup")
+    eid, user = F.col("event_id"), F.col("user_id")
+    key = F.when(eid % 13 == 0, F.lit(None)).when(eid % 17 == 0, F.lit("none")).otherwise((user * 10 + 1).cast("string"))
+    return ev.select(
+        eid.alias("seq"), key.alias("ID"),
+        F.when(eid % 2 == 0, F.lit("VIP")).otherwise(F.lit("General")).alias("type"),
+        F.concat(F.lit("1,"), F.lpad((eid % 1000).cast("string"), 3, "0")).alias("tickets_available"),
+        F.when(eid % 11 == 0, F.lit("many")).otherwise((eid % 90).cast("string")).alias("tickets_sold"),
+        F.concat(F.lit("$"), (eid % 500).cast("string"), F.lit(".25")).alias("price"),
+        (eid % 1000).cast("string").alias("event_id"),
+        F.concat((user % 24 + 1).cast("string"), F.lit(".0")).alias("distributer_id"))
+
+
+def link_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Company-customer links added by clicks; live and repeated pairs are no-ops."""
+    ev = _driver_events(spark, sf_dir, "click")
+    n = read_driver(spark, sf_dir, "supplier").agg(F.count(F.lit(1))).scalar()
+    return ev.select(F.col("event_id").alias("seq"), (F.col("user_id") * 7 % n).cast("bigint").alias("company_id"),
+                     F.col("user_id").cast("bigint").alias("customer_id"))
+
+
 def profile_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer dashboard submissions (all four fields) from view events."""
     ev = _driver_events(spark, sf_dir, "view")
