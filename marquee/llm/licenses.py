@@ -1,10 +1,13 @@
-"""License scans: winnowed fingerprints, inverted index, banded alignment.
-
-Every template's word k-grams are winnowed (the least hash of each run of
-``RUN`` k-grams), and the index maps a fingerprint to the templates and places
-that have it. A document's winnowed fingerprints are looked up; hits of one
-template on nearby diagonals make a candidate region, in which a banded local
-alignment of template and document words gives the matched words and the span.
+"""License scans: word k-grams, inverted index, banded local alignment.
+
+The index maps every word k-gram of every template to the templates and places
+that have it, and every k-gram of a document is looked up. ``k`` is ``GRAM``,
+or less for a template so short that a document may match ``LEAST_COVERAGE`` of
+it without ``GRAM`` words in a row: with other words in place of the missing
+ones no match can be overlooked. Hits of one template on nearby diagonals make
+a candidate region, in which a banded local alignment of template and document
+words gives the matched words and the span; words of a region that was found
+are taken out before its neighbours are aligned, so notices in a row count each.
 Regions that match ``LEAST_COVERAGE`` of the template are reported; where spans
 overlap, the one with more matched words stays.
 
@@ -14,13 +17,15 @@ Null and empty texts match nothing; repeated rows are reported each.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from marquee.llm.lexer import Lexer, windows
 
-GRAM, RUN, BAND = 3, 2, 4
+GRAM, BAND = 3, 4
 LEAST_COVERAGE = 0.8
 
 # Public license notices and texts.
@@ -54,12 +59,10 @@ version.""",
 }
 
 
-def winnow(grams: np.ndarray, run: int = RUN) -> np.ndarray:
-    """Places of the k-grams that are least in some run (the rightmost of equals)."""
-    if len(grams) <= run:
-        return np.array([len(grams) - 1 - int(np.argmin(grams[::-1]))]) if len(grams) else np.zeros(0, dtype=np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(grams, run)
-    return np.unique(np.arange(len(views)) + run - 1 - np.argmin(views[:, ::-1], axis=1))
+def gram_length(n: int, least: float) -> int:
+    """Words in a row that any match of ``least`` of ``n`` template words has, at most ``GRAM``."""
+    needed = max(1, math.ceil(least * n))
+    return min(GRAM, math.ceil(needed / (n - needed + 1)))
 
 
 def align(template: np.ndarray, words: np.ndarray, shift: int, band: int) -> tuple[int, int, int] | None:
@@ -90,40 +93,55 @@ def align(template: np.ndarray, words: np.ndarray, shift: int, band: int) -> tup
 class Index:
     """The inverted index of a set of templates."""
 
-    def __init__(self, templates: dict[str, str]):
-        self.lexer = Lexer()
+    def __init__(self, templates: dict[str, str], least: float = LEAST_COVERAGE):
+        self.lexer, self.least = Lexer(), least
         self.names = list(templates)
         self.words = [self.lexer.read(t)[1] for t in templates.values()]
-        self.places: dict[int, list[tuple[int, int]]] = {}
+        self.places: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for t, w in enumerate(self.words):
-            k = min(GRAM, len(w))
-            grams = windows(w, k) if k == GRAM else np.zeros(0, dtype=np.uint64)
-            for p in winnow(grams).tolist():
-                self.places.setdefault(int(grams[p]), []).append((t, p))
-        self.keys = np.array(sorted(self.places), dtype=np.uint64)
-
-    def scan(self, text: str | None, least: float) -> list[dict]:
+            if len(w):
+                k = gram_length(len(w), least)
+                for p, g in enumerate(windows(w, k).tolist()):
+                    self.places.setdefault(k, {}).setdefault(g, []).append((t, p))
+        self.keys = {k: np.array(sorted(of), dtype=np.uint64) for k, of in self.places.items()}
+
+    def candidates(self, words: np.ndarray) -> dict[int, set[tuple[int, int]]]:
+        """Per template the (diagonal, document place) of every common k-gram."""
+        out: dict[int, set[tuple[int, int]]] = {}
+        for k, keys in self.keys.items():
+            grams = windows(words, k)
+            if not len(grams):
+                continue
+            place = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+            for j in np.flatnonzero(keys[place] == grams).tolist():
+                for t, p in self.places[k][int(grams[j])]:
+                    out.setdefault(t, set()).add((j - p, j))
+        return out
+
+    def regions(self, t: int, hits: set[tuple[int, int]], words: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(matched words, template, first word, end) of a template's matches."""
+        template, found = self.words[t], []
+        known, needed = template.tolist(), self.least * len(template)
+        left, last, hit = words.copy(), None, None
+        for shift, j in sorted(hits):
+            # the band around the last diagonal covers this one, unless its best match lies elsewhere
+            if last is not None and shift - last <= BAND and (hit is None or not left[j]):
+                continue
+            last, hit = shift, None
+            near = set(left[max(0, shift - BAND):shift + len(known) + BAND].tolist())
+            if sum(w in near for w in known) < needed:
+                continue
+            hit = align(template, left, shift, BAND)
+            if hit and hit[0] >= needed:
+                found.append((hit[0], t, hit[1], hit[2]))
+                left[hit[1]:hit[2]] = 0
+            else:
+                hit = None
+        return found
+
+    def scan(self, text: str | None) -> list[dict]:
         raw, words, *_ = self.lexer.read(text or "")
-        grams = windows(words, GRAM)
-        if not len(grams) or not len(self.keys):
-            return []
-        at = winnow(grams)
-        place = np.minimum(np.searchsorted(self.keys, grams[at]), len(self.keys) - 1)
-        at = at[self.keys[place] == grams[at]]
-        diagonals: dict[int, set[int]] = {}
-        for j in at.tolist():
-            for t, p in self.places[int(grams[j])]:
-                diagonals.setdefault(t, set()).add(j - p)
-        found = []
-        for t, shifts in diagonals.items():
-            last = None
-            for shift in sorted(shifts):
-                if last is not None and shift - last <= BAND:
-                    continue  # the band around the first diagonal covers this one
-                last = shift
-                hit = align(self.words[t], words, shift, BAND)
-                if hit and hit[0] >= least * len(self.words[t]):
-                    found.append((hit[0], t, hit[1], hit[2]))
+        found = [r for t, hits in self.candidates(words).items() for r in self.regions(t, hits, words)]
         kept: list[tuple[int, int, int, int]] = []
         for matched, t, a, b in sorted(found, key=lambda f: (-f[0] , -f[0] / len(self.words[f[1]]), f[1], f[2])):
             if all(b <= x[2] or a >= x[3] for x in kept):
@@ -150,9 +168,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     fields = {"license": pa.string(), "coverage": pa.float64(), "matched_words": pa.int32(), "start": pa.int32(), "end": pa.int32()}
 
     def run(batches):
-        index = Index(templates)
+        index = Index(templates, least)
         for batch in batches:
-            rows = [(i, m) for i, text in enumerate(batch.column("text").to_pylist()) for m in index.scan(text, least)]
+            rows = [(i, m) for i, text in enumerate(batch.column("text").to_pylist()) for m in index.scan(text)]
             if rows:
                 ids = batch.column("doc_id").take(pa.array([i for i, _ in rows], pa.int32()))
                 yield pa.RecordBatch.from_arrays(

@@ -9,6 +9,7 @@ import pytest
 from marquee.llm import decontamination as dec
 from marquee.llm import licenses, mixing, quality, revisits
 from marquee.llm import queries as llm_queries
+from marquee.llm.lexer import PUNCTUATION
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 SF = "/root/testdata/sf0.01"
@@ -62,6 +63,26 @@ def test_license_scan_against_plain_search(spark):
     assert expected and {k: n for k, n in got.items() if k[1] in notices} == expected
 
 
+def test_short_licenses_are_all_found(spark):
+    plain = lambda t: [w for w in (x.strip(PUNCTUATION).lower() for x in t.split()) if w]
+    docs = {r.doc_id: plain(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    notices = {k: plain(licenses.TEMPLATES[k]) for k in ("all-rights-reserved", "gpl", "gpl-2.0", "mit", "cc-by-4.0")}
+    expected = Counter((d, k) for d, w in docs.items() for k, n in notices.items()
+                       for i in range(len(w)) if w[i:i + len(n)] == n)
+    got = Counter((r.doc_id, r.license) for r in llm_queries.queries()["op1_license_scan"](spark, SF).collect() if r.coverage == 1)
+    assert {k for _, k in expected} >= {"all-rights-reserved", "gpl"} and {k: n for k, n in got.items() if k[1] in notices} == expected
+
+
+def test_short_licenses_in_any_neighbourhood():
+    index = licenses.Index(licenses.TEMPLATES)
+    for i in range(200):
+        assert [m["license"] for m in index.scan(f"word{i} All rights reserved. other{i}")] == ["all-rights-reserved"]
+        assert [m["license"] for m in index.scan(f"word{i} Released under this MIT License other{i}")] == ["mit"]
+        assert [m["license"] for m in index.scan(f"word{i} Released by the MIT License other{i}")] == ["mit"]
+    assert len(index.scan("All rights reserved. All rights reserved. All rights reserved.")) == 3
+    assert licenses.Index({"a": "", "b": "Copyleft"}).scan("x copyleft")
+
+
 def test_revisits_oracle(spark):
     from harness import compare, duck
     name = "op3_warc_revisits"
