@@ -191,8 +191,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def near_duplicates(docs: DataFrame, columns: list[Column] = (), shingle: int = SHINGLE_WORDS,
                     max_bits: int = MAX_BITS, pivots: int = PIVOTS) -> DataFrame:
-    """Per document: ``doc_id``, ``columns``, ``fp`` and ``component_id``, the
-    smallest doc_id reachable over links."""
+    """Per document: ``doc_id``, ``columns``, ``fp``, ``root`` (the fingerprint
+    that names its component) and ``component_id``, the smallest doc_id
+    reachable over links."""
     named = docs.select("doc_id", "text", *columns)
     kept = [c for c in named.columns if c != "text"]
     rows = stored(fingerprints(named, kept, shingle), "fingerprints")
@@ -200,8 +201,8 @@ def near_duplicates(docs: DataFrame, columns: list[Column] = (), shingle: int =
     of = components(links(prints, max_bits, pivots))
     rooted = prints.join(of.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_print = stored(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), "component-ids")
-    return rows.join(by_print, "fp").select(*kept, "fp", "component_id")
+    by_print = stored(rooted.select("fp", "root").join(ids, "root").select("fp", "root", "component_id"), "component-ids")
+    return rows.join(by_print, "fp").select(*kept, "fp", "root", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -210,10 +211,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each group; of equal rows, one."""
+    """The document with the smallest id of each component (one without an id
+    only where no row has one); of equal rows, one."""
     near = near_duplicates(docs, row_key(docs))
-    keep = stored(near.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-                  .groupBy("component_id").agg(F.min(F.struct("row_k1", "row_k2")).alias("k")).select("k.*"), "kept")
+    first = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row_k1", "row_k2")
+    keep = stored(near.groupBy("root").agg(F.min(first).alias("k")).select("k.row_k1", "k.row_k2"), "kept")
     k1, k2 = row_key(docs)
     return (docs.select("*", k1, k2).join(keep, ["row_k1", "row_k2"]).dropDuplicates(["row_k1", "row_k2"])
             .select(*docs.columns))

@@ -107,3 +107,14 @@ def test_keep_one(make_docs, hard_rows):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "4", "5", "None", "7", "8"])
+
+
+def test_keep_one_by_component_not_by_id(make_docs):
+    rows = [(None, "A first text without a number that is about the sea and its tides."),
+            (None, "Quite another matter: seven recipes for bread, none of them with yeast."),
+            (7, "One of two unrelated texts whose rows share a number, on railways."),
+            (7, "The other one of them tells of an orchard, its owner and a dry summer."),
+            (None, "A pair of equal texts, one of which has no number at all here."),
+            (3, "A pair of equal texts, one of which has no number at all here.")]
+    kept = simhash.keep_one(make_docs(rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), t) for i, t in [*rows[:4], rows[5]])
