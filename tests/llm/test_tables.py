@@ -31,6 +31,23 @@ def test_reparameterised_question(spark, make_docs):
     assert dec.report(docs, bench.limit(0)).count() == 0 and dec.report(make_docs([]), bench).count() == 0
 
 
+def test_items_of_one_template_short_items_and_items_without_id(spark, make_docs):
+    apples = "After lunch she counted 3 apples and {} pears on the big table by the window"
+    bench = spark.createDataFrame([(1, apples.format(3)), (2, apples.format(4)), (None, "Which rivers of the old country reach the sea?"),
+                                   (None, "How many stars shine above the harbour tonight?"), (5, "Name the moons"),
+                                   (6, "12 km 7 hours 90 miles 4 days")], BENCH)
+    rows = [(1, apples.format(4)), (2, apples.format(3)), (3, apples.format(5).replace(" 3 ", " 8 ")),
+            (4, "He asked: Which rivers of the old country reach the sea? Nobody knew."),
+            (5, "How many stars shine above the harbour tonight?"), (6, "Please name the moons, he said."),
+            (7, "It took 12 km 7 hours 90 miles 4 days in all."), (8, "It took 13 km 8 hours 91 miles 5 days in all.")]
+    docs = make_docs(rows)
+    got = sorted((r.doc_id, r.item_id or 0, r.n_items, r.n_changed_slots > 0) for r in dec.report(docs, bench).collect())
+    # item 2's slots may stand for equal values, item 1's never for different ones
+    assert got == [(1, 2, 1, False), (2, 1, 1, False), (2, 2, 1, True), (3, 2, 1, True), (4, 0, 1, False), (5, 0, 1, False),
+                   (6, 5, 1, False), (7, 6, 1, False)]
+    assert [r.doc_id for r in dec.clean(docs, bench).collect()] == [8]
+
+
 def test_decontamination_against_brute_force(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     words = lambda t: [w for w in (x.strip(".,;:!?\"'()[]{}<>|*#%&$").lower() for x in t.split()) if w]
