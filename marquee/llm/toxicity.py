@@ -2,13 +2,16 @@
 
 A word transducer turns words into classes: *insult* (learned words and word
 beginnings with their weights), *threat*, *target*, *negation*, *report*, or
-none. Three small transducers read the classes of one clause from left to
-right -- negation marks a following insult or threat as negated, reported
-speech marks it as reported, target marks it as aimed -- and are composed into
-one machine whose output is the kind of each matched pattern. A clause adds its
-weights to the totals of the kinds it matched; a logistic model learned from
-the labels weighs those totals, so whether negated or reported abuse counts is
-learned rather than assumed. Lone words are never scored outside a clause.
+none. Small transducers read the classes of one clause: from left to right,
+negation marks a following insult or threat as negated and reported speech
+marks it as reported (composed into one machine); then, in both directions,
+target marks those anywhere in its clause as aimed. The output is the kind of
+each matched pattern. A clause adds its weights to the totals of the kinds it
+matched; a logistic model learned from the labels weighs those totals, so
+whether negated or reported abuse counts, or even lowers the score, is learned
+rather than assumed. Strongest clause and pattern count leave negated and
+reported matches out. An insult without a target is a pattern of its own kind
+(*plain*); a threat without one matches nothing.
 
 Learned only from labelled training-fold rows: at most about ``TOXIC_ROWS`` and
 ``PLAIN_ROWS`` of them, drawn by a hash of the id (even draws teach the word
@@ -82,10 +85,12 @@ NEGATED, REPORTED, AIMED = 1, 2, 4
 SYMBOLS = 6 * 8
 
 
-def _marker(trigger: int, mark: int, reach: int) -> Transducer:
+def _marker(trigger: int, mark: int, reach: int | None) -> Transducer:
     """Adds ``mark`` to insults and threats within ``reach`` words after a
-    ``trigger`` word; the state is how many words of its reach are left."""
-    moves = []
+    ``trigger`` word (None: anywhere after it); the state is how many words of
+    its reach are left."""
+    moves, step = [], 0 if reach is None else 1
+    reach = reach or 1
     for left in range(reach + 1):
         row = []
         for symbol in range(SYMBOLS):
@@ -94,16 +99,19 @@ def _marker(trigger: int, mark: int, reach: int) -> Transducer:
                 row.append((reach, symbol))
             else:
                 hit = cls in (INSULT, THREATS) and left
-                row.append((max(left - 1, 0), cls + 6 * (marks | mark) if hit else symbol))
+                row.append((max(left - step, 0), cls + 6 * (marks | mark) if hit else symbol))
         moves.append(row)
     return Transducer(moves)
 
 
-GRAMMAR = _marker(NEGATIONS, NEGATED, REACH).then(_marker(REPORTS, REPORTED, 2 * REACH)).then(
-    _marker(TARGETS, AIMED, 2 * REACH))
+AIM = _marker(TARGETS, AIMED, None)
+#: From left to right; ``AIM`` alone reads the outputs again from right to left.
+GRAMMAR = _marker(NEGATIONS, NEGATED, REACH).then(_marker(REPORTS, REPORTED, 2 * REACH)).then(AIM)
 #: Totals kept per text: weight by pattern kind, then strongest clause and pattern count.
 KINDS = ("plain", "negated", "reported", "aimed", "threat")
 FEATURES = (*KINDS, "strongest", "patterns")
+#: Only these totals may lower a score.
+FREE = [1 + KINDS.index(k) for k in ("negated", "reported")]
 
 _FIXED = ({w: THREATS for w in THREAT} | {w: REPORTS for w in REPORT} | {w: NEGATIONS for w in NEGATION}
           | {w: TARGETS for w in TARGET})
@@ -137,21 +145,27 @@ class Model:
         if not hits and words.isdisjoint(THREAT):
             return list(out.values())
         for clause in CLAUSE.split(lowered):
+            found = [(self.insult(w), _FIXED.get(w, NONE)) for w in WORD.findall(clause)]
+            state, symbols = 0, []
+            for weight, cls in found:
+                state, symbol = GRAMMAR.moves[state][INSULT if weight > 0 else cls]
+                symbols.append(symbol)
             state, score = 0, 0.0
-            for word in WORD.findall(clause):
-                weight = self.insult(word)
-                cls = INSULT if weight > 0 else _FIXED.get(word, NONE)
-                state, symbol = GRAMMAR.moves[state][cls]
+            for symbol, (weight, _) in zip(reversed(symbols), reversed(found), strict=True):
+                state, symbol = AIM.moves[state][symbol]
                 marks, cls = divmod(symbol, 6)
                 if cls == THREATS and marks & AIMED:
-                    out["threat"] += 1.0
-                    score += 1.0
+                    kind, weight = "threat", 1.0
                 elif cls == INSULT:
-                    kind = ("negated" if marks & NEGATED else "reported" if marks & REPORTED else
-                            "aimed" if marks & AIMED else "plain")
-                    out[kind] += weight
-                    out["patterns"] += 1
+                    kind = "aimed" if marks & AIMED else "plain"
+                else:
+                    continue
+                if marks & (NEGATED | REPORTED):
+                    kind = "negated" if marks & NEGATED else "reported"
+                else:
+                    out["patterns"] += cls == INSULT
                     score += weight
+                out[kind] += weight
             out["strongest"] = max(out["strongest"], score)
         return list(out.values())
 
@@ -167,17 +181,33 @@ def _design(rows: list[list[float]]) -> np.ndarray:
 
 
 def fit_weights(rows: list[list[float]], labels: list[int], weights: list[float]) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; totals of abuse cannot lower
-    the score (their weights are kept at zero or more)."""
+    """Ridge logistic regression by Newton steps; totals of abuse that is neither
+    negated nor reported cannot lower the score (their weights are kept at zero
+    or more)."""
     x, y, s = _design(rows), np.array(labels, dtype=float), np.array(weights)
     b = np.zeros(x.shape[1])
-    for _ in range(50):
+    bound = np.ones(len(b), dtype=bool)
+    bound[[0, *FREE]] = False
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float(s @ (np.logaddexp(0, z) - y * z) + 0.05 * b @ b)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -50, 50)))
         grad = x.T @ (s * (p - y)) + 0.1 * b
         hess = (x * (s * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(b))
-        step = np.linalg.solve(hess, grad)
-        b -= np.clip(step, -2, 2)
-        b[1:] = np.maximum(b[1:], 0)
+        move = ~(bound & (b <= 0) & (grad > 0))  # weights held at zero take no part in the step
+        step = np.zeros(len(b))
+        step[move] = np.linalg.solve(hess[np.ix_(move, move)], grad[move])
+        for share in 0.5 ** np.arange(20):
+            new = b - share * step
+            new[bound] = np.maximum(new[bound], 0)
+            if loss(new) < loss(b):
+                break
+        else:
+            break
+        b = new
     return b
 
 
@@ -271,7 +301,7 @@ def matched_clauses(docs: DataFrame, model: Model) -> DataFrame:
             text, found, at = text or "", [], 0
             bounds = [0, *[m.end() for m in CLAUSE.finditer(text)], len(text)]
             for at, end in pairwise(bounds):
-                weight = model.totals(text[at:end])[FEATURES.index("strongest")]
+                weight = sum(model.totals(text[at:end])[:len(KINDS)])
                 if weight > 0:
                     found.append({"start": at, "end": end, "weight": weight})
             return (found,)

@@ -54,6 +54,22 @@ def test_toxic_grammar_marks():
     assert of(None) == of("") == [0.0] * len(toxicity.FEATURES)
 
 
+def test_toxic_grammar_targets_behind_and_exempt_totals():
+    m = toxicity.Model({"=idiot": 3.0})
+    of = lambda s: dict(zip(toxicity.FEATURES, m.totals(s), strict=True))
+    for s in ("I will kill you", "Ich will dich töten", "what an idiot you are", "kill, in the end and after all of this has passed, you"):
+        got = of(s)
+        assert got["strongest"] > 0 and (got["threat"] == 1 or got["aimed"] == 3)
+    assert of("kill time. you wait")["threat"] == 0  # a clause's end ends a target's reach
+    for s in ("he is not an idiot", "she said that this idiot left", "I will not kill you"):
+        got = of(s)
+        assert got["strongest"] == got["patterns"] == got["threat"] == 0 and got["negated"] + got["reported"] > 0
+    rows = [m.totals(s) for s in ("you idiot", "an idiot you are", "he is not an idiot", "it is no idiot", "some words")] * 40
+    m.weights = toxicity.fit_weights(rows, [1, 1, 0, 0, 0] * 40, [1.0] * 200)
+    assert m.score("he is not an idiot") <= m.score("some words") < 0.2 and m.score("you idiot") > 0.8
+    assert m.score("you idiot, but he is not an idiot") < m.score("you idiot")
+
+
 def test_toxicity_hard_rows(spark, make_docs, hard_rows):
     labels = spark.createDataFrame([(5, 1), (6, 0), (5, 0), (None, 1), (4, None)], "doc_id bigint, toxic int")
     got = toxicity.score(make_docs(hard_rows, extra=True), labels).collect()
