@@ -31,6 +31,8 @@ from marquee.llm.common import text_pass
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Largest number of remembered strings per table; a full one is emptied.
 MEMORY = 800_000
+#: Longer strings (code points) are counted anew each time, so a table's bytes are bounded too.
+LONGEST = 64
 TOKEN_LIMIT = 1024
 
 _COUNTERS: dict[str, PrefixCounter] = {}
@@ -113,6 +115,8 @@ class PrefixCounter:
         return counts
 
     def _piece(self, piece: str) -> int:
+        if len(piece) > LONGEST:
+            return self.prefix_counts(piece.encode())[-1]
         n = self.piece_counts.get(piece)
         if n is None:
             if len(self.piece_counts) >= MEMORY:
@@ -133,12 +137,18 @@ class PrefixCounter:
                     if n is None:
                         if not chunk or self.edge_space(chunk):
                             return None
-                        if len(known) >= MEMORY:
-                            known.clear()
-                        n = known[chunk] = sum(map(self._piece, self.pieces.findall(" " + chunk)))
+                        n = self._chunk(chunk)
                     counts[i] = n
         return sum(counts)
 
+    def _chunk(self, chunk: str) -> int:
+        n = sum(map(self._piece, self.pieces.findall(" " + chunk)))
+        if len(chunk) <= LONGEST:
+            if len(self.chunk_counts) >= MEMORY:
+                self.chunk_counts.clear()
+            self.chunk_counts[chunk] = n
+        return n
+
     def edge_space(self, chunk: str) -> bool:
         return self.space.match(chunk, 0) is not None or self.space.match(chunk, len(chunk) - 1) is not None
 
@@ -162,28 +172,28 @@ class PrefixCounter:
             total = 0
             for chunk in chunks[1:]:
                 n = self.chunk_counts.get(chunk)
-                if n is None:
-                    if len(self.chunk_counts) >= MEMORY:
-                        self.chunk_counts.clear()
-                    n = self.chunk_counts[chunk] = sum(map(self._piece, self.pieces.findall(" " + chunk)))
-                total += n
+                total += self._chunk(chunk) if n is None else n
         return total + sum(map(self._piece, self.pieces.findall(chunks[0])))
 
 
 class PrefixTable:
     """Exact token counts of every prefix (in code points) of one text.
 
-    Kept per pre-token piece: where it ends and the count up to there. A piece
-    boundary is the same in the prefix ``text[:p]`` and in the text when the
-    piece ends two or more characters before ``p`` (the pattern looks at most
-    that far ahead), so a prefix is answered from the last such boundary.
+    Kept per pre-token piece: where it ends and the count up to there; of the
+    piece asked for last, the count of every prefix. A piece boundary is the
+    same in the prefix ``text[:p]`` and in the text when the piece ends two or
+    more characters before ``p`` (the pattern looks at most that far ahead), and
+    from there to ``p`` inside the next piece is one piece.
     """
 
     def __init__(self, counter: PrefixCounter, text: str):
         self.counter, self.text = counter, text
+        self.specials: list[tuple[int, int]] = []
+        self.border: tuple[int, list[int]] = (-1, [])
         ends, counts, at = [0], [0], 0
         for segment, special in _segments(counter, text):
             if special:
+                self.specials.append((at, at + len(segment)))
                 at += len(segment)
                 ends.append(at)
                 counts.append(counts[-1] + 1)
@@ -199,14 +209,30 @@ class PrefixTable:
         if p >= len(self.text):
             return self.counts[-1]
         reach = p - 2
-        if self.counter.special is not None:
-            # a special string cut by the end of the prefix is ordinary text there
-            for m in self.counter.special.finditer(self.text):
-                if m.start() < p < m.end():
-                    reach = min(reach, m.start() - 2)
+        # a special string cut by the end of the prefix is ordinary text there
+        m = bisect.bisect_left(self.specials, (p,)) - 1
+        inside = m >= 0 and p < self.specials[m][1]
+        if inside:
+            reach = min(reach, self.specials[m][0] - 2)
         k = max(bisect.bisect_right(self.ends, reach) - 1, 0)
+        if not inside and self.ends[k] <= reach and p <= self.ends[min(k + 1, len(self.ends) - 1)]:
+            return self.counts[k + 1] if p == self.ends[k + 1] else self.counts[k] + self._within(k)[p - self.ends[k]]
         return self.counts[k] + self.counter.count(self.text[self.ends[k]:p])
 
+    def _within(self, k: int) -> list[int]:
+        """Token counts of the prefixes (in code points) of the piece after end ``k``."""
+        if self.border[0] != k:
+            piece = self.text[self.ends[k]:self.ends[k + 1]]
+            counts = self.counter.prefix_counts(piece.encode())
+            if not piece.isascii():
+                counts = [counts[b] for b in accumulate((len(ch.encode()) for ch in piece), initial=0)]
+            self.border = k, counts
+        return self.border[1]
+
+    def prefixes(self) -> list[int]:
+        """The whole table: the tokens of every prefix, the empty one first."""
+        return list(map(self.at, range(len(self.text) + 1)))
+
     def cut(self, budget: int) -> int:
         """The longest prefix, in code points, of at most ``budget`` tokens."""
         if self.counts[-1] <= budget:
@@ -263,25 +289,27 @@ def count_tokens(docs: DataFrame, limit: int = TOKEN_LIMIT, path: str | None = N
 
 
 def prefix_table(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The stored table itself: piece ends (code points) and token counts up to
-    them, per document."""
+    """The stored table itself, per document: the token count of every prefix
+    (in code points, the empty one first), and piece ends and counts up to them."""
     ints = T.ArrayType(T.IntegerType())
-    schema = T.StructType([T.StructField("ends", ints), T.StructField("counts", ints)])
+    schema = T.StructType([T.StructField("ends", ints), T.StructField("counts", ints), T.StructField("prefixes", ints)])
 
     def start():
         c = counter(path or vocabulary_path())
 
         def one(text: str | None) -> tuple:
             t = PrefixTable(c, text or "")
-            return t.ends, t.counts
+            return t.ends, t.counts, t.prefixes()
         return one
 
     return text_pass(docs, schema, start, ["doc_id"])
 
 
 def within_budget(prefixes: DataFrame, budget: int) -> DataFrame:
-    """From a stored prefix table: per document, its tokens and the longest run
-    of whole pieces within ``budget`` -- no text and no encoding needed."""
+    """From a stored prefix table: per document, its tokens, the longest prefix
+    and the longest run of whole pieces within ``budget`` -- no text and no
+    encoding needed."""
     fits = F.size(F.filter("counts", lambda c: c <= budget))
-    return prefixes.select("doc_id", F.element_at("counts", -1).alias("n_tokens"),
+    cut = F.array_max(F.transform("prefixes", lambda c, p: F.when(c <= budget, p)))
+    return prefixes.select("doc_id", F.element_at("counts", -1).alias("n_tokens"), cut.alias("cut_chars"),
                            F.element_at("ends", fits).alias("piece_cut_chars"))

@@ -53,3 +53,28 @@ def test_stored_prefix_table_answers_budgets(make_docs, encode):
     got = {r.doc_id: r for r in tc.within_budget(table, 5).collect()}
     assert got[1].n_tokens == encode(text) and encode(text[:got[1].piece_cut_chars]) == 5
     assert got[2].n_tokens == 0 and got[2].piece_cut_chars == 0
+
+
+def test_long_runs_are_cut_without_counting_each_prefix(encode):
+    rnd, c = random.Random(2), tc.PrefixCounter(tc.vocabulary_path())
+    for letters in ("ACGT", "aé漢ß", " \n", "!?'", "12"):
+        s = "x " + "".join(rnd.choice(letters) for _ in range(300)) + "<|endoftext|> y"
+        counts = [encode(s[:p]) for p in range(len(s) + 1)]
+        t = tc.PrefixTable(c, s)
+        assert t.prefixes() == counts
+        for budget in (1, 20, 60, counts[-1] - 1):
+            assert t.cut(budget) == max(p for p, n in enumerate(counts) if n <= budget)
+    before, counted, run = len(c.piece_counts), [], c.prefix_counts
+    c.prefix_counts = lambda piece: counted.append(len(piece)) or run(piece)
+    long = "".join(rnd.choice("ACGT") for _ in range(100_000))
+    p = tc.PrefixTable(c, long).cut(1024)
+    assert encode(long[:p]) <= 1024 < encode(long[:p + 1])
+    assert sum(counted) < 10 * len(long) and len(c.piece_counts) <= before + 10
+
+
+def test_stored_table_gives_the_exact_cut(make_docs, encode):
+    text = "Some words, and incomprehensibilities ACGTTGCATTAGACAGT of them <|endoftext|>; 12 or 13."
+    table = tc.prefix_table(make_docs([(1, text), (2, None)]))
+    for budget in (0, 3, 8, 12, 15, 99):
+        got = {r.doc_id: r for r in tc.within_budget(table, budget).collect()}
+        assert got[1].cut_chars == max(p for p in range(len(text) + 1) if encode(text[:p]) <= budget) and got[2].cut_chars == 0
