@@ -229,7 +229,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int, plain_r
 
 def learn_lexicon(sample: DataFrame, entries: int = LEXICON) -> dict[str, float]:
     """Words and word beginnings that mark toxic texts, with their log odds.
-    Texts that start with the same words count once (copies are no evidence)."""
+    Equal texts of one label count once (copies are no evidence)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
@@ -241,9 +241,7 @@ def learn_lexicon(sample: DataFrame, entries: int = LEXICON) -> dict[str, float]
                                           "a": pa.array([r[1] for r in rows], pa.int64()),
                                           "b": pa.array([r[2] for r in rows], pa.int64())})
 
-    opening = F.xxhash64("toxic", F.slice(F.split(F.lower("text"), r"\s+"), 1, 12))
-    once = sample.withColumn("opening", opening).groupBy("opening").agg(
-        F.min(F.struct("text", "toxic")).alias("r")).select("r.text", "r.toxic")
+    once = sample.select("text", "toxic", F.xxhash64("toxic", "text").alias("h")).dropDuplicates(["h", "toxic"])
     sizes = {r.toxic: r.n for r in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return {}

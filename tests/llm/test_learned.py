@@ -70,6 +70,16 @@ def test_toxic_grammar_targets_behind_and_exempt_totals():
     assert m.score("you idiot, but he is not an idiot") < m.score("you idiot")
 
 
+def test_lexicon_reads_past_a_common_opening(make_docs):
+    from pyspark.sql import functions as F
+    banner = "This page comes from the archive of our daily forum for all readers: "
+    rows = [(i, f"{banner} entry{i} {'blockhead' if i % 2 else 'gentleman'} and word{i % 7}") for i in range(80)]
+    rows += [(100 + i, banner + "the same scoundrel copied often") for i in range(41) if i % 2]
+    sample = make_docs(rows).withColumn("toxic", (F.col("doc_id") % 2).cast("int"))
+    lexicon = toxicity.learn_lexicon(sample)
+    assert "=blockhead" in lexicon and "=scoundrel" not in lexicon
+
+
 def test_toxicity_hard_rows(spark, make_docs, hard_rows):
     labels = spark.createDataFrame([(5, 1), (6, 0), (5, 0), (None, 1), (4, None)], "doc_id bigint, toxic int")
     got = toxicity.score(make_docs(hard_rows, extra=True), labels).collect()
