@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import decontamination, langid, licenses, mixing, quality, revisits, secrets, simhash, token_counts, toxicity
+from marquee.llm import (decontamination, langid, licenses, mixing, negatives, prefix_trie, quality, revisits, secrets,
+                         simhash, substrings, token_counts, toxicity)
 from marquee.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,9 +35,13 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": _on(quality.judged, "documents"),
         "op9_simhash": _on(simhash.report, "documents"),
         "op10_mixing": _on(mixing.report, "documents", "labels"),
+        "op11_hard_negatives": negatives.report,
+        "op12_substring_dedup": _on(substrings.report, "documents"),
+        "op13_prefix_trie": prefix_trie.report,
         "pipeline": _pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_revisits": revisits.ORACLE}
+    return {"op3_warc_revisits": revisits.ORACLE, "op11_hard_negatives": negatives.ORACLE,
+            "op12_substring_dedup": substrings.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
