@@ -5,24 +5,27 @@ also starts in a document with a smaller id is taken out. A difference cover D
 modulo a period p holds, for any two places, a shift under p after which both lie
 in D; so two equal windows share a run of ``window - p + 1`` words that starts at
 a cover place in both documents. Only runs at cover places are hashed over the
-whole corpus (6 of 31). Runs that more than one document holds are anchors: they
-are extended, that is, the windows around them (at most p - 1 words to the left)
-are hashed, and of each window's documents the smallest id counts. All links go
-through (hash, smallest id) aggregates, so a passage that very many documents
-share costs each of them its own windows, never pairs.
-
-Texts of the same words are judged once, for their smallest id; in the others
-every window starts in that document as well. Null and empty texts have no words.
-A document with a null id is neither before nor after another: nothing is taken
-from it, nor from others for it. Rows that repeat an id do not count against each
-other, and each gets its own result. Texts of any length are read whole. Extra
-columns are not read. Anchors have 64-bit hashes (a clash only costs a look);
-windows 128-bit ones.
+whole corpus (6 of 31). Runs found twice are anchors: they are extended, that is,
+the windows around them (at most p - 1 words to the left) are hashed, and of each
+window's documents the smallest id counts.
+
+Texts are stored in bundles of a few MB. A bundle sends each different hash once,
+in one message per hash range, whatever its documents share; a range answers each
+bundle with the hashes that others hold too (anchors), or with the smallest id
+(windows). No pairs are made, and a passage that very many documents share is one
+entry per bundle. Ranges follow the number of words.
+
+Null and empty texts have no words. A document with a null id is neither before
+nor after another: nothing is taken from it, nor from others for it. Rows that
+repeat an id do not count against each other, and each gets its own result. Texts
+of any length are read whole; a text longer than a bundle is a bundle of its own.
+``doc_id`` is an integer. Extra columns are not read. Anchors have 64-bit hashes (a
+clash only costs a look); windows 128-bit ones.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,155 +37,272 @@ from marquee.llm.common import SPACE_CLASS, stored
 WINDOW, PERIOD = 50, 31
 # A perfect difference set modulo 31 (every difference but 0 occurs once).
 COVER = (1, 5, 11, 24, 25, 27)
-MEMORY, BATCH_ROWS = 300_000, 200_000
-BASE = 0x9E3779B97F4A7C15 | 1
+BUNDLE_BYTES, PIECE, RANGE_WORDS, LEAST_RANGE_WORDS = 4 << 20, 1 << 18, 4_000_000, 100_000
+BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd
 
 
 def is_cover(cover: Iterable[int], period: int) -> bool:
     return {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
-class Hasher:
-    """Hashes of word runs: per word two remembered 64-bit numbers, per run a
-    difference of prefix sums weighted with powers of an odd base (mod 2**64)."""
-
-    def __init__(self):
-        self.number: dict[str, int] = {}
-        self.hashes: list[tuple[int, int]] = []
-        self.array = np.zeros((0, 2), dtype=np.uint64)
-        self.powers = np.ones((1, 2), dtype=np.uint64)  # base**i, base**-i
-
-    def words(self, words: list[str]) -> np.ndarray:
-        import xxhash
-        if len(self.number) > MEMORY:
-            self.__init__()
-        at = list(map(self.number.get, words))
-        if None in at:
-            for w in words:
-                if w not in self.number:
-                    self.number[w] = len(self.hashes)
-                    h = xxhash.xxh3_128_intdigest(w)
-                    self.hashes.append((h >> 64, h & (1 << 64) - 1))
-            at = list(map(self.number.__getitem__, words))
-        if len(self.array) < len(self.hashes):
-            fresh = np.array(self.hashes[len(self.array):], dtype=np.uint64)
-            self.array = np.concatenate((self.array, fresh)) if len(self.array) else fresh
-        return self.array[np.array(at, dtype=np.int64)]
-
-    def runs(self, hashes: np.ndarray, k: int) -> np.ndarray:
-        """The hash of every run of ``k`` words."""
-        n = len(hashes)
-        if n < k:
-            return np.zeros(0, dtype=np.uint64)
-        if len(self.powers) < n:
-            steps = np.array([[BASE, pow(BASE, -1, 1 << 64)]], dtype=np.uint64).repeat(2 * n, axis=0)
-            steps[0] = 1
-            self.powers = np.multiply.accumulate(steps, axis=0)
-        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(hashes * self.powers[:n, 0], dtype=np.uint64)))
-        out = (sums[k:] - sums[:-k]) * self.powers[:n - k + 1, 1]
-        out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        return out ^ (out >> np.uint64(32))
-
-
-def _covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
-    """Which of ``n`` places lie in a stretch of ``length`` from one of ``starts``."""
-    steps = np.zeros(n + length + 1, dtype=np.int64)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, starts + length, -1)
-    return np.cumsum(steps)[:n] > 0
-
-
-def _per_text(df: DataFrame, schema: str, rows_of: Callable[[Hasher, dict], dict[str, np.ndarray] | None],
-              copied: tuple[str, ...]) -> DataFrame:
-    """Rows made of each text: ``copied`` columns, repeated, and the arrays of ``rows_of``."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Sums:
+    """Hashes of stretches of a sequence: differences of its prefix sums, weighted
+    with powers of an odd base modulo 2**64."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.powers = np.ones((2, 1), dtype=np.uint64)
+
+    def stretches(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        n = len(values)
+        if self.powers.shape[1] < n:
+            steps = np.array([[self.base], [self.inverse]], dtype=np.uint64).repeat(n + n // 4, axis=1)
+            steps[:, 0] = 1
+            self.powers = np.multiply.accumulate(steps, axis=1)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(values * self.powers[0, :n], out=sums[1:])
+        return _mixed((sums[ends] - sums[starts]) * self.powers[1][starts] + (ends - starts).astype(np.uint64))
+
+
+class Texts:
+    """A bundle: the words of its documents, hashed in place."""
+
+    def __init__(self, row: dict, sums: list[Sums]):
+        import zstandard
+        self.data = zstandard.ZstdDecompressor().decompress(row["texts"])
+        self.ids = np.array(row["ids"], dtype=np.int64)
+        self.sizes = np.array(row["sizes"], dtype=np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes
+        self.of = np.repeat(np.arange(len(self.ids)), self.sizes)
+        self.place = np.arange(len(self.of)) - self.starts[self.of]
+        self.sums = sums
+
+    def words(self, lane: int) -> np.ndarray:
+        """Per word a 64-bit hash of its bytes."""
+        data = np.frombuffer(self.data, dtype=np.uint8)
+        ends = np.append(np.flatnonzero(data == 32), len(data))
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        out, i = [], 0
+        while i < len(ends):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE)))
+            piece = data[starts[i]:ends[j - 1]].astype(np.uint64) + np.uint64(1)
+            out.append(self.sums[lane].stretches(piece, starts[i:j] - starts[i], ends[i:j] - starts[i]))
+            i = j
+        return np.concatenate(out)
+
+    def runs(self, words: np.ndarray, k: int, lane: int, at: np.ndarray) -> np.ndarray:
+        """The hash of the run of ``k`` words at each of the places ``at``."""
+        return self.sums[lane].stretches(words, at, at + k)
+
+    def at_cover(self, k: int, period: int, cover: tuple[int, ...]) -> np.ndarray:
+        """Cover places of the documents where a run of ``k`` words starts."""
+        marks = np.zeros(period, dtype=bool)
+        marks[list(cover)] = True
+        return np.flatnonzero(marks[self.place % period] & (self.place + k <= self.sizes[self.of]))
+
+    def covered(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which words lie in one of the stretches."""
+        steps = np.bincount(starts, minlength=len(self.of) + 1) - np.bincount(ends, minlength=len(self.of) + 1)
+        return np.cumsum(steps[:len(self.of)]) > 0
+
+    def windows(self, k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(self.runs(self.words(lane), k, lane, at) for lane in (0, 1))
+
+
+def _sums() -> list[Sums]:
+    return [Sums(base) for base in BASES]
+
+
+def _slices(keys: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
+    """(range, start, end) of the sorted 64-bit ``keys`` in each hash range that has some."""
+    width = -(-(1 << 64) // ranges)
+    of = keys // np.uint64(width) if ranges > 1 else np.zeros(len(keys), dtype=np.uint64)
+    heads = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
+    return [(int(of[a]), a, b) for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(keys)])]
+
+
+def _bundles(docs: DataFrame) -> DataFrame:
+    """(bundle, ids, sizes, texts): long texts' words, compressed, a few MB in a row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        import zstandard
+        pack = zstandard.ZstdCompressor(level=1)
+        ids, sizes, texts, size = [], [], [], 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())),
+                                               pa.array([pack.compress(" ".join(texts).encode())], pa.binary())],
+                                              names=["ids", "sizes", "texts"])
+
         for batch in batches:
-            places, made, n = [], [], 0
-            for i, row in enumerate(batch.to_pylist()):
-                arrays = rows_of(hasher, row)
-                size = len(next(iter(arrays.values())))
-                if size:
-                    places.append(np.full(size, i, dtype=np.int32))
-                    made.append(arrays)
-                    n += size
-                if n >= BATCH_ROWS:
-                    yield joined(batch, places, made)
-                    places, made, n = [], [], 0
-            if made:
-                yield joined(batch, places, made)
-
-    def joined(batch: pa.RecordBatch, places: list, made: list) -> pa.RecordBatch:
-        at = pa.array(np.concatenate(places))
-        return pa.RecordBatch.from_arrays(
-            [batch.column(c).take(at) for c in copied] + [pa.array(np.concatenate([m[c] for m in made])) for c in made[0]],
-            names=[*copied, *made[0]])
-
-    return df.mapInArrow(run, schema)
+            for doc_id, n, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_words", "words"))):
+                if ids and size + len(words) > BUNDLE_BYTES:
+                    yield row()
+                    ids, sizes, texts, size = [], [], [], 0
+                ids.append(doc_id)
+                sizes.append(n)
+                texts.append(words)
+                size += len(words)
+        if ids:
+            yield row()
+
+    made = docs.mapInArrow(run, "ids array<bigint>, sizes array<bigint>, texts binary")
+    return stored(made.withColumn("bundle", F.monotonically_increasing_id()), "substrings-texts")
+
+
+def _bytes(columns: dict[str, list]) -> pa.Table:
+    return pa.table({c: pa.array(v, pa.int64() if c in ("range", "bundle") else pa.binary()) for c, v in columns.items()})
+
+
+def _read(table: pa.Table, column: str, kind=np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """A column of packed arrays as one array, and which row each entry is from."""
+    parts = [np.frombuffer(x, dtype=kind) for x in table[column].to_pylist()]
+    if not parts:
+        return np.zeros(0, dtype=kind), np.zeros(0, dtype=np.int64)
+    return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+
+
+def _shared_anchors(messages: pa.Table) -> pa.Table:
+    """A hash range's answer: per bundle its anchors that occur twice or more."""
+    keys, of = _read(messages, "keys")
+    twice, _ = _read(messages, "twice", np.uint8)
+    order = np.argsort(keys, kind="stable")
+    keys, of, twice = keys[order], of[order], twice[order].astype(bool)
+    same = keys[1:] == keys[:-1]
+    twice[1:] |= same
+    twice[:-1] |= same
+    keys, of = keys[twice], of[twice]
+    order = np.argsort(of, kind="stable")
+    keys, of = keys[order], of[order]
+    heads = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, dtype=np.int64)
+    bundles = messages["bundle"].to_pylist()
+    return _bytes({"bundle": [bundles[i] for i in of[heads].tolist()],
+                   "keys": [x.tobytes() for x in np.split(keys, heads[1:])] if len(heads) else []})
+
+
+def _earliest(messages: pa.Table) -> pa.Table:
+    """A hash range's answer: per bundle the windows that start in a document with a
+    smaller id than one of its own, with the smallest."""
+    (low, of), (high, _) = _read(messages, "low"), _read(messages, "high")
+    (least, _), (most, _) = _read(messages, "least", np.int64), _read(messages, "most", np.int64)
+    order = np.lexsort((high, low))
+    low, high, of, least, most = (x[order] for x in (low, high, of, least, most))
+    heads = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))) if len(low) else np.zeros(0, np.int64)
+    if len(heads):
+        least = np.repeat(np.minimum.reduceat(least, heads), np.diff(np.append(heads, len(low))))
+    late = np.flatnonzero(most > least)
+    late = late[np.argsort(of[late], kind="stable")]
+    low, high, least, of = low[late], high[late], least[late], of[late]
+    heads = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, dtype=np.int64)
+    bundles = messages["bundle"].to_pylist()
+    return _bytes({"bundle": [bundles[i] for i in of[heads].tolist()],
+                   **{c: [x.tobytes() for x in np.split(v, heads[1:])] if len(heads) else []
+                      for c, v in (("low", low), ("high", high), ("least", least))}})
 
 
 def removed(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept_text."""
+    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_text."""
     if not is_cover(cover, period) or not 0 < period < window:
         raise ValueError("cover must be a difference cover of a period below the window length")
     run_length = window - period + 1
-    kind = docs.schema["doc_id"].dataType.simpleString()
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), f"[{SPACE_CLASS}]+", " "))
     n_words = F.when(F.col("words") == "", F.lit(0)).otherwise(F.length("words") - F.length(F.replace("words", F.lit(" "))) + 1)
-    base = docs.select("doc_id", words.alias("words")).withColumn("n_words", n_words.cast("bigint"))
-    reps = stored(base.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
-                  .groupBy("words").agg(F.min("doc_id").alias("first"))
-                  .withColumn("rep", F.monotonically_increasing_id()), "substrings-texts")
-
-    def at_cover(n: int) -> np.ndarray:
-        return np.isin(np.arange(n) % period, cover)
-
-    def anchors_of(hasher: Hasher, row: dict) -> dict:
-        runs = hasher.runs(hasher.words(row["words"].split(" "))[:, 0], run_length)
-        return {"g": np.unique(runs[at_cover(len(runs))]).view(np.int64)}
-
-    anchors = stored(_per_text(reps, f"rep bigint, first {kind}, g bigint", anchors_of, ("rep", "first")), "substrings-anchors")
-    shared = anchors.groupBy("g").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high")
-    marked = anchors.join(shared.select("g"), "g", "left_semi").groupBy("rep").agg(F.collect_list("g").alias("marks"))
-
-    def windows_of(hasher: Hasher, row: dict) -> dict:
-        hashes = hasher.words(row["words"].split(" "))
-        runs = hasher.runs(hashes[:, 0], run_length)
-        known = np.flatnonzero(at_cover(len(runs)) & np.isin(runs.view(np.int64), np.array(row["marks"], dtype=np.int64)))
-        n = len(hashes) - window + 1
-        near = np.flatnonzero(_covered(known, period, n + period)[period - 1:period - 1 + n])
-        low, high = (hasher.runs(hashes[:, i], window)[near].view(np.int64) for i in (0, 1))
-        return {"pos": near.astype(np.int32), "low": low, "high": high}
-
-    windows = stored(_per_text(reps.join(marked, "rep"), f"rep bigint, first {kind}, pos int, low bigint, high bigint",
-                               windows_of, ("rep", "first")), "substrings-windows")
-    earliest = (windows.groupBy("low", "high").agg(F.min("first").alias("least"), F.max("first").alias("most"))
-                .where("least < most").select("low", "high", "least"))
-    gone = (windows.join(earliest, ["low", "high"]).where("first > least")
-            .groupBy("rep").agg(F.collect_list("pos").alias("starts")))
-
-    def kept_of(hasher: Hasher, row: dict) -> dict:
-        words = row["words"].split(" ")
-        out = _covered(np.array(row["starts"], dtype=np.int64), window, len(words))
-        kept = " ".join(w for w, o in zip(words, out.tolist(), strict=True) if not o)
-        return {"n_removed": np.array([out.sum()], dtype=np.int64), "kept": np.array([kept], dtype=object)}
-
-    cut = _per_text(reps.join(gone, "rep"), "rep bigint, n_removed bigint, kept string", kept_of, ("rep",))
-    heads = reps.select("rep", "first", F.sha2("words", 256).alias("sha")).join(cut, "rep", "left")
-    copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
-    same = F.coalesce(F.col("doc_id") == F.col("first"), F.lit(False))
-    return (base.withColumn("sha", F.sha2("words", 256)).join(heads, "sha", "left")
-            .withColumn("kept_text", F.when(copy, F.lit("")).when(same, F.coalesce("kept", "words")).otherwise(F.col("words")))
-            .select("doc_id", "n_words",
-                    F.when(copy, F.col("n_words")).when(same, F.coalesce("n_removed", F.lit(0))).otherwise(F.lit(0))
-                    .cast("bigint").alias("n_removed"),
-                    F.sha2("kept_text", 256).alias("kept_sha256"), "kept_text"))
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), words.alias("words")).withColumn("n_words", n_words.cast("bigint"))
+    long_enough = F.col("doc_id").isNotNull() & (F.col("n_words") >= window)
+    texts = _bundles(base.where(long_enough))
+    total = texts.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, n: a + n))).first()[0] or 0
+    ranges = max(1, total // RANGE_WORDS, min(3 * docs.sparkSession.sparkContext.defaultParallelism, total // LEAST_RANGE_WORDS))
+
+    def ask_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _sums()
+        for batch in batches:
+            for row in batch.to_pylist():
+                t = Texts(row, sums)
+                at = t.at_cover(run_length, period, cover)
+                keys, ids = t.runs(t.words(0), run_length, 0, at), t.ids[t.of[at]]
+                order = np.lexsort((ids, keys))
+                keys, ids = keys[order], ids[order]
+                heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
+                twice = (ids[heads] != ids[np.append(heads[1:], len(keys)) - 1]).astype(np.uint8) if len(heads) else np.zeros(0, np.uint8)
+                keys = keys[heads]
+                parts = _slices(keys, ranges)
+                yield from _bytes({"range": [r for r, _, _ in parts], "bundle": [row["bundle"]] * len(parts),
+                                   "keys": [keys[a:b].tobytes() for _, a, b in parts],
+                                   "twice": [twice[a:b].tobytes() for _, a, b in parts]}).to_batches()
+
+    def ask_windows(bundle: pa.Table, answers: pa.Table) -> pa.Table:
+        out: dict[str, list] = {c: [] for c in ("range", "bundle", "low", "high", "least", "most")}
+        known = np.unique(_read(answers, "keys")[0])
+        for row in bundle.to_pylist() if len(known) else ():
+            t = Texts(row, _sums())
+            at = t.at_cover(run_length, period, cover)
+            at = at[np.isin(t.runs(t.words(0), run_length, 0, at), known)]
+            near = t.covered(np.maximum(at - period + 1, t.starts[t.of[at]]), at + 1)
+            near = np.flatnonzero(near & (t.place + window <= t.sizes[t.of]))
+            low, high = t.windows(window, near)
+            ids = t.ids[t.of[near]]
+            order = np.lexsort((ids, high, low))
+            low, high, ids = low[order], high[order], ids[order]
+            heads = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))) if len(low) else np.zeros(0, np.int64)
+            ends = np.append(heads[1:], len(low)) - 1
+            columns = {"low": low[heads], "high": high[heads], "least": ids[heads], "most": ids[ends] if len(heads) else ids}
+            for r, a, b in _slices(columns["low"], ranges):
+                out["range"].append(r)
+                out["bundle"].append(row["bundle"])
+                for c, v in columns.items():
+                    out[c].append(v[a:b].tobytes())
+        return _bytes(out)
+
+    def cut(bundle: pa.Table, answers: pa.Table) -> pa.Table:
+        found: list[list] = [[], [], [], []]
+        (low, _), (high, _), (least, _) = (_read(answers, c, k) for c, k in (("low", np.uint64), ("high", np.uint64), ("least", np.int64)))
+        order = np.lexsort((high, low))
+        low, high, least = low[order], high[order], least[order]
+        for row in bundle.to_pylist():
+            t = Texts(row, _sums())
+            gone = np.zeros(len(t.of), dtype=bool)
+            if len(low):
+                at = np.flatnonzero(t.place + window <= t.sizes[t.of])
+                mine = t.runs(t.words(0), window, 0, at)
+                at = at[np.isin(mine, low)]
+                mine_low, mine_high = t.windows(window, at)
+                left, right = (np.searchsorted(low, mine_low, side=side) for side in ("left", "right"))
+                best = np.full(len(at), np.iinfo(np.int64).max)
+                for step in range(int((right - left).max(initial=0))):  # one, but for a clash of the low halves
+                    i = np.minimum(left + step, len(low) - 1)
+                    best = np.where((left + step < right) & (high[i] == mine_high), least[i], best)
+                at = at[best < t.ids[t.of[at]]]
+                gone = t.covered(at, at + window)
+            words = t.data.decode().split(" ")
+            for doc_id, a, b in zip(t.ids.tolist(), t.starts.tolist(), t.ends.tolist()):
+                out = gone[a:b]
+                kept = words[a:b] if not out.any() else [w for w, o in zip(words[a:b], out.tolist()) if not o]
+                for c, v in zip(found, (doc_id, b - a, int(out.sum()), " ".join(kept))):
+                    c.append(v)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+        return pa.table({c: pa.array(v, k) for c, v, k in zip(("doc_id", "n_words", "n_removed", "kept_text"), found, kinds)})
+
+    asked = texts.mapInArrow(ask_anchors, "range bigint, bundle bigint, keys binary, twice binary")
+    shared = asked.groupBy("range").applyInArrow(_shared_anchors, "bundle bigint, keys binary")
+    wanted = texts.groupBy("bundle").cogroup(shared.groupBy("bundle")).applyInArrow(
+        ask_windows, "range bigint, bundle bigint, low binary, high binary, least binary, most binary")
+    earliest = stored(wanted.groupBy("range").applyInArrow(_earliest, "bundle bigint, low binary, high binary, least binary"),
+                      "substrings-earliest")
+    judged = texts.groupBy("bundle").cogroup(earliest.groupBy("bundle")).applyInArrow(
+        cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+    return judged.unionByName(base.where(~F.coalesce(long_enough, F.lit(False))).select(
+        "doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("words").alias("kept_text")))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The registered query: the texts' digests without the texts."""
-    return removed(docs).drop("kept_text")
+    """The registered query: the digests of the kept texts."""
+    return removed(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 ORACLE = """
