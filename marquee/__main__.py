@@ -13,9 +13,11 @@
                  a batch of purchase requests (PURCHASE_REQUEST shape; json =
                  one form post per line): new rows and rejects under O, and
                  the tables with the new rows as the next published version
-  apply-changes  --root R --table T --changes P [--key ID]
+  apply-changes  --root R --table T --changes P [--key ID] [--marks]
                  fold a change log (parquet, change_schema of T) into the
-                 next published snapshot version; rejects under R/rejects
+                 next published snapshot version; rejects under R/rejects.
+                 With --marks only the rows of changed keys are written and
+                 merged when read; compact folds them into the table
   delete-purchases --root R --requests P [--format parquet|json|csv]
                  purchases by purchase_id, each with its ticket, into the next
                  version
@@ -27,8 +29,12 @@
                  lookups for a file of requests (request_id, e_mail,
                  phone_num) or visits (visit_id, customer_id)
   compact        --root R --table T
-                 rewrite a table's folders (base + appended intake rows) as
+                 rewrite a table's folders (base, appended rows, marks) as
                  one folder in the next version
+
+Jobs that change a root may run side by side: each publishes the version after
+the one it read, on top of versions that changed other tables, and fails if a
+table it read or wrote has changed meanwhile.
 """
 
 from __future__ import annotations
@@ -69,16 +75,6 @@ def _next_version(spark, root: str) -> str:
         return snapshots.version_name(0)
 
 
-def _write_new_version(spark, root: str, t, changed: set[str], base_version: str) -> str:
-    """Publish ``t`` as the next version, writing only the ``changed``
-    tables; the others keep pointing at the folders of ``base_version``."""
-    version = _next_version(spark, root)
-    old = snapshots.manifest(spark, root, base_version)
-    reuse = {n: p for n, p in old.items() if n not in changed}
-    snapshots.write_snapshot(t, root, version, reuse=reuse)
-    return version
-
-
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="marquee", description=__doc__,
                                  formatter_class=argparse.RawDescriptionHelpFormatter)
@@ -99,6 +95,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--table")
     ap.add_argument("--changes")
     ap.add_argument("--key", default="ID")
+    ap.add_argument("--marks", action="store_true")
     ap.add_argument("--master")
     a = ap.parse_args(argv)
     spark = build_session(master=a.master)
@@ -151,18 +148,18 @@ def main(argv: list[str] | None = None) -> int:
         for n, d in grown.items():
             new_rows = new_rows.with_table(
                 n, spark.read.schema(TABLE_SCHEMAS[n]).parquet(f"{a.out}/{d}"))
-        old = snapshots.manifest(spark, a.root, base)
-        snapshots.write_snapshot(new_rows, a.root, _next_version(spark, a.root),
-                                 reuse={n: p for n, p in old.items() if n not in grown},
-                                 append={n: old[n] for n in grown})
+        snapshots.commit(spark, a.root, base, append={n: new_rows.get(n) for n in grown}, reads={"event_catalog"})
     elif a.command == "apply-changes":
         base = a.version or snapshots.current_version(spark, a.root)
         t = snapshots.read_snapshot(spark, a.root, base)
         log = spark.read.schema(change_schema(TABLE_SCHEMAS[a.table])).format(a.format) \
             .load(a.changes)
-        out, rejects = changes.apply_changes(t.get(a.table), log, a.key, TABLE_SCHEMAS[a.table])
-        version = _write_new_version(spark, a.root, t.with_table(a.table, out), {a.table}, base)
-        rejects.write.mode("errorifexists").parquet(f"{a.root}/rejects/v={version}")
+        if a.marks:
+            marks, rejects = changes.change_marks(t.get(a.table), log, a.key, TABLE_SCHEMAS[a.table])
+            snapshots.commit(spark, a.root, base, marks={a.table: marks}, rejects=rejects)
+        else:
+            out, rejects = changes.apply_changes(t.get(a.table), log, a.key, TABLE_SCHEMAS[a.table])
+            snapshots.commit(spark, a.root, base, rewrite={a.table: out}, rejects=rejects)
     elif a.command in ("delete-purchases", "delete-cust-of"):
         base = a.version or snapshots.current_version(spark, a.root)
         t = snapshots.read_snapshot(spark, a.root, base)
@@ -177,11 +174,7 @@ def main(argv: list[str] | None = None) -> int:
         else:
             purchases, tickets = changes.delete_purchases(t.purchase, t.ticket, given)
             cut = {"purchase": purchases, "ticket": tickets}
-        for name, df in cut.items():
-            t = t.with_table(name, df)
-        version = _write_new_version(spark, a.root, t, set(cut), base)
-        if rejects is not None:
-            rejects.write.mode("errorifexists").parquet(f"{a.root}/rejects/v={version}")
+        snapshots.commit(spark, a.root, base, rewrite=cut, rejects=rejects)
     elif a.command == "lookup":
         t = snapshots.read_snapshot(spark, a.root, a.version)
         reader = spark.read.format(a.format)
@@ -200,7 +193,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "compact":
         base = a.version or snapshots.current_version(spark, a.root)
         t = snapshots.read_snapshot(spark, a.root, base)
-        _write_new_version(spark, a.root, t, {a.table}, base)
+        snapshots.commit(spark, a.root, base, rewrite={a.table: t.get(a.table)})
     spark.stop()
     return 0
 

@@ -24,12 +24,14 @@ from pyspark.sql.types import (DecimalType, IntegerType, LongType, StringType, S
 
 from marquee.functions.semantics import clean_money, split_pair
 from marquee.session import scratch_dir
+from marquee.tables import Tables
 
 KEY_CHANGE_ERROR = "key change"
 UNKNOWN_PROPERTY_ERROR = "unknown property"
 BAD_VALUE_ERROR = "invalid value"
 BAD_PAIR_ERROR = "invalid pair"
 NO_KEY_ERROR = "missing key"
+NO_SEQ_ERROR = "missing seq"
 
 
 def _keys(key) -> list[str]:
@@ -41,13 +43,15 @@ def _keys(key) -> list[str]:
 def insert_rows(snapshot: DataFrame, rows: DataFrame, key="ID", seq_col: str | None = "seq") \
         -> DataFrame:
     """M1: add rows whose key is not live; within the batch the first insert
-    (by ``seq``) of a key wins, later ones are no-ops."""
+    (by ``seq``) of a key wins, later ones are no-ops. Rows without a ``seq``
+    come after all others; equal ``seq`` (or none) goes by the smallest row."""
     ks = _keys(key)
     cols = snapshot.columns
     if seq_col and seq_col in rows.columns:
         firsts = (rows.groupBy(*ks)
-                  .agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(seq_col)).alias("_r"))
-                  .select("_r.*"))
+                  .agg(F.min(F.struct(F.col(seq_col).isNull().alias("_last"), F.col(seq_col).alias("_seq"),
+                                      F.struct(*cols).alias("_r"))).alias("_f"))
+                  .select("_f._r.*"))
     else:
         # no order given: keep the smallest row per key, a deterministic pick
         # (unlike dropDuplicates, which keeps whichever row a task sees first)
@@ -109,7 +113,8 @@ def _check_updates(changes: DataFrame, schema: StructType, key: str) -> DataFram
             continue
         ok_value = F.when(F.col("property") == f.name,
                           _typed(F.col("new_value"), f.dataType).isNotNull()).otherwise(ok_value)
-    reason = (F.when(F.col("property") == key, F.lit(KEY_CHANGE_ERROR))
+    reason = (F.when(F.col("seq").isNull(), F.lit(NO_SEQ_ERROR))
+              .when(F.col("property") == key, F.lit(KEY_CHANGE_ERROR))
               .when(F.col("property").isNull() | ~F.col("property").isin(*known),
                     F.lit(UNKNOWN_PROPERTY_ERROR))
               .when(F.col("new_value").isNull() | ~ok_value, F.lit(BAD_VALUE_ERROR)))
@@ -147,12 +152,14 @@ def update_property(snapshot: DataFrame, changes: DataFrame, key: str = "ID",
                     schema: StructType | None = None) -> tuple[DataFrame, DataFrame]:
     """M4-M7: ``UPDATE t SET <property> = <new_value> WHERE key = <key>``
     for a batch; the last valid value per (key, property) wins, updates of
-    absent keys are no-ops. Key changes go through :func:`rename_keys`.
+    absent keys are no-ops. Key changes go through :func:`rename_keys`. The
+    per-key summary is stored, so the planner knows its size: a small one
+    is broadcast and the snapshot is not shuffled.
     Returns (snapshot, rejects(seq, reason))."""
     schema = schema or snapshot.schema
     checked = _check_updates(changes, schema, key)
     valid = checked.where(F.col("_reject").isNull())
-    latest = _latest_values(valid, schema, key)
+    latest = _stored(_latest_values(valid, schema, key))
     rejects = checked.where(F.col("_reject").isNotNull()) \
         .select("seq", F.col("_reject").alias("reason"))
     return _apply_latest(snapshot, latest, schema, key), rejects
@@ -286,8 +293,8 @@ def update_customers(customer: DataFrame, updates: DataFrame) -> DataFrame:
     """M3: the profile form sets all four fields at once; the last update
     (by seq) per customer wins; unknown ids are no-ops."""
     fields = ["first_name", "last_name", "e_mail", "phone_num"]
-    latest = (updates.groupBy(F.col("ID").alias("_key"))
-              .agg(F.max_by(F.struct(*fields), "seq").alias("_u")))
+    latest = _stored(updates.where("ID IS NOT NULL AND seq IS NOT NULL").groupBy(F.col("ID").alias("_key"))
+                     .agg(F.max_by(F.struct(*fields), "seq").alias("_u")))
     joined = customer.join(latest, customer["ID"] == latest["_key"], "left")
     return joined.select(
         "ID", *[F.when(F.col("_key").isNotNull(), F.col(f"_u.{f}")).otherwise(F.col(f)).alias(f)
@@ -411,10 +418,13 @@ def apply_changes(snapshot: DataFrame, log: DataFrame, key: str = "ID",
     Returns (snapshot, rejects(seq, reason))."""
     schema = schema or snapshot.schema
     dtype = schema[key].dataType
+    unordered = log.where("seq IS NULL").select("seq", F.lit(NO_SEQ_ERROR).alias("reason"))
+    log = log.where("seq IS NOT NULL")
     is_rename = (F.col("key").isNotNull() & F.col("op").eqNullSafe("update") & F.col("property").eqNullSafe(key))
     renames = log.where(is_rename)
     if renames.isEmpty():
-        return _fold(snapshot, log, key, schema)
+        out, rejects = _fold(snapshot, log, key, schema)
+        return out, rejects.unionByName(unordered)
     typed = _typed_renames(renames, dtype)
     valid = typed.where(VALID_RENAME)
     linked = _stored(_named(valid))
@@ -447,12 +457,39 @@ def apply_changes(snapshot: DataFrame, log: DataFrame, key: str = "ID",
         opened = judged.where("NOT go AND NOT gone").select("seq", "old", "new")
     state, _ = _fold(state, waiting, key, schema)
     out = folded.join(linked, folded[key] == linked["k"], "left_anti").unionByName(state)
-    rejects = (_statement_errors(edits, schema, key)
+    rejects = (_statement_errors(edits, schema, key).unionByName(unordered)
                .unionByName(typed.where("new IS NULL").select("seq", F.lit(BAD_VALUE_ERROR).alias("reason")))
                .unionByName(_duplicate_keys(valid, applied, start, linked_edits)))
     return out, rejects
 
 
+# ------------------------------------------------------------------ marks
+
+def _as_marks(before: DataFrame, after: DataFrame, key) -> DataFrame:
+    """The change from ``before`` to ``after`` (the same few keys' rows) as marks:
+    the rows that are there afterwards, and a delete mark for each key that no
+    longer is."""
+    ks = _keys(key)
+    gone = before.select(*ks).join(after.select(*ks), ks, "left_anti")
+    return (after.withColumn("_alive", F.lit(True))
+            .unionByName(gone.withColumn("_alive", F.lit(False)), allowMissingColumns=True))
+
+
+def change_marks(snapshot: DataFrame, log: DataFrame, key: str = "ID",
+                 schema: StructType | None = None) -> tuple[DataFrame, DataFrame]:
+    """:func:`apply_changes` as marks: only the rows whose keys the log names
+    (or moves to) are read on into the fold, and only they come out.
+    Returns (marks, rejects(seq, reason))."""
+    schema = schema or snapshot.schema
+    dtype = schema[key].dataType
+    moved = log.where((F.col("op") == "update") & (F.col("property") == key)).select(_typed(F.col("new_value"), dtype).alias(key))
+    named = (log.select(F.col("key").cast(dtype).alias(key)).union(moved)
+             .where(F.col(key).isNotNull()).distinct())
+    before = _stored(snapshot.join(_stored(named), key, "left_semi").select(*schema.names))
+    after, rejects = apply_changes(before, log, key, schema)
+    return _as_marks(before, _stored(after), key), rejects
+
+
 # ------------------------------------------------------------------ cascades
 
 def delete_purchases(purchase: DataFrame, ticket: DataFrame, purchase_ids: DataFrame) \
@@ -483,13 +520,82 @@ def delete_cust_of(cust_of: DataFrame, customer: DataFrame, pair_texts: DataFram
     return new_cust_of, new_customer, rejects
 
 
-def rekey_parents(parent: DataFrame, ticket_changes: DataFrame, property_name: str = "event_id") \
-        -> DataFrame:
+def rekey_parent_keys(parent: DataFrame, ticket_changes: DataFrame, property_name: str = "event_id") \
+        -> tuple[DataFrame, DataFrame]:
     """M11 (opt-in, literal): after a ticket's ``event_id`` (or
     ``distributer_id``) changes, the reference runs
     ``UPDATE <parent> SET ID = <new> WHERE ID = <ticket id>`` -- keyed by the
-    ticket's own id, one by one in the order of the changes."""
-    new = F.round(clean_money("new_value"), 0).cast("bigint")
-    moves = (ticket_changes.where(F.col("property") == property_name)
-             .select("seq", "key", new.cast("string").alias("new_value")).where("new_value IS NOT NULL"))
-    return rename_keys(parent, moves)[0]
+    ticket's own id, one by one in the order of the changes. Values that do not
+    convert are statement errors, a move onto a live key is a key error.
+    Returns (parent, rejects(seq, reason))."""
+    asked = ticket_changes.where(F.col("property") == property_name) \
+        .select("seq", "key", F.round(clean_money("new_value"), 0).try_cast("bigint").cast("string").alias("new_value"))
+    out, rejects = rename_keys(parent, asked.where("new_value IS NOT NULL"))
+    bad = asked.where("new_value IS NULL").select("seq", F.lit(BAD_VALUE_ERROR).alias("reason"))
+    return out, rejects.unionByName(bad)
+
+
+def rekey_parents(parent: DataFrame, ticket_changes: DataFrame, property_name: str = "event_id") \
+        -> DataFrame:
+    """The parent table of :func:`rekey_parent_keys`."""
+    return rekey_parent_keys(parent, ticket_changes, property_name)[0]
+
+
+CASCADES = ("delete_purchase", "delete_pair", "insert_pair", "update_ticket")
+
+
+def cascade_marks(t: Tables, log: DataFrame, rekey: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
+    """M9, M10, M11 and pair edits in one ordered log (``seq, op, key, property,
+    new_value``), as marks per table that is the log applied one by one:
+
+    * ``delete_purchase`` (key): the purchase and its ticket;
+    * ``delete_pair`` / ``insert_pair`` (new_value "company,customer"): the
+      link, and with a delete the customer, even if the pair was not linked;
+      a pair deleted and inserted again is there;
+    * ``update_ticket`` (key, property, new_value): the ticket's property;
+      with ``rekey`` event_id and distributer_id changes move the parent whose
+      ID equals the ticket's, too.
+
+    Only touched keys are read on: every step starts from a semi join of its
+    table with the keys of the log. Returns (marks per table, rejects(seq,
+    reason))."""
+    known = F.col("op").isNotNull() & F.col("op").isin(*CASCADES)
+    errors = log.select("seq", F.when(F.col("seq").isNull(), F.lit(NO_SEQ_ERROR)).when(~F.coalesce(known, F.lit(False)), F.lit("unknown op"))
+                        .when(F.col("key").isNull() & F.col("op").isin("delete_purchase", "update_ticket"), F.lit(NO_KEY_ERROR))
+                        .alias("reason")).where("reason IS NOT NULL")
+    log = _stored(log.where("seq IS NOT NULL"))
+    # purchases and their tickets
+    ids = log.where("op = 'delete_purchase' AND key IS NOT NULL").select(F.col("key").alias("purchase_id")).distinct()
+    doomed = _stored(t.purchase.join(ids, "purchase_id", "left_semi"))
+    tickets_gone = doomed.where("ticket_id IS NOT NULL").select(F.col("ticket_id").alias("ID")).distinct()
+    edits = log.where("op = 'update_ticket' AND key IS NOT NULL")
+    touched = tickets_gone.union(edits.select("key")).distinct()
+    tickets = _stored(t.ticket.join(touched, "ID", "left_semi"))
+    edited, bad_edits = update_property(tickets.join(tickets_gone, "ID", "left_anti"), edits, schema=t.ticket.schema)
+    # links and customers
+    comp, cust, ok = split_pair(F.col("new_value"))
+    pairs = _stored(log.where(F.col("op").isin("delete_pair", "insert_pair"))
+                    .select("seq", "op", comp.alias("company_id"), cust.alias("customer_id"), F.coalesce(ok, F.lit(False)).alias("ok")))
+    good = pairs.where("ok")
+    last = good.groupBy("company_id", "customer_id").agg(F.max_by("op", "seq").alias("op"))
+    links = _stored(t.cust_of.join(last, ["company_id", "customer_id"], "left_semi"))
+    linked = last.where("op = 'insert_pair'").select("company_id", "customer_id")
+    customers = _stored(t.customer.join(good.where("op = 'delete_pair'").select(F.col("customer_id").alias("ID")).distinct(),
+                                        "ID", "left_semi"))
+    marks = {"purchase": _as_marks(doomed, doomed.limit(0), "purchase_id"),
+             "ticket": _as_marks(tickets, _stored(edited), "ID"),
+             "cust_of": _as_marks(links, linked, ["company_id", "customer_id"]),
+             "customer": _as_marks(customers, customers.limit(0), "ID")}
+    rejects = [errors, bad_edits.select("seq", "reason"),
+               pairs.where("NOT ok").select("seq", F.lit(BAD_PAIR_ERROR).alias("reason"))]
+    if rekey:
+        for name, prop in (("event_catalog", "event_id"), ("distributer", "distributer_id")):
+            parent, moves = t.get(name), edits.where(F.col("property") == prop)
+            new = F.round(clean_money("new_value"), 0).try_cast("bigint")
+            keys = moves.select(F.col("key").alias("ID")).union(moves.select(new.alias("ID"))).where("ID IS NOT NULL").distinct()
+            before = _stored(parent.join(_stored(keys), "ID", "left_semi"))
+            after, bad = rekey_parent_keys(before, moves, prop)
+            marks[name] = _as_marks(before, _stored(after), "ID")
+            # values that do not convert are in the ticket's rejects already
+            rejects.append(bad.where(F.col("reason") != BAD_VALUE_ERROR))
+    return marks, reduce(DataFrame.unionByName, rejects)

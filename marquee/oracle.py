@@ -686,6 +686,48 @@ BUNDLES = {
 }
 
 
+def _moves(prop: str) -> str:
+    return f"""
+    SELECT seq, key AS old_id, TRY_CAST(round({money('v')}, 0) AS BIGINT) AS new_id
+    FROM m_tedit WHERE property = '{prop}'"""
+
+
+PARENT_MOVES = """
+    SELECT event_id AS seq, event_id % (SELECT count(*) FROM part) AS old_id,
+           CASE WHEN event_id % 37 <> 0 THEN (SELECT count(*) FROM part) + user_id % 200 END AS new_id
+    FROM events WHERE event_type = 'purchase' AND event_id % 3 = 0"""
+CHANGES["rekey_rejects"] = _one_by_one_rejects("m_event", PARENT_MOVES) + f"""
+UNION ALL SELECT seq, 'invalid value' AS reason FROM ({PARENT_MOVES}) WHERE new_id IS NULL"""
+
+# Cascades in one log: the last edit of a pair by seq decides; tickets of deleted
+# purchases go whatever was edited; parents move one by one.
+CASCADES = _page({
+    "purchase": (CHANGES["delete_purchases"], TABLE_COLUMNS["purchase"][1]),
+    "ticket": (f"""SELECT * FROM ({CHANGES["update_ticket_properties"]}) WHERE ID IN (
+      SELECT ID FROM ({CHANGES["delete_purchase_tickets"]}))""", TABLE_COLUMNS["ticket"][1]),
+    "cust_of": ("""
+WITH edits AS (
+  SELECT seq, CAST(split_part(pair_text, ',', 1) AS BIGINT) AS company_id,
+         CAST(split_part(pair_text, ',', 2) AS BIGINT) AS customer_id, false AS linked
+  FROM m_pairs WHERE len(string_split(pair_text, ',')) = 2
+  UNION ALL
+  SELECT event_id, CAST(user_id * 7 % (SELECT count(*) FROM supplier) AS BIGINT), CAST(user_id AS BIGINT), true
+  FROM events WHERE event_type = 'click'),
+last_edit AS (SELECT company_id, customer_id, arg_max(linked, seq) AS linked FROM edits GROUP BY company_id, customer_id)
+SELECT company_id, customer_id FROM m_cust_of ANTI JOIN last_edit USING (company_id, customer_id)
+UNION ALL SELECT company_id, customer_id FROM last_edit WHERE linked""", TABLE_COLUMNS["cust_of"][1]),
+    "customer": (CHANGES["delete_cust_of_customers"], TABLE_COLUMNS["customer"][1]),
+    "event_catalog": (CHANGES["rekey_events"], TABLE_COLUMNS["event_catalog"][1]),
+    "distributer": (_one_by_one("m_distributer", ["name", "location"], _moves("distributer_id")),
+                    TABLE_COLUMNS["distributer"][1]),
+    "rejects": (f"""
+{CHANGES["ticket_edit_rejects"]}
+UNION ALL SELECT seq, reason FROM ({CHANGES["cust_of_delete_rejects"]})
+UNION ALL {_one_by_one_rejects("m_event", _moves("event_id"))}
+UNION ALL {_one_by_one_rejects("m_distributer", _moves("distributer_id"))}""", "seq reason"),
+})
+
+
 def all_sql() -> dict[str, str]:
     out = {}
     for group in (REPORTS, LISTINGS, LOOKUPS, BUNDLES):
@@ -698,6 +740,7 @@ def all_sql() -> dict[str, str]:
         out[k] = recursive + CHANGE_CTES + body
     for k, body in KEY_CHANGES.items():
         out[k] = recursive + CHANGE_CTES + KEY_CHANGE_CTES + body
+    out["table_cascades_stream"] = recursive + CHANGE_CTES + CASCADES
     # The streams deliver what their batch counterparts compute.
     out["purchase_intake_stream"] = out["new_purchases"]
     out["table_changes_stream"] = out["apply_customer_changes"]

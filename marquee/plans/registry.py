@@ -143,6 +143,7 @@ CHANGES: dict[str, Query] = {
     "ticket_edit_rejects": lambda s, d: _ticket_updates(s, d)[1],
     "rekey_events": lambda s, d: changes.rekey_parents(td.event_catalog(s, d),
                                                        td.ticket_edits(s, d)),
+    "rekey_rejects": lambda s, d: changes.rekey_parent_keys(td.event_catalog(s, d), td.parent_moves(s, d))[1],
     "delete_purchases": lambda s, d: _delete_purchases(s, d)[0],
     "delete_purchase_tickets": lambda s, d: _delete_purchases(s, d)[1],
     "delete_cust_of": lambda s, d: _delete_cust_of(s, d)[0],
@@ -161,15 +162,17 @@ def _bundle(make) -> Query:
         page = make(td.load_tables(spark, sf_dir))
         schemas = {name: df.schema for name, df in page.reports.items()}
         paths = page.write(scratch_dir(spark, "bundle"), parallelism=4)
-        tables = {name: spark.read.schema(schemas[name]).parquet(path) for name, path in paths.items()}
-        return reduce(DataFrame.union, [
-            df.select(F.lit(name).alias("report"),
-                      F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in df.columns])
-                      .alias("line"))
-            for name, df in tables.items()])
+        return _lines({name: spark.read.schema(schemas[name]).parquet(path) for name, path in paths.items()})
     return run
 
 
+def _lines(tables: dict[str, DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, [
+        df.select(F.lit(name).alias("report"),
+                  F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in df.columns]).alias("line"))
+        for name, df in tables.items()])
+
+
 BUNDLES: dict[str, Query] = {
     "admin_bundle": _bundle(bundles.admin_bundle),
     "manager_bundle": _bundle(bundles.manager_bundle),
@@ -216,24 +219,56 @@ def _intake_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _changes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I9 end to end: the derived Customer edits land as files in three
-    arrivals, the stream folds each into a new Customer version; the last
-    micro-batch is replayed. Returns the final version."""
+    arrivals, the stream adds the marks of each as a new Customer version, with
+    a compaction between two of them; the last micro-batch is replayed. Returns
+    the final version."""
     from marquee.session import scratch_dir
     from marquee.streaming import streams
     work = scratch_dir(spark, "changes-stream")
     in_dir, root, ckpt = f"{work}/changes", f"{work}/store", f"{work}/checkpoint"
     streams.init_change_table(td.customer(spark, sf_dir), root, "customer")
     arrivals = _arrivals(td.customer_changes(spark, sf_dir), "seq")
-    for part in arrivals:
+    for n, part in enumerate(arrivals):
         part.write.mode("append").parquet(in_dir)
         streams.table_changes_stream(spark, in_dir, root, "customer", ckpt).awaitTermination()
+        if n == 1:
+            streams.compact_change_table(spark, root, "customer")
     streams.run_change_batch(arrivals[-1], len(arrivals) - 1, root, "customer")
     return streams.read_change_table(spark, root, "customer")
 
 
+def _cascades_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I9 over several tables end to end: cascading deletes, pair edits and
+    ticket edits with M11 land as files in three arrivals; a table is compacted
+    between two of them and the last micro-batch is replayed. Returns the
+    touched tables and all rejects as tagged lines."""
+    from marquee.session import scratch_dir
+    from marquee.sources import snapshots
+    from marquee.streaming import streams
+    work = scratch_dir(spark, "cascades-stream")
+    in_dir, root, ckpt = f"{work}/changes", f"{work}/store", f"{work}/checkpoint"
+    tables = td.load_tables(spark, sf_dir, persist=True)
+    try:
+        snapshots.write_snapshot(tables, root, streams.BASE_VERSION, publish=False)
+    finally:
+        tables.release()
+    arrivals = _arrivals(td.cascade_log(spark, sf_dir), "seq")
+    for n, part in enumerate(arrivals):
+        part.write.mode("append").parquet(in_dir)
+        streams.table_cascades_stream(spark, in_dir, root, ckpt, rekey=True).awaitTermination()
+        if n == 1:
+            streams.compact(spark, root, "ticket")
+    streams.run_cascade_batch(arrivals[-1], len(arrivals) - 1, root, rekey=True)
+    t = snapshots.read_snapshot(spark, root)
+    parts = {name: t.get(name) for name in ("purchase", "ticket", "cust_of", "customer", "event_catalog", "distributer")}
+    parts["rejects"] = snapshots.read_rejects(spark, root, streams.CHANGE_REJECTS)
+    return _lines(parts)
+
+
 STREAMS: dict[str, Query] = {
     "purchase_intake_stream": _intake_stream,
     "table_changes_stream": _changes_stream,
+    "table_cascades_stream": _cascades_stream,
 }
 
 

@@ -55,6 +55,10 @@ PURCHASE_REQUEST = _s(("request_id", LongType()), ("requested_at", TimestampNTZT
                       ("event_id", LongType()), ("ticket_type", StringType()),
                       ("payment_type", StringType()))
 
+# One edit of several tables at once (see ``changes.cascade_marks``).
+CASCADE_CHANGE = _s(("seq", LongType()), ("op", StringType()), ("key", LongType()), ("property", StringType()),
+                    ("new_value", StringType()))
+
 # One row edit. ``key`` is the target row's key as text, ``row`` the full row
 # for inserts (a struct shaped like the table), ``property``/``new_value``
 # for updates.

@@ -2,10 +2,21 @@
 
 A snapshot version lists, per table, one or more parquet folders (a manifest
 under ``<root>/_versions/version=<version>``, with each folder's largest
-key). A new version writes only what changed -- a rewritten table, or one
-more folder of appended rows -- and lists the untouched folders again. The
-current version is the greatest published one (versions are zero-padded so
-text order is version order).
+key). A new version writes only what changed -- a rewritten table, one more
+folder of appended rows, or one more folder of *marks* (the final row, or a
+delete mark, of every key that changed) -- and lists the untouched folders
+again. Readers merge: a key's newest mark hides its rows in older folders.
+The current version is the greatest published one (versions are zero-padded
+so text order is version order).
+
+Commits are optimistic (:func:`commit`): a job publishes the version after
+the one it read. If others published meanwhile, it goes on top of them when
+they changed none of the tables it read or wrote, and fails with
+:class:`VersionClash` otherwise. A manifest is put in place by a rename that
+refuses an existing target, which file systems with atomic renames (HDFS, a
+POSIX mount) decide for one of two jobs; a plain object store needs one that
+offers the same (a put-if-absent) in front.
+
 Nothing is ever overwritten in place -- not the data, not the pointer -- so
 no job rewrites a path another job is reading; readers pin a version.
 Tables are read with their declared schemas (never inferred). Each table is written sorted within files by its key, so the parquet min/max
@@ -14,9 +25,16 @@ statistics let key-range filters skip row groups.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable
+from dataclasses import dataclass, replace
+from functools import reduce
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from marquee.plans.checks import duplicate_keys
 from marquee.schemas import TABLE_KEYS, TABLE_SCHEMAS
@@ -28,14 +46,36 @@ VERSIONS = "_versions"
 NUMBERED_TABLES = ("customer", "ticket", "purchase")
 
 
+ROWS, MARKS, REJECTS, STREAM = "rows", "marks", "rejects", "stream"
+ALIVE = "_alive"
+
+
+class VersionClash(RuntimeError):
+    """Another job has published a version that this one's result does not know of."""
+
+
+@dataclass(frozen=True)
+class Folder:
+    """A line of a manifest: a folder of a table (``order``: the version that
+    added it), a version's rejects, or the last batch (``max_id``) of a stream
+    (``path``: its id)."""
+    table: str
+    path: str
+    max_id: int | None = None
+    kind: str = ROWS
+    order: int = 0
+    base: str | None = None
+    changed: bool = True
+
+
 def table_path(root: str, version: str, name: str) -> str:
     return f"{root.rstrip('/')}/v={version}/{name}"
 
 
 def write_table(df: DataFrame, root: str, version: str, name: str,
-                max_records_per_file: int | None = None) -> str:
+                max_records_per_file: int | None = None, keys: list[str] | None = None) -> str:
     path = table_path(root, version, name)
-    writer = df.sortWithinPartitions(*TABLE_KEYS[name]).write.mode("errorifexists")
+    writer = df.sortWithinPartitions(*(keys or TABLE_KEYS[name])).write.mode("errorifexists")
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
     writer.parquet(path)
@@ -107,27 +147,45 @@ def version_name(n: int) -> str:
     return f"{n:012d}"
 
 
-MANIFEST_SCHEMA = "table string, path string, max_id bigint, version string"
+MANIFEST_SCHEMA = "table string, path string, max_id bigint, kind string, order bigint, base string, changed boolean"
 
 
-def publish_version(spark: SparkSession, root: str, version: str,
-                    paths: dict | None = None, max_ids: dict | None = None, replay: bool = False) -> None:
-    """Make ``version`` visible by writing its manifest (table -> folders,
-    with each folder's largest key), an append-only marker under
-    ``_versions``. A version that another job has taken is an error; only a
-    stream's own replay of a batch rewrites it."""
+def _put_if_absent(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder to ``target``, or raise :class:`VersionClash` if that exists."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    old, new = hadoop.Path(source), hadoop.Path(target)
+    files = hadoop.FileContext.getFileContext(new.toUri(), spark._jsc.hadoopConfiguration()) if new.toUri().getScheme() \
+        else hadoop.FileContext.getFileContext(spark._jsc.hadoopConfiguration())
+    try:
+        files.rename(old, new, spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0))
+    except Py4JJavaError as e:
+        files.delete(old, True)
+        if files.util().exists(new):
+            raise VersionClash(f"{target} is taken") from e
+        raise
+
+
+def put_manifest(spark: SparkSession, root: str, version: str, folders: Iterable[Folder]) -> None:
+    """Make ``version`` visible: its manifest is written aside and put in place
+    whole. A version that another job has taken is a :class:`VersionClash`."""
+    rows = [(f.table, f.path, f.max_id, f.kind, f.order, f.base, f.changed) for f in folders] or [(None,) * 7]
+    where = f"{root.rstrip('/')}/{VERSIONS}"
+    aside = f"{where}/_new-{uuid.uuid4().hex}"
+    spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.parquet(aside)
+    _put_if_absent(spark, aside, f"{where}/version={version}")
+
+
+def publish_version(spark: SparkSession, root: str, version: str, paths: dict | None = None,
+                    max_ids: dict | None = None) -> None:
+    """Publish ``version`` as these folders of rows (table -> folders)."""
     max_ids = max_ids or {}
-    rows = [(name, p, max_ids.get(p)) for name, ps in (paths or {}).items()
-            for p in _as_list(ps)] or [(None, None, None)]
-    spark.createDataFrame(rows, "table string, path string, max_id bigint").coalesce(1) \
-        .write.mode("overwrite" if replay else "errorifexists") \
-        .parquet(f"{root.rstrip('/')}/{VERSIONS}/version={version}")
+    put_manifest(spark, root, version, [Folder(name, p, max_ids.get(p)) for name, ps in (paths or {}).items() for p in _as_list(ps)])
 
 
 def current_version(spark: SparkSession, root: str) -> str:
     """Greatest published version (one aggregate value reaches the driver)."""
     try:
-        rows = (spark.read.schema(MANIFEST_SCHEMA)
+        rows = (spark.read.schema(MANIFEST_SCHEMA + ", version string")
                 .parquet(f"{root.rstrip('/')}/{VERSIONS}")
                 .agg(F.max("version")).collect())
     except AnalysisException as e:
@@ -152,10 +210,20 @@ def any_published(spark: SparkSession, root: str) -> bool:
     return True
 
 
-def _manifest_df(spark: SparkSession, root: str, version: str) -> DataFrame:
-    """One version's manifest, from its own folder alone."""
-    return spark.read.schema("table string, path string, max_id bigint") \
-        .parquet(f"{root.rstrip('/')}/{VERSIONS}/version={version}")
+def folders(spark: SparkSession, root: str, version: str) -> list[Folder]:
+    """A version's manifest, from its own folder alone (a few small rows). A
+    root without any published version has the default layout; a version that
+    is not among the published ones is an error."""
+    try:
+        rows = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root.rstrip('/')}/{VERSIONS}/version={version}").collect()
+    except AnalysisException as e:
+        if not _none_published(e):
+            raise
+        if any_published(spark, root):
+            raise FileNotFoundError(f"version {version} is not published under {root}") from e
+        return [Folder(name, table_path(root, version, name)) for name in TABLE_SCHEMAS]
+    return [Folder(r.table, r.path, r.max_id, r.kind or ROWS, r.order or 0, r.base, r.changed is not False)
+            for r in rows if r.table is not None]
 
 
 def folder_max_ids(spark: SparkSession, root: str) -> dict:
@@ -164,49 +232,146 @@ def folder_max_ids(spark: SparkSession, root: str) -> dict:
         version = current_version(spark, root)
     except FileNotFoundError:
         return {}
-    rows = _manifest_df(spark, root, version).where(F.col("max_id").isNotNull()).collect()
-    return {r.path: r.max_id for r in rows}
+    return {f.path: f.max_id for f in folders(spark, root, version) if f.max_id is not None and f.kind != STREAM}
 
 
 def manifest(spark: SparkSession, root: str, version: str) -> dict[str, list[str]]:
-    """Folders of every table in a version (a few small rows). A root
-    without any published version has the default layout; a version that is
-    not among the published ones is an error."""
-    paths = {name: [table_path(root, version, name)] for name in TABLE_SCHEMAS}
-    try:
-        rows = _manifest_df(spark, root, version).select("table", "path").collect()
-        missing = not rows
-    except AnalysisException as e:
-        if not _none_published(e):
-            raise
-        rows, missing = [], any_published(spark, root)
-    if missing:
-        raise FileNotFoundError(f"version {version} is not published under {root}")
-    rows = [r for r in rows if r.table is not None]
+    """Folders of rows of every table in a version; tables it does not list
+    have the default layout."""
     listed: dict[str, list[str]] = {}
-    for r in rows:
-        listed.setdefault(r.table, []).append(r.path)
-    paths.update({k: sorted(v) for k, v in listed.items()})
-    return paths
+    for f in folders(spark, root, version):
+        if f.kind == ROWS:
+            listed.setdefault(f.table, []).append(f.path)
+    return {name: [table_path(root, version, name)] for name in TABLE_SCHEMAS} | {k: sorted(v) for k, v in listed.items()}
 
 
 def max_ids(spark: SparkSession, root: str, version: str) -> dict:
     """Largest key per table of a version, from the manifest only (no scan
     of the tables): ``{table: int | None}``."""
-    rows = (_manifest_df(spark, root, version).where(F.col("table").isNotNull())
-            .groupBy("table").agg(F.max("max_id").alias("m")).collect())
-    return {r.table: r.m for r in rows}
+    out: dict[str, int | None] = {}
+    for f in folders(spark, root, version):
+        if f.kind in (ROWS, MARKS):
+            known = [x for x in (out.get(f.table), f.max_id) if x is not None]
+            out[f.table] = max(known) if known else None
+    return out
+
+
+def stream_batch(listed: list[Folder], stream: str) -> int:
+    """The last batch of a stream that a version holds, -1 if none."""
+    return max((f.max_id for f in listed if f.kind == STREAM and f.path == stream), default=-1)
+
+
+def marks_schema(name: str) -> StructType:
+    return StructType([*TABLE_SCHEMAS[name].fields, StructField(ALIVE, BooleanType(), True)])
+
+
+def _read_folders(spark: SparkSession, listed: list[Folder], name: str) -> DataFrame:
+    """Merge on read: rows whose key has no newer mark, and the newest marks'
+    rows. The rows' side is only anti-joined to the marked keys."""
+    schema, keys = TABLE_SCHEMAS[name], TABLE_KEYS[name]
+    rows = [f for f in listed if f.table == name and f.kind == ROWS]
+    marks = [f for f in listed if f.table == name and f.kind == MARKS]
+    if not marks:
+        return spark.read.schema(schema).parquet(*sorted(f.path for f in rows))
+    newest = reduce(DataFrame.unionByName, [
+        spark.read.schema(marks_schema(name)).parquet(f.path).withColumn("_at", F.lit(f.order)) for f in marks])
+    if len(marks) > 1:
+        whole = F.struct(*newest.columns)
+        newest = newest.groupBy(*keys).agg(F.max_by(whole, "_at").alias("_m")).select("_m.*")
+    # folders between the same two marks are read together
+    ages: dict[int, list[Folder]] = {}
+    for f in rows:
+        ages.setdefault(sum(m.order > f.order for m in marks), []).append(f)
+    parts = []
+    for newer, same in sorted(ages.items()):
+        part = spark.read.schema(schema).parquet(*sorted(f.path for f in same))
+        if newer:
+            since = max(f.order for f in same)
+            part = part.join(newest.where(F.col("_at") > since).select(*keys), keys, "left_anti")
+        parts.append(part)
+    parts.append(newest.where(ALIVE).select(*schema.names))
+    return reduce(DataFrame.unionByName, [p.select(*schema.names) for p in parts])
 
 
 def read_table(spark: SparkSession, root: str, version: str, name: str) -> DataFrame:
-    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(*manifest(spark, root, version)[name])
+    listed = folders(spark, root, version)
+    if not any(f.table == name for f in listed):
+        listed = [Folder(name, table_path(root, version, name))]
+    return _read_folders(spark, listed, name)
 
 
 def read_snapshot(spark: SparkSession, root: str, version: str | None = None) -> Tables:
     v = version or current_version(spark, root)
-    paths = manifest(spark, root, v)
-    return Tables(**{name: spark.read.schema(TABLE_SCHEMAS[name]).parquet(*paths[name])
-                     for name in TABLE_SCHEMAS})
+    listed = folders(spark, root, v)
+    have = {f.table for f in listed}
+    listed += [Folder(name, table_path(root, v, name)) for name in TABLE_SCHEMAS if name not in have]
+    return Tables(**{name: _read_folders(spark, listed, name) for name in TABLE_SCHEMAS})
+
+
+def _claimed_folder(spark: SparkSession, root: str, version: str) -> str:
+    """The folder name of one attempt at ``version``: the version itself for the
+    first, so that a second job (or the rest of a job that died) never shares it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    claim = hadoop.Path(f"{root.rstrip('/')}/_claims/{version}")
+    files = claim.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(claim.getParent())
+    return version if files.createNewFile(claim) else f"{version}.{uuid.uuid4().hex[:12]}"
+
+
+def commit(spark: SparkSession, root: str, base: str, rewrite: dict[str, DataFrame] | None = None,
+           append: dict[str, DataFrame] | None = None, marks: dict[str, DataFrame] | None = None,
+           reads: Iterable[str] = (), rejects: DataFrame | None = None, stream: tuple[str, int] | None = None) -> str:
+    """Publish a change made from version ``base``: tables written anew, rows
+    added, or marks added (final rows and delete marks per key); ``rejects`` are
+    written before the version shows and listed by it. ``reads`` names tables
+    that the result depends on besides those it changes. With ``stream`` (id,
+    batch) the version records the batch, and a batch that is already recorded
+    changes nothing. Returns the version that holds the change."""
+    parts = [(name, df, kind) for kind, tables in (("rewrite", rewrite), (ROWS, append), (MARKS, marks))
+             for name, df in (tables or {}).items()]
+    changed = {name for name, _, _ in parts}
+    folder = _claimed_folder(spark, root, version_name(int(base) + 1))
+    written = []
+    for name, df, kind in parts:
+        schema = marks_schema(name) if kind == MARKS else TABLE_SCHEMAS[name]
+        path = write_table(df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]), root, folder,
+                           name if kind != MARKS else f"{name}-marks", keys=TABLE_KEYS[name])
+        top = max_key(spark, path, name) if name in NUMBERED_TABLES else None
+        written.append((kind, Folder(name, path, top, ROWS if kind == "rewrite" else kind)))
+    if rejects is not None:
+        path = f"{root.rstrip('/')}/rejects/v={folder}"
+        rejects.write.mode("errorifexists").parquet(path)
+        written.append((REJECTS, Folder("rejects", path, None, REJECTS)))
+    while True:
+        current = current_version(spark, root)
+        listed = folders(spark, root, current)
+        if stream and stream_batch(listed, stream[0]) >= stream[1]:
+            return current
+        since: set[str] = set()
+        for n in range(int(base) + 1, int(current) + 1):
+            since |= {f.table for f in folders(spark, root, version_name(n)) if f.changed}
+        if since & (changed | set(reads)):
+            raise VersionClash(f"version {current} changed {sorted(since & (changed | set(reads)))} after version {base} was read")
+        order = int(current) + 1
+        again = {f.table for kind, f in written if kind == "rewrite"}
+        keep = [replace(f, changed=False, base=current) for f in listed
+                if f.table not in again and f.kind != REJECTS and not (stream and f.kind == STREAM and f.path == stream[0])]
+        new = [replace(f, order=order, base=current) for _, f in written]
+        if stream:
+            new.append(Folder("stream", stream[0], stream[1], STREAM, order, current, False))
+        try:
+            put_manifest(spark, root, version_name(order), keep + new)
+            return version_name(order)
+        except VersionClash:
+            continue  # taken meanwhile: look at what it changed
+
+
+def read_rejects(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
+    """The rejects of all published versions."""
+    rows = (spark.read.schema(MANIFEST_SCHEMA + ", version string").parquet(f"{root.rstrip('/')}/{VERSIONS}")
+            .where(F.col("kind") == REJECTS).select("path").distinct().collect())
+    paths = sorted(r.path for r in rows)
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, name: str, *,

@@ -430,3 +430,31 @@ def ticket_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(eid.alias("seq"), F.lit("update").alias("op"),
                      (eid * 10 + 1).cast("bigint").alias("key"), prop.alias("property"),
                      value.alias("new_value"))
+
+
+def parent_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticket edits whose ticket id is also an event's id, so that M11 moves
+    that event; several want one new id, some values are no number."""
+    n_events = read_driver(spark, sf_dir, "part").agg(F.count(F.lit(1))).scalar()
+    eid = F.col("event_id")
+    return _driver_events(spark, sf_dir, "purchase").where(eid % 3 == 0).select(
+        eid.alias("seq"), (eid % n_events).cast("bigint").alias("key"), F.lit("event_id").alias("property"),
+        F.when(eid % 37 == 0, F.lit("none")).otherwise((n_events + F.col("user_id") % 200).cast("string")).alias("new_value"))
+
+
+def cascade_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ordered log over several tables: purchase deletes (errors), pair
+    deletes (signups), pair inserts (clicks) and ticket edits (purchases)."""
+    def part(df: DataFrame, op: str, **columns) -> DataFrame:
+        given = {"key": F.lit(None), "property": F.lit(None), "new_value": F.lit(None)} | columns
+        return df.select("seq", F.lit(op).alias("op"), given["key"].cast("bigint").alias("key"),
+                         given["property"].cast("string").alias("property"), given["new_value"].cast("string").alias("new_value"))
+
+    gone = _driver_events(spark, sf_dir, "error").select(F.col("event_id").alias("seq"))
+    links = link_inserts(spark, sf_dir)
+    return (part(gone, "delete_purchase", key=F.col("seq") * 10 + 1)
+            .unionByName(part(cust_of_delete_texts(spark, sf_dir), "delete_pair", new_value=F.col("pair_text")))
+            .unionByName(part(links, "insert_pair", new_value=F.concat_ws(",", F.col("company_id").cast("string"),
+                                                                          F.col("customer_id").cast("string"))))
+            .unionByName(part(ticket_edits(spark, sf_dir), "update_ticket", key=F.col("key"), property=F.col("property"),
+                              new_value=F.col("new_value"))))
