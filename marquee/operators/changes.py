@@ -17,8 +17,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import (DecimalType, IntegerType, LongType, StringType, StructType,
                                TimestampNTZType)
 
@@ -172,17 +174,34 @@ def rename_keys(snapshot: DataFrame, renames: DataFrame, key: str = "ID") \
     a rename onto a live key fails like a duplicate-key error, chains and
     retries after a failure take effect.
 
-    Works in rounds over the keys that the batch names (see :func:`_judged`).
-    Renames of separate keys share a round, so rounds follow the longest chain
-    of applied renames. Returns (snapshot, rejects(seq, reason))."""
+    Up to ``REPLAYED`` renames are replayed in one sorted pass over the keys that
+    the batch names (see :func:`_replayed`). More than that go in rounds first
+    (see :func:`_judged`): renames of separate keys share a round, and the pass
+    takes what is left, or, when chains leave a round little to do, the earliest
+    ``REPLAYED``. Returns (snapshot, rejects(seq, reason))."""
     dtype = dict((f.name, f.dataType) for f in snapshot.schema.fields)[key]
     typed = _typed_renames(renames, dtype)
     valid = typed.where(VALID_RENAME)
     # k -> the snapshot key of the row that stands there now, or null
     state = _stored(_named(valid).join(snapshot.select(F.col(key).alias("k"), F.col(key).alias("row")), "k", "left"))
     start = state.where("row IS NOT NULL").select("k")
-    opened, applied = valid, []
-    while not opened.isEmpty():
+    opened, applied, left, last = valid, [], valid.count(), None
+    while left:
+        if left <= REPLAYED or (last and last - left < last // 10):
+            now = opened
+            if left > REPLAYED:
+                until = opened.approxQuantile("seq", [REPLAYED / left], 0.0005)[0]
+                now = opened.where(F.col("seq") <= until)
+            done = _replayed(state.where("row IS NOT NULL"), now.select("seq", F.lit("move").alias("kind"), "old", "new"), dtype)
+            applied.append(now.join(done.where("what = 'go'").select("seq"), "seq", "left_semi").select("seq", "old", "new"))
+            placed = done.where("what = 'stay'").select(F.col("place").alias("k"), F.col("origin").alias("row"))
+            state = _stored(state.select("k").join(placed, "k", "left"))
+            if left <= REPLAYED and len(applied) == 1:
+                failed = done.where("what = 'bad'").select("seq", F.lit(KEY_CHANGE_ERROR).alias("reason"))
+                break
+            opened = opened.join(now.select("seq"), "seq", "left_anti")
+            left, last = opened.count(), None
+            continue
         keys = (state.join(_open_seqs(opened), "k")
                 .select("k", F.col("row").isNotNull().alias("live"), "any", "out", "into",
                         F.lit(None).cast("bigint").alias("ins"), F.lit(None).cast("bigint").alias("del")))
@@ -194,13 +213,61 @@ def rename_keys(snapshot: DataFrame, renames: DataFrame, key: str = "ID") \
         state = _stored(state.join(moved, "k", "left").select(
             "k", F.when(F.col("hit"), F.col("now")).otherwise(F.col("row")).alias("row")))
         opened = judged.where("NOT go AND NOT gone").select("seq", "old", "new")
+        left, last = opened.count(), left
+    else:
+        failed = _duplicate_keys(valid, applied, start)
     moves = state.where("row IS NOT NULL AND row <> k").select(F.col("row").alias(key), F.col("k").alias("_new"))
     out = (snapshot.join(moves, key, "left")
            .withColumn(key, F.coalesce(F.col("_new"), F.col(key)).cast(dtype))
            .select(*snapshot.columns))
     bad = typed.where("old IS NULL OR new IS NULL").select(
         "seq", F.when(F.col("old").isNull(), F.lit(NO_KEY_ERROR)).otherwise(F.lit(KEY_CHANGE_ERROR)).alias("reason"))
-    return out, bad.unionByName(_duplicate_keys(valid, applied, start))
+    return out, bad.unionByName(failed)
+
+
+#: Log rows that one task replays, a few dozen bytes each.
+REPLAYED = 1_000_000
+
+
+def _replayed(live: DataFrame, events: DataFrame, dtype) -> DataFrame:
+    """Replay at most about ``REPLAYED`` events (seq, kind, old, new) on the keys
+    ``live`` (k, row: where its row stood at first) in one sorted pass that only
+    follows which row stands where. Kinds: move, insert, delete, update. Rows
+    (what, seq, n, origin, place): ``stay``: row ``n`` (``origin``: its first key,
+    or null and ``seq`` of its insert) ends at ``place``; ``touch``: the update
+    ``seq`` meets row ``n``; ``go`` and ``bad``: the move ``seq`` took effect, or met
+    a taken key."""
+    kind = dtype.simpleString()
+
+    def run(batches):
+        at, rows, out = {}, [], []
+        for batch in batches:
+            for seq, what, old, new in zip(*(batch.column(c).to_pylist() for c in ("seq", "kind", "old", "new"))):
+                if what == "live" or (what == "insert" and old not in at):
+                    at[old] = len(rows)
+                    rows.append((seq, new))
+                elif what == "delete":
+                    at.pop(old, None)
+                elif what == "update" and old in at:
+                    out.append(("touch", seq, at[old], None, None))
+                elif what == "move" and old in at and old != new:
+                    if new in at:
+                        out.append(("bad", seq, None, None, None))
+                    else:
+                        at[new] = at.pop(old)
+                        out.append(("go", seq, None, None, None))
+        out += [("stay", rows[n][0], n, rows[n][1], key) for key, n in at.items()]
+        for i in range(0, len(out), 50_000):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out[i:i + 50_000]), (pa.string(), pa.int64(), pa.int64(), key_type, key_type))],
+                names=["what", "seq", "n", "origin", "place"])
+
+    key_type = to_arrow_type(dtype)
+    first = live.select(F.lit(None).cast("bigint").alias("seq"), F.lit("live").alias("kind"), F.col("k").alias("old"),
+                        F.col("row").alias("new"))
+    ordered = (first.unionByName(events.select(F.col("seq").cast("bigint").alias("seq"), "kind", "old", "new"))
+               .repartition(1).sortWithinPartitions("seq", "kind", "old", "new"))
+    return _stored(ordered.mapInArrow(run, f"what string, seq bigint, n bigint, origin {kind}, place {kind}"))
 
 
 VALID_RENAME = "old IS NOT NULL AND new IS NOT NULL AND old <> new"
@@ -410,8 +477,10 @@ def apply_changes(snapshot: DataFrame, log: DataFrame, key: str = "ID",
     row``) into a snapshot: inserts, updates and deletes as in
     :func:`_fold`, plus key changes (``update`` of the key property).
 
-    With key changes in the log, the keys they lead from or to are folded in
-    rounds, the rest at once. A round folds each such key's edits up to its
+    With key changes in the log, the keys they lead from or to are folded apart,
+    the rest at once. Up to ``REPLAYED`` log rows of such keys are replayed in one
+    pass that follows which row stands where (:func:`_replayed`); each row then
+    gets the last valid updates that met it. More go in rounds: a round folds each such key's edits up to its
     earliest open key change, then applies or drops the key changes that can
     be judged (:func:`_judged`); only these keys' rows and edits are written
     between rounds. The result is that of applying the log one by one.
@@ -433,6 +502,12 @@ def apply_changes(snapshot: DataFrame, log: DataFrame, key: str = "ID",
     folded, _ = _fold(snapshot, edits.join(linked, on_key, "left_anti"), key, schema)
     linked_edits = _stored(edits.join(linked, on_key, "left_semi"))
     state = _stored(snapshot.join(linked, snapshot[key] == linked["k"], "left_semi"))
+    errors = (_statement_errors(edits, schema, key).unionByName(unordered)
+              .unionByName(typed.where("new IS NULL").select("seq", F.lit(BAD_VALUE_ERROR).alias("reason"))))
+    rest = folded.join(linked, folded[key] == linked["k"], "left_anti")
+    if linked_edits.count() + valid.count() <= REPLAYED:
+        placed, failed = _replay_log(state, linked_edits, valid, key, schema)
+        return rest.unionByName(placed), errors.unionByName(failed)
     start = state.select(F.col(key).alias("k"))
     opened, waiting, applied = valid, linked_edits, []
     while not opened.isEmpty():
@@ -456,11 +531,30 @@ def apply_changes(snapshot: DataFrame, log: DataFrame, key: str = "ID",
         waiting = later
         opened = judged.where("NOT go AND NOT gone").select("seq", "old", "new")
     state, _ = _fold(state, waiting, key, schema)
-    out = folded.join(linked, folded[key] == linked["k"], "left_anti").unionByName(state)
-    rejects = (_statement_errors(edits, schema, key).unionByName(unordered)
-               .unionByName(typed.where("new IS NULL").select("seq", F.lit(BAD_VALUE_ERROR).alias("reason")))
-               .unionByName(_duplicate_keys(valid, applied, start, linked_edits)))
-    return out, rejects
+    return rest.unionByName(state), errors.unionByName(_duplicate_keys(valid, applied, start, linked_edits))
+
+
+def _replay_log(state: DataFrame, edits: DataFrame, moves: DataFrame, key: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """The rows of the linked keys after all their edits and moves."""
+    dtype, cols = schema[key].dataType, schema.names
+    valid = _check_updates(edits.where(F.col("op") == "update"), schema, key).where(F.col("_reject").isNull())
+    at = F.col("key").cast(dtype)
+    events = (edits.where(F.col("op").isin("insert", "delete")).select("seq", F.col("op").alias("kind"), at.alias("old"))
+              .unionByName(valid.select("seq", F.lit("update").alias("kind"), at.alias("old")))
+              .withColumn("new", F.lit(None).cast(dtype))
+              .unionByName(moves.select("seq", F.lit("move").alias("kind"), "old", "new")))
+    done = _replayed(state.select(F.col(key).alias("k"), F.col(key).alias("row")), events, dtype)
+    stay = done.where("what = 'stay'").select("n", F.col("seq").alias("_born"), F.col("origin").alias("_from"), F.col("place").alias("_place"))
+    met = done.where("what = 'touch'").select("seq", "n")
+    latest = _pivot_latest(valid.drop("key").join(met, "seq").withColumnRenamed("n", "key"), schema, key, "_new_") \
+        .withColumnRenamed("key", "n")
+    kept = stay.where("_from IS NOT NULL").join(state, F.col("_from") == state[key]).select("n", "_place", *cols)
+    born = (stay.where("_from IS NULL").join(edits.where("op = 'insert'").select(F.col("seq").alias("_born"), "row"), "_born")
+            .select("n", "_place", *[F.col(f"row.{c}").alias(c) for c in cols]))
+    rows = kept.unionByName(born).join(latest, "n", "left")
+    columns = {c: F.col(c) for c in cols} | {key: F.col("_place")}
+    return (rows.select(*_overlay(columns, "_new_", schema, key)),
+            done.where("what = 'bad'").select("seq", F.lit(KEY_CHANGE_ERROR).alias("reason")))
 
 
 # ------------------------------------------------------------------ marks
