@@ -1,18 +1,24 @@
-"""License scans: word k-grams, inverted index, banded local alignment.
-
-The index maps every word k-gram of every template to the templates and places
-that have it, and every k-gram of a document is looked up. ``k`` is ``GRAM``,
-or less for a template so short that a document may match ``LEAST_COVERAGE`` of
-it without ``GRAM`` words in a row: with other words in place of the missing
-ones no match can be overlooked. Hits of one template on nearby diagonals make
-a candidate region, in which a banded local alignment of template and document
-words gives the matched words and the span; words of a region that was found
-are taken out before its neighbours are aligned, so notices in a row count each.
+"""License scans: winnowed template fingerprints, inverted index, banded alignment.
+
+A match has at least ``LEAST_COVERAGE`` of a template's words, the others dropped
+or changed anywhere, and foreign words in up to ``INSERTED`` more places. From that
+follows how many words in a row any match of a template shares with it
+(:func:`sure_run`). Templates are fingerprinted for that length: their ``GRAM``-word
+hashes are winnowed, so that every sure run holds a fingerprint; where the sure run
+is ``GRAM`` words or less, all grams of its length are fingerprints; and where it is
+one word, as many of the longest words as a match can not all lack.
+
+An inverted index maps fingerprints to templates and places, and every gram of a
+document is looked up. Each diagonal with a hit is a candidate: a banded local
+alignment of template and document words around it, twice as wide as a match may
+drift, gives the matched words and the span. Words of a region that was found are
+taken out before the next diagonals are aligned, so notices in a row count each.
 Regions that match ``LEAST_COVERAGE`` of the template are reported; where spans
 overlap, the one with more matched words stays.
 
 Templates are a parameter of bounded size, so the index travels with the tasks.
-Null and empty texts match nothing; repeated rows are reported each.
+Null and empty texts match nothing; repeated rows are reported each; texts of any
+length are read whole. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,8 +31,10 @@ from pyspark.sql import DataFrame
 
 from marquee.llm.lexer import Lexer, windows
 
-GRAM, BAND = 3, 4
+GRAM, BAND, INSERTED = 3, 4, 3
 LEAST_COVERAGE = 0.8
+#: A match drifts over at most 2 * BAND + 1 diagonals, so it lies this near to each of its hits.
+REACH = 2 * BAND
 
 # Public license notices and texts.
 TEMPLATES = {
@@ -59,10 +67,37 @@ version.""",
 }
 
 
-def gram_length(n: int, least: float) -> int:
-    """Words in a row that any match of ``least`` of ``n`` template words has, at most ``GRAM``."""
+def sure_run(n: int, least: float) -> int:
+    """Words in a row that any match of ``least`` of ``n`` template words shares with it."""
     needed = max(1, math.ceil(least * n))
-    return min(GRAM, math.ceil(needed / (n - needed + 1)))
+    return math.ceil(needed / (n - needed + INSERTED + 1))
+
+
+def fingerprints(words: np.ndarray, lengths: list[int], least: float) -> tuple[int, dict[int, list[int]]]:
+    """Gram length, and the places of each fingerprint, of a template's words."""
+    n = len(words)
+    run = sure_run(n, least)
+    k = min(GRAM, run)
+    grams = windows(words, k).tolist()
+    if run == 1:  # a match lacks at most n - needed words: one of so many and one more is there
+        lacking = n - max(1, math.ceil(least * n))
+        longest = sorted(set(words.tolist()), key=lambda w: (-max(x for x, v in zip(lengths, words.tolist()) if v == w), w))
+        chosen, covered = set(), 0
+        for w in longest:
+            if covered <= lacking:
+                chosen.add(w)
+                covered += words.tolist().count(w)
+        places = [p for p, w in enumerate(words.tolist()) if w in chosen]
+    else:
+        span = run - k + 1
+        picked = {min(range(i, i + span), key=lambda p: (grams[p], -p)) for i in range(len(grams) - span + 1)}
+        # an equal gram elsewhere in the template is a place of the same fingerprint
+        known = {grams[p] for p in picked}
+        places = [p for p, g in enumerate(grams) if g in known]
+    out: dict[int, list[int]] = {}
+    for p in places:
+        out.setdefault(grams[p], []).append(p)
+    return k, out
 
 
 def align(template: np.ndarray, words: np.ndarray, shift: int, band: int) -> tuple[int, int, int] | None:
@@ -91,22 +126,22 @@ def align(template: np.ndarray, words: np.ndarray, shift: int, band: int) -> tup
 
 
 class Index:
-    """The inverted index of a set of templates."""
+    """The inverted index of a set of templates' fingerprints."""
 
     def __init__(self, templates: dict[str, str], least: float = LEAST_COVERAGE):
         self.lexer, self.least = Lexer(), least
         self.names = list(templates)
         self.words = [self.lexer.read(t)[1] for t in templates.values()]
         self.places: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        for t, w in enumerate(self.words):
+        for t, (w, text) in enumerate(zip(self.words, templates.values())):
             if len(w):
-                k = gram_length(len(w), least)
-                for p, g in enumerate(windows(w, k).tolist()):
-                    self.places.setdefault(k, {}).setdefault(g, []).append((t, p))
+                k, prints = fingerprints(w, [len(raw) for raw in self.lexer.read(text)[0]], least)
+                for g, places in prints.items():
+                    self.places.setdefault(k, {}).setdefault(g, []).extend((t, p) for p in places)
         self.keys = {k: np.array(sorted(of), dtype=np.uint64) for k, of in self.places.items()}
 
     def candidates(self, words: np.ndarray) -> dict[int, set[tuple[int, int]]]:
-        """Per template the (diagonal, document place) of every common k-gram."""
+        """Per template the (diagonal, document place) of every gram that is one of its fingerprints."""
         out: dict[int, set[tuple[int, int]]] = {}
         for k, keys in self.keys.items():
             grams = windows(words, k)
@@ -122,21 +157,18 @@ class Index:
         """(matched words, template, first word, end) of a template's matches."""
         template, found = self.words[t], []
         known, needed = template.tolist(), self.least * len(template)
-        left, last, hit = words.copy(), None, None
+        left, tried = words.copy(), set()
         for shift, j in sorted(hits):
-            # the band around the last diagonal covers this one, unless its best match lies elsewhere
-            if last is not None and shift - last <= BAND and (hit is None or not left[j]):
+            if shift in tried or not left[j]:
                 continue
-            last, hit = shift, None
-            near = set(left[max(0, shift - BAND):shift + len(known) + BAND].tolist())
+            tried.add(shift)
+            near = set(left[max(0, shift - REACH):shift + len(known) + REACH].tolist())
             if sum(w in near for w in known) < needed:
                 continue
-            hit = align(template, left, shift, BAND)
+            hit = align(template, left, shift, REACH)
             if hit and hit[0] >= needed:
                 found.append((hit[0], t, hit[1], hit[2]))
                 left[hit[1]:hit[2]] = 0
-            else:
-                hit = None
         return found
 
     def scan(self, text: str | None) -> list[dict]:
