@@ -79,7 +79,8 @@ m_distributer AS (
   SELECT CAST(n.n_nationkey AS BIGINT) AS ID, n.n_name AS name, r.r_name AS location
   FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey),
 m_event AS (
-  SELECT CAST(p_partkey AS BIGINT) AS ID, p_name AS name, p_type AS type, p_brand AS location,
+  SELECT CAST(p_partkey AS BIGINT) AS ID, p_name AS name,
+         CASE WHEN p_partkey % 7 = 3 THEN lower(p_type) ELSE p_type END AS type, p_brand AS location,
          TIMESTAMP '2024-01-01' + to_days(CAST(p_partkey AS INTEGER)) AS datetime,
          CAST(p_retailprice AS DECIMAL(10,2)) AS general_price,
          CAST(CAST(p_retailprice AS DECIMAL(10,2)) * 2 AS DECIMAL(10,2)) AS vip_price,
@@ -88,8 +89,8 @@ m_event AS (
               WHEN p_partkey % 11 = 0
                 THEN CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS VARCHAR) || ' USD'
               ELSE CAST(CAST(p_retailprice AS DECIMAL(10,2)) * p_size AS VARCHAR) END AS income,
-         CAST(NULL AS VARCHAR) AS expense,
-         CAST(NULL AS VARCHAR) AS details,
+         CASE WHEN p_partkey % 13 <> 0 THEN CAST(p_size * 100 AS VARCHAR) || ' USD' END AS expense,
+         CASE WHEN p_partkey % 5 <> 0 THEN p_name || ', ' || p_brand END AS details,
          CAST(CASE WHEN (p_partkey * p_size) % (SELECT count(*) FROM supplier) % 10 = 7 THEN NULL
               ELSE (p_partkey * p_size) % (SELECT count(*) FROM supplier) END AS BIGINT)
            AS company_id
@@ -312,12 +313,13 @@ def money(x: str) -> str:
 
 # Ticket insert forms from signups, read as the form's statement would read them.
 TICKET_FORMS = """
-SELECT seq, key_text, TRY_CAST(key_text AS BIGINT) AS ID, CASE WHEN seq % 2 = 0 THEN 'VIP' ELSE 'General' END AS type,
-       CAST(1000 + seq % 1000 AS INTEGER) AS tickets_available,
-       CAST(CASE WHEN seq % 11 <> 0 THEN seq % 90 END AS INTEGER) AS tickets_sold,
-       CAST(seq % 500 + 0.25 AS DECIMAL(10,2)) AS price, CAST(seq % 1000 AS BIGINT) AS event_id,
+SELECT CASE WHEN e % 7 <> 0 THEN e END AS seq, key_text, TRY_CAST(key_text AS BIGINT) AS ID,
+       CASE WHEN e % 2 = 0 THEN 'VIP' ELSE 'General' END AS type,
+       CAST(1000 + e % 1000 AS INTEGER) AS tickets_available,
+       CAST(CASE WHEN e % 11 <> 0 THEN e % 90 END AS INTEGER) AS tickets_sold,
+       CAST(e % 500 + 0.25 AS DECIMAL(10,2)) AS price, CAST(e % 1000 AS BIGINT) AS event_id,
        CAST(user_id % 24 + 1 AS BIGINT) AS distributer_id
-FROM (SELECT event_id AS seq, user_id,
+FROM (SELECT event_id AS e, user_id,
              CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN 'none'
                   ELSE CAST(user_id * 10 + 1 AS VARCHAR) END AS key_text
       FROM events WHERE event_type = 'signup')"""
@@ -526,21 +528,21 @@ FROM m_event e LEFT JOIN m_epiv p ON e.ID = p.key""",
     "insert_companies": """
 SELECT * FROM m_company
 UNION ALL
-SELECT ID, arg_min(name, seq) AS name, arg_min(location, seq) AS location
-FROM (SELECT event_id AS seq, CAST(user_id AS BIGINT) AS ID,
+SELECT ID, name, location
+FROM (SELECT CASE WHEN event_id % 7 <> 0 THEN event_id END AS seq, CAST(user_id AS BIGINT) AS ID,
              'Co' || CAST(event_id AS VARCHAR) AS name,
              'Loc' || CAST(event_id % 5 AS VARCHAR) AS location
       FROM events WHERE event_type = 'signup') i
 WHERE ID NOT IN (SELECT ID FROM m_company)
-GROUP BY ID""",
+QUALIFY row_number() OVER (PARTITION BY ID ORDER BY seq NULLS LAST, name, location) = 1""",
     "insert_tickets": f"""
 SELECT ID, type, tickets_available, tickets_sold, price, event_id, distributer_id FROM m_ticket
 UNION ALL
-SELECT ID, arg_min(type, seq), arg_min(tickets_available, seq), arg_min(tickets_sold, seq), arg_min(price, seq),
-       arg_min(event_id, seq), arg_min(distributer_id, seq)
+SELECT ID, type, tickets_available, tickets_sold, price, event_id, distributer_id
 FROM ({TICKET_FORMS}) WHERE key_text IS NOT NULL AND ID IS NOT NULL AND tickets_sold IS NOT NULL
   AND ID NOT IN (SELECT ID FROM m_ticket)
-GROUP BY ID""",
+QUALIFY row_number() OVER (PARTITION BY ID ORDER BY seq NULLS LAST, type, tickets_available, tickets_sold, price, event_id,
+  distributer_id) = 1""",
     "insert_ticket_rejects": f"""
 SELECT seq, CASE WHEN key_text IS NULL THEN 'missing key' ELSE 'invalid value' END AS reason
 FROM ({TICKET_FORMS}) WHERE key_text IS NULL OR ID IS NULL OR tickets_sold IS NULL""",

@@ -39,15 +39,15 @@ def event_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(
         k.alias("ID"),
         F.col("p_name").alias("name"),
-        F.col("p_type").alias("type"),
+        F.when(k % 7 == 3, F.lower("p_type")).otherwise(F.col("p_type")).alias("type"),
         F.col("p_brand").alias("location"),
         (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(k.cast("int")))
         .alias("datetime"),
         general.alias("general_price"),
         _money(general * 2).alias("vip_price"),
         income.alias("income"),
-        F.lit(None).cast("string").alias("expense"),
-        F.lit(None).cast("string").alias("details"),
+        F.when(k % 13 != 0, F.concat((F.col("p_size") * 100).cast("string"), F.lit(" USD"))).alias("expense"),
+        F.when(k % 5 != 0, F.concat(F.col("p_name"), F.lit(", "), F.col("p_brand"))).alias("details"),
         F.when(raw_company % 10 == 7, F.lit(None).cast("bigint"))
         .otherwise(raw_company).alias("company_id"),
     ).select(*[F.col(f.name).cast(f.dataType) for f in EVENT_CATALOG.fields])
@@ -340,10 +340,11 @@ def cust_of_delete_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def company_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Company insert forms from signups: key ``user_id`` (live keys make
-    the insert a no-op), name and location from the event."""
+    the insert a no-op), name and location from the event; every seventh form
+    has no ``seq`` and comes last."""
     ev = _driver_events(spark, sf_dir, "signup")
     eid = F.col("event_id")
-    return ev.select(eid.alias("seq"), F.col("user_id").cast("bigint").alias("ID"),
+    return ev.select(F.when(eid % 7 != 0, eid).alias("seq"), F.col("user_id").cast("bigint").alias("ID"),
                      F.concat(F.lit("Co"), eid.cast("string")).alias("name"),
                      F.concat(F.lit("Loc"), (eid % 5).cast("string")).alias("location"))
 
@@ -351,12 +352,12 @@ def company_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ticket_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TICKET insert forms, all text, from signups: key ``user_id*10 + 1``
     (live and repeated keys are no-ops), some keys empty or not a number, some
-    counts that do not parse."""
+    counts that do not parse, some forms without ``seq``."""
     ev = _driver_events(spark, sf_dir, "signup")
     eid, user = F.col("event_id"), F.col("user_id")
     key = F.when(eid % 13 == 0, F.lit(None)).when(eid % 17 == 0, F.lit("none")).otherwise((user * 10 + 1).cast("string"))
     return ev.select(
-        eid.alias("seq"), key.alias("ID"),
+        F.when(eid % 7 != 0, eid).alias("seq"), key.alias("ID"),
         F.when(eid % 2 == 0, F.lit("VIP")).otherwise(F.lit("General")).alias("type"),
         F.concat(F.lit("1,"), F.lpad((eid % 1000).cast("string"), 3, "0")).alias("tickets_available"),
         F.when(eid % 11 == 0, F.lit("many")).otherwise((eid % 90).cast("string")).alias("tickets_sold"),
