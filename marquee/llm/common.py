@@ -85,8 +85,20 @@ def rows_pass(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
-def row_key(df: DataFrame) -> list[Column]:
+def row_key(df: DataFrame, names: tuple[str, str] = ("row_k1", "row_k2")) -> list[Column]:
     """Non-null join keys that tell rows with different id or text apart; equal
-    rows share them."""
-    return [F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.isnull("text")).alias("row_k1"),
-            F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1).cast("bigint")).alias("row_k2")]
+    rows share them. The id may be of any type; one that is no number is told by
+    the hash alone."""
+    return [F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.isnull("text")).alias(names[0]),
+            F.coalesce(F.col("doc_id").try_cast("bigint"), F.lit(-1).cast("bigint")).alias(names[1])]
+
+
+def free_names(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """``names``, lengthened where ``df`` has such a column (in any case) itself."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return tuple(out)

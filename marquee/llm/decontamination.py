@@ -14,11 +14,13 @@ windows of its consistent alignments cover ``LEAST_COVERAGE`` of the item's.
 
 Items with the same template, equal slots in the same places, are looked for
 once, under their smallest id (null if none has one). An item that is no longer
-than a window is one window of its own length, so even one word counts as held;
-it, and an item whose windows are all too full of slots, is also looked for by
+than a window is one window of its own length, so even one word counts as held
+(``report`` has it; ``clean`` drops a document only for items of ``LEAST_WORDS``
+words or more); it, and an item whose windows are all too full of slots, is also looked for by
 windows of its literal words. Null and empty texts hold nothing and are never
 found. Repeated document rows are reported once; documents without an id are
-dropped by ``clean`` like others when they hold an item.
+dropped by ``clean`` like others when they hold an item. Ids may be of any type;
+extra columns, whatever their names, pass through ``clean``.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import row_key, stored
+from marquee.llm.common import free_names, row_key, stored
 from marquee.llm.lexer import Lexer, windows
 
 WINDOW = 5
 LEAST_COVERAGE = 0.5
+#: Words an item needs for ``clean`` to drop the documents that hold it.
+LEAST_WORDS = 3
 BITMAP_BITS = 24
 
 
@@ -149,17 +153,18 @@ def document_windows(docs: DataFrame, items: DataFrame, bits: int = BITMAP_BITS)
             if out["i"]:
                 ids = pa.array(out["i"], pa.int32())
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").cast(pa.int64()).take(ids), "row_k1": batch.column("row_k1").take(ids),
+                    "doc_id": batch.column("doc_id").take(ids), "row_k1": batch.column("row_k1").take(ids),
                     "row_k2": batch.column("row_k2").take(ids), "pos": pa.array(out["pos"], pa.int32()),
                     "h": pa.array(out["h"], pa.int64()), "slots": pa.array(out["slots"], _SLOTS)})
 
     keyed = docs.select("doc_id", "text", *row_key(docs))
-    return keyed.mapInArrow(run, "doc_id bigint, row_k1 bigint, row_k2 bigint, " + _WINDOW)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return keyed.mapInArrow(run, f"doc_id {kind}, row_k1 bigint, row_k2 bigint, " + _WINDOW)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, least: float = LEAST_COVERAGE) -> DataFrame:
     """(doc_id, row keys, item_id, n_items, coverage, first_word, end_word,
-    n_changed_slots): documents that hold an item's template with consistent slots."""
+    item_words (at most ``k``), n_changed_slots): documents that hold an item's template with consistent slots."""
     items = item_windows(benchmark, k)
     d, b = document_windows(docs, items).alias("d"), items.alias("b")
     met = stored(d.join(b, F.col("d.h") == F.col("b.h")).select(
@@ -176,17 +181,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, least:
     held = good.groupBy("doc_id", "row_k1", "row_k2", "template", "item_id").agg(
         F.first("n_items").alias("n_items"), (F.count_distinct("item_pos") / F.first("n")).alias("coverage"),
         F.min(F.col("offset") + F.col("item_pos")).alias("first_word"),
-        F.max(F.col("offset") + F.col("item_pos") + F.col("width")).alias("end_word"),
+        F.max(F.col("offset") + F.col("item_pos") + F.col("width")).alias("end_word"), F.max("width").alias("item_words"),
         F.max(F.coalesce("n_changed", F.lit(0))).alias("n_changed_slots"))
     return held.where(F.col("coverage") >= least).drop("template")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item template it holds."""
-    return contaminated(docs, benchmark).drop("row_k1", "row_k2").distinct()
+    return contaminated(docs, benchmark).drop("row_k1", "row_k2", "item_words").distinct()
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item."""
-    bad = stored(contaminated(docs, benchmark).select("row_k1", "row_k2").distinct(), "contaminated")
-    return docs.select("*", *row_key(docs)).join(bad, ["row_k1", "row_k2"], "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The documents that hold no item of at least ``least_words`` words (shorter
+    ones stand in ordinary texts; ``report`` lists them all the same)."""
+    names = free_names(docs, "row_k1", "row_k2")
+    held = contaminated(docs.select("doc_id", "text"), benchmark).where(F.col("item_words") >= least_words)
+    bad = stored(held.select(F.col("row_k1").alias(names[0]), F.col("row_k2").alias(names[1])).distinct(), "contaminated")
+    return docs.select("*", *row_key(docs, names)).join(bad, list(names), "left_anti").select(*docs.columns)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marquee.llm.common import row_key, stored, text_pass
+from marquee.llm.common import free_names, row_key, stored, text_pass
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -213,9 +213,10 @@ def report(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The document with the smallest id of each component (one without an id
     only where no row has one); of equal rows, one."""
-    near = near_duplicates(docs, row_key(docs))
+    plain, names = docs.select("doc_id", "text"), free_names(docs, "row_k1", "row_k2")
+    near = near_duplicates(plain, row_key(plain))
     first = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row_k1", "row_k2")
-    keep = stored(near.groupBy("root").agg(F.min(first).alias("k")).select("k.row_k1", "k.row_k2"), "kept")
-    k1, k2 = row_key(docs)
-    return (docs.select("*", k1, k2).join(keep, ["row_k1", "row_k2"]).dropDuplicates(["row_k1", "row_k2"])
+    keep = stored(near.groupBy("root").agg(F.min(first).alias("k"))
+                  .select(F.col("k.row_k1").alias(names[0]), F.col("k.row_k2").alias(names[1])), "kept")
+    return (docs.select("*", *row_key(docs, names)).join(keep, list(names)).dropDuplicates(list(names))
             .select(*docs.columns))

@@ -5,7 +5,7 @@ DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text",
                     T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
                     T.StructField("n_chars", T.LongType())])
 #: Columns whose names the operators use themselves.
-CLASHING = ("n", "p", "fp", "score", "row", "rate", "copies", "kept", "n_words", "h", "pos", "row_k1x", "held_out")
+CLASHING = ("n", "p", "fp", "score", "row", "rate", "copies", "kept", "n_words", "h", "pos", "row_k1x", "held_out", "row_k1", "Row_K2", "item_words")
 
 
 @pytest.fixture(scope="session")
