@@ -19,8 +19,9 @@ offers the same (a put-if-absent) in front.
 
 Nothing is ever overwritten in place -- not the data, not the pointer -- so
 no job rewrites a path another job is reading; readers pin a version.
-Tables are read with their declared schemas (never inferred). Each table is written sorted within files by its key, so the parquet min/max
-statistics let key-range filters skip row groups.
+Tables are read with their declared schemas (never inferred). Files are sorted by the table's key, and whole tables are
+dealt to them in key ranges, so parquet min/max statistics let a key filter skip all files but a few; small folders (added
+rows, marks) are not dealt anew.
 """
 
 from __future__ import annotations
@@ -73,9 +74,14 @@ def table_path(root: str, version: str, name: str) -> str:
 
 
 def write_table(df: DataFrame, root: str, version: str, name: str,
-                max_records_per_file: int | None = None, keys: list[str] | None = None) -> str:
+                max_records_per_file: int | None = None, keys: list[str] | None = None,
+                by_range: bool = True) -> str:
+    """Write one folder of a table, with ``by_range`` in key ranges (pairs of
+    two columns by both, so a hot first column is split)."""
     path = table_path(root, version, name)
-    writer = df.sortWithinPartitions(*(keys or TABLE_KEYS[name])).write.mode("errorifexists")
+    keys = keys or TABLE_KEYS[name]
+    dealt = df.repartitionByRange(*keys) if by_range else df
+    writer = dealt.sortWithinPartitions(*keys).write.mode("errorifexists")
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
     writer.parquet(path)
@@ -115,7 +121,7 @@ def write_snapshot(t: Tables, root: str, version: str, publish: bool = True,
         schema = TABLE_SCHEMAS[name]
         return write_table(
             t.get(name).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]),
-            root, version, name)
+            root, version, name, by_range=name not in append)
 
     if parallelism > 1:
         for df in t.cached:
@@ -335,7 +341,7 @@ def commit(spark: SparkSession, root: str, base: str, rewrite: dict[str, DataFra
     for name, df, kind in parts:
         schema = marks_schema(name) if kind == MARKS else TABLE_SCHEMAS[name]
         path = write_table(df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]), root, folder,
-                           name if kind != MARKS else f"{name}-marks", keys=TABLE_KEYS[name])
+                           name if kind != MARKS else f"{name}-marks", keys=TABLE_KEYS[name], by_range=kind == "rewrite")
         top = max_key(spark, path, name) if name in NUMBERED_TABLES else None
         written.append((kind, Folder(name, path, top, ROWS if kind == "rewrite" else kind)))
     if rejects is not None:

@@ -102,6 +102,26 @@ def test_dense_rank_with_hot_values(spark):
     assert pos == list(range(1, 3001))
 
 
+def test_heavy_order_keys_are_split(spark):
+    """A third of the rows on one key and a fifth on NULL: no range above twice
+    its share, and the numbers of one sort by (key, place, row)."""
+    from pyspark.sql import functions as F
+
+    from marquee.operators.keys import _range_of, cut_points
+    n, buckets = 60_000, 60
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, 30_000).when(F.col("id") % 5 == 0, None)
+                               .otherwise(F.col("id")).alias("k"), (F.col("id") * 31 % n).alias("v"))
+    cuts = cut_points(df, "k", buckets)
+    nulls = df.where("k IS NULL").count()
+    assert cuts.ways == {30_000: (n // 3) * buckets // n, None: nulls * buckets // n}
+    bucket, part, place = _range_of(F.col("k"), F.xxhash64("v"), cuts)
+    sizes = df.groupBy(bucket, part).count().agg(F.max("count")).first()[0]
+    assert sizes <= 2 * n / buckets
+    rows = [tuple(r) for r in dense_rank_by(df, "k", cuts=cuts).select("_pos", "k", "v", place).collect()]
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[3], r[2]))
+    assert [r[0] for r in order] == list(range(1, n + 1))
+
+
 def test_assign_ids_continue_after_existing_max(spark):
     from marquee.operators.keys import assign_ids
     existing = spark.createDataFrame([(5,), (9,)], "ID bigint")

@@ -5,6 +5,7 @@ import re
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from marquee.operators import reports
 from marquee.sources import snapshots
@@ -75,3 +76,28 @@ def test_text_rules_stay_native(t):
         text = plan(fn(t))
         assert "PythonUDF" not in text and "BatchEvalPython" not in text
         assert "ArrowEvalPython" not in text
+
+
+def test_point_lookup_reads_one_of_many_files(spark):
+    """Whole tables lie in key ranges: a key filter reads the rows of one file
+    (scan metrics), however the rows arrived."""
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    root = tempfile.mkdtemp(prefix="ranges-", dir=spark.conf.get("spark.checkpoint.dir"))
+    n = 40_000
+    rows = spark.range(n).select((F.col("id") * 7919 % n).cast("int").alias("purchase_id"), F.lit(1).alias("customer_id"),
+                                 F.lit(1).alias("ticket_id")).repartition(8)
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "false")
+    try:
+        path = snapshots.write_table(rows, root, "1", "purchase")
+        added = snapshots.write_table(rows.limit(100), root, "2", "purchase", by_range=False)
+    finally:
+        spark.conf.set(conf, before)
+    assert spark.read.parquet(path).count() == n and spark.read.parquet(added).count() == 100
+    spans = sorted(spark.read.parquet(path).groupBy(F.input_file_name().alias("file"))
+                   .agg(F.min("purchase_id").alias("low"), F.max("purchase_id").alias("high")).drop("file").collect())
+    assert len(spans) == 8 and all(a.high < b.low for a, b in zip(spans, spans[1:]))
+    found = spark.read.parquet(path).where(F.col("purchase_id") == 12_345)
+    assert len(found.collect()) == 1
+    scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() < n / 4
