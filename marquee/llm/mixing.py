@@ -6,8 +6,13 @@ projected-gradient least squares so that the expected token totals of the
 domains, ``sum(rate * tokens * posterior)``, match the targets. With residuals
 weighted by the inverse second moment of the posteriors, a unit step is stable
 and each iteration is one distributed sum; the gradient at a document depends
-on its posterior alone, so iterations run over posterior cells (posteriors are
-rounded to ``DIGITS``) and a document's rate is read off the residual history.
+on its posterior alone, so iterations run over posterior cells and a document's
+rate is read off the residual history. A cell (posterior rounded to ``DIGITS``)
+only says which documents share a rate: its mass per domain is the sum of
+unrounded posteriors, and so are all totals held against the targets. Where the
+iterations end with a domain further than ``TOLERANCE`` of all tokens from its
+target (one that no nonnegative rates reach, say), a warning says so and
+``off_target`` carries the largest gap.
 
 Classifier: naive Bayes over binned style ratios and over counts of learned
 domain words, fitted on at most about ``FIT_ROWS`` labelled documents a domain
@@ -23,6 +28,7 @@ per label row.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -103,7 +109,7 @@ class Classifier:
     tables: list[list[list[float]]]
 
     def posterior(self, text: Column) -> Column:
-        """Struct of ``n`` (tokens) and ``p`` (rounded posterior per domain)."""
+        """Struct of ``n`` (tokens), ``q`` (posterior per domain) and ``p`` (its cell: the posterior rounded)."""
         def from_bins(s: Column) -> Column:
             scores = []
             for d in range(len(self.domains)):
@@ -112,9 +118,9 @@ class Classifier:
                     total = total + F.get(_doubles(table[d]), F.get(s["bins"], F.lit(f)))
                 scores.append(total)
             return let(F.array(*scores), lambda x: let(
-                F.transform(x, lambda v: F.exp(v - F.array_max(x))), lambda e: F.struct(
-                    s["n"].alias("n"), F.transform(e, lambda v: F.round(
-                        v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b), DIGITS)).alias("p"))))
+                F.transform(x, lambda v: F.exp(v - F.array_max(x))), lambda e: let(
+                    F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)), lambda q: F.struct(
+                        s["n"].alias("n"), q.alias("q"), F.transform(q, lambda v: F.round(v, DIGITS)).alias("p")))))
         return let(style_and_words(text, self.lists), from_bins)
 
 
@@ -168,6 +174,11 @@ class Plan:
     steps: list[list[float]] = field(default_factory=list)
     reached: list[float] = field(default_factory=list)
 
+    @property
+    def off_target(self) -> float:
+        """Largest gap between a domain's total and its target, as a share of all tokens."""
+        return max((abs(a - b) for a, b in zip(self.reached, self.targets)), default=0.0)
+
     def rate(self, p: Column) -> Column:
         """A document's rate: its start, 1, taken through all projected steps."""
         return self.state(p)["r"]
@@ -186,16 +197,17 @@ class Plan:
 
 
 def scores(docs: DataFrame, classifier: Classifier, columns: list[str]) -> DataFrame:
-    """``columns`` with the token count ``n`` and the posterior ``p``."""
-    return docs.select(*columns, classifier.posterior(F.col("text")).alias("s")).select(*columns, "s.n", "s.p")
+    """``columns`` with the token count ``n``, the posterior ``q`` and its cell ``p``."""
+    return docs.select(*columns, classifier.posterior(F.col("text")).alias("s")).select(*columns, "s.n", "s.q", "s.p")
 
 
 def fit(classifier: Classifier, scored: DataFrame, targets: dict[str, float], iterations: int = ITERATIONS) -> Plan:
-    """Rates for the documents whose ``n`` and ``p`` are given."""
-    cells = stored(scored.groupBy("p").agg(F.sum("n").alias("n")), "posterior-cells")
+    """Rates for the documents whose ``n``, ``q`` and ``p`` are given."""
     k = len(classifier.domains)
+    cells = stored(scored.groupBy("p").agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col("q")[i]).alias(f"m{i}") for i in range(k)]),
+                   "posterior-cells")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    moments = cells.agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col("p")[i] * F.col("p")[j]) for i, j in pairs]).first()
+    moments = cells.agg(F.sum("n").alias("n"), *[F.sum(F.col(f"m{i}") * F.col("p")[j]) for i, j in pairs]).first()
     total = moments[0] or 0
     plan = Plan(classifier, [targets.get(d, 0.0) for d in classifier.domains], total)
     if not total:
@@ -206,15 +218,18 @@ def fit(classifier: Classifier, scored: DataFrame, targets: dict[str, float], it
     weigh = np.linalg.inv(gram + 1e-4 * np.eye(k))
     wanted = np.array(plan.targets)
     pace = 1.0
-    for _ in range(iterations):  # accelerated: the gradient is taken a little ahead of the rates
-        ends = cells.select("n", "p", plan.state(F.col("p")).alias("s"))
-        sums = ends.agg(*[F.sum(F.col("n") * F.col(f"s.{x}") * F.col("p")[i]) for x in "ry" for i in range(k)]).first()
+    for step in range(iterations + 1):  # accelerated: the gradient is taken a little ahead of the rates
+        ends = cells.withColumn("s", plan.state(F.col("p")))
+        sums = ends.agg(*[F.sum(F.col(f"m{i}") * F.col(f"s.{x}")) for x in "ry" for i in range(k)]).first()
         plan.reached = [v / total for v in sums[:k]]
-        if max(abs(a - b) for a, b in zip(plan.reached, plan.targets, strict=True)) < TOLERANCE:
+        if plan.off_target < TOLERANCE or step == iterations:
             break
         following = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
         plan.steps.append([*(weigh @ (np.array(sums[k:]) / total - wanted)).tolist(), (pace - 1) / following])
         pace = following
+    if plan.off_target >= TOLERANCE:
+        warnings.warn(f"mixing ends {plan.off_target:.4f} of all tokens off its targets: "
+                      f"{dict(zip(classifier.domains, plan.reached, strict=True))}", stacklevel=2)
     return plan
 
 
@@ -231,15 +246,16 @@ def _copies(rate: Column, doc_id: Column) -> Column:
 
 
 def report(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """Per document: tokens, rate and copies (drawn by a hash of the id)."""
+    """Per document: tokens, rate, copies (drawn by a hash of the id) and the plan's largest gap (null without labels)."""
     classifier = learn(docs, label_domains(labels))
     if classifier is None:
-        out = docs.select("doc_id", F.size(tokens(F.col("text"))).cast("bigint").alias("n_tokens"), F.lit(1.0).alias("rate"))
+        out, off = docs.select("doc_id", F.size(tokens(F.col("text"))).cast("bigint").alias("n_tokens"), F.lit(1.0).alias("rate")), None
     else:
         scored = stored(scores(docs, classifier, ["doc_id"]), "mix-scores")
         plan = fit(classifier, scored, targets)
         out = scored.select("doc_id", F.col("n").alias("n_tokens"), F.round(plan.rate(F.col("p")), 6).alias("rate"))
-    return out.select("*", _copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+        off = round(plan.off_target, 6)
+    return out.select("*", _copies(F.col("rate"), F.col("doc_id")).alias("copies"), F.lit(off).cast("double").alias("off_target"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:

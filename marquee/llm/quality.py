@@ -2,13 +2,15 @@
 
 Base counts are taken natively over whole texts. Per (language, source) the
 ratios of documents that pass the base rule feed mergeable KLL quantile
-sketches; a ratio is an outlier when it lies more than ``WIDTH`` half-ranges
-(median minus lower quartile, at least the rule's ``slack``) from the group's
-median, so cutoffs follow each group instead of being fixed. Groups with fewer than
-``LEAST_ROWS`` documents use the merged sketch of their language, and rare
-languages that of the whole table. Sketches are exact up to a few hundred
-values per group and merge map-side, so a source with a third of all rows sends
-one small sketch per task.
+sketches. A rule's limit is a quantile of the group, reached again ``width``
+times as far as that quantile lies from the median, so cutoffs follow each
+group's own spread; the quantile's level leaves room for the share of the group
+that may be junk. A quantile counts with the weight ``n / (n + PRIOR_ROWS)``
+against its language's (merged sketches), and the language's against the whole
+table's: no size switches a group's own cutoffs on or off. ``grain`` widens a
+limit where values tie (most texts have no symbol and no repeated line).
+Sketches are exact up to a few thousand values per group and merge map-side, so
+a source with a third of all rows sends one small sketch per task.
 
 Null texts have no words and fail the base rule; null languages and sources are
 groups of their own; repeated rows count and are judged one by one. Only
@@ -25,12 +27,11 @@ from marquee.llm.common import let, stored
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "[#*$%&|<>]"
 CAPITALS = "[A-Z]"
-WIDTH = 6.0
-LEAST_ROWS = 100
-SKETCH_K = 400
-#: ratio -> (least half-range, whether low values are outliers too)
-RULES = {"symbols": (0.05, False), "capitals": (0.05, False), "dup_lines": (0.08, False),
-         "word_length": (0.4, True)}
+PRIOR_ROWS = 200
+SKETCH_K = 800
+#: ratio -> (level of the quantile, width, grain, whether low values are outliers too)
+RULES = {"symbols": (0.75, 3.0, 0.2, False), "capitals": (0.95, 3.0, 0.01, False),
+         "dup_lines": (0.99, 1.0, 0.08, False), "word_length": (0.9, 3.0, 0.2, True)}
 
 
 def words(text: Column) -> Column:
@@ -110,41 +111,50 @@ def measured(docs: DataFrame) -> DataFrame:
                     (F.col("word_chars") / n).alias("word_length"))
 
 
-def thresholds(rows: DataFrame) -> DataFrame:
+def thresholds(rows: DataFrame, sketch_k: int = SKETCH_K) -> DataFrame:
     """(lang, source) -> lower and upper limit of every ratio."""
     good = rows.where("NOT base_failed")
     sketches = stored(good.groupBy("lang", "source").agg(
-        F.count("*").alias("n"), *[F.kll_sketch_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in RULES]), "sketches")
+        F.count("*").alias("n"), *[F.kll_sketch_agg_double(r, F.lit(sketch_k)).alias(r) for r in RULES]), "sketches")
 
     def merged(*by: str) -> DataFrame:
-        return sketches.groupBy(*by).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(r).alias(r) for r in RULES])
-
-    def limits(df: DataFrame, prefix: str) -> list[Column]:
-        out = []
-        for r, (slack, both) in RULES.items():
-            q = F.kll_sketch_get_quantile_double(df[r], F.array(F.lit(0.25), F.lit(0.5)))
-            reach = WIDTH * F.greatest(q[1] - q[0], F.lit(slack))
-            # rounded: a sketch's last digits depend on the order of its merges
-            out += [F.round(q[1] + reach, 2).alias(f"{prefix}{r}_high"),
-                    (F.round(q[1] - reach, 2) if both else F.lit(float("-inf"))).alias(f"{prefix}{r}_low")]
-        return out
-
-    names = [f"{r}_{end}" for r in RULES for end in ("high", "low")]
+        return sketches.groupBy(*by).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(r, F.lit(sketch_k)).alias(r) for r in RULES])
+
+    def quantiles(df: DataFrame, prefix: str) -> list[Column]:
+        """Per rule the lower level's quantile, the median and the upper level's."""
+        return [F.kll_sketch_get_quantile_double(df[r], F.array(F.lit(round(1 - level, 4)), F.lit(0.5), F.lit(level))).alias(f"{prefix}{r}")
+                for r, (level, *_) in RULES.items()]
+
+    def blend(own: Column, n: Column, prior: Column) -> Column:
+        weight = n / (n + PRIOR_ROWS)
+        return F.zip_with(own, prior, lambda a, b: weight * a + (1 - weight) * b)
+
+    def limits(r: str, q: Column) -> list[Column]:
+        _, width, grain, both = RULES[r]
+        # rounded: a sketch's last digits depend on the order of its merges
+        low = F.round(q[0] - width * (q[1] - q[0]) - grain, 3) if both else F.lit(float("-inf"))
+        return [low.alias(f"{r}_low"), F.round(q[2] + width * (q[2] - q[1]) + grain, 3).alias(f"{r}_high")]
+
     total = merged()
-    overall = total.where("n > 0").select(*limits(total, "")).first()  # one row
+    overall = total.where("n > 0").select(*quantiles(total, "")).first()  # one row
+    if overall is None:  # nothing passes the base rule: no group, no limit
+        return sketches.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"),
+                               *[F.lit(0.0).alias(f"{r}_{end}") for r in RULES for end in ("low", "high")])
     by_lang = merged("lang")
-    langs = by_lang.select(F.col("lang").alias("l_lang"), F.col("n").alias("l_n"), *limits(by_lang, "l_"))
-    own = sketches.select("lang", "source", "n", *limits(sketches, "g_"))
+    langs = by_lang.select(F.col("lang").alias("l_lang"), F.col("n").alias("l_n"), *quantiles(by_lang, "l_"))
+    own = sketches.select("lang", "source", "n", *quantiles(sketches, "g_"))
     joined = own.join(langs, own["lang"].eqNullSafe(langs["l_lang"]), "left")
-    pick = [F.when(F.col("n") >= LEAST_ROWS, F.col(f"g_{c}")).when(F.col("l_n") >= LEAST_ROWS, F.col(f"l_{c}"))
-            .otherwise(F.lit(overall[c] if overall else None).cast("double")).alias(c) for c in names]
-    return joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *pick)
+    for r in RULES:
+        table = F.array(*map(F.lit, overall[r]))
+        joined = joined.withColumn(r, blend(F.col(f"g_{r}"), F.col("n"), blend(F.col(f"l_{r}"), F.col("l_n"), table)))
+    return joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"),
+                         *[c for r in RULES for c in limits(r, F.col(r))])
 
 
-def judged(docs: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, sketch_k: int = SKETCH_K) -> DataFrame:
     """Per document: base counts, base rule, and whether it is kept."""
     rows = stored(measured(docs), "quality-measures")
-    limits = stored(thresholds(rows), "thresholds")
+    limits = stored(thresholds(rows, sketch_k), "thresholds")
     met = rows.join(limits, rows["lang"].eqNullSafe(limits["t_lang"]) & rows["source"].eqNullSafe(limits["t_source"]), "left")
     inside = F.lit(True)
     for r in RULES:
