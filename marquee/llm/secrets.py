@@ -4,15 +4,19 @@ Base patterns (assignments, access keys, long hex runs) label credentials. From
 a bounded, hash-drawn sample of the labelled values of each kind a
 probabilistic automaton is inferred: the prefix tree's states are merged as
 long as a Hoeffding test finds their symbol and stop frequencies compatible,
-down to the last descendant. Another automaton of the same make describes
-ordinary long tokens. Every other long token of the corpus is then scored by
-how much likelier the best credential grammar makes it, per character, than the
-ordinary one; tokens beyond the margin that nearly all labelled credentials
-reach are added as kind ``format``. Base spans always stay.
+down to the last descendant. Two more automata of the same make describe
+ordinary long tokens with and without digits. Every token of 12 or more characters that base spans do
+not cover whole is then scored by how much likelier the best credential grammar
+makes it, per character, than the better ordinary one; tokens beyond the margin that
+nearly all labelled credentials reach are added as kind ``format``, also where
+they reach into a base span. Base spans always stay.
 
 Spans are in code points, end exclusive; an assignment's span is its whole
-match. Null and empty texts have no span; repeated rows are scanned one by one;
-with too few labelled values of a kind nothing is inferred from that kind.
+match. Null and empty texts have no span; repeated rows are scanned one by one.
+Symbol and stop frequencies are smoothed towards a uniform draw, so that a kind
+with a single labelled value has a (weak) grammar too; with no labelled value at
+all nothing is added. An unlabelled format that makes up most ordinary tokens
+with digits is learned as ordinary.
 """
 
 from __future__ import annotations
@@ -23,7 +27,6 @@ import math
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,18 +41,23 @@ ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Runs are maximal either way, so the length may stand in the pattern.
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 ALPHABET = 68  # symbols of a candidate
 
-#: Sampled values per kind (and of ordinary tokens), their greatest length, and
-#: the fewest values a grammar is inferred from.
-SAMPLE, LONGEST, FEWEST = 400, 200, 20
+#: What ``extract`` calls an untouched candidate, and one that reaches into a base
+#: span (scored alike, but no example of an ordinary token); ``infer`` tells
+#: untouched ones with digits (addresses, numbers) from the much commoner others.
+FREE, TOUCHING, NUMBERED = 3, 4, 5
+#: Sampled values per labelled kind, sampled ordinary tokens without and with
+#: digits each, and their greatest length.
+SAMPLE, ORDINARY, LONGEST = 400, 1000, 200
 #: Significance of the merge test.
 MERGE_ALPHA = 0.05
 #: The margin, in nats per character, stands a ``SLACK`` share of the way from
 #: the gain that all but ``MISSED`` of the held-back credentials reach towards the
-#: gain that a ``USUAL`` share of ordinary tokens stays under, never below the least.
-MISSED, USUAL, SLACK, LEAST_MARGIN = 0.02, 0.95, 0.25, 0.35
+#: gain that a ``USUAL`` share of held-back ordinary tokens stays
+#: under; a credential grammar must be the likelier one.
+MISSED, USUAL, SLACK, LEAST_MARGIN = 0.02, 0.98, 0.5, 0.0
 REDACTED = "[SECRET]"
 
 
@@ -65,14 +73,27 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Long tokens that no base span (sorted by start) touches."""
+def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
+    """(start, ``FREE`` or ``TOUCHING``, end, token) of the long tokens that base
+    spans (sorted by start) do not cover whole."""
     found = [(m.start(), m.end(), m[0]) for m in CANDIDATE.finditer(text)]
     if not base:
-        return found
-    starts = [b[0] for b in base]
-    ends = list(accumulate((b[2] for b in base), max, initial=0))  # greatest end of the first i spans
-    return [c for c in found if ends[bisect.bisect_left(starts, c[1])] <= c[0]]
+        return [(a, FREE, b, token) for a, b, token in found]
+    covered: list[list[int]] = []  # the base spans' union
+    for a, _, b, _ in base:
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    starts = [a for a, _ in covered]
+    out = []
+    for a, b, token in found:
+        last = bisect.bisect_left(starts, b) - 1  # the last stretch that starts before the token's end
+        if last < 0 or covered[last][1] <= a:
+            out.append((a, FREE, b, token))
+        elif not (starts[last] <= a and b <= covered[last][1]):
+            out.append((a, TOUCHING, b, token))
+    return out
 
 
 class Grammar:
@@ -163,15 +184,15 @@ class Grammar:
 @dataclass
 class Model:
     credentials: list[Grammar] = field(default_factory=list)
-    ordinary: Grammar | None = None
+    ordinary: list[Grammar] = field(default_factory=list)
     margin: float = math.inf
 
     def gain(self, value: str) -> float:
         """Nats per character in favour of a credential."""
-        if not self.credentials or self.ordinary is None:
+        if not self.credentials:
             return -math.inf
-        best = max(g.log_likelihood(value) for g in self.credentials)
-        return (best - self.ordinary.log_likelihood(value)) / (len(value) + 1)
+        secret, plain = (max(g.log_likelihood(value) for g in of) for of in (self.credentials, self.ordinary))
+        return (secret - plain) / (len(value) + 1)
 
     def secret(self, value: str) -> bool:
         return self.gain(value) >= self.margin
@@ -179,7 +200,7 @@ class Model:
     def spans(self, text: str | None) -> list[tuple[int, int, int]]:
         """All spans of a text: (start, kind number, end), in order."""
         base = base_spans(text or "")
-        added = [(a, 3, b) for a, b, value in candidates(text or "", base) if self.secret(value)]
+        added = [(a, 3, b) for a, _, b, value in candidates(text or "", base) if self.secret(value)]
         return sorted([s[:3] for s in base] + added)
 
 
@@ -195,21 +216,22 @@ def extract(docs: DataFrame) -> DataFrame:
     def start():
         def one(text: str | None) -> tuple:
             base = base_spans(text or "")
-            rows = [(a, k, b, v) for a, k, b, v in base] + [(a, 3, b, v) for a, b, v in candidates(text or "", base)]
+            rows = base + candidates(text or "", base)
             return ([dict(zip(("start", "kind", "end", "value"), r, strict=True)) for r in rows],)
         return one
 
     return stored(text_pass(docs, T.StructType([T.StructField("found", found)]), start, ["doc_id"]), "secret-spans")
 
 
-def infer(extracted: DataFrame, sample: int = SAMPLE) -> Model:
+def infer(extracted: DataFrame, sample: int = SAMPLE, ordinary: int = ORDINARY) -> Model:
     """Infer the grammars from a hash-drawn sample of distinct values per kind."""
-    values = (extracted.select(F.explode("found").alias("f")).select("f.kind", "f.value")
-              .where(F.length("value") <= LONGEST).distinct())
+    kind = F.when((F.col("f.kind") == FREE) & F.col("f.value").rlike("[0-9]"), NUMBERED).otherwise(F.col("f.kind"))
+    values = (extracted.select(F.explode("found").alias("f")).where("f.kind <> %d" % TOUCHING)
+              .select(kind.alias("kind"), "f.value").where(F.length("value") <= LONGEST).distinct())
     counts = {r.kind: r.n for r in values.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model()
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))])
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (sample if k < FREE else ordinary) / n))])
     draw = F.pmod(F.xxhash64("value", F.lit("secret")), F.lit(1 << 30))
     drawn: dict[int, list[str]] = {}
     for r in values.where(draw < share[F.col("kind")] * (1 << 30)).orderBy("kind", "value").collect():
@@ -219,16 +241,21 @@ def infer(extracted: DataFrame, sample: int = SAMPLE) -> Model:
 
 def build(drawn: dict[int, list[str]]) -> Model:
     """Grammars of the labelled kinds and of ordinary tokens; the margin comes
-    from labelled values that were held back from the grammars."""
-    labelled = {k: v for k, v in drawn.items() if k < 3 and len(v) >= FEWEST}
-    ordinary = drawn.get(3, [])
-    if not labelled or len(ordinary) < FEWEST:
+    from values that were held back from the grammars (one in four; of a kind
+    with one value, that value)."""
+    kinds = [v for k, v in sorted(drawn.items()) if k < FREE and v]
+    plain = [v for k, v in sorted(drawn.items()) if k >= FREE and v]
+    if not kinds:
         return Model()
-    fitted = {k: [v for i, v in enumerate(vs) if i % 4] for k, vs in labelled.items()}
-    held = [v for vs in labelled.values() for v in vs[::4]]
-    model = Model([Grammar(vs) for vs in fitted.values()], Grammar(ordinary))
-    gains, usual = sorted(map(model.gain, held)), sorted(map(model.gain, ordinary))
-    low, high = gains[int(MISSED * len(gains))], usual[int(USUAL * (len(usual) - 1))]
+
+    def grammar(values: list[str]) -> Grammar:
+        return Grammar([v for i, v in enumerate(values) if i % 4] or values)
+
+    model = Model([grammar(v) for v in kinds], [grammar(v) for v in plain] or [Grammar([])])
+    gains = sorted(model.gain(v) for values in kinds for v in values[::4])
+    low = gains[int(MISSED * len(gains))]
+    usual = sorted(model.gain(v) for values in plain for v in values[::4])
+    high = usual[int(USUAL * (len(usual) - 1))] if usual else low
     model.margin = max(LEAST_MARGIN, low - SLACK * max(0.0, low - high))
     return model
 
@@ -247,8 +274,8 @@ def report(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         for batch in batches:
             rows = []
             for found in batch.column("found").to_pylist():
-                base = [(f["start"], f["kind"], f["end"]) for f in found if f["kind"] < 3]
-                added = [(f["start"], 3, f["end"]) for f in found if f["kind"] == 3 and model.secret(f["value"])]
+                base = [(f["start"], f["kind"], f["end"]) for f in found if f["kind"] < FREE]
+                added = [(f["start"], 3, f["end"]) for f in found if f["kind"] >= FREE and model.secret(f["value"])]
                 n = [sum(k == kind for _, k, _ in base) for kind in range(3)]
                 rows.append((*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + added))))
             if rows:
