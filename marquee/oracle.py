@@ -325,6 +325,47 @@ FROM (SELECT event_id AS e, user_id,
       FROM events WHERE event_type = 'signup')"""
 
 
+def _signup_forms(factor: int, columns: str, bad: str) -> str:
+    """Insert forms of the signups, typed, with the reason of a reject."""
+    return f"""
+SELECT CASE WHEN e % 7 <> 0 THEN e END AS seq, TRY_CAST(key_text AS BIGINT) AS form_key, {columns},
+       CASE WHEN key_text IS NULL THEN 'missing key'
+            WHEN TRY_CAST(key_text AS BIGINT) IS NULL OR {bad} THEN 'invalid value' END AS reason
+FROM (SELECT event_id AS e, user_id AS u,
+             CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN 'none'
+                  ELSE CAST(user_id * {factor} + 1 AS VARCHAR) END AS key_text
+      FROM events WHERE event_type = 'signup')"""
+
+
+EVENT_FORMS = _signup_forms(2, """
+       'Ev' || e AS name, CASE WHEN e % 3 = 0 THEN 'Concert' ELSE 'concert' END AS type, 'Hall ' || (e % 9) AS location,
+       make_timestamp(2025, 3, CAST(e % 28 + 1 AS INTEGER), 20, 30, 0) AS datetime,
+       CAST(1000 + e % 1000 + 0.5 AS DECIMAL(10,2)) AS general_price, CAST(e % 700 + 0.25 AS DECIMAL(10,2)) AS vip_price,
+       (e % 5000) || ' USD' AS income, CAST(NULL AS VARCHAR) AS expense,
+       CASE WHEN e % 2 = 0 THEN 'seats ' || e END AS details,
+       CAST(CASE WHEN e % 4 <> 0 THEN e % 50 END AS BIGINT) AS company_id""", "e % 11 = 0 OR e % 19 = 0")
+CUSTOMER_FORMS = _signup_forms(3, """
+       'First' || e AS first_name, CASE WHEN e % 5 <> 0 THEN 'Last' || u END AS last_name,
+       'u' || e || '@example.org' AS e_mail, lpad(CAST(e AS VARCHAR), 10, '5') AS phone_num""", "false")
+PURCHASE_FORMS = _signup_forms(10, """
+       CAST(e % 1500 AS BIGINT) AS customer_id, CAST(e * 10 + 1 AS BIGINT) AS ticket_id,
+       CASE WHEN e % 2 = 0 THEN 'Cash' ELSE 'Credit Card' END AS payment_type,
+       make_timestamp(2025, 4, CAST(e % 28 + 1 AS INTEGER), 9, 15, 0) AS purchase_date""", "e % 11 = 0 OR e % 23 = 0")
+
+
+def _inserted(table: str, key: str, columns: str, forms: str) -> str:
+    return f"""
+SELECT {key}, {columns} FROM {table}
+UNION ALL
+SELECT form_key AS {key}, {columns} FROM ({forms})
+WHERE reason IS NULL AND form_key NOT IN (SELECT {key} FROM {table})
+QUALIFY row_number() OVER (PARTITION BY form_key ORDER BY seq NULLS LAST, {columns}) = 1"""
+
+
+def _rejected(forms: str) -> str:
+    return f"SELECT seq, reason FROM ({forms}) WHERE reason IS NOT NULL"
+
+
 def _per_key(log: str) -> str:
     """A log applied edit by edit to each key on its own (no key changes)."""
     return f"""{log}_n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS rn FROM {log}),
@@ -546,6 +587,14 @@ QUALIFY row_number() OVER (PARTITION BY ID ORDER BY seq NULLS LAST, type, ticket
     "insert_ticket_rejects": f"""
 SELECT seq, CASE WHEN key_text IS NULL THEN 'missing key' ELSE 'invalid value' END AS reason
 FROM ({TICKET_FORMS}) WHERE key_text IS NULL OR ID IS NULL OR tickets_sold IS NULL""",
+    "insert_events": _inserted("m_event", "ID", "name, type, location, datetime, general_price, vip_price, income, "
+                               "expense, details, company_id", EVENT_FORMS),
+    "insert_event_rejects": _rejected(EVENT_FORMS),
+    "insert_customers": _inserted("m_customer", "ID", "first_name, last_name, e_mail, phone_num", CUSTOMER_FORMS),
+    "insert_customer_rejects": _rejected(CUSTOMER_FORMS),
+    "insert_purchases": _inserted("m_purchase", "purchase_id", "customer_id, ticket_id, payment_type, purchase_date",
+                                  PURCHASE_FORMS),
+    "insert_purchase_rejects": _rejected(PURCHASE_FORMS),
     "insert_company_links": """
 SELECT company_id, customer_id FROM m_cust_of
 UNION

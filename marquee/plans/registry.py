@@ -99,6 +99,20 @@ def _ticket_forms(spark, sf_dir):
     return changes.insert_forms(td.ticket(spark, sf_dir), td.ticket_forms(spark, sf_dir), TABLE_SCHEMAS["ticket"])
 
 
+def _event_forms(spark, sf_dir):
+    return changes.insert_forms(td.event_catalog(spark, sf_dir), td.event_forms(spark, sf_dir),
+                                TABLE_SCHEMAS["event_catalog"])
+
+
+def _customer_forms(spark, sf_dir):
+    return changes.insert_forms(td.customer(spark, sf_dir), td.customer_forms(spark, sf_dir), TABLE_SCHEMAS["customer"])
+
+
+def _purchase_forms(spark, sf_dir):
+    return changes.insert_forms(td.purchase(spark, sf_dir), td.purchase_forms(spark, sf_dir), TABLE_SCHEMAS["purchase"],
+                                TABLE_KEYS["purchase"])
+
+
 def _event_updates(spark, sf_dir):
     return changes.update_property(td.event_catalog(spark, sf_dir),
                                    td.event_property_changes(spark, sf_dir),
@@ -125,6 +139,12 @@ CHANGES: dict[str, Query] = {
                                                          td.company_inserts(s, d)),
     "insert_tickets": lambda s, d: _ticket_forms(s, d)[0],
     "insert_ticket_rejects": lambda s, d: _ticket_forms(s, d)[1],
+    "insert_events": lambda s, d: _event_forms(s, d)[0],
+    "insert_event_rejects": lambda s, d: _event_forms(s, d)[1],
+    "insert_customers": lambda s, d: _customer_forms(s, d)[0],
+    "insert_customer_rejects": lambda s, d: _customer_forms(s, d)[1],
+    "insert_purchases": lambda s, d: _purchase_forms(s, d)[0],
+    "insert_purchase_rejects": lambda s, d: _purchase_forms(s, d)[1],
     "insert_company_links": lambda s, d: changes.insert_rows(
         td.cust_of(s, d), td.link_inserts(s, d), TABLE_KEYS["cust_of"]),
     "delete_companies": lambda s, d: changes.delete_rows(td.company(s, d),

@@ -366,6 +366,55 @@ def ticket_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat((user % 24 + 1).cast("string"), F.lit(".0")).alias("distributer_id"))
 
 
+def _form_base(spark: SparkSession, sf_dir: str, factor: int):
+    """Signups with the text key of an insert form (``user_id * factor + 1``;
+    some empty, some not a number) and its ``seq`` (some forms have none)."""
+    eid = F.col("event_id")
+    key = (F.when(eid % 13 == 0, F.lit(None)).when(eid % 17 == 0, F.lit("none"))
+           .otherwise((F.col("user_id") * factor + 1).cast("string")))
+    return _driver_events(spark, sf_dir, "signup").select(
+        F.when(eid % 7 != 0, eid).alias("seq"), key.alias("form_key"), eid.alias("e"), F.col("user_id").alias("u"))
+
+
+def event_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event insert forms, all text: prices with ``$`` and ``,``, dates that do
+    not parse, events without a company."""
+    e, text = F.col("e"), (lambda c: c.cast("string"))
+    return _form_base(spark, sf_dir, 2).select(
+        "seq", F.col("form_key").alias("ID"), F.concat(F.lit("Ev"), text(e)).alias("name"),
+        F.when(e % 3 == 0, F.lit("Concert")).otherwise(F.lit("concert")).alias("type"),
+        F.concat(F.lit("Hall "), text(e % 9)).alias("location"),
+        F.when(e % 11 == 0, F.lit("next week")).otherwise(
+            F.concat(F.lit(" 2025-03-"), F.lpad(text(e % 28 + 1), 2, "0"), F.lit(" 20:30:00"))).alias("datetime"),
+        F.concat(F.lit("$1,"), F.lpad(text(e % 1000), 3, "0"), F.lit(".50")).alias("general_price"),
+        F.when(e % 19 == 0, F.lit("free")).otherwise(F.concat(text(e % 700), F.lit(".25"))).alias("vip_price"),
+        F.concat(text(e % 5000), F.lit(" USD")).alias("income"), F.lit(None).cast("string").alias("expense"),
+        F.when(e % 2 == 0, F.concat(F.lit("seats "), text(e))).alias("details"),
+        F.when(e % 4 != 0, text(e % 50)).alias("company_id"))
+
+
+def customer_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer insert forms: the key alone is typed, phone numbers stay text."""
+    e, text = F.col("e"), (lambda c: c.cast("string"))
+    return _form_base(spark, sf_dir, 3).select(
+        "seq", F.col("form_key").alias("ID"), F.concat(F.lit("First"), text(e)).alias("first_name"),
+        F.when(e % 5 != 0, F.concat(F.lit("Last"), text(F.col("u")))).alias("last_name"),
+        F.concat(F.lit("u"), text(e), F.lit("@example.org")).alias("e_mail"),
+        F.lpad(text(e), 10, "5").alias("phone_num"))
+
+
+def purchase_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchase insert forms; some customer ids and dates do not parse."""
+    e, text = F.col("e"), (lambda c: c.cast("string"))
+    return _form_base(spark, sf_dir, 10).select(
+        "seq", F.col("form_key").alias("purchase_id"),
+        F.when(e % 23 == 0, F.lit("guest")).otherwise(F.concat(text(e % 1500), F.lit(".0"))).alias("customer_id"),
+        text(e * 10 + 1).alias("ticket_id"),
+        F.when(e % 2 == 0, F.lit("Cash")).otherwise(F.lit("Credit Card")).alias("payment_type"),
+        F.when(e % 11 == 0, F.lit("soon")).otherwise(
+            F.concat(F.lit("2025-04-"), F.lpad(text(e % 28 + 1), 2, "0"), F.lit(" 09:15:00"))).alias("purchase_date"))
+
+
 def link_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Company-customer links added by clicks; live and repeated pairs are no-ops."""
     ev = _driver_events(spark, sf_dir, "click")
