@@ -18,6 +18,9 @@
                  next published snapshot version; rejects under R/rejects.
                  With --marks only the rows of changed keys are written and
                  merged when read; compact folds them into the table
+  insert-forms   --root R --table T --requests P [--format parquet|json|csv]
+                 rows as forms post them (seq and every column of T as text):
+                 one more folder of new rows; rejects under R/rejects
   delete-purchases --root R --requests P [--format parquet|json|csv]
                  purchases by purchase_id, each with its ticket, into the next
                  version
@@ -44,7 +47,7 @@ import sys
 
 from marquee.operators import changes, intake, listings, lookups, reports
 from marquee.plans import bundles
-from marquee.schemas import PURCHASE_REQUEST, TABLE_SCHEMAS, change_schema
+from marquee.schemas import PURCHASE_REQUEST, TABLE_KEYS, TABLE_SCHEMAS, change_schema
 from marquee.session import build_session
 from marquee.sources import snapshots
 from marquee.sources import testdata as td
@@ -79,8 +82,8 @@ def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="marquee", description=__doc__,
                                  formatter_class=argparse.RawDescriptionHelpFormatter)
     ap.add_argument("command", choices=["load-testdata", "load-jdbc", "report", "bundle", "intake",
-                                        "apply-changes", "compact", "lookup", "delete-purchases",
-                                        "delete-cust-of"])
+                                        "apply-changes", "compact", "lookup", "insert-forms",
+                                        "delete-purchases", "delete-cust-of"])
     ap.add_argument("--root")
     ap.add_argument("--version")
     ap.add_argument("--sf-dir")
@@ -99,7 +102,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--master")
     a = ap.parse_args(argv)
     spark = build_session(master=a.master)
-    if a.version and a.command in ("intake", "apply-changes", "compact", "delete-purchases", "delete-cust-of") \
+    if a.version and a.command in ("intake", "apply-changes", "compact", "insert-forms", "delete-purchases", "delete-cust-of") \
             and a.version != snapshots.current_version(spark, a.root):
         ap.error(f"{a.command} writes on top of the current version, {a.version} is not it")
 
@@ -160,6 +163,15 @@ def main(argv: list[str] | None = None) -> int:
         else:
             out, rejects = changes.apply_changes(t.get(a.table), log, a.key, TABLE_SCHEMAS[a.table])
             snapshots.commit(spark, a.root, base, rewrite={a.table: out}, rejects=rejects)
+    elif a.command == "insert-forms":
+        base = a.version or snapshots.current_version(spark, a.root)
+        t = snapshots.read_snapshot(spark, a.root, base)
+        schema = TABLE_SCHEMAS[a.table]
+        reader = spark.read.format(a.format).schema(", ".join(["seq bigint", *[f"`{n}` string" for n in schema.names]]))
+        if a.format == "csv":
+            reader = reader.option("header", "true")
+        fresh, rejects = changes.fresh_forms(t.get(a.table), reader.load(a.requests), schema, TABLE_KEYS[a.table])
+        snapshots.commit(spark, a.root, base, append={a.table: fresh}, rejects=rejects)
     elif a.command in ("delete-purchases", "delete-cust-of"):
         base = a.version or snapshots.current_version(spark, a.root)
         t = snapshots.read_snapshot(spark, a.root, base)

@@ -25,6 +25,7 @@ from pyspark.sql.types import (DecimalType, IntegerType, LongType, StringType, S
                                TimestampNTZType)
 
 from marquee.functions.semantics import clean_money, split_pair
+from marquee.operators.keys import bucket_expr, cut_points
 from marquee.session import scratch_dir
 from marquee.tables import Tables
 
@@ -47,6 +48,11 @@ def insert_rows(snapshot: DataFrame, rows: DataFrame, key="ID", seq_col: str | N
     """M1: add rows whose key is not live; within the batch the first insert
     (by ``seq``) of a key wins, later ones are no-ops. Rows without a ``seq``
     come after all others; equal ``seq`` (or none) goes by the smallest row."""
+    return snapshot.unionByName(fresh_rows(snapshot, rows, key, seq_col))
+
+
+def fresh_rows(snapshot: DataFrame, rows: DataFrame, key="ID", seq_col: str | None = "seq") -> DataFrame:
+    """The rows that :func:`insert_rows` adds."""
     ks = _keys(key)
     cols = snapshot.columns
     if seq_col and seq_col in rows.columns:
@@ -59,8 +65,7 @@ def insert_rows(snapshot: DataFrame, rows: DataFrame, key="ID", seq_col: str | N
         # (unlike dropDuplicates, which keeps whichever row a task sees first)
         firsts = (rows.groupBy(*ks).agg(F.min(F.struct(*[F.col(c) for c in cols])).alias("_r"))
                   .select("_r.*"))
-    fresh = firsts.join(snapshot.select(*ks), ks, "left_anti")
-    return snapshot.unionByName(fresh.select(*cols))
+    return firsts.join(snapshot.select(*ks), ks, "left_anti").select(*cols)
 
 
 def insert_forms(snapshot: DataFrame, forms: DataFrame, schema: StructType, key="ID") \
@@ -69,6 +74,12 @@ def insert_forms(snapshot: DataFrame, forms: DataFrame, schema: StructType, key=
     with ``seq``. A missing key or a text that does not convert is a statement
     error: no effect, and a row (seq, reason) of the rejects. The others are
     inserted as by :func:`insert_rows`. Returns (table, rejects)."""
+    fresh, rejects = fresh_forms(snapshot, forms, schema, key)
+    return snapshot.select(*schema.names).unionByName(fresh), rejects
+
+
+def fresh_forms(snapshot: DataFrame, forms: DataFrame, schema: StructType, key="ID") -> tuple[DataFrame, DataFrame]:
+    """(the rows that :func:`insert_forms` adds, rejects); of the snapshot only the key is read."""
     ks = _keys(key)
     typed = {f.name: _typed(F.col(f.name), f.dataType).cast(f.dataType) for f in schema.fields}
     missing, bad = F.lit(False), F.lit(False)
@@ -78,7 +89,7 @@ def insert_forms(snapshot: DataFrame, forms: DataFrame, schema: StructType, key=
         bad = bad | (F.col(f.name).isNotNull() & typed[f.name].isNull())
     checked = forms.withColumn("_reject", F.when(missing, F.lit(NO_KEY_ERROR)).when(bad, F.lit(BAD_VALUE_ERROR)))
     rows = checked.where(F.col("_reject").isNull()).select("seq", *[c.alias(n) for n, c in typed.items()])
-    return (insert_rows(snapshot.select(*typed), rows, key),
+    return (fresh_rows(snapshot.select(*typed), rows, key),
             checked.where(F.col("_reject").isNotNull()).select("seq", F.col("_reject").alias("reason")))
 
 
@@ -318,15 +329,12 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-SEQ_RANGES = 64
-
-
 def _duplicate_keys(valid: DataFrame, applied: list[DataFrame], start: DataFrame,
                     edits: DataFrame | None = None) -> DataFrame:
     """Renames that were not applied although a row stood at their old key
     just before them. An as-of search for the last mark (applied rename,
-    insert, delete) of the old key; a key's history is cut into
-    ``SEQ_RANGES`` ranges of ``seq`` so that no task gets a hot key's whole
+    insert, delete) of the old key; a key's history is cut at quantiles of
+    ``seq``, as many as the rows need, so that no task gets a hot key's whole
     history, and only one value a range is carried on to the next."""
     if not applied:
         return valid.select("seq", F.lit(KEY_CHANGE_ERROR).alias("reason")).limit(0)
@@ -339,9 +347,8 @@ def _duplicate_keys(valid: DataFrame, applied: list[DataFrame], start: DataFrame
         marks = marks.union(edits.where("op IN ('insert', 'delete')")
                             .select("key", "seq", (F.col("op") == "insert")))
     rows = _stored(marks.withColumn("asked", F.lit(False)).unionByName(asked))
-    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
-    width = 1 if low is None else (high - low) // SEQ_RANGES + 1
-    rows = rows.withColumn("range", F.floor((F.col("seq") - F.lit(low or 0)) / F.lit(width)))
+    cuts = cut_points(rows, "seq")
+    rows = rows.withColumn("range", bucket_expr(F.col("seq"), cuts) if cuts else F.lit(0))
     ends = rows.groupBy("k", "range").agg(
         F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("seq"))).alias("end"))
     carried = ends.select("k", "range", F.last("end", True).over(

@@ -38,7 +38,7 @@ class Cuts(list):
         self.ways = ways or {}
 
 
-def _bucket_expr(key: Column, cuts: list) -> Column:
+def bucket_expr(key: Column, cuts: list) -> Column:
     """How many of the sorted ``cuts`` are below ``key``: binary search in one
     literal array, about log2(len(cuts)) steps. NULL keys come first."""
     widths = [1 << i for i in reversed(range(len(cuts).bit_length()))]
@@ -74,7 +74,7 @@ def _range_of(key: Column, row_hash: Column, cuts: list) -> tuple[Column, Column
     """Bucket of a row, its part of a heavy key's rows (0 for all other keys),
     and the place inside the part."""
     ways = getattr(cuts, "ways", {})
-    bucket = _bucket_expr(key, cuts) if cuts else F.lit(0)
+    bucket = bucket_expr(key, cuts) if cuts else F.lit(0)
     if not ways:
         return bucket, F.lit(0), F.lit(0)
     parts = F.lit(0)

@@ -5,6 +5,8 @@ import os
 import tempfile
 
 from marquee.__main__ import main
+from marquee.operators import changes
+from marquee.schemas import TABLE_SCHEMAS
 from marquee.sources import snapshots
 from marquee.sources import testdata as td
 
@@ -77,6 +79,18 @@ def test_cli_round_trip(spark):
         assert t6.customer.count() == t5.customer.count() - 1
         rejects = spark.read.parquet(f"{root}/rejects/v={snapshots.current_version(spark, root)}")
         assert [r.seq for r in rejects.collect()] == [2]
+        # forms as text: new keys appended, the others no-ops, bad texts rejected
+        td.purchase_forms(spark, SF).write.json(f"{work}/forms")
+        main(["insert-forms", "--root", root, "--table", "purchase", "--requests", f"{work}/forms", "--format", "json"])
+        now = snapshots.current_version(spark, root)
+        t7, t6 = snapshots.read_snapshot(spark, root), snapshots.read_snapshot(spark, root, snapshots.version_name(int(now) - 1))
+        want, bad = changes.insert_forms(t6.purchase, td.purchase_forms(spark, SF), TABLE_SCHEMAS["purchase"], "purchase_id")
+        assert t7.purchase.exceptAll(want).isEmpty() and want.exceptAll(t7.purchase).isEmpty()
+        assert t7.purchase.count() > t6.purchase.count()
+        assert sorted(snapshots.manifest(spark, root, now)["purchase"])[:-1] == \
+            sorted(snapshots.manifest(spark, root, snapshots.version_name(int(now) - 1))["purchase"])
+        got = spark.read.parquet(f"{root}/rejects/v={now}")
+        assert got.count() == bad.count() > 0
     finally:
         spark.stop = stop
 

@@ -138,11 +138,11 @@ def test_buckets_of_a_large_numbering_are_balanced(spark):
     """Thousands of ranges: dense ranks, no range far above its share."""
     from pyspark.sql import functions as F
 
-    from marquee.operators.keys import _bucket_expr, cut_points
+    from marquee.operators.keys import bucket_expr, cut_points
     n, buckets = 400_000, 2_000
     df = spark.range(n).select((F.col("id") * 7919 % n * 3).alias("k"))
     cuts = cut_points(df, "k", buckets)
-    sizes = df.groupBy(_bucket_expr(F.col("k"), cuts).alias("b")).count().agg(F.max("count"), F.count("*")).first()
+    sizes = df.groupBy(bucket_expr(F.col("k"), cuts).alias("b")).count().agg(F.max("count"), F.count("*")).first()
     assert sizes[0] < 2 * n / buckets and sizes[1] > 0.9 * buckets
     ranked = dense_rank_by(df, "k", cuts=cuts)
     assert ranked.where(F.col("_pos") != F.col("k") / 3 + 1).count() == 0 and ranked.count() == n
