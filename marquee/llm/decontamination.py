@@ -25,6 +25,8 @@ extra columns, whatever their names, pass through ``clean``.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,17 +45,24 @@ BITMAP_BITS = 24
 def text_windows(lexer: Lexer, text: str | None, width: int, literal: bool) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Raw words, slot marks, and places and hashes (as signed longs) of the
     windows: all of the literal words', else those that hold two words or more."""
-    raw, hashes, slots = lexer.template(text or "")
-    if literal:
-        raw, hashes, *_ = lexer.read(text or "")
+    raw, hashes, literals, slots = lexer.template(text or "")
+    return raw, slots, *word_windows(literals if literal else hashes, slots, width, literal)
+
+
+def word_windows(hashes: np.ndarray, slots: np.ndarray, width: int, literal: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of :func:`text_windows`, from a text's word hashes (of
+    the kind asked) and slot marks."""
     w = windows(hashes, width)
     if not len(w):
-        return raw, slots, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    filled = np.convolve(slots, np.ones(width, dtype=np.int64), "valid")
-    at = np.arange(len(w)) if literal else np.flatnonzero(filled <= width - 2)
-    return raw, slots, at, (w[at] ^ _kind_mask(width, literal)).view(np.int64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    if literal:
+        return np.arange(len(w)), (w ^ _kind_mask(width, True)).view(np.int64)
+    upto = np.concatenate(([0], np.cumsum(slots)))
+    at = np.flatnonzero(upto[width:] - upto[:-width] <= width - 2)
+    return at, (w[at] ^ _kind_mask(width, False)).view(np.int64)
 
 
+@cache
 def _kind_mask(width: int, literal: bool) -> np.uint64:
     """Tells windows of different widths and kinds apart; zero for the usual ones."""
     return np.uint64(0 if (width, literal) == (WINDOW, False) else hash_text(np.array([width, literal])) & (1 << 64) - 1)
@@ -70,7 +79,7 @@ def _window_slots(raw: list[str], slots: np.ndarray, at: int, k: int) -> list[st
 
 def template_key(lexer: Lexer, text: str | None) -> int:
     """Hash of an item's template and of which of its slots hold equal values."""
-    raw, hashes, slots = lexer.template(text or "")
+    raw, hashes, _, slots = lexer.template(text or "")
     ranks: dict[str, int] = {}
     equal = [ranks.setdefault(v, len(ranks)) for v in _window_slots(raw, slots, 0, len(raw)) if v is not None]
     return hash_text(np.concatenate([hashes, np.array(equal, dtype=np.uint64)]))
@@ -141,8 +150,9 @@ def document_windows(docs: DataFrame, items: DataFrame, bits: int = BITMAP_BITS)
         for batch in batches:
             out: dict[str, list] = {"i": [], "pos": [], "h": [], "slots": []}
             for i, text in enumerate(batch.column("text").to_pylist()):
+                raw, hashes, literals, slots = lexer.template(text or "")
                 for width, literal in kinds:
-                    raw, slots, at, h = text_windows(lexer, text, width, literal)
+                    at, h = word_windows(literals if literal else hashes, slots, width, literal)
                     hit = np.flatnonzero(known[h.view(np.uint64) >> np.uint64(64 - bits)])
                     for j in hit.tolist():
                         p = int(at[j])

@@ -49,7 +49,8 @@ class Lexer:
         import xxhash
         bare = raw.strip(PUNCTUATION)
         lower = bare.lower()
-        digits = any(ch.isdigit() for ch in bare)
+        # letters only (most words) hold no digit: one look at the word instead of one per character
+        digits = not bare.isalpha() and any(ch.isdigit() for ch in bare)
         kind = NUMBER if digits and not any(ch.isalpha() for ch in bare) else UNIT if lower in UNITS else WORD
         self.number[raw] = len(self.hashes)
         self.hashes.append(xxhash.xxh64_intdigest(lower, 7) | 32 if lower else 0)
@@ -83,13 +84,13 @@ class Lexer:
             hashes, kinds, capital, first = hashes[keep], kinds[keep], capital[keep], first[keep]
         return raw, hashes, kinds, capital, first
 
-    def template(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Raw words, canonical hashes and slot marks: numbers, names (capitals
-        inside a sentence) and units become typed placeholders."""
+    def template(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Raw words, canonical hashes, literal hashes and slot marks: numbers, names
+        (capitals inside a sentence) and units become typed placeholders."""
         raw, hashes, kinds, capital, first = self.read(text)
         name = capital & ~first & (kinds == WORD)
         out = np.where(kinds == NUMBER, NUMBER_SLOT, np.where(kinds == UNIT, UNIT_SLOT, np.where(name, NAME_SLOT, hashes)))
-        return raw, out.astype(np.uint64), (kinds != WORD) | name
+        return raw, out.astype(np.uint64), hashes, (kinds != WORD) | name
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -218,3 +218,26 @@ def test_pipeline_stages(spark, sf):
         assert docs.count() == len(ids[-1])
     assert ids[0] >= ids[1] > ids[2] >= ids[3] == ids[4]
     assert {r.doc_id for r in cp.run(spark, sf).collect()} <= ids[4]
+
+
+def test_a_text_is_read_once_for_windows_of_every_kind(monkeypatch):
+    from marquee.llm import lexer as lx
+    text, reads, read = "The 12 old boats of Captain Alba left at dawn, 3 km off the Northern coast.", [], lx.Lexer.read
+    monkeypatch.setattr(lx.Lexer, "read", lambda self, t: reads.append(t) or read(self, t))
+    lexer = lx.Lexer()
+    raw, slots, at, h = dec.text_windows(lexer, text, 3, True)
+    assert len(reads) == 1 and at.tolist() == list(range(len(raw) - 2)) and len(set(h.tolist())) == len(at)
+    usual = dec.text_windows(lexer, text, 3, False)
+    marks = slots.tolist()
+    assert usual[2].tolist() == [i for i in range(len(raw) - 2) if sum(marks[i:i + 3]) <= 1]
+
+
+def test_word_kinds_are_those_of_their_characters():
+    from marquee.llm import lexer as lx
+    lexer = lx.Lexer()
+    for w in ("word", "12", "1,234.5", "km", "KM.", "a1", "x²", "٣", "½", "Ünïcode", "it's", "--", "数", "3rd"):
+        lexer.read(w)
+        bare = w.strip(PUNCTUATION)
+        number = any(c.isdigit() for c in bare) and not any(c.isalpha() for c in bare)
+        expected = lx.NUMBER if number else lx.UNIT if bare.lower() in lx.UNITS else lx.WORD
+        assert lexer.kinds[lexer.number[w]] == expected
