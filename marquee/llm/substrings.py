@@ -11,16 +11,19 @@ window's documents the smallest id counts.
 
 Texts are stored in bundles of a few MB. A bundle sends each different hash once,
 in one message per hash range, whatever its documents share; a range answers each
-bundle with the hashes that others hold too (anchors), or with the smallest id
-(windows). No pairs are made, and a passage that very many documents share is one
-entry per bundle. Ranges follow the number of words.
+message with one bit per hash: whether another bundle holds the anchor, or whether
+the window starts elsewhere in a document with a smaller id. The bundle makes its
+hashes again, in the same order, to read the bits; what only its own documents share
+it finds by itself and does not send. No pairs are made, and a passage that very many
+documents share is one entry per bundle. Ranges follow the number of words.
 
 Null and empty texts have no words. A document with a null id is neither before
 nor after another: nothing is taken from it, nor from others for it. Rows that
 repeat an id do not count against each other, and each gets its own result. Texts
 of any length are read whole; a text longer than a bundle is a bundle of its own.
-``doc_id`` is an integer. Extra columns are not read. Anchors have 64-bit hashes (a
-clash only costs a look); windows 128-bit ones.
+``doc_id`` is an integer. Extra columns are not read. Anchors have 32-bit hashes in
+their range, which holds a bounded number (a clash only costs a look); windows
+128-bit ones.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ WINDOW, PERIOD = 50, 31
 COVER = (1, 5, 11, 24, 25, 27)
 BUNDLE_BYTES, PIECE, RANGE_WORDS, LEAST_RANGE_WORDS = 4 << 20, 1 << 18, 4_000_000, 100_000
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd
+ANCHORS, WINDOWS = 0, 1  # kinds of messages
 
 
 def is_cover(cover: Iterable[int], period: int) -> bool:
@@ -83,9 +87,15 @@ class Texts:
         self.of = np.repeat(np.arange(len(self.ids)), self.sizes)
         self.place = np.arange(len(self.of)) - self.starts[self.of]
         self.sums = sums
+        self.hashed: dict[int, np.ndarray] = {}
 
     def words(self, lane: int) -> np.ndarray:
         """Per word a 64-bit hash of its bytes."""
+        if lane not in self.hashed:
+            self.hashed[lane] = self._words(lane)
+        return self.hashed[lane]
+
+    def _words(self, lane: int) -> np.ndarray:
         data = np.frombuffer(self.data, dtype=np.uint8)
         ends = np.append(np.flatnonzero(data == 32), len(data))
         starts = np.concatenate(([0], ends[:-1] + 1))
@@ -120,12 +130,42 @@ def _sums() -> list[Sums]:
     return [Sums(base) for base in BASES]
 
 
-def _slices(keys: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
-    """(range, start, end) of the sorted 64-bit ``keys`` in each hash range that has some."""
-    width = -(-(1 << 64) // ranges)
-    of = keys // np.uint64(width) if ranges > 1 else np.zeros(len(keys), dtype=np.uint64)
-    heads = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
-    return [(int(of[a]), a, b) for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(keys)])]
+def _ranges_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """The hash range of each hash, from its upper half; ranges ascend with the hashes."""
+    return (hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+
+
+def _slices(of: np.ndarray) -> list[tuple[int, int, int]]:
+    """(range, start, end) of each stretch of equal ranges."""
+    heads = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))[:len(of)])
+    return [(int(of[a]), a, b) for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(of)])]
+
+
+def _grouped(ids: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Different keys in ascending order: each key's entry with the smallest and with
+    the largest id; and of each entry, which key it has."""
+    order = np.lexsort((ids, *keys[::-1]))
+    new = np.zeros(max(0, len(order) - 1), dtype=bool)
+    for k in keys:
+        k = k[order]
+        new |= k[1:] != k[:-1]
+    new = np.concatenate(([True], new))[:len(order)]
+    heads = np.flatnonzero(new)
+    key = np.empty(len(order), dtype=np.int64)
+    key[order] = np.cumsum(new) - 1
+    return order[heads], order[np.append(heads, len(order))[1:] - 1], key
+
+
+def _narrow(ids: np.ndarray) -> tuple[int, bytes]:
+    """The smallest id and the distances from it, in as few bytes each as the largest takes."""
+    base = int(ids.min())
+    steps = ids.view(np.uint64) - np.array(base).view(np.uint64)
+    return base, steps.astype(np.min_scalar_type(steps.max())).tobytes()
+
+
+def _wide(base: int, steps: bytes, n: int) -> np.ndarray:
+    values = np.frombuffer(steps, dtype=f"u{len(steps) // n}").astype(np.uint64)
+    return (values + np.array(base, dtype=np.int64).view(np.uint64)).view(np.int64)
 
 
 def _bundles(docs: DataFrame) -> DataFrame:
@@ -156,54 +196,53 @@ def _bundles(docs: DataFrame) -> DataFrame:
     return stored(made.withColumn("bundle", F.monotonically_increasing_id()), "substrings-texts")
 
 
-def _bytes(columns: dict[str, list]) -> pa.Table:
-    return pa.table({c: pa.array(v, pa.int64() if c in ("range", "bundle") else pa.binary()) for c, v in columns.items()})
+def _table(columns: dict[str, list]) -> pa.Table:
+    return pa.table({c: pa.array(v, pa.int64() if c in ("kind", "range", "bundle", "base") else pa.binary()) for c, v in columns.items()})
 
 
 def _read(table: pa.Table, column: str, kind=np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """A column of packed arrays as one array, and which row each entry is from."""
+    """A column of packed arrays as one array, and how many entries each row has."""
     parts = [np.frombuffer(x, dtype=kind) for x in table[column].to_pylist()]
-    if not parts:
-        return np.zeros(0, dtype=kind), np.zeros(0, dtype=np.int64)
-    return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    return np.concatenate([np.zeros(0, dtype=kind), *parts]), np.array([len(x) for x in parts], dtype=np.int64)
+
+
+def _answers(kind: int, messages: pa.Table, yes: np.ndarray, sizes: np.ndarray) -> pa.Table:
+    """A bit for each entry of the messages; a message without a yes gets no answer."""
+    out: dict[str, list] = {c: [] for c in ("kind", "range", "bundle", "bits")}
+    for r, bundle, bits in zip(messages["range"].to_pylist(), messages["bundle"].to_pylist(), np.split(yes, np.cumsum(sizes)[:-1])):
+        if bits.any():
+            for c, v in zip(out, (kind, r, bundle, np.packbits(bits).tobytes())):
+                out[c].append(v)
+    return _table(out)
+
+
+def _said(answers: pa.Table, kind: int, of: np.ndarray) -> np.ndarray:
+    """The answers' bits for the keys that were sent, whose ranges are ``of``."""
+    bits = {r: b for k, r, b in zip(*(answers[c].to_pylist() for c in ("kind", "range", "bits"))) if k == kind}
+    out = np.zeros(len(of), dtype=bool)
+    for r, a, b in _slices(of):
+        if r in bits:
+            out[a:b] = np.unpackbits(np.frombuffer(bits[r], dtype=np.uint8), count=b - a)
+    return out
 
 
 def _shared_anchors(messages: pa.Table) -> pa.Table:
-    """A hash range's answer: per bundle its anchors that occur twice or more."""
-    keys, of = _read(messages, "keys")
-    twice, _ = _read(messages, "twice", np.uint8)
+    """A hash range's answer: which of a bundle's anchors another bundle has too."""
+    keys, sizes = _read(messages, "keys", np.uint32)
     order = np.argsort(keys, kind="stable")
-    keys, of, twice = keys[order], of[order], twice[order].astype(bool)
-    same = keys[1:] == keys[:-1]
-    twice[1:] |= same
-    twice[:-1] |= same
-    keys, of = keys[twice], of[twice]
-    order = np.argsort(of, kind="stable")
-    keys, of = keys[order], of[order]
-    heads = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, dtype=np.int64)
-    bundles = messages["bundle"].to_pylist()
-    return _bytes({"bundle": [bundles[i] for i in of[heads].tolist()],
-                   "keys": [x.tobytes() for x in np.split(keys, heads[1:])] if len(heads) else []})
-
-
-def _earliest(messages: pa.Table) -> pa.Table:
-    """A hash range's answer: per bundle the windows that start in a document with a
-    smaller id than one of its own, with the smallest."""
-    (low, of), (high, _) = _read(messages, "low"), _read(messages, "high")
-    (least, _), (most, _) = _read(messages, "least", np.int64), _read(messages, "most", np.int64)
-    order = np.lexsort((high, low))
-    low, high, of, least, most = (x[order] for x in (low, high, of, least, most))
-    heads = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))) if len(low) else np.zeros(0, np.int64)
-    if len(heads):
-        least = np.repeat(np.minimum.reduceat(least, heads), np.diff(np.append(heads, len(low))))
-    late = np.flatnonzero(most > least)
-    late = late[np.argsort(of[late], kind="stable")]
-    low, high, least, of = low[late], high[late], least[late], of[late]
-    heads = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, dtype=np.int64)
-    bundles = messages["bundle"].to_pylist()
-    return _bytes({"bundle": [bundles[i] for i in of[heads].tolist()],
-                   **{c: [x.tobytes() for x in np.split(v, heads[1:])] if len(heads) else []
-                      for c, v in (("low", low), ("high", high), ("least", least))}})
+    same = keys[order[1:]] == keys[order[:-1]]
+    yes = np.zeros(len(keys), dtype=bool)
+    yes[order[1:][same]] = yes[order[:-1][same]] = True
+    return _answers(ANCHORS, messages, yes, sizes)
+
+
+def _late(messages: pa.Table) -> pa.Table:
+    """A hash range's answer: which of a bundle's windows start elsewhere in a document
+    with a smaller id than all of the bundle's own."""
+    (low, sizes), (high, _) = _read(messages, "low"), _read(messages, "high")
+    least = np.concatenate([_wide(b, x, n) for b, x, n in zip(messages["base"].to_pylist(), messages["least"].to_pylist(), sizes.tolist())])
+    first, _, key = _grouped(least, low, high)
+    return _answers(WINDOWS, messages, least > least[first][key], sizes)
 
 
 def removed(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
@@ -219,66 +258,62 @@ def removed(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover:
     total = texts.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, n: a + n))).first()[0] or 0
     ranges = max(1, total // RANGE_WORDS, min(3 * docs.sparkSession.sparkContext.defaultParallelism, total // LEAST_RANGE_WORDS))
 
+    def anchors(t: Texts) -> tuple[np.ndarray, ...]:
+        """Cover places, the different hashes there, which documents have the smallest
+        and largest id of each, and which hash each place has."""
+        at = t.at_cover(run_length, period, cover)
+        hashes = t.runs(t.words(0), run_length, 0, at)
+        keys = _ranges_of(hashes, ranges) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
+        first, last, key = _grouped(t.ids[t.of[at]], keys)
+        return at, keys[first], t.of[at[first]], t.of[at[last]], key
+
+    def windows(t: Texts, answers: pa.Table) -> tuple[np.ndarray, ...]:
+        """Places of the windows around anchors that occur twice, which of the different
+        windows each has; of these the hashes, the smallest id and whether they are sent."""
+        at, keys, first, last, anchor = anchors(t)
+        far = _said(answers, ANCHORS, keys >> np.uint64(32))
+
+        def near(which: np.ndarray) -> np.ndarray:
+            a = at[which[anchor]]
+            return t.covered(np.maximum(a - period + 1, t.starts[t.of[a]]), a + 1)
+
+        places = np.flatnonzero(near(far | (t.ids[first] != t.ids[last])) & (t.place + window <= t.sizes[t.of]))
+        low, high = t.windows(window, places) if len(places) else (np.zeros(0, dtype=np.uint64),) * 2
+        ids = t.ids[t.of[places]]
+        first, _, key = _grouped(ids, low, high)
+        sent = np.zeros(len(first), dtype=bool)
+        sent[key[near(far)[places]]] = True
+        return places, key, low[first], high[first], ids[first], sent
+
     def ask_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _sums()
         for batch in batches:
             for row in batch.to_pylist():
-                t = Texts(row, sums)
-                at = t.at_cover(run_length, period, cover)
-                keys, ids = t.runs(t.words(0), run_length, 0, at), t.ids[t.of[at]]
-                order = np.lexsort((ids, keys))
-                keys, ids = keys[order], ids[order]
-                heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
-                twice = (ids[heads] != ids[np.append(heads[1:], len(keys)) - 1]).astype(np.uint8) if len(heads) else np.zeros(0, np.uint8)
-                keys = keys[heads]
-                parts = _slices(keys, ranges)
-                yield from _bytes({"range": [r for r, _, _ in parts], "bundle": [row["bundle"]] * len(parts),
-                                   "keys": [keys[a:b].tobytes() for _, a, b in parts],
-                                   "twice": [twice[a:b].tobytes() for _, a, b in parts]}).to_batches()
+                keys = anchors(Texts(row, sums))[1]
+                parts = _slices(keys >> np.uint64(32))
+                keys = keys.astype(np.uint32)
+                yield from _table({"range": [r for r, _, _ in parts], "bundle": [row["bundle"]] * len(parts),
+                                   "keys": [keys[a:b].tobytes() for _, a, b in parts]}).to_batches()
 
     def ask_windows(bundle: pa.Table, answers: pa.Table) -> pa.Table:
-        out: dict[str, list] = {c: [] for c in ("range", "bundle", "low", "high", "least", "most")}
-        known = np.unique(_read(answers, "keys")[0])
-        for row in bundle.to_pylist() if len(known) else ():
-            t = Texts(row, _sums())
-            at = t.at_cover(run_length, period, cover)
-            at = at[np.isin(t.runs(t.words(0), run_length, 0, at), known)]
-            near = t.covered(np.maximum(at - period + 1, t.starts[t.of[at]]), at + 1)
-            near = np.flatnonzero(near & (t.place + window <= t.sizes[t.of]))
-            low, high = t.windows(window, near)
-            ids = t.ids[t.of[near]]
-            order = np.lexsort((ids, high, low))
-            low, high, ids = low[order], high[order], ids[order]
-            heads = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))) if len(low) else np.zeros(0, np.int64)
-            ends = np.append(heads[1:], len(low)) - 1
-            columns = {"low": low[heads], "high": high[heads], "least": ids[heads], "most": ids[ends] if len(heads) else ids}
-            for r, a, b in _slices(columns["low"], ranges):
-                out["range"].append(r)
-                out["bundle"].append(row["bundle"])
-                for c, v in columns.items():
-                    out[c].append(v[a:b].tobytes())
-        return _bytes(out)
+        out: dict[str, list] = {c: [] for c in ("range", "bundle", "low", "high", "base", "least")}
+        for row in bundle.to_pylist() if answers.num_rows else ():
+            _, _, low, high, least, sent = windows(Texts(row, _sums()), answers)
+            low, high, least = low[sent], high[sent], least[sent]
+            for r, a, b in _slices(_ranges_of(low, ranges)):
+                for c, v in zip(out, (r, row["bundle"], low[a:b].tobytes(), high[a:b].tobytes(), *_narrow(least[a:b]))):
+                    out[c].append(v)
+        return _table(out)
 
     def cut(bundle: pa.Table, answers: pa.Table) -> pa.Table:
         found: list[list] = [[], [], [], []]
-        (low, _), (high, _), (least, _) = (_read(answers, c, k) for c, k in (("low", np.uint64), ("high", np.uint64), ("least", np.int64)))
-        order = np.lexsort((high, low))
-        low, high, least = low[order], high[order], least[order]
         for row in bundle.to_pylist():
             t = Texts(row, _sums())
-            gone = np.zeros(len(t.of), dtype=bool)
-            if len(low):
-                at = np.flatnonzero(t.place + window <= t.sizes[t.of])
-                mine = t.runs(t.words(0), window, 0, at)
-                at = at[np.isin(mine, low)]
-                mine_low, mine_high = t.windows(window, at)
-                left, right = (np.searchsorted(low, mine_low, side=side) for side in ("left", "right"))
-                best = np.full(len(at), np.iinfo(np.int64).max)
-                for step in range(int((right - left).max(initial=0))):  # one, but for a clash of the low halves
-                    i = np.minimum(left + step, len(low) - 1)
-                    best = np.where((left + step < right) & (high[i] == mine_high), least[i], best)
-                at = at[best < t.ids[t.of[at]]]
-                gone = t.covered(at, at + window)
+            places, key, low, _, least, sent = windows(t, answers)
+            late = np.zeros(len(low), dtype=bool)
+            late[sent] = _said(answers, WINDOWS, _ranges_of(low[sent], ranges))
+            places = places[late[key] | (least[key] < t.ids[t.of[places]])]
+            gone = t.covered(places, places + window)
             words = t.data.decode().split(" ")
             for doc_id, a, b in zip(t.ids.tolist(), t.starts.tolist(), t.ends.tolist()):
                 out = gone[a:b]
@@ -288,13 +323,14 @@ def removed(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
         return pa.table({c: pa.array(v, k) for c, v, k in zip(("doc_id", "n_words", "n_removed", "kept_text"), found, kinds)})
 
-    asked = texts.mapInArrow(ask_anchors, "range bigint, bundle bigint, keys binary, twice binary")
-    shared = asked.groupBy("range").applyInArrow(_shared_anchors, "bundle bigint, keys binary")
+    answer = "kind bigint, range bigint, bundle bigint, bits binary"
+    asked = texts.mapInArrow(ask_anchors, "range bigint, bundle bigint, keys binary")
+    shared = stored(asked.groupBy("range").applyInArrow(_shared_anchors, answer), "substrings-shared")
     wanted = texts.groupBy("bundle").cogroup(shared.groupBy("bundle")).applyInArrow(
-        ask_windows, "range bigint, bundle bigint, low binary, high binary, least binary, most binary")
-    earliest = stored(wanted.groupBy("range").applyInArrow(_earliest, "bundle bigint, low binary, high binary, least binary"),
-                      "substrings-earliest")
-    judged = texts.groupBy("bundle").cogroup(earliest.groupBy("bundle")).applyInArrow(
+        ask_windows, "range bigint, bundle bigint, low binary, high binary, base bigint, least binary")
+    answers = shared.unionByName(wanted.groupBy("range").applyInArrow(_late, answer))
+    # Both cogroups read one exchange of the texts.
+    judged = texts.groupBy("bundle").cogroup(answers.groupBy("bundle")).applyInArrow(
         cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
     return judged.unionByName(base.where(~F.coalesce(long_enough, F.lit(False))).select(
         "doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("words").alias("kept_text")))

@@ -1,5 +1,6 @@
 import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from harness import compare, duck
 from marquee.llm import substrings
 from marquee.llm.common import table
+from marquee.session import scratch_dir
 
 
 def brute(rows, window):
@@ -92,3 +94,31 @@ def test_empty_table_and_bad_cover(make_docs):
     assert run(make_docs([])) == []
     with pytest.raises(ValueError):
         substrings.removed(make_docs([]), period=13, cover=(0, 1, 3))
+
+
+def test_ids_of_the_whole_range_across_bundles(make_docs, monkeypatch):
+    """The smallest id of a window is sent as a distance from others, whatever their sign."""
+    monkeypatch.setattr(substrings, "RANGE_WORDS", 500)
+    passages = [" ".join(f"p{k}w{i}" for i in range(70)) for k in range(6)]
+    ids = [-2**63, 2**63 - 1, 0, -1, 255, 256, 70_000, 2**32, 2**40, -2**33, 7, 2**63 - 2]
+    rows = [(i, f"{passages[n % 6]} own{n} {passages[(n * 5 + 1) % 6]}") for n, i in enumerate(ids)] * 2
+    assert run(make_docs(rows).repartition(7)) == brute(rows, 50)
+
+
+def test_disk_per_shared_word(spark, make_docs):
+    """Half of the words stand in two bundles. Answers are bits, a window's id is sent
+    once and texts are dealt once: shuffled and stored bytes stay near the words' own."""
+    def files():
+        local = [d.getPath() for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+        found = [p for d in local for p in Path(d).glob("*/shuffle_*.data")]
+        found += Path(scratch_dir(spark, "substrings-x").removeprefix("file:")).parent.glob("substrings-*/*/*.parquet")
+        return {p: p.stat().st_size for p in found}
+
+    draw = random.Random(3)
+    shared = [" ".join(f"{draw.randrange(10**6):06}" for _ in range(2_000)) for _ in range(40)]
+    rows = [(i, f"{shared[i % 40]} " + " ".join(f"{draw.randrange(10**6):06}" for _ in range(2_000))) for i in range(80)]
+    docs = make_docs(rows).repartitionByRange(2, "doc_id").localCheckpoint()
+    before = files()
+    assert sum(r[2] for r in run(docs)) >= 40 * 2_000
+    bytes_per_word = sum(n for p, n in files().items() if p not in before) / (80 * 4_000)
+    assert 4 < bytes_per_word < 20  # 31 with 64-bit answers, ids sent twice and texts dealt twice
